@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from agorafold.llm import quality_rules as q5
+from agorafold.llm import quality_rules, token_counts
 
 
 def queries() -> dict:
-    return {"op5_quality_rules": q5.op5_quality_rules}
+    return {
+        "op1_token_counts": token_counts.op1_token_counts,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": q5.OP5_SQL}
+    return {"op5_quality_rules": quality_rules.OP5_SQL}
