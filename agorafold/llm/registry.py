@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from agorafold.llm import mixing, quality_rules, token_counts
+from agorafold.llm import mixing, quality_rules, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op8_sharding": sharding.op8_sharding,
         "op10_mixing": mixing.op10_mixing,
     }
 
