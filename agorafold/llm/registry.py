@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from agorafold.llm import mixing, quality_rules, sharding, token_counts
+from agorafold.llm import decontaminate, mixing, quality_rules, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_decontamination": decontaminate.op2_decontamination,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op8_sharding": sharding.op8_sharding,
         "op10_mixing": mixing.op10_mixing,
@@ -15,4 +16,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.OP5_SQL}
+    return {
+        "op2_decontamination": decontaminate.OP2_SQL,
+        "op5_quality_rules": quality_rules.OP5_SQL,
+    }
