@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from agorafold.llm import decontaminate, mixing, quality_rules, sharding, token_counts
+from agorafold.llm import chat_format, decontaminate, mixing, quality_rules, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_chat_format": chat_format.op3_chat_format,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op8_sharding": sharding.op8_sharding,
         "op10_mixing": mixing.op10_mixing,
@@ -18,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontaminate.OP2_SQL,
+        "op3_chat_format": chat_format.OP3_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
     }
