@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agorafold.llm import chat_format, decontaminate, mixing, quality_rules, sharding, token_counts
+from agorafold.llm import chat_format, decontaminate, mixing, quality_rules, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_chat_format": chat_format.op3_chat_format,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_sharding": sharding.op8_sharding,
         "op10_mixing": mixing.op10_mixing,
     }

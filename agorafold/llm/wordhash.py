@@ -18,6 +18,9 @@ SLICE_BYTES = 4 << 20
 _U = np.uint64
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Another rule: runs of ASCII letters and digits and of non-ASCII characters.
+TERM = np.zeros(256, bool)
+TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -102,12 +105,12 @@ def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def words(texts: pa.Array, lower: bool = False, rule: np.ndarray = _WORD) -> Words:
     """The words of all texts of an array of strings; null has none."""
     data, offsets = _raw(texts)
     if lower:
         data = LOWER[data]
-    inside = _WORD[data]
+    inside = rule[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     starts, ends = inside.copy(), inside.copy()
