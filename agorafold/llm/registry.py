@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agorafold.llm import chat_format, decontaminate, mixing, quality_rules, sharding, token_counts, toxicity
+from agorafold.llm import chat_format, decontaminate, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_chat_format": chat_format.op3_chat_format,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_sharding": sharding.op8_sharding,
         "op10_mixing": mixing.op10_mixing,
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": decontaminate.OP2_SQL,
         "op3_chat_format": chat_format.OP3_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
+        "op6_substring_dedup": substring_dedup.OP6_SQL,
     }
