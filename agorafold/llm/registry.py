@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agorafold.llm import chat_format, decontaminate, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from agorafold.llm import chat_format, decontaminate, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_sharding": sharding.op8_sharding,
+        "op9_minhash": minhash.op9_minhash,
         "op10_mixing": mixing.op10_mixing,
     }
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat_format.OP3_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
+        "op9_minhash": minhash.OP9_SQL,
     }
