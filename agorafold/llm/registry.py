@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agorafold.llm import chat_format, decontaminate, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from agorafold.llm import chat_format, decontaminate, html_extract, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_html_extract": html_extract.op4_html_extract,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
