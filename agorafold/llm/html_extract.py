@@ -176,7 +176,7 @@ class Weights:
 
     def word(self, setting: str) -> float:
         """What is aside within a main element is left out later and hardly parts what is around it."""
-        return -0.05 if setting.startswith("in ") else self.words.get(setting, -2.0)
+        return -0.01 if setting.startswith("in ") else self.words.get(setting, -2.0)
 
 
 @functools.lru_cache(maxsize=1)
