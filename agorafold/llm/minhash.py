@@ -133,7 +133,7 @@ def accidental(a: int, b: int) -> float:
     return same / (1 << MANTISSA)
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose registers estimate a similarity not far below the threshold."""
     for batch in batches:
         if not batch.num_rows:
@@ -143,7 +143,7 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = np.array([accidental(a, b) for a, b in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)])
         similar = (agree - chance) / (1 - chance)
         small = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()) < BUCKETS  # few independent registers: verified always
-        keep = small | (similar >= LEAST / 100 - MARGIN)
+        keep = small | (similar >= least / 100 - MARGIN)
         out = batch.filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
@@ -172,24 +172,24 @@ def classes(links: DataFrame, scratch: common.Scratch) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs that are links: estimate by registers, then the sets themselves."""
     slim = sets.select("id", "n_shingles", "registers")
     left = slim.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = slim.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * LEAST)
-    likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, "a bigint, b bigint")
+    sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least)
+    likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _likely(batches, least), "a bigint, b bigint")
     own = sets.select("id", "n_shingles", "shingles")
     full = likely.join(own.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa")), "a")
     full = full.join(own.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return full.withColumn("both", both).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * LEAST).select("a", "b")
+    return full.withColumn("both", both).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * least).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, __nd_shingles, __nd_class): one row per row of ``docs`` with its set's size and its class.
 
-    docs: doc_id (whole numbers) and text.
+    docs: doc_id (whole numbers) and text.  least: the similarity, in hundredths, from which documents are linked.
     """
     scratch = common.Scratch(docs.sparkSession, "minhash")
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             pivots = open_keys.where((F.col("rank") > done) & (F.col("rank") <= done + width)).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ka"))
             pairs = open_keys.join(pivots, "key").where("rank > ka and label <> la").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        found = _verified(pairs.distinct(), sets)
+        found = _verified(pairs.distinct(), sets, least)
         links = scratch.keep(found if links is None else links.unionByName(found))
         labels = classes(links, scratch)
         done, width = done + width, width * 4
@@ -237,9 +237,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n_shingles").alias("__nd_shingles"), F.coalesce("class", "id").alias("__nd_class"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id, and all that have no class."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = near_duplicates(docs.select("doc_id", "text"), least)
     gone = found.where("doc_id <> __nd_class").select(F.col("doc_id").alias("__nd_id")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__nd_id"), "left_anti")
 

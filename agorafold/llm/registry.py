@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from agorafold.llm import chat_format, decontaminate, html_extract, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_minhash": minhash.op9_minhash,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
