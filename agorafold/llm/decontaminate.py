@@ -37,6 +37,8 @@ WINDOW = 10
 #: Rows of 24 bytes that may be broadcast: 48 MB.
 BROADCAST_ROWS = 2_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words as they are written.
+WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,18 +53,28 @@ def block_of(length: int) -> tuple[int, int]:
     return block, length - block + 1
 
 
-def _grams(words: str, n: int, start: str = "1", step: int = 1) -> str:
-    """SQL for the array of (position from 0, 64-bit hash) of n-grams."""
-    last = f"size({words}) - {n} + 1"
-    return f"transform(case when {last} >= 1 then sequence(1, {last}, {step}) else cast(array() as array<int>) end, i -> named_struct('at', i - 1, 'h', xxhash64(slice({words}, i, {n}))))"
+def _words_at(words: str, i: str, n: int) -> str:
+    """SQL for n words from position i (from 0) on; taken one by one, as slice() copies the whole array each time."""
+    return ", ".join(f"get({words}, {i} + {k})" for k in range(n))
+
+
+def _starts(words: str, n: int, step: int = 1) -> str:
+    """SQL for the array of positions (from 0) at which n words start."""
+    last = f"size({words}) - {n}"
+    return f"case when {last} >= 0 then sequence(0, {last}, {step}) else cast(array() as array<int>) end"
+
+
+def _hashes(words: str, n: int, step: int = 1) -> str:
+    """SQL for the array of 64-bit hashes of n-grams; n is hashed too, so that sizes don't mix."""
+    return f"transform({_starts(words, n, step)}, i -> xxhash64({n}, {_words_at(words, 'i', n)}))"
 
 
 def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, n, gram): the distinct windows of each item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
     items = items.withColumn("n", F.least(F.size("w"), F.lit(window)))
-    grams = items.select("item_id", "n", F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> slice(w, i, n))")).alias("gram"))
-    return grams.distinct()
+    grams = f"case when n < {window} then array(w) else transform({_starts('w', window)}, i -> array({_words_at('w', 'i', window)})) end"
+    return items.select("item_id", "n", F.explode(F.expr(grams)).alias("gram")).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -84,26 +96,24 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     if not lengths:
         return keyed.where(F.lit(False)).select("__dc_id", "__dc_text", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("item_id"))
 
-    # Scan. Blocks of unlike sizes are told apart by their size.
-    blocks = []
-    for n in lengths:
-        block, _ = block_of(n)
-        blocks.append(tests.where(F.col("n") == n).select(F.lit(block).alias("b"), F.explode(F.expr(f"transform({_grams('gram', block)}, g -> g.h)")).alias("h")))
+    # Scan.
+    blocks = [tests.where(F.col("n") == n).select(F.explode(F.expr(_hashes("gram", block_of(n)[0]))).alias("h")) for n in lengths]
     known = blocks[0]
     for more in blocks[1:]:
         known = known.unionByName(more)
     known = _small(scratch.keep(known.distinct()))
-    probes = [f"transform({_grams('w', *[block_of(n)[0]], step=block_of(n)[1])}, g -> named_struct('b', {block_of(n)[0]}, 'h', g.h))" for n in lengths]
-    scanned = keyed.withColumn("w", words_of(F.col("__dc_t"))).select("__dc_id", "__dc_text", F.explode(F.expr(f"array_distinct(concat({', '.join(probes)}))")).alias("p"))
-    found = scanned.select("__dc_id", "__dc_text", F.col("p.b").alias("b"), F.col("p.h").alias("h")).join(known, ["b", "h"], "left_semi")
+    probes = ", ".join(_hashes("w", *block_of(n)) for n in lengths)
+    scanned = keyed.withColumn("w", words_of(F.col("__dc_t"))).select("__dc_id", "__dc_text", F.explode(F.expr(f"array_distinct(concat({probes}))")).alias("h"))
+    found = scanned.join(known, "h", "left_semi")
     suspects = scratch.keep(found.select(F.col("__dc_id").alias("__dc_i"), F.col("__dc_text").alias("__dc_x")).distinct())
 
     # Verify. All windows of the suspects, by hash and then by the words.
     same = F.col("__dc_id").eqNullSafe(F.col("__dc_i")) & (F.col("__dc_text") == F.col("__dc_x"))
     texts = keyed.join(suspects, same, "left_semi").dropDuplicates(["__dc_id", "__dc_text"]).select("__dc_id", "__dc_text", words_of(F.col("__dc_t")).alias("w"))
-    every = ", ".join(f"transform({_grams('w', n)}, g -> named_struct('n', {n}, 'at', g.at, 'h', g.h, 'gram', slice(w, g.at + 1, {n})))" for n in lengths)
+    every = ", ".join(f"transform({_starts('w', n)}, i -> named_struct('n', {n}, 'at', i, 'h', xxhash64({n}, {_words_at('w', 'i', n)}), 'gram', array({_words_at('w', 'i', n)})))" for n in lengths)
     windows = texts.select("__dc_id", "__dc_text", F.explode(F.expr(f"concat({every})")).alias("g")).select("__dc_id", "__dc_text", "g.*")
-    wanted = tests.select("item_id", F.col("n").alias("tn"), F.col("gram").alias("tgram"), F.xxhash64("gram").alias("th"))
+    whole = " ".join(f"when {n} then xxhash64({n}, {_words_at('gram', '0', n)})" for n in lengths)
+    wanted = tests.select("item_id", F.col("n").alias("tn"), F.col("gram").alias("tgram"), F.expr(f"case n {whole} end").alias("th"))
     hits = windows.join(_small(wanted), (F.col("n") == F.col("tn")) & (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
     return hits.select("__dc_id", "__dc_text", "at", "n", "item_id")
 
@@ -117,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     per = hits.groupBy("__dc_id", "__dc_text").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("__dc_items"))
     positions = F.expr("array_sort(array_distinct(flatten(transform(spans, s -> sequence(s.at, s.at + s.n - 1)))))")
     per = per.select(F.col("__dc_id").alias("__dc_i"), F.col("__dc_text").alias("__dc_x"), positions.alias("__dc_hit"), "__dc_items")
-    out = docs.withColumns({"__dc_words": F.size(words_of(F.col("text"))).cast("long"), "__dc_text": F.xxhash64("text")})
+    out = docs.withColumns({"__dc_words": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long"), "__dc_text": F.xxhash64("text")})
     out = out.join(per, F.col("doc_id").eqNullSafe(F.col("__dc_i")) & (F.col("__dc_text") == F.col("__dc_x")), "left").drop("__dc_i", "__dc_x", "__dc_text")
     return out.withColumns({"__dc_hit": F.coalesce("__dc_hit", F.expr("cast(array() as array<int>)")), "__dc_items": F.coalesce("__dc_items", F.expr("cast(array() as array<string>)"))})
 
@@ -131,8 +141,7 @@ def remove_spans(marked: DataFrame) -> DataFrame:
     """All documents; hit words and what stands between two of them are cut from the texts."""
     # Word k of the text is preceded by gap k; gaps and words alternate.
     text = F.coalesce(F.col("text"), F.lit(""))
-    # The words of the text as written: no ASCII letter is cut at, of either case.
-    pieces = marked.withColumns({"__dc_w": F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)), "__dc_g": F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)})
+    pieces = marked.withColumns({"__dc_w": F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), F.lit(0)), "__dc_g": F.split(text, WORD_ANY_CASE, -1)})
     kept = F.expr("""concat(array_join(transform(__dc_w, (x, i) -> case
         when array_contains(__dc_hit, i) and array_contains(__dc_hit, i - 1) then ''
         when array_contains(__dc_hit, i) then __dc_g[i]
