@@ -48,9 +48,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and place in it."""
+    """Every document with its size, shard and place in it; a name that is taken keeps its prefix ``__sh_``."""
     placed = sharding.reshard(docs)
-    return placed.select(*docs.columns, F.col("__sh_size").alias("size"), F.col("__sh_shard").alias("shard"), F.col("__sh_slot").alias("slot"))
+    added = [F.col(f"__sh_{c}").alias(c if c not in docs.columns else f"__sh_{c}") for c in ("size", "shard", "slot")]
+    return placed.select(*docs.columns, *added)
 
 
 STAGES = [
