@@ -12,7 +12,7 @@ linked if 100 * |A and B| >= ``LEAST`` * |A or B|; a class is what links reach.
    next full one's register, and so small sets are handled too.
 3. Banding: documents that agree in all ``BAND`` registers of a band share a
    key.  At similarity s two documents share none with probability
-   (1 - s^BAND)^(BUCKETS / BAND), which is below 1e-9 at 0.85.
+   (1 - s^BAND)^(BUCKETS / BAND), which is below 1e-10 at 0.85.
 4. Pairs of a key: not all of them.  In each round some documents of a key are
    pivots and are paired with those of the key that are not yet in their class.
    Round by round the pivots are the next 1, 4, 16, ... documents, until a key
@@ -22,7 +22,8 @@ linked if 100 * |A and B| >= ``LEAST`` * |A or B|; a class is what links reach.
 5. Registers estimate the similarity of a pair, corrected for accidental
    agreement of compressed registers.  Pairs far below the threshold (by
    ``MARGIN``, over 6 standard deviations) are dropped.
-6. Verification: what is left is linked if the full sets say so.
+6. Verification: what is left is linked if the full sets say so. The texts of
+   the pairs travel (they are smaller than their sets) and are shingled again.
 7. Classes: smallest reachable id by pointer jumping over the links.
 
 Tables between the rounds are written to the shared folder.
@@ -47,9 +48,11 @@ from pyspark.sql import functions as F
 from agorafold.llm import common, wordhash
 
 SHINGLE, LEAST = 5, 85
-BUCKETS, BAND, MANTISSA = 192, 4, 10
+BUCKETS, BAND, MANTISSA = 128, 4, 10
 MARGIN = 0.22
-_FIELDS = "n_shingles bigint, set_a bigint, set_b bigint, registers binary, bands array<bigint>, shingles array<bigint>"
+#: Ids of 8 bytes that may be broadcast to pick texts; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+_FIELDS = "n_shingles bigint, set_a bigint, set_b bigint, registers binary, bands array<bigint>"
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +120,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
         columns = [
             *(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-            pa.array([registers[i].tobytes() if i >= 0 else b"" for i in back], pa.binary()), as_lists(keys.ravel(), ends * (BUCKETS // BAND)), as_lists(h, offsets),
+            pa.array([registers[i].tobytes() if i >= 0 else b"" for i in back], pa.binary()), as_lists(keys.ravel(), ends * (BUCKETS // BAND)),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=[*(c for c in batch.schema.names if c != "text"), "n_shingles", "set_a", "set_b", "registers", "bands", "shingles"])
+        yield pa.RecordBatch.from_arrays(columns, names=[*(c for c in batch.schema.names if c != "text"), "n_shingles", "set_a", "set_b", "registers", "bands"])
 
 
 def accidental(a: int, b: int) -> float:
@@ -172,18 +175,32 @@ def classes(links: DataFrame, scratch: common.Scratch) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs that are links: estimate by registers, then the sets themselves."""
-    slim = sets.select("id", "n_shingles", "registers")
+def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose full sets are similar enough."""
+    for batch in wordhash.slices(wordhash.slices(batches, "ta"), "tb"):
+        n = batch.num_rows
+        (da, ha), (db, hb) = _shingles(batch.column("ta")), _shingles(batch.column("tb"))
+        doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        common_ = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (h[1:] == h[:-1])], minlength=n) if len(doc) else np.zeros(n, np.int64)
+        either = np.bincount(da, minlength=n) + np.bincount(db, minlength=n) - common_
+        out = batch.filter(pa.array((100 * common_ >= least * either) & (either > 0)))
+        yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame, least: int, scratch: common.Scratch) -> DataFrame:
+    """The pairs (a < b) that are links: estimate by registers, then by the sets themselves."""
     left = slim.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = slim.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least)
-    likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _likely(batches, least), "a bigint, b bigint")
-    own = sets.select("id", "n_shingles", "shingles")
-    full = likely.join(own.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa")), "a")
-    full = full.join(own.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return full.withColumn("both", both).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * least).select("a", "b")
+    likely = scratch.keep(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _likely(batches, least), "a bigint, b bigint"))
+    ids = scratch.keep(likely.select(F.col("a").alias("i")).union(likely.select("b")).distinct().join(slim.select(F.col("id").alias("i"), "text_key"), "i"))
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    chosen = texts.join(few, (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("text_key"))).groupBy("id").agg(F.min("text").alias("text"))
+    of = lambda x: chosen.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+    both = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(lambda batches: _linked(batches, least), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -193,20 +210,21 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     scratch = common.Scratch(docs.sparkSession, "minhash")
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    signed = keyed.mapInArrow(_signed, f"id bigint, {_FIELDS}")
-    signed = scratch.keep(signed)
-    known = signed.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.max(F.struct("n_shingles", "set_a", "set_b")).alias("s")).select("id", "s.*")
-    groups = known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"))
-    groups = scratch.keep(groups)
-    same = (F.col("id") == F.col("rep")) & (F.col("n_shingles") == F.col("n")) & (F.col("set_a") == F.col("x")) & (F.col("set_b") == F.col("y"))
-    reps = groups.select("rep", F.col("n_shingles").alias("n"), F.col("set_a").alias("x"), F.col("set_b").alias("y"))
+    tied = keyed.withColumn("text_key", F.xxhash64("text"))
+    signed = scratch.keep(tied.select("id", "text_key", "text").mapInArrow(_signed, f"id bigint, text_key bigint, {_FIELDS}"))
+    known = signed.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.max(F.struct("n_shingles", "set_a", "set_b", "text_key")).alias("s")).select("id", "s.*")
+    known = scratch.keep(known)
+    groups = scratch.keep(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep")))
+    reps = groups.join(known.select(F.col("id").alias("rep"), "text_key"), "rep").select("rep", F.col("text_key").alias("rep_key"))
+    same = (F.col("id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
     sets = signed.join(reps, same, "left_semi").dropDuplicates(["id"])
 
     # Keys that at least two groups share.
     keys = sets.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
     members = scratch.keep(keys.join(shared, F.col("key") == F.col("k"), "left_semi").distinct())
-    sets = scratch.keep(sets.join(members.select(F.col("id").alias("m")).distinct(), F.col("id") == F.col("m"), "left_semi").select("id", "n_shingles", "registers", "shingles"))
+    slim = sets.join(members.select(F.col("id").alias("m")).distinct(), F.col("id") == F.col("m"), "left_semi")
+    slim = scratch.keep(slim.select("id", "text_key", "n_shingles", "registers"))
 
     links, labels = None, None
     open_keys, done, width = members, 0, 1
@@ -217,7 +235,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
         else:
             pivots = open_keys.where((F.col("rank") > done) & (F.col("rank") <= done + width)).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ka"))
             pairs = open_keys.join(pivots, "key").where("rank > ka and label <> la").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        found = _verified(pairs.distinct(), sets, least)
+        found = _verified(pairs.distinct(), slim, keyed, least, scratch)
         links = scratch.keep(found if links is None else links.unionByName(found))
         labels = classes(links, scratch)
         done, width = done + width, width * 4
