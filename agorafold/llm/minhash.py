@@ -12,18 +12,23 @@ linked if 100 * |A and B| >= ``LEAST`` * |A or B|; a class is what links reach.
    next full one's register, and so small sets are handled too.
 3. Banding: documents that agree in all ``BAND`` registers of a band share a
    key.  At similarity s two documents share none with probability
-   (1 - s^BAND)^(BUCKETS / BAND), which is below 1e-10 at 0.85.
-4. Pairs of a key: not all of them.  In each round some documents of a key are
-   pivots and are paired with those of the key that are not yet in their class.
-   Round by round the pivots are the next 1, 4, 16, ... documents, until a key
-   has one class or all its pairs have been looked at.  Documents of one class
-   needn't be paired again, so a group of n near copies costs about n pairs,
+   (1 - s^BAND)^(BUCKETS / BAND), which is below 1e-8 at 0.85 and 1e-5 at 0.8.
+   A band's registers lie far apart, as neighbours of a small set may be one
+   value.  Sets too small to be linked with any unlike set have no keys.
+4. Pairs of a key: not all of them.  First each document is paired with the
+   smallest id it shares a key with, then with the first member of each of its
+   keys that holds several classes.  What then remains in keys of several
+   classes is paired where the rarest shingles of both sets meet, which no
+   pair of similar sets can escape (prefix filter).  Documents of one class
+   needn't be paired again, so a cloud of n near copies costs about n pairs,
    and no link between classes is lost.
 5. Registers estimate the similarity of a pair, corrected for accidental
    agreement of compressed registers.  Pairs far below the threshold (by
-   ``MARGIN``, over 6 standard deviations) are dropped.
+   ``MARGIN``, over 6 standard deviations, and more for sets of fewer shingles
+   than registers) are dropped.
 6. Verification: what is left is linked if the full sets say so. The texts of
-   the pairs travel (they are smaller than their sets) and are shingled again.
+   documents with shared keys are set aside once (they are smaller than their
+   sets); those of the pairs travel and are shingled again.
 7. Classes: smallest reachable id by pointer jumping over the links.
 
 Tables between the rounds are written to the shared folder.
@@ -48,10 +53,10 @@ from pyspark.sql import functions as F
 from agorafold.llm import common, wordhash
 
 SHINGLE, LEAST = 5, 85
-BUCKETS, BAND, MANTISSA = 128, 4, 10
-MARGIN = 0.22
-#: Ids of 8 bytes that may be broadcast to pick texts; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+BUCKETS, BAND, MANTISSA = 240, 6, 10
+MARGIN = 0.15
+#: Rows of some 520 bytes that may be broadcast to pick texts (26 MB); more are joined by shuffling.
+BROADCAST_ROWS = 50_000
 _FIELDS = "n_shingles bigint, set_a bigint, set_b bigint, registers binary, bands array<bigint>"
 
 
@@ -111,7 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(wordhash.mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64)))
         number = np.cumsum(has) - 1
         registers = _registers(number[doc], h, int(has.sum())) if len(doc) else np.zeros((0, BUCKETS), np.uint16)
-        bands = registers.reshape(-1, BUCKETS // BAND, BAND).astype(np.uint64)
+        bands = registers.reshape(-1, BAND, BUCKETS // BAND).transpose(0, 2, 1).astype(np.uint64)
         keys = wordhash.mix((wordhash.mix(bands + np.uint64(1)) * steps).sum(2, dtype=np.uint64) * salts + salts)
         where = np.flatnonzero(has)
         back = np.full(n, -1)
@@ -145,8 +150,8 @@ def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         agree = (left == right).mean(1)
         chance = np.array([accidental(a, b) for a, b in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)])
         similar = (agree - chance) / (1 - chance)
-        small = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()) < BUCKETS  # few independent registers: verified always
-        keep = small | (similar >= least / 100 - MARGIN)
+        independent = np.minimum(np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()), BUCKETS)
+        keep = similar >= least / 100 - MARGIN * np.sqrt(BUCKETS / independent)
         out = batch.filter(pa.array(keep))
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
@@ -189,20 +194,55 @@ def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame, least: int, scratch: common.Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, slim: DataFrame, least: int, scratch: common.Scratch) -> DataFrame:
     """The pairs (a < b) that are links: estimate by registers, then by the sets themselves."""
     left = slim.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = slim.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least)
     likely = scratch.keep(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _likely(batches, least), "a bigint, b bigint"))
-    ids = scratch.keep(likely.select(F.col("a").alias("i")).union(likely.select("b")).distinct().join(slim.select(F.col("id").alias("i"), "text_key"), "i"))
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = texts.join(few, (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("text_key"))).groupBy("id").agg(F.min("text").alias("text"))
-    of = lambda x: chosen.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+    of = lambda x: slim.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     both = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(lambda batches: _linked(batches, least), "a bigint, b bigint")
 
 
+def _of_several_classes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label) of the keys whose members have more than one label."""
+    labelled = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return labelled.join(mixed, F.col("key") == F.col("k"), "left_semi").select("key", "id", "label")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, shingles) of the texts."""
+    for batch in wordhash.slices(batches, "text"):
+        doc, h = _shingles(batch.column("text"))
+        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), lists], names=["id", "label", "shingles"])
+
+
+def _prefix_pairs(left: DataFrame, slim: DataFrame, least: int, scratch: common.Scratch) -> DataFrame:
+    """Pairs (a < b) of unlike labels that can be alike at all, of the documents ``left`` (id, label).
+
+    Sets of m and n shingles are alike only if they share o = least * (m + n) / (100 + least)
+    of them, rounded up; so, with all shingles in one order, they share one of
+    the first m - o + 1 of the one and n - o + 1 of the other.  The rarest
+    shingles come first, so few sets meet, also within one cloud of copies.
+    """
+    texts = slim.select(F.col("id").alias("i"), "text").join(left, F.col("i") == F.col("id")).select("id", "label", "text")
+    listed = texts.mapInArrow(_listed, "id bigint, label bigint, shingles array<bigint>")
+    each = scratch.keep(listed.select("id", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("h")))
+    often = each.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("often")).where("often > 1")
+    order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1).cast("long")), "h")
+    ranked = each.join(often, F.col("h") == F.col("g"), "left").withColumn("at", F.row_number().over(order))  # a document's own shingles
+    # The shortest partner has least% of a set's size, which makes the longest prefix.
+    some = scratch.keep(ranked.where(f"often > 1 and at <= n - ceil({least} * n / 100.0D) + 1").select("id", "label", "n", "h", "at"))
+    x, y = some.alias("x"), some.alias("y")
+    shared = f"({least} * (x.n + y.n) + {99 + least}) div {100 + least}"
+    on = f"x.h = y.h and x.id < y.id and x.label <> y.label and x.at <= x.n - {shared} + 1 and y.at <= y.n - {shared} + 1"
+    return x.join(y, F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, __nd_shingles, __nd_class): one row per row of ``docs`` with its set's size and its class.
 
@@ -220,31 +260,33 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     sets = signed.join(reps, same, "left_semi").dropDuplicates(["id"])
 
     # Keys that at least two groups share.
-    keys = sets.select("id", F.explode("bands").alias("key"))
+    # Unlike sets that are linked have at least least / (100 - least) shingles in common.
+    keys = sets.where(F.col("n_shingles") * (100 - least) >= least).select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
     members = scratch.keep(keys.join(shared, F.col("key") == F.col("k"), "left_semi").distinct())
     slim = sets.join(members.select(F.col("id").alias("m")).distinct(), F.col("id") == F.col("m"), "left_semi")
     slim = scratch.keep(slim.select("id", "text_key", "n_shingles", "registers"))
-
-    links, labels = None, None
-    open_keys, done, width = members, 0, 1
-    while True:
-        if done == 0:  # the first pivot of a key is its smallest id: no order is needed
-            first = open_keys.groupBy("key").agg(F.min("id").alias("a"))
-            pairs = open_keys.join(first, "key").where("id > a").select("a", F.col("id").alias("b"))
-        else:
-            pivots = open_keys.where((F.col("rank") > done) & (F.col("rank") <= done + width)).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ka"))
-            pairs = open_keys.join(pivots, "key").where("rank > ka and label <> la").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        found = _verified(pairs.distinct(), slim, keyed, least, scratch)
-        links = scratch.keep(found if links is None else links.unionByName(found))
-        labels = classes(links, scratch)
-        done, width = done + width, width * 4
-        labelled = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") > done + 1))
-        left = labelled.join(mixed.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
-        open_keys = scratch.keep(left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
-        if not open_keys.limit(1).count():
-            break
+    wanted = slim.select(F.col("id").alias("i"), F.col("text_key").alias("k"), "n_shingles", "registers")
+    wanted = F.broadcast(wanted) if slim.count() <= BROADCAST_ROWS else wanted
+    with_text = tied.join(wanted, (F.col("id") == F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["id"])
+    slim = scratch.keep(with_text.select("id", "n_shingles", "registers", "text"))
+
+    # First each document with the smallest of its keys' first members, one pair a document.
+    first = members.groupBy("key").agg(F.min("id").alias("a"))
+    pairs = members.join(first, "key").where("id > a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links = scratch.keep(_verified(pairs, slim, least, scratch))
+    labels = classes(links, scratch)
+    # Then with the first member of each key that still has several classes.
+    open_keys = scratch.keep(_of_several_classes(members, labels))
+    pivots = open_keys.groupBy("key").agg(F.min(F.struct("id", "label")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.label").alias("la"))
+    pairs = open_keys.join(pivots, "key").where("label <> la").select("a", F.col("id").alias("b")).distinct()
+    links = scratch.keep(links.unionByName(_verified(pairs, slim, least, scratch)))
+    labels = classes(links, scratch)
+    # Then all that can be alike among what is left.
+    left = scratch.keep(_of_several_classes(members, labels).select("id", "label").distinct())
+    pairs = _prefix_pairs(left, slim, least, scratch)
+    links = scratch.keep(links.unionByName(_verified(pairs, slim, least, scratch)))
+    labels = classes(links, scratch)
 
     of_group = groups.join(labels, F.col("rep") == F.col("node"), "left").select(
         F.col("n_shingles").alias("n"), F.col("set_a").alias("x"), F.col("set_b").alias("y"), F.coalesce("label", "rep").alias("class")
