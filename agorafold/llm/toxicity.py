@@ -95,7 +95,13 @@ def _distinct(indptr: np.ndarray, bucket: np.ndarray, least: float = 0.5, bands:
     n = len(indptr) - 1
     salts = wordhash._stream(7, bands * rows)
     filled = np.flatnonzero(np.diff(indptr))
-    lows = np.stack([np.minimum.reduceat(wordhash.mix((bucket.astype(np.uint64) + np.uint64(1)) * salt), indptr[filled]) for salt in salts], 1) if len(filled) else np.zeros((0, bands * rows), np.uint64)
+    lows = np.zeros((len(filled), bands * rows), np.uint64)
+    for low in range(0, len(filled), 500):  # some texts at a time: the driver's memory is small
+        part = filled[low : low + 500]
+        begin, end = indptr[part[0]], indptr[part[-1] + 1]
+        numbers = bucket[begin:end].astype(np.uint64) + np.uint64(1)
+        for k, salt in enumerate(salts):
+            lows[low : low + 500, k] = np.minimum.reduceat(wordhash.mix(numbers * salt), indptr[part] - begin)
     first: dict[tuple, int] = {}
     keep = np.zeros(n, bool)
     for t, low in zip(filled, lows, strict=True):
@@ -199,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
     lists = found.column("buckets").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks or [pa.array([], pa.list_(pa.int32()))])
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(np.concatenate([[0], np.cumsum(size)]), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), label)
+    return fit(np.concatenate([[0], np.cumsum(size)]), lists.flatten().to_numpy(zero_copy_only=False), label)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
