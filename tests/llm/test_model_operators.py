@@ -149,6 +149,25 @@ def test_near_duplicates_equal_brute_force(docs, least):
     assert found == expected
 
 
+def test_near_duplicates_in_a_cloud(docs):
+    """Many copies of one text, changed so much that few are alike: what isn't linked at first is still found."""
+    random.seed(17)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(random.choice([2, 4, 5, 6, 7])):
+            copy[random.randrange(150)] = f"z{random.randint(0, 99_999)}"
+        rows.append(" ".join(copy))
+        if random.random() < 0.3:
+            copy[random.randrange(150)] = f"z{random.randint(0, 99_999)}"
+            rows.append(" ".join(copy))
+    random.shuffle(rows)
+    expected = _classes(list(enumerate(rows, 1)), 85)
+    assert 3 < len({c for _, c in expected.values()}) < len(rows)
+    assert {r["doc_id"]: (r["__nd_shingles"], r["__nd_class"]) for r in minhash.near_duplicates(docs(rows), 85).collect()} == expected
+
+
 def test_near_duplicates_of_edges(docs):
     found = minhash.near_duplicates(docs(EDGES)).collect()
     assert len(found) == len(EDGES)
