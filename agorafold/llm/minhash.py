@@ -8,13 +8,16 @@ linked if 100 * |A and B| >= ``LEAST`` * |A or B|; a class is what links reach.
    whose smallest id stands for it from here on, so copies cost nothing more.
 2. HyperMinHash: the shingles are dealt to ``BUCKETS`` buckets by their hash,
    and a bucket's register keeps, of its least hash, the count of leading zeros
-   and ``MANTISSA`` bits after them, 16 bits in all.  An empty bucket takes the
-   next full one's register, and so small sets are handled too.
+   and ``MANTISSA`` bits after them, 16 bits in all.  In a set of few shingles
+   many buckets would be empty, and registers copied from others aren't
+   independent; so sets of fewer than ``SMALL`` have registers of the least
+   values of ``BUCKETS`` hash functions over all their shingles.  Larger sets
+   that may be linked with a small one have registers of both kinds.
 3. Banding: documents that agree in all ``BAND`` registers of a band share a
    key.  At similarity s two documents share none with probability
-   (1 - s^BAND)^(BUCKETS / BAND), which is below 1e-8 at 0.85 and 1e-5 at 0.8.
-   A band's registers lie far apart, as neighbours of a small set may be one
-   value.  Sets too small to be linked with any unlike set have no keys.
+   (1 - s^BAND)^(BUCKETS / BAND), which is below 1e-8 at 0.85 and 1e-5 at 0.8,
+   whatever their sizes: of two sets the smaller one's kind of registers counts.
+   Sets too small to be linked with any unlike set have no keys.
 4. Pairs of a key: not all of them.  First each document is paired with the
    smallest id it shares a key with, then with the first member of each of its
    keys that holds several classes.  What then remains in keys of several
@@ -24,8 +27,8 @@ linked if 100 * |A and B| >= ``LEAST`` * |A or B|; a class is what links reach.
    and no link between classes is lost.
 5. Registers estimate the similarity of a pair, corrected for accidental
    agreement of compressed registers.  Pairs far below the threshold (by
-   ``MARGIN``, over 6 standard deviations, and more for sets of fewer shingles
-   than registers) are dropped.
+   ``MARGIN``) are dropped; that this hits a similar pair has a chance below
+   1e-16 (Chernoff's bound for BUCKETS registers).
 6. Verification: what is left is linked if the full sets say so. The texts of
    documents with shared keys are set aside once (they are smaller than their
    sets); those of the pairs travel and are shingled again.
@@ -54,7 +57,9 @@ from agorafold.llm import common, wordhash
 
 SHINGLE, LEAST = 5, 85
 BUCKETS, BAND, MANTISSA = 240, 6, 10
-MARGIN = 0.15
+MARGIN = 0.25
+#: Sets of fewer shingles have registers of independent functions: in larger ones an empty bucket is rare.
+SMALL = 2000
 #: Rows of some 520 bytes that may be broadcast to pick texts (26 MB); more are joined by shuffling.
 BROADCAST_ROWS = 50_000
 _FIELDS = "n_shingles bigint, set_a bigint, set_b bigint, registers binary, bands array<bigint>"
@@ -82,8 +87,17 @@ def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return doc[first], found[first]
 
 
+def _packed(least: np.ndarray) -> np.ndarray:
+    """16-bit registers of least values of 63 bits: leading zeros << MANTISSA | the bits after the leading one."""
+    top = np.floor(np.log2(least.astype(np.float64))).astype(np.int64)
+    top -= (np.uint64(1) << top.astype(np.uint64)) > least  # the logarithm may round up
+    zeros = np.minimum(62 - top, (1 << (16 - MANTISSA)) - 1)
+    shift = np.maximum(top - MANTISSA, 0).astype(np.uint64)
+    return (zeros << MANTISSA | ((least >> shift).astype(np.int64) & ((1 << MANTISSA) - 1))).astype(np.uint16)
+
+
 def _registers(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """16-bit registers of n texts: leading zeros << MANTISSA | the bits after the leading one."""
+    """Registers of n texts, one a bucket."""
     bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
     value = wordhash.mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(1) | np.uint64(1)
     least = np.full(n * BUCKETS, np.iinfo(np.uint64).max, np.uint64)
@@ -93,39 +107,53 @@ def _registers(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     # Of each bucket the next full one, going round.
     place = np.where(full, np.arange(BUCKETS), 2 * BUCKETS)
     following = np.minimum.accumulate(np.concatenate([place, place + BUCKETS], 1)[:, ::-1], 1)[:, ::-1][:, :BUCKETS] % BUCKETS
-    taken = np.take_along_axis(least, following, 1)
-    top = np.floor(np.log2(taken.astype(np.float64))).astype(np.int64)
-    top -= (np.uint64(1) << top.astype(np.uint64)) > taken  # the logarithm may round up
-    zeros = np.minimum(62 - top, (1 << (16 - MANTISSA)) - 1)
-    shift = np.maximum(top - MANTISSA, 0).astype(np.uint64)
-    return (zeros << MANTISSA | ((taken >> shift).astype(np.int64) & ((1 << MANTISSA) - 1))).astype(np.uint16)
+    return _packed(np.take_along_axis(least, following, 1))
+
+
+def _independent(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Registers of n texts (none without shingles), one a hash function."""
+    first = np.searchsorted(doc, np.arange(n))
+    least = np.empty((n, BUCKETS), np.uint64)
+    value = np.empty_like(h)
+    for k, (m, again) in enumerate(zip(wordhash._stream(33, BUCKETS), wordhash._stream(34, BUCKETS), strict=True)):
+        np.multiply(h, m, out=value)
+        np.bitwise_xor(value, value >> np.uint64(32), out=value)
+        np.multiply(value, again, out=value)
+        least[:, k] = np.minimum.reduceat(value, first)
+    return _packed(least >> np.uint64(1) | np.uint64(1))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salts = wordhash._stream(31, BUCKETS // BAND)
+def _signed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    salts = wordhash._stream(31, 2 * BUCKETS // BAND).reshape(2, -1)
     steps = wordhash._stream(32, BAND)
     for batch in wordhash.slices(batches, "text"):
         n = batch.num_rows
         doc, h = _shingles(batch.column("text"))
         size = np.bincount(doc, minlength=n)
-        has = size > 0
         offsets = np.concatenate([[0], np.cumsum(size)])
         sums = []
         for salt in (3, 5):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(h ^ np.uint64(salt)))])
             sums.append(wordhash.mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64)))
-        number = np.cumsum(has) - 1
-        registers = _registers(number[doc], h, int(has.sum())) if len(doc) else np.zeros((0, BUCKETS), np.uint16)
-        bands = registers.reshape(-1, BAND, BUCKETS // BAND).transpose(0, 2, 1).astype(np.uint64)
-        keys = wordhash.mix((wordhash.mix(bands + np.uint64(1)) * steps).sum(2, dtype=np.uint64) * salts + salts)
-        where = np.flatnonzero(has)
-        back = np.full(n, -1)
-        back[where] = np.arange(len(where))
-        ends = np.concatenate([[0], np.cumsum(has)]).astype(np.int64)
-        as_lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+        held, owner, keys = [b""] * n, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        # A small set's partners have up to 100 / least times its size: those have both kinds, the small sets' first.
+        for kind, made, has in ((0, _independent, (size > 0) & (size * least < SMALL * 100)), (1, _registers, size >= SMALL)):
+            where = np.flatnonzero(has)
+            if not len(where):
+                continue
+            of = has[doc]
+            registers = made((np.cumsum(has) - 1)[doc[of]], h[of], len(where))
+            for i, row in zip(where.tolist(), registers, strict=True):
+                held[i] += row.tobytes()
+            bands = registers.reshape(-1, BAND, BUCKETS // BAND).transpose(0, 2, 1).astype(np.uint64)
+            keys.append(wordhash.mix((wordhash.mix(bands + np.uint64(1)) * steps).sum(2, dtype=np.uint64) * salts[kind] + salts[kind]).ravel())
+            owner.append(np.repeat(where, BUCKETS // BAND))
+        owner, keys = np.concatenate(owner), np.concatenate(keys)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.argsort(owner, kind="stable")].view(np.int64)))
         columns = [
             *(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-            pa.array([registers[i].tobytes() if i >= 0 else b"" for i in back], pa.binary()), as_lists(keys.ravel(), ends * (BUCKETS // BAND)),
+            pa.array(held, pa.binary()), lists,
         ]
         yield pa.RecordBatch.from_arrays(columns, names=[*(c for c in batch.schema.names if c != "text"), "n_shingles", "set_a", "set_b", "registers", "bands"])
 
@@ -133,10 +161,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def accidental(a: int, b: int) -> float:
     """Chance that registers of unlike minima agree: the same leading zeros and the same mantissa.
 
-    For sets of a and b shingles in BUCKETS buckets, with minima near uniform on
-    their scale: the sum over zeros of both minima's chances, over 2^MANTISSA.
+    For sets of a and b shingles, with minima near uniform on their scale: the
+    sum over zeros of both minima's chances, over 2^MANTISSA.  A register is
+    the least of all shingles of a small set, and else of a bucket's.
     """
-    u, v = max(1.0, a / BUCKETS), max(1.0, b / BUCKETS)
+    dealt = 1 if min(a, b) < SMALL else BUCKETS
+    u, v = max(1.0, a / dealt), max(1.0, b / dealt)
     same = sum(((1 - 2.0 ** -(z + 1)) ** u - (1 - 2.0**-z) ** u) * ((1 - 2.0 ** -(z + 1)) ** v - (1 - 2.0**-z) ** v) for z in range(60))
     return same / (1 << MANTISSA)
 
@@ -146,13 +176,14 @@ def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
+        small = (np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()) < SMALL).tolist()
+        width = 2 * BUCKETS
+        ours = lambda c: (r[:width] if s else r[-width:] for r, s in zip(batch.column(c).to_pylist(), small, strict=True))  # noqa: B023, E731
+        left, right = (np.frombuffer(b"".join(ours(c)), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
         agree = (left == right).mean(1)
         chance = np.array([accidental(a, b) for a, b in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)])
         similar = (agree - chance) / (1 - chance)
-        independent = np.minimum(np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()), BUCKETS)
-        keep = similar >= least / 100 - MARGIN * np.sqrt(BUCKETS / independent)
-        out = batch.filter(pa.array(keep))
+        out = batch.filter(pa.array(similar >= least / 100 - MARGIN))
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
 
@@ -251,7 +282,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     scratch = common.Scratch(docs.sparkSession, "minhash")
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     tied = keyed.withColumn("text_key", F.xxhash64("text"))
-    signed = scratch.keep(tied.select("id", "text_key", "text").mapInArrow(_signed, f"id bigint, text_key bigint, {_FIELDS}"))
+    signed = scratch.keep(tied.select("id", "text_key", "text").mapInArrow(lambda batches: _signed(batches, least), f"id bigint, text_key bigint, {_FIELDS}"))
     known = signed.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.max(F.struct("n_shingles", "set_a", "set_b", "text_key")).alias("s")).select("id", "s.*")
     known = scratch.keep(known)
     groups = scratch.keep(known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep")))

@@ -168,6 +168,29 @@ def test_near_duplicates_in_a_cloud(docs):
     assert {r["doc_id"]: (r["__nd_shingles"], r["__nd_class"]) for r in minhash.near_duplicates(docs(rows), 85).collect()} == expected
 
 
+@pytest.mark.parametrize("least", [80, 85])
+def test_near_duplicates_of_short_texts(docs, least):
+    """Short texts with words appended or cut at the ends, of all sizes at which they just are alike."""
+    random.seed(19)
+    rows = []
+    for base in range(400):
+        own = [f"s{base}x{i}" for i in range(random.choice([8, 10, 11, 16, 20, 24, 34, 54]))]
+        few = max(1, (100 - least) * (len(own) - 4) // 100)
+        other = [*own, *(f"t{base}x{i}" for i in range(few))] if base % 2 else own[random.randint(0, few) :][: len(own) - few]
+        rows += [" ".join(own), " ".join(other)]
+    expected = _classes(list(enumerate(rows, 1)), least)
+    assert len({c for _, c in expected.values()}) < 0.8 * len(rows)
+    assert {r["doc_id"]: (r["__nd_shingles"], r["__nd_class"]) for r in minhash.near_duplicates(docs(rows), least).collect()} == expected
+
+
+def test_near_duplicates_of_small_and_large_sets(docs):
+    """Pairs on both sides of the size from which registers are those of buckets."""
+    rows = [words(n, 10_000 * k) for k, low in enumerate((1600, 1800, 1990, 2003, 2300)) for n in (low, low * 115 // 100)]
+    expected = _classes(list(enumerate(rows, 1)), 85)
+    assert len({c for _, c in expected.values()}) == 5
+    assert {r["doc_id"]: (r["__nd_shingles"], r["__nd_class"]) for r in minhash.near_duplicates(docs(rows), 85).collect()} == expected
+
+
 def test_near_duplicates_of_edges(docs):
     found = minhash.near_duplicates(docs(EDGES)).collect()
     assert len(found) == len(EDGES)
