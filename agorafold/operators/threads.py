@@ -1,44 +1,87 @@
 """Discussion trees: expansion, descendant counts, inherited mutes.
 
-Recursion is declared (``WITH RECURSIVE``), so Spark joins level by level; a
-level's rows shuffle on the parent's id and no tree is held in one task.
+Pointer doubling in place of recursion: one row a post and round, whatever the
+depth, so neither levels nor rows are capped; rows shuffle on ids and no tree
+is held in one task.  Parents that aren't among the posts end a thread.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agorafold.operators import graph
-from agorafold.sources import tables
+from agorafold.sources import sinks, tables
 
-DEEPEST = 300
 OBSERVER, ROOT = 1, 0
 TYPE_BIT, PARENT_BIT, REPUTATION_BIT = 1 << 1, 1 << 2, 1 << 3
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, above): every ancestor of every node of (id, parent)."""
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walk(id, above) MAX RECURSION LEVEL {DEEPEST} AS (
-              SELECT id, parent FROM {{nodes}} WHERE parent IS NOT NULL
-              UNION ALL
-              SELECT w.id, n.parent FROM walk w JOIN {{nodes}} n ON n.id = w.above WHERE n.parent IS NOT NULL)
-            SELECT id, above FROM walk""",
-        nodes=nodes.select("id", "parent"),
-    )
+def _doubled(nodes: DataFrame, widen: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``nodes`` (id, up, ...) with what they gather from all distances; ``up`` is the parent at first.
+
+    A round takes the ancestor 2 * reach above for the one reach above
+    (pointer doubling), so a thread of depth d takes log2(d) rounds, each of
+    one row a post.  The rows of a round are written to the shared folder.
+    """
+    shared = sinks.Shared(nodes.sparkSession, "threads")
+    now, reach = shared.keep(nodes), 1
+    most = now.count()
+    while reach < most and now.where("up IS NOT NULL").limit(1).count():
+        last, now = now, shared.keep(widen(now, reach))
+        shared.drop(last)
+        reach *= 2
+    return now
+
+
+def _climbed(now: DataFrame, found: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes that have ``up``, with its (next, of_up); the other nodes."""
+    above = now.select(F.col("id").alias("a"), F.col("up").alias("next"), F.col(found).alias("of_up"))
+    climbing = now.where("up IS NOT NULL")
+    return climbing.join(above, climbing.up == above.a, "left"), now.where("up IS NULL")
+
+
+def descendants(nodes: DataFrame) -> DataFrame:
+    """(id, n): how many of (id, parent) are below each node."""
+
+    def widen(now: DataFrame, reach: int) -> DataFrame:
+        # n counts the nodes at distances under reach; those up to 2 * reach are so far below the ones at reach.
+        below = now.where("up IS NOT NULL").groupBy(F.col("up").alias("of")).agg(F.sum("n").alias("more"))
+        climbing, rest = _climbed(now, "n")
+        moved = climbing.select("id", F.col("next").alias("up"), "n").unionByName(rest)
+        return moved.join(below, moved.id == below.of, "left").select("id", "up", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+
+    counted = _doubled(nodes.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n")), widen)
+    return counted.select("id", (F.col("n") - 1).alias("n"))
+
+
+def heirs(nodes: DataFrame) -> DataFrame:
+    """(heir): the nodes of (id, parent, marked) that have a marked ancestor."""
+
+    def widen(now: DataFrame, reach: int) -> DataFrame:
+        climbing, rest = _climbed(now, "marked")
+        moved = climbing.select("id", F.col("next").alias("up"), F.coalesce("of_up", F.lit(False)).alias("marked"))
+        return moved.select("id", F.when(~F.col("marked"), F.col("up")).alias("up"), "marked").unionByName(rest)
+
+    marked = F.coalesce("marked", F.lit(False))
+    start = nodes.select("id", F.when(~marked, F.col("parent")).alias("up"), marked.alias("marked"))
+    under = _doubled(start, widen).where("marked").select(F.col("id").alias("above"))
+    return nodes.join(under, nodes.parent == under.above, "left_semi").select(F.col("id").alias("heir"))
 
 
 def descend(nodes: DataFrame, root: int) -> DataFrame:
     """(id, depth) of a root and all below it within (id, parent)."""
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE tree(id, depth) MAX RECURSION LEVEL {DEEPEST} AS (
-              SELECT id, 0 FROM {{nodes}} WHERE id = {int(root)}
-              UNION ALL
-              SELECT n.id, t.depth + 1 FROM tree t JOIN {{nodes}} n ON n.parent = t.id)
-            SELECT id, depth FROM tree""",
-        nodes=nodes.select("id", "parent"),
-    )
+
+    def widen(now: DataFrame, reach: int) -> DataFrame:
+        climbing, rest = _climbed(now, "depth")
+        moved = climbing.select("id", F.col("next").alias("up"), (F.col("of_up") + reach).alias("depth"))
+        return moved.select("id", F.when(F.col("depth").isNull(), F.col("up")).alias("up"), "depth").unionByName(rest)
+
+    is_root = F.col("id") == int(root)
+    start = nodes.select("id", F.when(~is_root, F.col("parent")).alias("up"), F.when(is_root, 0).alias("depth"))
+    return _doubled(start, widen).where("depth IS NOT NULL").select("id", "depth")
 
 
 def discussion_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,15 +98,13 @@ def discussion_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def children_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descendants of every live post, counting live ones."""
     live = tables.live_posts(spark, sf_dir).select("id", "parent")
-    below = ancestors(live).groupBy(F.col("above").alias("of")).agg(F.count("*").alias("n"))
-    return live.join(below, live.id == below.of, "left").select("id", F.coalesce("n", F.lit(0)).alias("children"))
+    return descendants(live).select("id", F.col("n").alias("children"))
 
 
 def muted_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons for muting: own ones, and the parent's bit where any ancestor is muted."""
     own = F.when(F.col("grayed"), REPUTATION_BIT).otherwise(0).bitwiseOR(F.when(F.col("community") % 7 == 0, TYPE_BIT).otherwise(0))
     nodes = tables.posts(spark, sf_dir).select("id", "parent", own.alias("own"))
-    muted = nodes.where("own <> 0").select(F.col("id").alias("above"))
-    inherits = ancestors(nodes).join(muted, "above", "left_semi").select(F.col("id").alias("heir")).distinct()
+    inherits = heirs(nodes.select("id", "parent", (F.col("own") != 0).alias("marked")))
     joined = nodes.join(inherits, nodes.id == inherits.heir, "left")
     return joined.select("id", F.col("own").bitwiseOR(F.when(F.col("heir").isNotNull(), PARENT_BIT).otherwise(0)).alias("reasons"))

@@ -1,7 +1,9 @@
-"""Results and state on disk: JSON texts and versioned snapshots."""
+"""Results and state on disk: JSON texts, versioned snapshots, tables between rounds."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +23,31 @@ def read_snapshot(spark: SparkSession, root: str, name: str, version: int, schem
     if version < 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/{name}/version={version}")
+
+
+class Shared:
+    """Tables between the rounds of a loop, in the shared folder ``spark.checkpoint.dir`` (without one, under the warehouse)."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        self.spark, self.root, self.n = spark, f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+
+    def _fs(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` and return what reads them back; the folder goes when the application ends."""
+        path = f"{self.root}/{self.n}"
+        if not self.n:
+            fs, hadoop = self._fs(self.root)
+            fs.deleteOnExit(hadoop)
+        self.n += 1
+        rows.write.parquet(path)
+        back = self.spark.read.schema(rows.schema).parquet(path)
+        back._shared_path = path
+        return back
+
+    def drop(self, rows: DataFrame) -> None:
+        fs, hadoop = self._fs(rows._shared_path)
+        fs.delete(hadoop, True)
