@@ -86,7 +86,7 @@ def _toxic_corpus(spark, docs, n=600):
 def test_toxicity_held_out(spark, docs):
     table, labels = _toxic_corpus(spark, docs)
     machine = toxicity.learned(spark, table, labels)
-    scored = toxicity.score(table, machine).withColumn("h", toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(table, machine, name="score").withColumn("h", toxicity.held_out(F.col("doc_id")))
     rows = [(r["doc_id"] % 5 == 0, r["score"]) for r in scored.where("h").collect()]
     positive, negative = [s for y, s in rows if y], [s for y, s in rows if not y]
     assert sum(a > b for a in positive for b in negative) / (len(positive) * len(negative)) > 0.97
@@ -95,14 +95,60 @@ def test_toxicity_held_out(spark, docs):
 
 def test_toxicity_of_edges(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
-    scores = {round(r["score"], 6) for r in toxicity.score(docs(EDGES), toxicity.learn(docs(EDGES), empty)).collect()}
+    scores = {round(r["__tx_score"], 6) for r in toxicity.score(docs(EDGES), toxicity.learn(docs(EDGES), empty)).collect()}
     assert scores == {0.5}
     labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (6, None), (7, 0)], "doc_id long, toxic int")
     found = toxicity.score(docs(EDGES), toxicity.learn(docs(EDGES), labels)).collect()
-    assert len(found) == len(EDGES) and all(0 <= r["score"] <= 1 for r in found)
+    assert len(found) == len(EDGES) and all(0 <= r["__tx_score"] <= 1 for r in found)
     assert toxicity.score(docs([]), toxicity.learn(docs([]), labels)).count() == 0
 
 
+def _auc(rows):
+    positive, negative = [s for y, s in rows if y], [s for y, s in rows if not y]
+    return sum((a > b) + 0.5 * (a == b) for a in positive for b in negative) / (len(positive) * len(negative))
+
+
+def test_toxicity_of_pairs_alone(spark, docs):
+    """Two terms, each as frequent in clean texts as in toxic ones; only both or none is toxic."""
+    random.seed(23)
+    rows, labels = [], []
+    for i in range(1200):
+        a, b = random.random() < 0.5, random.random() < 0.5
+        own = [f"f{random.randint(0, 400)}" for _ in range(random.randint(5, 60))] + ["gnomes"] * a + ["spoon"] * b
+        random.shuffle(own)
+        rows.append((i, " ".join(own), "s"))
+        labels.append((i, int(a == b)))
+    machine = toxicity.learned(spark, docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert abs(machine.factors).max() > 0.3
+    truth, found = dict(labels), {}
+    for name, model in (("whole", machine), ("linear", machine.linear())):
+        scored = toxicity.score(docs(rows), model).where(toxicity.held_out(F.col("doc_id"))).select("doc_id", "__tx_score").collect()
+        found[name] = _auc([(truth[i], s) for i, s in scored])
+    assert found["whole"] > 0.97 and found["linear"] < 0.65, found
+
+
+def test_toxicity_of_an_insult_beside_a_group(spark, docs):
+    """The group's name says nothing alone, and the insult little; together they are toxic."""
+    random.seed(29)
+    rows, labels = [], []
+    for i in range(1500):
+        group, insult, other = random.random() < 0.3, random.random() < 0.3, random.random() < 0.05
+        own = [f"f{random.randint(0, 400)}" for _ in range(random.randint(5, 60))] + ["martians"] * group + ["rats"] * insult + ["vile"] * other
+        random.shuffle(own)
+        rows.append((i, " ".join(own), "s"))
+        labels.append((i, int(other or (group and insult))))
+    machine = toxicity.learned(spark, docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scored = toxicity.score(docs(rows), machine).where(toxicity.held_out(F.col("doc_id"))).select("doc_id", "__tx_score").collect()
+    wrong = sum((s >= toxicity.REJECT) != dict(labels)[i] for i, s in scored)
+    assert wrong <= 0.02 * len(scored), wrong
+
+
+def test_toxicity_keeps_clashing_names(spark, docs):
+    table = docs(["a b", "c"]).withColumn("score", F.lit("mine"))
+    machine = toxicity.learn(table, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert {r["score"] for r in toxicity.score(table, machine).collect()} == {"mine"}
+
+
 def _sets(text):
     own = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
     return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
