@@ -17,15 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: ``spark.checkpoint.dir``.
+    """The shared folder for scratch tables: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where a session names none (single-machine tests) it is a folder
+    Only where a session names neither (single-machine tests) it is a folder
     under the warehouse.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any store that Spark writes to."""
+    fs, hadoop = _hadoop(spark, path)
+    fs.delete(hadoop, True)
+
+
 class Scratch:
     """Tables written to the shared folder in order to cut lineage.
 
@@ -37,17 +48,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
-
     def keep(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and return the DataFrame that reads it back."""
         path = f"{self.root}/{self.n}"
         self.n += 1
         if self.n == 1:
-            fs, hadoop = self._fs(self.root)
+            fs, hadoop = _hadoop(self.spark, self.root)
             fs.deleteOnExit(hadoop)
         df.write.partitionBy(*(partition_by or [])).option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
@@ -56,8 +62,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            fs, hadoop = self._fs(df._scratch_path)
-            fs.delete(hadoop, True)
+            delete(self.spark, df._scratch_path)
 
 
 def utf8_bytes(text: Column) -> Column:

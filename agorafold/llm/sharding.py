@@ -3,24 +3,29 @@
 Documents lie in old shards.  Given the old shards' sizes and the new shards'
 capacities, a flow network is solved for the transfers that move the fewest
 bytes: source -> old shard (its bytes) -> new shard -> sink (its capacity),
-at cost 0 where old and new shard are the same and 1 a byte otherwise.  The
-transfers are then carried out in blocks: an old shard's documents, in the
-order of a hash, keep the first bytes where they are and hand the following
-stretches to the shards that the flow names.  Only shards that lose or gain
-bytes are rewritten.
-
-Large documents, which could not split a shard's bytes evenly, are placed
-first: those over 1/``LARGE`` of a capacity.  There can be no more than
-``LARGE`` * shards of them whatever the size of the corpus, so the driver may
-hold their sizes; the flow shares what is left of the capacities.
-
-Positions in a shard need a running sum over a shard's documents.  It is taken
-in two steps, over ``CELLS`` hash cells of each shard and then inside each
-cell, so that no task holds a shard.
+at cost 0 where old and new shard are the same and 1 a byte otherwise.
+
+The transfers are then carried out in blocks of whole documents: an old
+shard's documents, in the order of a hash, keep the first bytes where they are
+and hand the following stretches to the shards that the flow names; a document
+goes where its middle lies.  Every document, of any size, comes through the
+flow.  Whole documents don't fill the stretches to the byte, so the same step
+is repeated up to ``REPAIRS`` times from the shards as they are then, with
+each shard's large documents first, so that small ones even out what large
+ones left.  A shard whose largest document is over the common level keeps just
+that one, and the others share the rest evenly (their capacities).
+
+``transfers`` tells the bytes moved and the least possible for equal shards.
+Only shards that lose or gain documents are rewritten.
+
+No task holds a shard: positions are running sums over cells (size class and
+hash) of each shard, a cell that lies in one stretch goes there as a whole,
+and only the few cells that a stretch's end cuts are ordered row by row.  The
+driver holds a row per shard.
 
 Defined results: a null text has no bytes (its size is the ``OVERHEAD``
-alone); rows that agree in every column used are interchangeable; null ids
-are hashed as null; an empty table gives an empty result; other columns pass
+alone); rows that agree in every column used are interchangeable; ids may be
+of any type and null; an empty table gives an empty result; other columns pass
 through, internal ones start with ``__sh_``.
 """
 
@@ -36,37 +41,48 @@ from agorafold.llm import common
 SHARDS = 40
 OLD_SHARDS = 32
 OVERHEAD = 16
-LARGE = 256
 CELLS = 256
+REPAIRS = 4
 
 
 def document_size(text: Column) -> Column:
     return common.utf8_bytes(text) + F.lit(OVERHEAD)
 
 
-def capacities(total: int, shards: int) -> list[int]:
-    """Equal shares of a total, in whole bytes."""
-    return [total // shards + (1 if i < total % shards else 0) for i in range(shards)]
+def capacities(total: int, largest: list[int]) -> list[int]:
+    """Shares of a total, as equal as the largest document of each shard allows, in whole bytes.
+
+    The level is the greatest such that shards of max(level, largest) hold no
+    more than the total.
+    """
+    order = sorted(range(len(largest)), key=lambda j: -largest[j])
+    free, left = len(order), total
+    for j in order:
+        if largest[j] * free <= left:
+            break
+        free, left = free - 1, left - largest[j]
+    level = {j: left // free + (k < left % free) for k, j in enumerate(sorted(order[len(order) - free :]))} if free else {}
+    return [level.get(j, largest[j]) for j in range(len(largest))]
 
 
 def min_cost_flow(supply: dict[int, int], capacity: list[int]) -> dict[tuple[int, int], int]:
     """Bytes that each old shard sends to each new one, at the fewest bytes moved.
 
     Successive shortest paths on the bipartite network of shards; the sum of
-    the capacities must be that of the supply.  The driver holds shard totals
-    only.
+    the capacities must be that of the supply.  Paths of cost 0 come first, and
+    since all other arcs cost the same, a path through a reversed arc is never
+    shorter than a direct one.
     """
     flow: dict[tuple[int, int], int] = {}
     left, room = dict(supply), dict(enumerate(capacity))
-    # Paths of cost 0: bytes that stay. No cheaper augmentation can undo them.
+    # Paths of cost 0: bytes that stay.
     for i in sorted(left):
         stay = min(left[i], room.get(i, 0))
         if stay > 0:
             flow[i, i] = stay
             left[i] -= stay
             room[i] -= stay
-    # Every other path costs 1 a byte, and one through a reversed arc no less: augment along direct arcs.
-    # Largest first, so that few transfers carry the bytes.
+    # Paths of cost 1, largest first, so that few transfers carry the bytes.
     surplus = [(-n, i) for i, n in left.items() if n > 0]
     deficit = [(-n, j) for j, n in room.items() if n > 0]
     heapq.heapify(surplus)
@@ -83,112 +99,84 @@ def min_cost_flow(supply: dict[int, int], capacity: list[int]) -> dict[tuple[int
     return flow
 
 
-def place_large(large: list[tuple[int, int]], capacity: list[int]) -> list[tuple[int, int]]:
-    """New shard of each large document, given as (size, old shard): the old one while it has room, else the emptiest."""
-    room = list(capacity)
-    placed, later = {}, []
-    for at in sorted(range(len(large)), key=lambda k: (-large[k][0], large[k][1], k)):
-        size, old = large[at]
-        if 0 <= old < len(room) and room[old] >= size:
-            room[old] -= size
-            placed[at] = old
-        else:
-            later.append(at)
-    heap = [(-r, j) for j, r in enumerate(room)]
-    heapq.heapify(heap)
-    for at in later:
-        r, j = heapq.heappop(heap)
-        placed[at] = j
-        heapq.heappush(heap, (r + large[at][0], j))
-    return [placed[k] for k in range(len(large))]
+def _totals(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """Of each shard its bytes and its largest document: a row a shard."""
+    return {r[0]: (r[1], r[2]) for r in rows.groupBy("__sh_shard").agg(F.sum("__sh_size"), F.max("__sh_size")).collect()}
+
+
+def _carried_out(rows: DataFrame, flow: dict[tuple[int, int], int], large_first: bool) -> DataFrame:
+    """``rows`` with __sh_shard as the flow between shards wants it."""
+    spark = rows.sparkSession
+    stretches, at = [], {}
+    for (i, j), n in sorted(flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):
+        stretches.append((i, at.get(i, 0), at.get(i, 0) + n, j))
+        at[i] = at.get(i, 0) + n
+    parts = spark.createDataFrame(stretches, "o2 int, low long, high long, to int")
+    parts = parts.groupBy("o2").agg(F.sort_array(F.collect_list(F.struct("low", "high", "to"))).alias("parts"))  # a row a shard
+    # The last stretch that starts before a place; at a stretch's start the place belongs to it.
+    there = lambda place: F.expr(f"coalesce(element_at(filter(parts, p -> p.low <= {place}), -1).to, parts[0].to)")
+
+    kind = -(F.length(F.bin("__sh_size"))) if large_first else F.lit(0)
+    cell = F.pmod(F.shiftrightunsigned(F.col("__sh_hash"), 20), F.lit(CELLS)).cast("int")
+    keyed = rows.withColumns({"kind": kind.cast("int"), "cell": cell})
+    cells = keyed.groupBy("__sh_shard", "kind", "cell").agg(F.sum("__sh_size").alias("bytes"))
+    so_far = F.sum("bytes").over(Window.partitionBy("__sh_shard").orderBy("kind", "cell"))  # cells of a shard
+    cells = cells.withColumn("before", so_far - F.col("bytes")).join(F.broadcast(parts), F.col("__sh_shard") == F.col("o2"))
+    cells = cells.withColumns({"first": there("before"), "last": there("before + bytes - 1")})
+    cells = cells.select(F.col("__sh_shard").alias("o"), F.col("kind").alias("k"), F.col("cell").alias("c"), "before", F.when(F.col("first") == F.col("last"), F.col("first")).alias("to"))
+    # CELLS * shards cells, times some 20 size classes at the most.
+    placed = keyed.join(F.broadcast(cells), (F.col("__sh_shard") == F.col("o")) & (F.col("kind") == F.col("k")) & (F.col("cell") == F.col("c")))
+    columns = [c for c in rows.columns if c != "__sh_shard"]
+    whole = placed.where("to is not null").select(*columns, F.col("to").alias("__sh_shard"))
+    in_order = Window.partitionBy("__sh_shard", "kind", "cell").orderBy("__sh_hash", "__sh_size", "__sh_crc32", "doc_id")
+    middle = F.col("before") + F.sum("__sh_size").over(in_order) - F.col("__sh_size") / 2
+    cut = placed.where("to is null").withColumn("middle", middle).join(F.broadcast(parts), F.col("__sh_shard") == F.col("o2"))
+    return whole.unionByName(cut.select(*columns, there("middle").alias("__sh_shard")))
+
+
+def _assigned(rows: DataFrame, shards: int, scratch: common.Scratch) -> DataFrame:
+    """``rows`` (with __sh_old) with their new shard: the flow from the old shards, then repairs."""
+    now = scratch.keep(rows.withColumn("__sh_shard", F.col("__sh_old")))
+    for step in range(1 + REPAIRS):
+        found = _totals(now)
+        supply = {i: n for i, (n, _) in found.items()}
+        if not supply:
+            return now
+        # The first flow is to equal shards; the later ones know what lies where.
+        capacity = capacities(sum(supply.values()), [found.get(j, (0, 0))[1] if step else 0 for j in range(shards)])
+        if step and max(abs(supply.get(j, 0) - c) for j, c in enumerate(capacity)) <= OVERHEAD:
+            break
+        before, now = now, scratch.keep(_carried_out(now, min_cost_flow(supply, capacity), step > 0))
+        scratch.drop(before)
+    return now
 
 
 def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS) -> DataFrame:
     """``docs`` with __sh_size, __sh_crc32, __sh_old, __sh_shard and __sh_slot.
 
     docs: doc_id, text and any other columns.  old_shard: where each document
-    lies now; by default a layout of ``OLD_SHARDS`` by the id's hash.
+    lies now (null: nowhere yet); by default a layout of ``OLD_SHARDS`` by the
+    id's hash.
     """
-    spark, scratch = docs.sparkSession, common.Scratch(docs.sparkSession, "reshard")
+    scratch = common.Scratch(docs.sparkSession, "reshard")
     old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int") if old_shard is None else old_shard.cast("int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     facts = {"__sh_size": document_size(F.col("text")), "__sh_crc32": F.crc32(text.cast("binary")), "__sh_old": F.coalesce(old, F.lit(-1))}
     sized = docs.withColumns(facts).withColumn("__sh_hash", F.xxhash64(F.lit(8), F.col("doc_id"), F.col("__sh_crc32"), F.col("__sh_size")))
-    small = scratch.keep(sized.select("doc_id", *facts, "__sh_hash"))
-
-    supply = {r[0]: r[1] for r in small.groupBy("__sh_old").agg(F.sum("__sh_size")).collect()}  # a row per old shard
-    share = capacities(sum(supply.values()), shards)
-    bound = max(1, -(-sum(supply.values()) // (shards * LARGE)))
-    large_key = ["__sh_size", "__sh_old", "__sh_hash", "doc_id"]
-    # Fewer than LARGE * shards rows: each has over 1/(LARGE * shards) of all bytes.
-    large = [tuple(r) for r in small.where(F.col("__sh_size") > bound).select(*large_key).orderBy(*large_key).collect()]
-    placed = place_large([(r[0], r[1]) for r in large], share)
-    for (size, source, _, _), j in zip(large, placed, strict=True):
-        supply[source] -= size
-        share[j] -= size
-    short = -min(0, *share) if share else 0
-    if short:  # large documents overfill a shard: the others share what is left
-        share = capacities_under(sum(supply.values()), share)
-    flow = min_cost_flow(supply, share)
-
-    # An old shard's stretches: what stays first, then what it sends.
-    stretches, at = [], {}
-    for (i, j), n in sorted(flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):
-        stretches.append((i, at.get(i, 0), at.get(i, 0) + n, j))
-        at[i] = at.get(i, 0) + n
-    stretch = spark.createDataFrame(stretches or [(-2, 0, 0, 0)], "__sh_old int, low long, high long, __sh_shard int")
-    of_large = spark.createDataFrame([(*r, j) for r, j in zip(large, placed, strict=True)] or [], "size long, old int, hash long, doc_id long, shard int") if large else None
+    assigned = _assigned(sized.select("doc_id", *facts, "__sh_hash"), shards, scratch)
 
     cell = F.pmod(F.shiftrightunsigned(F.col("__sh_hash"), 20), F.lit(CELLS)).cast("int")
-    rest = small.where(F.col("__sh_size") <= bound).withColumn("cell", cell)
-    in_order = Window.partitionBy("__sh_old", "cell").orderBy("__sh_hash", "doc_id", "__sh_size", "__sh_crc32")
-    cells = rest.groupBy("__sh_old", "cell").agg(F.sum("__sh_size").alias("bytes"))
-    cells = cells.select(F.col("__sh_old").alias("o"), F.col("cell").alias("c"), (F.sum("bytes").over(Window.partitionBy("__sh_old").orderBy("cell")) - F.col("bytes")).alias("before"))
-    middle = F.col("before") + F.sum("__sh_size").over(in_order) - F.col("__sh_size") / 2
-    rest = rest.join(cells, (F.col("__sh_old") == F.col("o")) & (F.col("cell") == F.col("c"))).withColumn("middle", middle)
-    lists = stretch.groupBy(F.col("__sh_old").alias("o2")).agg(F.sort_array(F.collect_list(F.struct("low", "high", "__sh_shard"))).alias("parts"))
-    # The last stretch whose start is before the document's middle.
-    chosen = F.expr("element_at(filter(parts, p -> p.low < middle), -1).__sh_shard")
-    rest = rest.join(F.broadcast(lists), F.col("__sh_old") == F.col("o2"), "left")  # a row per old shard
-    rest = rest.select("doc_id", *facts, "__sh_hash", "cell", chosen.alias("__sh_shard"))
-    if of_large is not None:
-        big = small.where(F.col("__sh_size") > bound)
-        nth = F.row_number().over(Window.partitionBy(*large_key).orderBy("__sh_crc32"))
-        nth_right = F.row_number().over(Window.partitionBy("size", "old", "hash", "doc_id").orderBy("shard"))
-        right = of_large.withColumn("nth_r", nth_right).withColumnRenamed("doc_id", "id_r")
-        on = (F.col("__sh_size") == F.col("size")) & (F.col("__sh_old") == F.col("old")) & (F.col("__sh_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id_r")) & (F.col("nth") == F.col("nth_r"))
-        big = big.withColumn("nth", nth).join(F.broadcast(right), on)  # at most LARGE * shards rows
-        rest = rest.unionByName(big.select("doc_id", *facts, "__sh_hash", F.lit(-1).alias("cell"), F.col("shard").alias("__sh_shard")))
-    assigned = scratch.keep(rest)
-
-    counts = assigned.groupBy("__sh_shard", "__sh_old", "cell").agg(F.count("*").alias("n"))
-    first = F.sum("n").over(Window.partitionBy("__sh_shard").orderBy("__sh_old", "cell")) - F.col("n")
-    counts = counts.select(F.col("__sh_shard").alias("s"), F.col("__sh_old").alias("o"), F.col("cell").alias("c"), first.alias("first"))
-    slot = F.row_number().over(Window.partitionBy("__sh_shard", "__sh_old", "cell").orderBy("__sh_hash", "doc_id", "__sh_size", "__sh_crc32"))
-    placed_rows = assigned.withColumn("at", slot).join(counts, (F.col("__sh_shard") == F.col("s")) & (F.col("__sh_old") == F.col("o")) & (F.col("cell") == F.col("c")))
-    placed_rows = placed_rows.select("doc_id", *facts, "__sh_hash", "__sh_shard", (F.col("first") + F.col("at") - 1).cast("long").alias("__sh_slot"))
+    celled = assigned.withColumn("cell", cell)
+    counts = celled.groupBy("__sh_shard", "cell").agg(F.count("*").alias("n"))
+    first = F.sum("n").over(Window.partitionBy("__sh_shard").orderBy("cell")) - F.col("n")
+    counts = counts.select(F.col("__sh_shard").alias("s"), F.col("cell").alias("c"), first.alias("first"))
+    slot = F.row_number().over(Window.partitionBy("__sh_shard", "cell").orderBy("__sh_hash", "__sh_size", "__sh_crc32", "doc_id"))
+    placed = celled.withColumn("at", slot).join(F.broadcast(counts), (F.col("__sh_shard") == F.col("s")) & (F.col("cell") == F.col("c")))  # CELLS * shards rows
+    placed = placed.select("doc_id", *facts, "__sh_hash", "__sh_shard", (F.col("first") + F.col("at") - 1).cast("long").alias("__sh_slot"))
     others = [c for c in docs.columns if c != "doc_id"]
     if not others or set(others) <= {"text"}:
-        return placed_rows.drop("__sh_hash")
-    return _with_other_columns(sized, placed_rows, [*facts, "__sh_hash"])
-
-
-def capacities_under(total: int, room: list[int]) -> list[int]:
-    """Shares of a total that fill the emptiest shards first, none above one common level."""
-    low = sorted(range(len(room)), key=lambda j: -room[j])
-    kept, left = [], total
-    for k, j in enumerate(low):
-        kept.append(j)
-        level = (sum(room[x] for x in kept) - total) / len(kept)
-        if k + 1 == len(low) or room[low[k + 1]] <= level:
-            break
-    out = [0] * len(room)
-    level = (sum(room[x] for x in kept) - total) / len(kept)
-    for j in kept:
-        out[j] = max(0, int(room[j] - level))
-        left -= out[j]
-    out[kept[0]] += left
-    return out
+        return placed.drop("__sh_hash")
+    return _with_other_columns(sized, placed, [*facts, "__sh_hash"])
 
 
 def _with_other_columns(sized: DataFrame, placed: DataFrame, key: list[str]) -> DataFrame:
@@ -204,17 +192,28 @@ def _with_other_columns(sized: DataFrame, placed: DataFrame, key: list[str]) ->
     return left.join(right, on).drop("__sh_id", "__sh_hash", "__sh_nth", *[f"{k}_r" for k in [*key, "__sh_nth"]])
 
 
+def transfers(placed: DataFrame, shards: int = SHARDS) -> tuple[int, int]:
+    """(bytes moved, the fewest that equal shards take): the second by the flow over the old shards' bytes."""
+    moved = placed.groupBy("__sh_old").agg(F.sum("__sh_size"), F.coalesce(F.sum(F.when(F.col("__sh_old") != F.col("__sh_shard"), F.col("__sh_size"))), F.lit(0))).collect()  # a row a shard
+    flow = min_cost_flow({r[0]: r[1] for r in moved}, capacities(sum(r[1] for r in moved), [0] * shards))
+    return sum(r[2] for r in moved), sum(n for (i, j), n in flow.items() if i != j)
+
+
 def affected(placed: DataFrame) -> DataFrame:
     """Shards that lose or gain documents: (shard), the ones whose files must be written anew."""
     moved = placed.where("__sh_old <> __sh_shard")
-    return moved.select(F.explode(F.array("__sh_old", "__sh_shard")).alias("shard")).distinct()
+    return moved.select(F.explode(F.array("__sh_old", "__sh_shard")).alias("shard")).where("shard >= 0").distinct()
 
 
 def rewrite_affected(placed: DataFrame, path: str) -> None:
-    """Write the affected shards' rows under ``path``/shard=N; files of other shards stay as they are."""
-    rows = placed.join(affected(placed).withColumnRenamed("shard", "__sh_a"), F.col("__sh_shard") == F.col("__sh_a"), "left_semi")
+    """Write the affected shards' rows under ``path``/shard=N; other shards' files stay, those of emptied shards go."""
+    of = affected(placed).withColumnRenamed("shard", "__sh_a")
+    rows = placed.join(F.broadcast(of), F.col("__sh_shard") == F.col("__sh_a"), "left_semi")  # a row a shard
     rows = rows.withColumn("shard", F.col("__sh_shard")).repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    emptied = of.join(placed.select("__sh_shard").distinct(), F.col("__sh_a") == F.col("__sh_shard"), "left_anti")
+    for (shard,) in emptied.collect():
+        common.delete(placed.sparkSession, f"{path}/shard={shard}")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
