@@ -1,21 +1,31 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is read as a sequence of words and tags.  Words score positive, tags
-negative, by weights learned from labelled pages: a word's weight is the log
-odds of main text in its setting (the nearest enclosing element that tells
-anything, such as ``article``, ``nav`` or a class that says "sidebar"; or a
-link, or plain flow), a tag's is the log odds for that tag.  One linear scan
-finds the contiguous stretch of the greatest sum.  Inside it, elements that
-are never main text (menus, adverts, forms, scripts, comments ...) are left
-out, references are decoded, white space inside a block becomes one space, and
-blocks are joined by an empty line.
-
-Every page is handled alone in a Spark task in time linear in its length.
+A page is read as a sequence of words and tags.  Each has a score, with weights
+learned from labelled pages (``html_pages``):
+
+* A word's score is the log odds of main text, by logistic regression on the
+  elements around it (their tags and the parts of their classes, ids and
+  roles), on its block's length and share of links, and on whether the block
+  ends like a sentence.  No name is main text or not by a rule; a name that no
+  labelled page has counts nothing.
+* A tag's score is negative: the log odds of standing outside main text, from
+  ``LEAST_TAG`` to ``MOST_TAG``, as many tags stand between few words.
+
+One linear scan finds the contiguous stretch of the greatest sum.  A tag or a
+word of negative score inside an element that is main text counts ``PARTED``
+only, so that a long aside within an article doesn't part it.  Of the stretch, widened
+to whole blocks, the blocks whose words sum to a negative score are left out:
+asides within the article.  References are decoded, white space inside a block
+becomes one space, and blocks are joined by an empty line.
+
+Every page is handled alone in a Spark task in time linear in its length; the
+weights are learned once, by the driver, from ``html_pages`` alone.
 
 Defined results: a null or empty page has an empty text; so has a page without
-a positive stretch; unclosed, stray and cut-off tags are tolerated; rows that
-repeat are each extracted; an empty table gives an empty result; other columns
-pass through, and internal ones start with ``__hx_``.
+a positive stretch; the content of scripts, styles and the like is no text;
+unclosed, stray and cut-off tags are tolerated; rows that repeat are each
+extracted; an empty table gives an empty result; other columns pass through,
+and the text's column is ``__hx_text`` unless another name is given.
 """
 
 from __future__ import annotations
@@ -25,6 +35,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,33 +43,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from agorafold.llm import common
-from agorafold.llm.html_pages import LABELLED
-
-#: Elements whose content is no text at all.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title")
-#: Elements that are never main text, and words of classes, ids and roles that say the same.
-ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "input", "label", "fieldset", "head")
-ASIDE_WORDS = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs toolbar",
-    "frame": "header masthead banner footer foot topbar bottombar copyright",
-    "side": "sidebar aside rail related recommended trending popular widget widgets teaser",
-    "notice": "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup subscription paywall",
-    "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion promoted adsense",
-    "comment": "comment comments commentlist disqus replies reply respond discussion feedback",
-    "form": "form login search searchbox signin share sharing social",
-}
-_ASIDE_OF = {word: kind for kind, words in ASIDE_WORDS.items() for word in words.split()}
-MAIN = ("article", "main")
-MAIN_WORDS = frozenset("article articlebody content entry post story maincontent main".split())
+from agorafold.llm import common, html_pages
+
+#: Scores of a word are cut off here, either way.
+MOST_WORD = 4.0
+LEAST_TAG, MOST_TAG, PARTED = 0.02, 0.2, 0.01
+#: Log odds by which the elements around must say "main text" for words inside to count ``PARTED``.
+SURELY_MAIN = 1.0
+RIDGE = 0.3
+
 BLOCKS = frozenset(
-    "address article aside blockquote body br center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption head title".split()
+    "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption head title".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that say nothing about their content.
+SILENT = frozenset("html body div span b i em strong u s small big font center tbody tr".split())
 #: An opening tag of the left ends an open one of the right.
 CLOSES = {"p": ("p",), "li": ("li", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-
 #: Elements that end an unclosed head.
 AFTER_HEAD = BLOCKS - {"head", "title"}
 
@@ -74,162 +76,228 @@ _SPACE = re.compile(r"\s+")
 
 
 @functools.lru_cache(maxsize=4096)
-def _setting(tag: str, attributes: str) -> str:
-    """What an opening tag says of its content: "main", the kind of an aside, or "" for nothing."""
-    if tag in ASIDE:
-        return tag
+def _features(tag: str, attributes: str) -> frozenset[str]:
+    """What an opening tag may tell of its content."""
+    out = set() if tag in SILENT else {f"<{tag}>"}
     if attributes:
         if _HIDDEN.search(attributes):
-            return "hidden"
-        said = {w for m in _NAMES.finditer(attributes) for w in _PARTS.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())}
-        kinds = {_ASIDE_OF[w] for w in said if w in _ASIDE_OF}
-        if said & {"has", "with", "no", "without"}:  # "has-sidebar" says what stands beside
-            kinds.discard("side")
-        if tag in MAIN:
-            kinds &= {"comment", "advert"}
-        if kinds == {"frame"} and said & {"header", "head"} and said & {"article", "entry", "post", "content"}:
-            return "header"
-        if kinds and tag not in ("body", "html"):
-            return min(kinds)
-        if said & MAIN_WORDS:
-            return "main"
-    return "main" if tag in MAIN else ""
-
-
-def _tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """("tag", name, setting, block?) and ("text", raw text, setting, left out?) of a page, in order."""
-    stack: list[tuple[str, str]] = []  # name, setting inside
-    now = "flow"
-    at = 0
+            out.add("hidden")
+        for m in _NAMES.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").split():
+                parts = _PARTS.findall(_CAMEL.sub(" ", name).lower())
+                if parts and parts[0] in ("has", "with", "no", "without"):  # says what stands beside
+                    parts = ["-".join(parts)]
+                out.update(parts)
+                if len(parts) > 1:
+                    out.add("-".join(parts))
+    return frozenset(out)
+
+
+@dataclass
+class Place:
+    """Where text stands: the features of all elements around it."""
+
+    features: frozenset[str]
+    odds: float = 0.0
+    in_main: bool = False
+    inside: dict = field(default_factory=dict)
+
+
+class Model:
+    """weights: log odds by feature; tags: scores by tag."""
+
+    def __init__(self, weights: dict[str, float] | None = None, tags: dict[str, float] | None = None):
+        self.weights, self.tags = weights or {}, tags or {}
+        self.root, self.known = Place(frozenset()), 0
+
+    def __reduce__(self):
+        return Model, (self.weights, self.tags)
+
+    def enter(self, place: Place, tag: str, attributes: str) -> Place:
+        """The place inside an element; equal places are one object."""
+        key = (tag, attributes)
+        found = place.inside.get(key)
+        if found is None:
+            more = _features(tag, attributes)
+            if more <= place.features:
+                return place
+            every = place.features | more
+            odds = sum(self.weights.get(f, 0.0) for f in every)
+            found = Place(every, odds, place.in_main or odds > SURELY_MAIN)
+            if self.known < 100_000:
+                place.inside[key] = found
+                self.known += 1
+        return found
+
+    def word(self, place: Place, block: list[str]) -> float:
+        odds = place.odds + self.weights.get("", 0.0) + sum(self.weights.get(f, 0.0) for f in block)
+        return max(-MOST_WORD, min(MOST_WORD, odds))
+
+    def tag(self, name: str) -> float:
+        return self.tags.get(name, -LEAST_TAG)
+
+
+@dataclass
+class Token:
+    """A tag, or raw text of n words if ``is_text``; ``at`` is its offset in the page."""
+
+    at: int
+    value: str
+    block: int
+    place: Place
+    is_text: bool = False
+    n: int = 0
+
+
+def _tokens(page: str, model: Model) -> list[Token]:
+    out: list[Token] = []
+    stack: list[tuple[str, Place]] = []
+    opened: Counter = Counter()
+    now, block, at = model.root, 0, 0
 
     def pop(k: int) -> None:
         nonlocal now
+        for name, _ in stack[k:]:
+            opened[name] -= 1
         del stack[k:]
-        now = stack[-1][1] if stack else "flow"
+        now = stack[-1][1] if stack else model.root
+
+    def text(low: int, high: int) -> None:
+        value = page[low:high]
+        out.append(Token(low, value, block, now, True, len(value.split())))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()], now, False
+            text(at, m.start())
         at = m.end()
-        name = m[3]
-        if name is None:
+        if m[3] is None:
             continue
-        name = name.lower()
+        name = m[3].lower()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            if opened[name]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
         else:
-            if stack and stack[0][0] in ("html", "head") and name in AFTER_HEAD:
-                for k, (open_name, _) in enumerate(stack):
-                    if open_name == "head":
-                        pop(k)
-                        break
+            if opened["head"] and name in AFTER_HEAD:
+                pop(next(k for k, (x, _) in enumerate(stack) if x == "head"))
             closes = CLOSES.get(name, ("p",) if name in ENDS_P else ())
             while stack and stack[-1][0] in closes:
                 pop(len(stack) - 1)
             if name not in VOID and not m[4].endswith("/"):
-                said = _setting(name, m[4])
-                aside = now not in ("flow", "main", "link")
-                # What is aside stays aside, whatever it holds; a heading group inside the main text is part of it.
-                inside = now if aside else "main" if said == "header" and now == "main" else f"in {said}" if now == "main" and said not in ("", "main") else said or ("link" if name == "a" and now == "flow" else now)
-                stack.append((name, inside))
-                now = inside
-        yield "tag", ("/" if m[2] else "") + name, now, name in BLOCKS
+                now = model.enter(now, name, m[4])
+                stack.append((name, now))
+                opened[name] += 1
+        block += name in BLOCKS
+        out.append(Token(m.start(), name, block, now))
     if at < len(page):
-        yield "text", page[at:], now, False
-
-
-class Weights:
-    """Log odds of main text for words by setting and for tags, from labelled pages."""
-
-    def __init__(self, pages: list[str] = LABELLED):
-        inside, outside = Counter(), Counter()
-        for page in pages:
-            before, _, rest = page.partition("[[")
-            main, _, after = rest.partition("]]")
-            low, high = len(before), len(before) + len(main)
-            at = 0
-            whole = before + main + after
-            for kind, value, setting, _ in _tokens(whole):
-                if kind == "text":
-                    at = whole.index(value, at)
-                    (inside if low <= at < high else outside)["word", setting] += len(value.split())
-                    at += len(value)
-                else:
-                    name = value.lstrip("/")
-                    at = whole.index(f"<{value}", at)
-                    (inside if low <= at < high else outside)["tag", name] += 1
-        self.seen = {key: float(np.log((inside[key] + 0.5) / (outside[key] + 0.5))) for key in {*inside, *outside}}
-
-    @functools.cached_property
-    def words(self) -> dict[str, float]:
-        """Words in main settings are positive, in asides negative; one step each way at least."""
-        known = {s: w for (kind, s), w in self.seen.items() if kind == "word"}
-        out = {"main": max(1.0, known.get("main", 1.0)), "flow": max(0.2, known.get("flow", 0.5)), "link": min(-0.2, known.get("link", -1.0))}
-        return out | {s: max(-2.0, min(-1.0, w)) for s, w in known.items() if s not in out}
-
-    def tag(self, name: str) -> float:
-        """Tags never add: from 0 for those of running text to -1 for those of frames."""
-        return min(-0.01, max(-1.0, self.seen.get(("tag", name), -0.5)) - 0.01)
-
-    def word(self, setting: str) -> float:
-        """What is aside within a main element is left out later and hardly parts what is around it."""
-        return -0.01 if setting.startswith("in ") else self.words.get(setting, -2.0)
+        text(at, len(page))
+    return out
+
+
+def _of_blocks(tokens: list[Token]) -> dict[int, list[str]]:
+    """Of each block with words the features of its length, its links and its end."""
+    words, linked, last = Counter(), Counter(), {}
+    for t in tokens:
+        if t.n:
+            words[t.block] += t.n
+            linked[t.block] += t.n * ("<a>" in t.place.features)
+            last[t.block] = t.value
+    out = {}
+    for b, n in words.items():
+        size = "few words" if n < 4 else "some words" if n < 10 else "words" if n < 25 else "many words"
+        links = "no link" if not linked[b] else "links" if 2 * linked[b] > n else "some links"
+        out[b] = [size, links, "sentence" if last[b].rstrip()[-1:] in ".!?:;…。" else "no sentence"]
+    return out
+
+
+def learn(pages: list[html_pages.Page]) -> Model:
+    """Weights from labelled pages."""
+    blank = Model()
+    seen: dict[frozenset, list[float]] = {}
+    tags, words = (Counter(), Counter()), [0, 0]
+    for page in pages:
+        whole = "".join(piece for piece, _ in page)
+        ends = np.cumsum([len(piece) for piece, _ in page])
+        tokens = _tokens(whole, blank)
+        blocks = _of_blocks(tokens)
+        for t in tokens:
+            main = int(page[int(np.searchsorted(ends, t.at, "right"))][1])
+            if not t.is_text:
+                tags[main][t.value] += 1
+            elif t.n:
+                words[main] += t.n
+                seen.setdefault(t.place.features | frozenset(blocks[t.block]), [0.0, 0.0])[main] += min(t.n, 10)
+    names = sorted({f for fs in seen for f in fs})
+    place = {f: k + 1 for k, f in enumerate(names)}
+    x = np.zeros((len(seen), len(names) + 1))
+    x[:, 0] = 1
+    for row, fs in enumerate(seen):
+        x[row, [place[f] for f in fs]] = 1
+    n = np.array(list(seen.values()))
+    total, share = n.sum(1), n[:, 1] / n.sum(1)
+    w = np.zeros(x.shape[1])
+    ridge = np.full(len(w), RIDGE)
+    ridge[0] = 1e-3
+    for _ in range(25):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (total * (p - share)) + ridge * w
+        curve = (x * (total * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
+        w = w - np.clip(np.linalg.solve(curve, slope), -3, 3)
+    ratio = words[1] / max(1, words[0])
+    odds = {t: float(np.log((tags[0][t] + 0.5) / (tags[1][t] + 0.5) * ratio)) for t in {*tags[0], *tags[1]}}
+    return Model({"": float(w[0])} | {f: float(w[k]) for f, k in place.items()}, {t: -min(MOST_TAG, max(LEAST_TAG, v)) for t, v in odds.items()})
 
 
 @functools.lru_cache(maxsize=1)
-def _weights() -> Weights:
-    return Weights()
+def learned() -> Model:
+    return learn(html_pages.labelled())
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    weights = _weights()
-    tokens = list(_tokens(page))
-    # The best stretch: a running sum that starts anew when it falls to 0.
+def stretch(tokens: list[Token], scores: list[float], model: Model) -> tuple[int, int]:
+    """The contiguous tokens of the greatest sum: a running sum that starts anew when it falls to 0."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, setting, _) in enumerate(tokens):
-        if kind == "text":
-            n = len(value.split())
-            score = weights.word(setting) * n
-        else:
-            score = weights.tag(value.lstrip("/"))
+    for i, t in enumerate(tokens):
+        score = scores[i] * t.n if t.is_text else model.tag(t.value)
+        if score < 0 and t.place.in_main:
+            score = -PARTED * (t.n or 1)
         if total <= 0:
             total, start = 0.0, i
         total += score
         if total > best:
             best, best_at = total, (start, i + 1)
-    blocks: list[str] = []
-    pieces: list[str] = []
-
-    def end() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-        pieces.clear()
-        if text:
-            blocks.append(text)
-
-    for kind, value, setting, is_block in tokens[best_at[0] : best_at[1]]:
-        if kind == "tag":
-            if is_block:
-                end()
-        elif setting in ("main", "flow", "link"):
-            pieces.append(value)
-    end()
-    return "\n\n".join(blocks)
-
-
-def main_text(pages: DataFrame, source: str = "html", name: str = "text") -> DataFrame:
+    return best_at
+
+
+def extract(page: str | None, model: Model | None = None, scan: bool = True) -> str:
+    """The main text of one page; without ``scan``, of all its blocks of positive score (to see what the scan does)."""
+    if not page:
+        return ""
+    model = model or learned()
+    tokens = _tokens(page, model)
+    blocks = _of_blocks(tokens)
+    scores = [model.word(t.place, blocks[t.block]) if t.n else 0.0 for t in tokens]
+    low, high = stretch(tokens, scores, model) if scan else (0, len(tokens))
+    if low == high:
+        return ""
+    first, last = tokens[low].block, tokens[high - 1].block
+    sums: Counter = Counter()
+    pieces: dict[int, list[str]] = {}
+    for t, score in zip(tokens, scores, strict=True):
+        if t.is_text and first <= t.block <= last:
+            sums[t.block] += score * t.n
+            pieces.setdefault(t.block, []).append(t.value)
+    texts = (_SPACE.sub(" ", html.unescape("".join(own))).strip() for b, own in pieces.items() if sums[b] > 0)
+    return "\n\n".join(t for t in texts if t)
+
+
+def main_text(pages: DataFrame, source: str = "html", name: str = "__hx_text") -> DataFrame:
     """``pages`` with the main text of every page."""
     column = pages.columns.index(source)
     schema = StructType([*pages.schema.fields, StructField(name, StringType())])
+    model = learned()  # some hundred numbers
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([extract(x.as_py()) for x in batch.column(column)], pa.string())
+            found = pa.array([extract(x.as_py(), model) for x in batch.column(column)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
     return pages.mapInArrow(extracted, schema)
@@ -238,4 +306,4 @@ def main_text(pages: DataFrame, source: str = "html", name: str = "text") -> Dat
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     found = main_text(common.table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("string").alias("html")))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", F.col("__hx_text").alias("text"), F.length("__hx_text").cast("long").alias("n_chars"))

@@ -1,11 +1,15 @@
 import hashlib
+import html
 import random
+import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agorafold.llm import chat_format, html_extract, minhash, toxicity
+from agorafold.llm import chat_format, html_extract, html_pages, minhash, toxicity
 from tests.llm.conftest import EDGES, words
 
 EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string, extra string"
@@ -63,10 +67,52 @@ def test_html_extraction(page, text):
     assert html_extract.extract(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<form method=post><div id=wrapper><nav><a href=/>Home</a></nav><article><h1>Title here</h1><p>One two three four five six seven.</p></article></div></form>", "Title here\n\nOne two three four five six seven."),
+    ("<div class='page with-comments'><article><p>One two three four five six seven eight nine ten.</p></article><div class=comments><p>Nice one.</p></div></div>", "One two three four five six seven eight nine ten."),
+    ("<div class='header-fixed wrapper'><main><p>One two three four five six seven eight nine ten.</p></main></div>", "One two three four five six seven eight nine ten."),
+    ("<table><tr><td class=menu><a href=/a>Start</a><br><a href=/b>Archive</a></td><td><p>One two three four five six seven eight nine.</p></td></tr></table>", "One two three four five six seven eight nine."),
+    ("<p>" + "one two three " * 9 + "end.</p><div class=advert>Buy this now today.</div><p>" + "four five six " * 9 + "end.</p>", "one two three " * 9 + "end.\n\n" + "four five six " * 9 + "end."),
+])
+def test_html_layouts(page, text):
+    assert html_extract.extract(page) == text
+
+
+def _main_words(page):
+    return html.unescape(" ".join(re.sub("<[^>]*>", " ", piece) for piece, main in page if main)).split()
+
+
+def test_html_held_out_pages():
+    """Word precision and recall on pages with names that no learned page has, and what the scan adds."""
+    model, pages = html_extract.learned(), html_pages.labelled(300, heldout=True)
+    right, changed = {}, 0
+    for scan in (True, False):
+        both = found = wanted = 0
+        for page in pages:
+            own, truth = Counter(html_extract.extract("".join(p for p, _ in page), model, scan).split()), Counter(_main_words(page))
+            both, found, wanted = both + sum((own & truth).values()), found + sum(own.values()), wanted + sum(truth.values())
+        right[scan] = (both / found, both / wanted)
+    for page in pages:
+        whole = "".join(p for p, _ in page)
+        changed += html_extract.extract(whole, model) != html_extract.extract(whole, model, scan=False)
+    print(f"precision, recall: {right[True]}; without the scan {right[False]}; pages changed by it: {changed} of {len(pages)}")
+    assert right[True][0] > 0.95 and right[True][1] > 0.97 and right[True][0] > right[False][0] and changed > 20
+
+
+def test_html_time_is_linear():
+    """Many open elements and closing tags that close nothing, deep nesting, long attributes."""
+    for page in ("<i>" * 40_000 + "</b>" * 40_000, "<div class=a>" * 40_000 + "end", "<p " + "x" * 400_000 + ">a b c d", "<" * 100_000):
+        began = time.perf_counter()
+        html_extract.extract(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a b c</p>" * 20_000, "y"), (1, None, None, "x")], "page_id long, url string, html string, __hx string")
     rows = html_extract.main_text(pages).collect()
-    assert len(rows) == 3 and rows[1]["text"].count("\n\n") == 19_999
+    assert len(rows) == 3 and rows[1]["__hx_text"].count("\n\n") == 19_999
+    clash = spark.createDataFrame([(1, "<p>a b c</p>", "mine")], "page_id long, html string, text string")
+    assert [(r["text"], r["__hx_text"]) for r in html_extract.main_text(clash).collect()] == [("mine", "a b c")]
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
