@@ -72,6 +72,8 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: A slash that belongs to a value without quotes, not to the tag.
+_VALUE_SLASH = re.compile(r"=[^\s\"']*/\Z")
 _SPACE = re.compile(r"\s+")
 
 
@@ -182,7 +184,7 @@ def _tokens(page: str, model: Model) -> list[Token]:
             closes = CLOSES.get(name, ("p",) if name in ENDS_P else ())
             while stack and stack[-1][0] in closes:
                 pop(len(stack) - 1)
-            if name not in VOID and not m[4].endswith("/"):
+            if name not in VOID and (not m[4].endswith("/") or _VALUE_SLASH.search(m[4])):
                 now = model.enter(now, name, m[4])
                 stack.append((name, now))
                 opened[name] += 1
