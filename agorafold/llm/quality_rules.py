@@ -63,13 +63,9 @@ def _measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """The measurements of each text of an array."""
     w = wordhash.words(texts)
     n, data, offsets = len(texts), w.data, w.offsets
-    inside = np.zeros(len(data) + 1, np.int32)
-    np.add.at(inside, w.start, 1)
-    np.add.at(inside, w.end, -1)
-    in_word = np.cumsum(inside[:-1]) > 0
     out = {
         "n_words": w.counts,
-        "word_chars": wordhash.per_text(in_word & ((data & 0xC0) != 0x80), offsets),
+        "word_chars": wordhash.per_text(wordhash._WORD[data] & ((data & 0xC0) != 0x80), offsets),
         "n_symbols": wordhash.per_text(_SYMBOL[data], offsets),
         "n_upper": wordhash.per_text(_UPPER[data], offsets),
         "n_lower": wordhash.per_text(_LOWER[data], offsets),

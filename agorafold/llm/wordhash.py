@@ -2,8 +2,8 @@
 
 A text's words are the maximal runs of bytes outside the ASCII white space
 0x20, 0x09-0x0D, which is the same on code points and on UTF-8 bytes.  All
-texts of a slice are handled by a fixed number of numpy passes over their
-bytes; there is no loop over documents or words.
+texts of a slice are handled by numpy passes over their bytes; there is no loop
+over documents or words.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Bytes whose numbers are held at once: some 30 bytes of memory each, whatever the length of a text.
+CHUNK = 1 << 20
 _U = np.uint64
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -49,21 +51,45 @@ _BASE = {0: 0x9FB21C651E98DF25, 1: 0xD6E8FEB86659FD93}
 _POWERS = {k: _powers(b, 256) for k, b in _BASE.items()}
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64 bits of each span's bytes; no span is empty."""
-    n = len(start)
-    if not n:
-        return np.zeros(0, _U)
-    size = end - start
+def _some(data: np.ndarray, start: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    """Of each span the sum of its bytes' numbers, each times a power of its place."""
     longest = int(size.max())
     if longest > len(_POWERS[which]):
-        _POWERS[which] = _powers(_BASE[which], 2 * longest)
-    begin = np.zeros(n, np.int64)
+        _POWERS[which] = _powers(_BASE[which], min(CHUNK, 2 * longest))
+    begin = np.zeros(len(start), np.int64)
     np.cumsum(size[:-1], out=begin[1:])
     inside = np.arange(int(begin[-1] + size[-1]), dtype=np.int64) - np.repeat(begin, size)
-    at = inside + np.repeat(start, size)
-    values = _BYTES[which][data[at]] * _POWERS[which][inside]
-    return mix(np.add.reduceat(values, begin) + size.astype(_U) * _U(0xA0761D6478BD642F))
+    values = _BYTES[which][data[inside + np.repeat(start, size)]]
+    values *= _POWERS[which][inside]
+    return np.add.reduceat(values, begin)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64 bits of each span's bytes; no span is empty.
+
+    About ``CHUNK`` bytes are worked on at a time; a longer span is summed in pieces.
+    """
+    n = len(start)
+    out = np.zeros(n, _U)
+    if not n:
+        return out
+    size = end - start
+    upto = np.cumsum(size)
+    low = 0
+    while low < n:
+        if size[low] > CHUNK:
+            step, factor = _U(pow(_BASE[which], CHUNK, 1 << 64)), _U(1)
+            with np.errstate(over="ignore"):
+                for at in range(int(start[low]), int(end[low]), CHUNK):
+                    piece = min(CHUNK, int(end[low]) - at)
+                    out[low] += factor * _some(data, np.array([at]), np.array([piece]), which)[0]
+                    factor = factor * step
+            low += 1
+            continue
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] - size[low] + CHUNK, "right")))
+        out[low:high] = _some(data, start[low:high], size[low:high], which)
+        low = high
+    return mix(out + size.astype(_U) * _U(0xA0761D6478BD642F))
 
 
 @dataclass
@@ -113,20 +139,25 @@ def words(texts: pa.Array, lower: bool = False, rule: np.ndarray = _WORD) -> Wor
     inside = rule[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
-    starts, ends = inside.copy(), inside.copy()
+    edge = inside.copy()
+    if len(data):
+        edge[1:] &= ~inside[:-1] | cut[1:-1]
+    start = np.flatnonzero(edge)
+    edge = inside.copy()
     if len(data):
-        starts[1:] &= ~inside[:-1] | cut[1:-1]
-        ends[:-1] &= ~inside[1:] | cut[1:-1]
-    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        edge[:-1] &= ~inside[1:] | cut[1:-1]
+    end = np.flatnonzero(edge) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
     return Words(data, offsets, doc, start, end, np.searchsorted(doc, np.arange(len(texts) + 1), "left"))
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flagged bytes each text has."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(filled):
+        out[filled] = np.add.reduceat(flags, offsets[filled], dtype=np.int64)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
