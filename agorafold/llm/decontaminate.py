@@ -12,11 +12,13 @@ The hash set of test n-grams is broadcast and training text is scanned for it:
    look up the document's b-grams at every (n - b + 1)-th word in the set of
    all b-grams of the test windows, and a document without a find has no hit.
    Test windows of unlike lengths are scanned for each length.
-2. verify: documents with a find look up all their windows, and a window is a
-   hit if its words themselves, not only their hash, are equal to a test window's.
+2. verify: documents with a find look up the hashes of all their windows, and
+   the words of those that are found are compared with the test windows' words.
+   Hashes travel without words, and no row holds more than three numbers a
+   window of its text.
 
-The set is broadcast only if it has at most ``BROADCAST_ROWS`` rows, which is
-counted first; a larger one is joined by shuffling the (narrow) look-ups.
+A set is broadcast only if its rows, which are counted first, take at most
+``BROADCAST_BYTES``; a larger one is joined by shuffling the look-ups.
 
 Defined results: a null or empty text has no words, no hits and is clean; a
 null or empty benchmark item has no windows; a null item_id is an item
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 from agorafold.llm import common
 
 WINDOW = 10
-#: Rows of 24 bytes that may be broadcast: 48 MB.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 48 << 20
+#: A broadcast row of a hash, and of a window's words and item.
+HASH_BYTES, GRAM_BYTES = 24, 320
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words as they are written.
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -77,9 +80,9 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", "n", F.explode(F.expr(grams)).alias("gram")).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Broadcast what has been counted to be small; join anything else by shuffling."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -101,7 +104,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     known = blocks[0]
     for more in blocks[1:]:
         known = known.unionByName(more)
-    known = _small(scratch.keep(known.distinct()))
+    known = _small(scratch.keep(known.distinct()), HASH_BYTES)
     probes = ", ".join(_hashes("w", *block_of(n)) for n in lengths)
     scanned = keyed.withColumn("w", words_of(F.col("__dc_t"))).select("__dc_id", "__dc_text", F.explode(F.expr(f"array_distinct(concat({probes}))")).alias("h"))
     found = scanned.join(known, "h", "left_semi")
@@ -110,11 +113,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     # Verify. All windows of the suspects, by hash and then by the words.
     same = F.col("__dc_id").eqNullSafe(F.col("__dc_i")) & (F.col("__dc_text") == F.col("__dc_x"))
     texts = keyed.join(suspects, same, "left_semi").dropDuplicates(["__dc_id", "__dc_text"]).select("__dc_id", "__dc_text", words_of(F.col("__dc_t")).alias("w"))
-    every = ", ".join(f"transform({_starts('w', n)}, i -> named_struct('n', {n}, 'at', i, 'h', xxhash64({n}, {_words_at('w', 'i', n)}), 'gram', array({_words_at('w', 'i', n)})))" for n in lengths)
+    every = ", ".join(f"transform({_starts('w', n)}, i -> named_struct('n', {n}, 'at', i, 'h', xxhash64({n}, {_words_at('w', 'i', n)})))" for n in lengths)
     windows = texts.select("__dc_id", "__dc_text", F.explode(F.expr(f"concat({every})")).alias("g")).select("__dc_id", "__dc_text", "g.*")
     whole = " ".join(f"when {n} then xxhash64({n}, {_words_at('gram', '0', n)})" for n in lengths)
-    wanted = tests.select("item_id", F.col("n").alias("tn"), F.col("gram").alias("tgram"), F.expr(f"case n {whole} end").alias("th"))
-    hits = windows.join(_small(wanted), (F.col("n") == F.col("tn")) & (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
+    hashes = scratch.keep(tests.select(F.expr(f"case n {whole} end").alias("h")).distinct())
+    near = windows.join(_small(hashes, HASH_BYTES), "h", "left_semi").groupBy("__dc_id", "__dc_text").agg(F.collect_list(F.struct("n", "at")).alias("spots"))
+    near = near.select(F.col("__dc_id").alias("__dc_i"), F.col("__dc_text").alias("__dc_x"), "spots")
+    spots = texts.join(near, same).select("__dc_id", "__dc_text", "w", F.explode("spots").alias("s"))
+    grams = spots.select("__dc_id", "__dc_text", F.col("s.n").alias("n"), F.col("s.at").alias("at"), F.expr("slice(w, s.at + 1, s.n)").alias("gram"))
+    wanted = tests.select("item_id", F.col("n").alias("tn"), F.col("gram").alias("tgram"))
+    hits = grams.join(_small(wanted, GRAM_BYTES), (F.col("n") == F.col("tn")) & (F.col("gram") == F.col("tgram")))
     return hits.select("__dc_id", "__dc_text", "at", "n", "item_id")
 
 
