@@ -39,6 +39,8 @@ from agorafold.llm import common
 MOST = 3
 WEIGHTS = 3
 CELLS = 1024
+#: Rows of the plan (one a source and size class, some 100 bytes) that are broadcast; more are joined under salted keys.
+BROADCAST_ROWS, SALTS = 200_000, 16
 
 
 def words_in(text: Column) -> Column:
@@ -123,16 +125,24 @@ def mix(docs: DataFrame, seed: int = 10) -> DataFrame:
     size = words_in(F.col("text"))
     small = scratch.keep(docs.select("doc_id", F.col("source"), size.alias("size")))
     keyed = small.select("source", "size", _size_class(F.col("size")).alias("cls"), _draw(F.col("doc_id"), seed).alias("digest"))
-    classes = scratch.keep(keyed.groupBy("source", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.sum(F.col("size") * F.col("size").cast("double")).alias("squares")))
+    classes = scratch.keep(keyed.groupBy("source", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.sum((F.col("size") * F.col("size")).cast("decimal(38,0)")).cast("double").alias("squares")))
     wanted = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
     plan = scratch.keep(allocate(classes, wanted))
 
-    def with_plan(rows: DataFrame, table: DataFrame, on: tuple[str, str], take: list[str]) -> DataFrame:
+    small_plan = plan.count() <= BROADCAST_ROWS
+
+    def with_plan(rows: DataFrame, table: DataFrame, on: tuple[str, str], take: list[str], salt: Column) -> DataFrame:
+        """``rows`` with the plan of their class: broadcast if small, else joined with the classes' rows spread over ``SALTS`` keys."""
         right = table.select(F.col("source").alias("__mix_s"), F.col("cls").alias("__mix_c"), *take)
-        return rows.join(right, F.col(on[0]).eqNullSafe(F.col("__mix_s")) & (F.col(on[1]) == F.col("__mix_c")), "left").drop("__mix_s", "__mix_c")
+        same = F.col(on[0]).eqNullSafe(F.col("__mix_s")) & (F.col(on[1]) == F.col("__mix_c"))
+        if small_plan:
+            return rows.join(F.broadcast(right), same, "left").drop("__mix_s", "__mix_c")
+        right = right.withColumn("__mix_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("__mix_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+        return salted.join(right, same & (F.col("__mix_salt") == F.col("__mix_k")), "left").drop("__mix_s", "__mix_c", "__mix_k", "__mix_salt")
 
     value = _pareto(F.col("digest"), F.col("size"), F.col("draws"), F.col("n"), F.col("words"))
-    ranked = with_plan(keyed, plan.where("draws > 0 and draws < n"), ("source", "cls"), ["n", "words", "draws"]).where("draws is not null")
+    ranked = with_plan(keyed, plan.where("draws > 0 and draws < n"), ("source", "cls"), ["n", "words", "draws"], F.col("digest")).where("draws is not null")
     ranked = ranked.select("source", "cls", "draws", "digest", value.alias("q")).withColumn("cell", F.floor(F.col("q") / (1 + F.col("q")) * CELLS).cast("int"))
     cells = ranked.groupBy("source", "cls", "cell").agg(F.count("*").alias("c"), F.max("draws").alias("draws"))
     so_far = F.sum("c").over(Window.partitionBy("source", "cls").orderBy("cell"))
@@ -146,7 +156,7 @@ def mix(docs: DataFrame, seed: int = 10) -> DataFrame:
 
     out = docs.withColumns({"__mix_size": size, "__mix_digest": _draw(F.col("doc_id"), seed)}).withColumn("__mix_cls", _size_class(F.col("__mix_size")))
     names = ["n", "words", "source_size", "target", "certain", "draws", "end_q", "end_digest"]
-    out = with_plan(out, settled, ("source", "__mix_cls"), [F.col(c).alias(f"__mix_{c}") for c in names])
+    out = with_plan(out, settled, ("source", "__mix_cls"), [F.col(c).alias(f"__mix_{c}") for c in names], F.col("__mix_digest"))
     q = _pareto(F.col("__mix_digest"), F.col("__mix_size"), F.col("__mix_draws"), F.col("__mix_n"), F.col("__mix_words"))
     taken = F.when(F.col("__mix_draws") >= F.col("__mix_n"), F.lit(1)).when(
         (F.col("__mix_draws") > 0) & ((q < F.col("__mix_end_q")) | ((q == F.col("__mix_end_q")) & (F.col("__mix_digest") <= F.col("__mix_end_digest")))), F.lit(1)
@@ -168,3 +178,45 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"),
         (F.col("__mix_copies") * F.col("__mix_size")).alias("taken"), F.col("__mix_copies").alias("copies"),
     )
+
+
+_SAME = "IS NOT DISTINCT FROM"
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {WEIGHTS} + 1)::DOUBLE AS weight, {MOST}::DOUBLE * source_size AS cap FROM s
+), v AS (
+  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+  FROM w WINDOW f AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, CASE WHEN level > cap / weight THEN cap ELSE max(CASE WHEN NOT level > cap / weight THEN level END) OVER () * weight END AS target FROM v
+), t2 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM t
+), t3 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN (target - certain * source_size::DOUBLE) / source_size ELSE 0 END AS rest FROM t2
+), k AS (
+  SELECT *, CASE WHEN size <= 0 THEN 0 ELSE 4 * (length(bin(size)) - 1) + floor(size * 4 / pow(2.0, length(bin(size)) - 1))::INT - 3 END AS cls,
+    md5('10|' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM d
+), c AS (
+  SELECT source, cls, count(*) AS n, sum(size)::BIGINT AS words, sum(size::HUGEINT * size)::DOUBLE AS squares FROM k GROUP BY source, cls
+), o AS (
+  SELECT c.*, rest, row_number() OVER (PARTITION BY c.source ORDER BY cls DESC) AS nth FROM c JOIN t3 ON c.source {_SAME} t3.source WHERE words > 0
+), r AS (
+  SELECT source, cls, nth, draws, surplus + rest * words - draws * (squares / words) AS surplus
+  FROM (SELECT *, 0::DOUBLE AS surplus, least(greatest(floor((0::DOUBLE + rest * words) / (squares / words) + 0.5)::BIGINT, 0), n) AS draws FROM o WHERE nth = 1)
+  UNION ALL
+  SELECT source, cls, nth, draws, surplus + rest * words - draws * (squares / words) AS surplus
+  FROM (SELECT o.*, r.surplus, least(greatest(floor((r.surplus + o.rest * words) / (squares / words) + 0.5)::BIGINT, 0), n) AS draws FROM r JOIN o ON o.source {_SAME} r.source AND o.nth = r.nth + 1)
+), p AS (
+  SELECT k.*, t3.source_size, t3.target, t3.certain, c.n, coalesce(r.draws, 0) AS draws, least(coalesce(r.draws, 0) * size / c.words, 1.0) AS p,
+    (('0x' || substr(digest, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM k JOIN t3 ON k.source {_SAME} t3.source JOIN c ON k.source {_SAME} c.source AND k.cls = c.cls LEFT JOIN r ON k.source {_SAME} r.source AND k.cls = r.cls
+), q AS (
+  SELECT *, rank() OVER (PARTITION BY source, cls ORDER BY CASE WHEN draws > 0 THEN (u / (1 - u)) * ((1 - p) / p) END, digest) AS place FROM p
+)
+SELECT doc_id, size, source_size, target, (certain + CASE WHEN draws >= n OR place <= draws THEN 1 ELSE 0 END)::BIGINT * size AS taken,
+  (certain + CASE WHEN draws >= n OR place <= draws THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM q
+"""

@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op9_minhash": minhash.OP9_SQL,
+        "op10_mixing": mixing.OP10_SQL,
     }

@@ -275,6 +275,31 @@ def test_near_duplicates_of_short_texts(docs, least):
     assert {r["doc_id"]: (r["__nd_shingles"], r["__nd_class"]) for r in minhash.near_duplicates(docs(rows), least).collect()} == expected
 
 
+def test_near_duplicates_of_ten_and_eleven_words(docs):
+    """300 pairs of which one text has a word more, at a random place of either end: each is found."""
+    random.seed(37)
+    rows = []
+    for base in range(300):
+        own = [f"p{base}x{i}" for i in range(11)]
+        rows += [" ".join(own), " ".join(own[1:] if base % 2 else own[:-1])]
+    found = {r["doc_id"]: r["__nd_class"] for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert all(found[2 * k + 2] == 2 * k + 1 for k in range(300))
+
+
+def test_near_duplicates_without_broadcasts(docs, monkeypatch):
+    random.seed(41)
+    rows = []
+    for base in range(20):
+        own = [f"q{base}x{i}" for i in range(60)]
+        for _ in range(3):
+            copy = list(own)
+            copy[random.randrange(60)] = "other"
+            rows.append(" ".join(copy))
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    expected = _classes(list(enumerate(rows, 1)), 80)
+    assert {r["doc_id"]: (r["__nd_shingles"], r["__nd_class"]) for r in minhash.near_duplicates(docs(rows), 80).collect()} == expected
+
+
 def test_near_duplicates_of_small_and_large_sets(docs):
     """Pairs on both sides of the size from which registers are those of buckets."""
     rows = [words(n, 10_000 * k) for k, low in enumerate((1600, 1800, 1990, 2003, 2300)) for n in (low, low * 115 // 100)]

@@ -5,11 +5,12 @@ from collections import Counter
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from agorafold.llm import decontaminate, mixing, quality_rules, sharding, substring_dedup, token_counts
+from agorafold.llm import decontaminate, mixing, quality_rules, sharding, substring_dedup, token_counts, wordhash
 from tests.llm.conftest import EDGES, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +59,18 @@ def test_decontamination_equals_brute_force(spark, docs):
         assert (row["__dc_words"], len(row["__dc_hit"]), set(row["__dc_items"])) == (n, hit, {str(x) for x in named}), text
 
 
+def test_decontamination_without_broadcasts(spark, docs, monkeypatch):
+    """The same hits where the sets are too large to be broadcast."""
+    random.seed(5)
+    benchmark = spark.createDataFrame([(i, words(15, 20 * i)) for i in range(20)] + [(99, "w3 w4")], "item_id long, text string")
+    texts = [f"{words(12, random.randint(0, 400))} and {words(9, random.randint(0, 400))}" for _ in range(60)]
+    rows = lambda: sorted((r["doc_id"], r["__dc_hit"], r["__dc_items"]) for r in decontaminate.decontaminate(docs(texts), benchmark).collect())
+    expected = rows()
+    assert any(hit for _, hit, _ in expected)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert rows() == expected
+
+
 def test_decontamination_removes_spans_and_documents(spark, docs):
     item = words(10, 500)
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -129,6 +142,25 @@ def test_substring_dedup_equals_brute_force(docs):
     assert sorted((r["doc_id"], r["__sd_words"], r["__sd_removed"], r["__sd_kept"]) for r in found) == _removed(list(enumerate(texts, 1)))
 
 
+def test_substring_dedup_with_a_full_sketch(docs):
+    """Nearly every cell is full: the windows all go to the exact step, with the same result."""
+    random.seed(22)
+    passages = [words(random.randint(10, 40), 1000 * i) for i in range(6)]
+    texts = [" ".join(random.choice([random.choice(passages), words(random.randint(1, 30), random.randint(0, 10**6))]) for _ in range(random.randint(0, 6))) for _ in range(60)]
+    found = substring_dedup.remove_repeats(docs(texts), most_bits=7).collect()
+    assert sorted((r["doc_id"], r["__sd_words"], r["__sd_removed"], r["__sd_kept"]) for r in found) == _removed(list(enumerate(texts, 1)))
+
+
+def test_long_texts_are_hashed_in_chunks(monkeypatch):
+    random.seed(14)
+    texts = pa.array([" ".join("".join(random.choice("abcé") for _ in range(random.choice([1, 3, 8, 500]))) for _ in range(80)), "x" * 3000, None, "", "a b"])
+    whole = wordhash.words(texts)
+    expected = [whole.hashes(0), whole.hashes(1)]
+    monkeypatch.setattr(wordhash, "CHUNK", 64)
+    monkeypatch.setattr(wordhash, "_POWERS", {k: wordhash._powers(b, 64) for k, b in wordhash._BASE.items()})
+    assert all((wordhash.words(texts).hashes(k) == expected[k]).all() for k in (0, 1))
+
+
 def test_substring_dedup_of_edges(docs):
     found = sorted(((r["doc_id"] or 0, r["__sd_removed"]) for r in substring_dedup.remove_repeats(docs(EDGES)).collect()))
     assert len(found) == len(EDGES) and (6, 30) in found and found.count((5, 0)) == 2
@@ -173,6 +205,16 @@ def test_mixing_meets_targets(spark, docs):
     assert copies.columns == docs([]).columns and copies.count() == sum(r["__mix_copies"] for r in mixed)
 
 
+def test_mixing_with_many_sources(docs, monkeypatch):
+    """A plan too large to be broadcast is joined under salted keys, with the same draws."""
+    random.seed(5)
+    rows = [(i, words(random.choice([1, 5, 20])), random.choice(["hot"] * 20 + [f"s{k}" for k in range(30)] + [None])) for i in range(400)]
+    drawn = lambda: sorted((r["doc_id"], r["__mix_copies"], r["__mix_target"]) for r in mixing.mix(docs(rows)).collect())
+    expected = drawn()
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert drawn() == expected
+
+
 def test_mixing_of_edges(docs):
     found = mixing.mix(docs(EDGES)).collect()
     assert len(found) == len(EDGES) and all(r["__mix_copies"] is not None for r in found)
@@ -297,3 +339,6 @@ def test_sql_counterparts_agree_on_fixture(spark, docs, tmp_path):
     expected = con.sql(f"select doc_id, n_words, n_removed, kept_sha256 from ({substring_dedup.OP6_SQL})").fetchall()
     assert sorted(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == sorted(expected)
     assert hashlib.sha256(b"").hexdigest() in {r[3] for r in expected}
+    mixed = mixing.op10_mixing(spark, f"file://{tmp_path}/t").select("doc_id", "size", "source_size", "target", "taken")
+    expected = con.sql(f"select doc_id, size, source_size, target, taken from ({mixing.OP10_SQL})").fetchall()
+    assert sorted(map(tuple, mixed.collect())) == sorted(expected)
