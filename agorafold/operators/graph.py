@@ -72,6 +72,6 @@ def observer_mutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts without any post."""
+    """Accounts without a live root post."""
     accounts = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"))
-    return accounts.exceptAll(tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account")).distinct())
+    return accounts.exceptAll(tables.roots(tables.live_posts(spark, sf_dir)).select(F.col("author").alias("account")).distinct())

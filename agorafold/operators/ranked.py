@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agorafold.operators import graph, paging
@@ -16,19 +16,22 @@ def _scores(rows: DataFrame, score: str, places: int = 3) -> DataFrame:
     return rows.select("id", "author", "category", F.round(F.col(score).cast("double"), places).alias("score"))
 
 
-def candidates(spark: SparkSession, sf_dir: str, sort: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, sort: str, bridge: bool = True) -> DataFrame:
     """Rows and order column of one sort: live posts under its own conditions.
 
-    trending, hot and created list root and other posts of the model alike;
-    payout_comments lists replies; muted lists grayed authors' paid posts.
+    trending, hot and created list root posts; payout lists what is due within
+    a day, of any depth, or, for callers other than the bridge, root posts at
+    any time; payout_comments lists replies, muted grayed authors' posts.
     """
     if sort in ("trending", "hot"):
-        rows = tables.scored_posts(spark, sf_dir).where(~F.col("paid"))
+        rows = tables.roots(tables.scored_posts(spark, sf_dir)).where(~F.col("paid"))
         return rows.withColumn("rank_by", F.col("sc_trend" if sort == "trending" else "sc_hot"))
     live = tables.live_posts(spark, sf_dir)
     if sort == "created":
-        return live.where(~F.col("grayed")).withColumn("rank_by", F.col("id"))
+        return tables.roots(live).where(~F.col("grayed")).withColumn("rank_by", F.col("id"))
     open_posts = live.where(~F.col("paid")).withColumn("rank_by", F.col("payout"))
+    if sort == "payout" and not bridge:
+        return tables.roots(open_posts)
     if sort == "payout":
         head = live.agg(F.max("created").alias("head"))
         at = F.col("created") + F.expr(f"interval {PAYOUT_DAYS} days")
@@ -41,9 +44,11 @@ def candidates(spark: SparkSession, sf_dir: str, sort: str) -> DataFrame:
     raise ValueError(f"no such order: {sort}")
 
 
-def ranked(spark: SparkSession, sf_dir: str, sort: str, tag: str | None = None, community: int | None = None, observer: int | None = None, last: int | None = None, limit: int = paging.LIMIT, mutes_of: int | None = None) -> DataFrame:
-    """One page of a sort within a scope; posts by authors whom ``mutes_of`` mutes are left out."""
-    rows = candidates(spark, sf_dir, sort)
+def ranked(spark: SparkSession, sf_dir: str, sort: str, tag: str | None = None, community: int | None = None, observer: int | None = None, last: int | None = None, limit: int = paging.LIMIT, mutes_of: int | None = None, without: int = 0, bridge: bool = True) -> DataFrame:
+    """One page of a sort within a scope; posts by authors whom ``mutes_of`` mutes, or with a reason in the mask ``without``, are left out."""
+    rows = candidates(spark, sf_dir, sort, bridge)
+    if without:
+        rows = rows.where(reasons().bitwiseAND(F.lit(without)) == 0)
     if tag is not None:
         tagged = tables.tags(spark, sf_dir).where(F.col("tag") == tag).select("post")
         rows = rows.join(tagged, F.col("id") == F.col("post"), "left_semi")
@@ -56,6 +61,36 @@ def ranked(spark: SparkSession, sf_dir: str, sort: str, tag: str | None = None,
     return paging.page(rows, "rank_by", last, limit)
 
 
+def reasons() -> Column:
+    """The mask of a post's own reasons for muting: its community's kind (bit 1), its author's reputation (bit 3)."""
+    return F.when(F.col("community") % 7 == 0, 1 << 1).otherwise(0).bitwiseOR(F.when(F.col("grayed"), 1 << 3).otherwise(0))
+
+
+SORTS = ("trending", "hot", "created", "payout", "payout_comments", "muted")
+SCOPES = {"all": {}, "tag": {"tag": TAG}, "community": {"community": COMMUNITY}, "my": {"observer": OBSERVER}}
+#: Pairs that have a query by another name below.
+NAMED = {("trending", "all"), ("hot", "all"), ("created", "all"), ("payout", "all"), ("payout_comments", "all"), ("muted", "all"), ("trending", "tag"), ("trending", "community"), ("hot", "my")}
+
+
+def pairs() -> dict:
+    """A query for every other pair of order and scope."""
+
+    def query(sort: str, scope: str):
+        return lambda spark, sf_dir: _scores(ranked(spark, sf_dir, sort, **SCOPES[scope]), "rank_by")
+
+    return {f"ranked_{sort}_{scope}": query(sort, scope) for sort in SORTS for scope in SCOPES if (sort, scope) not in NAMED}
+
+
+def ranked_without_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trending posts without those that a community's kind or a reputation mutes."""
+    return _scores(ranked(spark, sf_dir, "trending", without=(1 << 1) | (1 << 3)), "rank_by")
+
+
+def ranked_payout_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payouts as callers other than the bridge see them: root posts at any time."""
+    return _scores(ranked(spark, sf_dir, "payout", bridge=False), "rank_by")
+
+
 def ranked_trending_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(ranked(spark, sf_dir, "trending"), "rank_by")
 
@@ -119,9 +154,8 @@ def observer_mute_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(ranked(spark, sf_dir, "trending", mutes_of=OBSERVER), "rank_by")
 
 
-def star_join_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole posts of a page: the page is found first, then joined to what describes it."""
-    page = _scores(ranked(spark, sf_dir, "trending"), "rank_by")
+def described(spark: SparkSession, sf_dir: str, page: DataFrame) -> DataFrame:
+    """Whole posts of a page (id, score), in its order: the page is found first, then joined to what describes it."""
     posts = tables.posts(spark, sf_dir)
     people = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nations = tables.read(spark, sf_dir, "nation")
@@ -136,4 +170,10 @@ def star_join_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(above, "parent", "left")
         .join(names, "parent_author_id", "left")
         .select("id", F.col("c_name").alias("author_name"), F.col("n_name").alias("community_title"), F.col("r_name").alias("region_name"), "category", "payout", "score", "parent", "parent_author")
+        .orderBy(F.col("score").desc_nulls_last(), F.col("id").desc())
     )
+
+
+def star_join_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole posts of the first trending page."""
+    return described(spark, sf_dir, _scores(ranked(spark, sf_dir, "trending"), "rank_by"))

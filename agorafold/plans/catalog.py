@@ -10,7 +10,7 @@ FLAGSHIP = "ranked_trending_all"
 _BY_MODULE = {
     ranked: (
         "ranked_trending_all ranked_hot_all ranked_created_all ranked_payout_window ranked_payout_comments ranked_muted ranked_by_tag ranked_by_community "
-        "ranked_my_hot ranked_my_lateral_topk ranked_pinned_two_tier keyset_page_two observer_mute_filter star_join_view"
+        "ranked_my_hot ranked_my_lateral_topk ranked_pinned_two_tier keyset_page_two observer_mute_filter star_join_view ranked_without_reasons ranked_payout_roots"
     ),
     accounts: "account_posts account_replies account_payout account_feed blog_entries account_info reputation_display profile_fields",
     voting: "vote_rollup votes_by_comment_voter votes_by_voter_comment vote_last_merge last_value_filter vote_value_score first_last_dedup latest_votes",
@@ -23,8 +23,9 @@ _BY_MODULE = {
 
 
 def queries() -> dict:
-    return {name: getattr(module, name) for module, names in _BY_MODULE.items() for name in names.split()}
+    return {name: getattr(module, name) for module, names in _BY_MODULE.items() for name in names.split()} | ranked.pairs()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    pairs = {f"ranked_{sort}_{scope}": oracles.ranked_pair(sort, scope) for sort in ranked.SORTS for scope in ranked.SCOPES if (sort, scope) not in ranked.NAMED}
+    return oracles.SQL | pairs

@@ -9,7 +9,7 @@ from agorafold.operators.search import K1, B, QUERY
 
 _P = """p AS (
   SELECT o_orderkey AS id, o_custkey AS author, o_orderdate AS created, o_totalprice::DECIMAL(10,3) AS payout, o_orderstatus = 'F' AS paid,
-    o_orderpriority AS category, c_nationkey AS community, c_acctbal < 0 AS grayed, o_totalprice < 5000 AS deleted,
+    o_orderpriority AS category, c_nationkey AS community, c_acctbal < 0 AS grayed, o_orderkey % 50 = 7 AS deleted,
     CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey // 3 END AS parent
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey), l AS (SELECT * FROM p WHERE NOT deleted)"""
 _V = """v AS (
@@ -25,7 +25,7 @@ _S = f"""s AS (
 _G = "g AS (SELECT DISTINCT l_orderkey AS post, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _F = "f AS (SELECT DISTINCT l_suppkey AS follower, o_custkey AS following FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A')"
 _M = "m AS (SELECT DISTINCT l_suppkey AS follower, o_custkey AS following FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 45)"
-_FM = "fm AS (SELECT a.s_suppkey AS follower, b.s_suppkey AS following FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)"
+_FM = "fm AS (SELECT a.s_suppkey AS follower, b.s_suppkey AS following FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE b.s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 45))"
 _MB = """mb AS (
   SELECT following AS muted FROM m WHERE follower = 1
   UNION SELECT m.following FROM m JOIN fm ON fm.following = m.follower WHERE fm.follower = 1)"""
@@ -54,28 +54,42 @@ _BM25_N = ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS n{i}"
 _BM25_D = ", ".join(f"count(*) FILTER (n{i} > 0) AS d{i}" for i in range(len(QUERY)))
 _RAW = "(round(c_acctbal * 100)::BIGINT * 10000000000)"
 
+#: Of each order its rows and what it ranks by.
+_SORTS = {
+    "trending": ("s", "NOT paid AND parent IS NULL", "sc_trend"), "hot": ("s", "NOT paid AND parent IS NULL", "sc_hot"), "created": ("l", "NOT grayed AND parent IS NULL", "id"),
+    "payout": ("l, (SELECT max(created) AS head FROM l)", "NOT paid AND created + INTERVAL 7 DAY BETWEEN head + INTERVAL 12 HOUR AND head + INTERVAL 36 HOUR", "payout"),
+    "payout_comments": ("l", "NOT paid AND parent IS NOT NULL", "payout"), "muted": ("l", "NOT paid AND grayed AND payout > 0", "payout"),
+}
+_SCOPES = {"all": "TRUE", "tag": "id IN (SELECT post FROM g WHERE tag = 'Brand#13')", "community": "community = 7", "my": "community IN (SELECT community FROM sub)"}
+
+
+def ranked_pair(sort: str, scope: str) -> str:
+    rows, when, score = _SORTS[sort]
+    return _top(f"{_SCORED}, {_G}, {_F}, {_SUB}", f"{rows} WHERE {when} AND {_SCOPES[scope]}", score)
+
+
 SQL = {
-    "ranked_trending_all": _top(_SCORED, "s WHERE NOT paid", "sc_trend"),
-    "ranked_hot_all": _top(_SCORED, "s WHERE NOT paid", "sc_hot"),
-    "ranked_created_all": _top(_P, "l WHERE NOT grayed", "id"),
+    "ranked_trending_all": _top(_SCORED, "s WHERE NOT paid AND parent IS NULL", "sc_trend"),
+    "ranked_hot_all": _top(_SCORED, "s WHERE NOT paid AND parent IS NULL", "sc_hot"),
+    "ranked_created_all": _top(_P, "l WHERE NOT grayed AND parent IS NULL", "id"),
     "ranked_payout_window": _top(_P, "l, (SELECT max(created) AS head FROM l) WHERE NOT paid AND created + INTERVAL 7 DAY BETWEEN head + INTERVAL 12 HOUR AND head + INTERVAL 36 HOUR", "payout"),
     "ranked_payout_comments": _top(_P, "l WHERE NOT paid AND parent IS NOT NULL", "payout"),
     "ranked_muted": _top(_P, "l WHERE NOT paid AND grayed AND payout > 0", "payout"),
-    "ranked_by_tag": _top(f"{_SCORED}, {_G}", "s WHERE NOT paid AND id IN (SELECT post FROM g WHERE tag = 'Brand#13')", "sc_trend"),
-    "ranked_by_community": _top(_SCORED, "s WHERE NOT paid AND community = 7", "sc_trend"),
-    "ranked_my_hot": _top(f"{_SCORED}, {_F}, {_SUB}", "s WHERE NOT paid AND community IN (SELECT community FROM sub)", "sc_hot"),
+    "ranked_by_tag": _top(f"{_SCORED}, {_G}", "s WHERE NOT paid AND parent IS NULL AND id IN (SELECT post FROM g WHERE tag = 'Brand#13')", "sc_trend"),
+    "ranked_by_community": _top(_SCORED, "s WHERE NOT paid AND parent IS NULL AND community = 7", "sc_trend"),
+    "ranked_my_hot": _top(f"{_SCORED}, {_F}, {_SUB}", "s WHERE NOT paid AND parent IS NULL AND community IN (SELECT community FROM sub)", "sc_hot"),
     "ranked_my_lateral_topk": f"""WITH {_P}, {_F}, {_SUB}
       SELECT id, author, category, community FROM (
-        SELECT *, row_number() OVER (PARTITION BY community ORDER BY id DESC) AS rn FROM l WHERE NOT grayed AND community IN (SELECT community FROM sub))
+        SELECT *, row_number() OVER (PARTITION BY community ORDER BY id DESC) AS rn FROM l WHERE NOT grayed AND parent IS NULL AND community IN (SELECT community FROM sub))
       WHERE rn <= 5 ORDER BY id DESC LIMIT 20""",
-    "ranked_pinned_two_tier": f"""WITH {_SCORED}, c AS (SELECT *, category = '1-URGENT' AND payout > 400000 AS pinned FROM s WHERE NOT paid AND community = 7),
+    "ranked_pinned_two_tier": f"""WITH {_SCORED}, c AS (SELECT *, category = '1-URGENT' AND payout > 400000 AS pinned FROM s WHERE NOT paid AND parent IS NULL AND community = 7),
       t AS (SELECT * FROM (SELECT id, 0 AS tier, NULL::FLOAT AS sc FROM c WHERE pinned ORDER BY id DESC LIMIT 20)
         UNION ALL SELECT * FROM (SELECT id, 1 AS tier, sc_trend AS sc FROM c WHERE NOT pinned ORDER BY sc_trend DESC, id DESC LIMIT 20))
       SELECT id, tier, round(sc::DOUBLE, 3) AS score FROM t ORDER BY tier, sc DESC NULLS LAST, id DESC LIMIT 20""",
-    "keyset_page_two": f"""WITH {_SCORED}, c AS (SELECT *, row_number() OVER (ORDER BY sc_trend DESC, id DESC) AS rn FROM s WHERE NOT paid)
+    "keyset_page_two": f"""WITH {_SCORED}, c AS (SELECT *, row_number() OVER (ORDER BY sc_trend DESC, id DESC) AS rn FROM s WHERE NOT paid AND parent IS NULL)
       SELECT id, author, category, round(sc_trend::DOUBLE, 3) AS score FROM c WHERE rn BETWEEN 21 AND 40""",
-    "observer_mute_filter": _top(f"{_SCORED}, {_M}, {_FM}, {_MB}", "s WHERE NOT paid AND author NOT IN (SELECT muted FROM mb)", "sc_trend"),
-    "star_join_view": f"""WITH {_SCORED}, t AS (SELECT * FROM s WHERE NOT paid ORDER BY sc_trend DESC, id DESC LIMIT 20)
+    "observer_mute_filter": _top(f"{_SCORED}, {_M}, {_FM}, {_MB}", "s WHERE NOT paid AND parent IS NULL AND author NOT IN (SELECT muted FROM mb)", "sc_trend"),
+    "star_join_view": f"""WITH {_SCORED}, t AS (SELECT * FROM s WHERE NOT paid AND parent IS NULL ORDER BY sc_trend DESC, id DESC LIMIT 20)
       SELECT t.id, a.c_name AS author_name, n_name AS community_title, r_name AS region_name, t.category, t.payout, round(sc_trend::DOUBLE, 3) AS score, t.parent, b.c_name AS parent_author
       FROM t LEFT JOIN customer a ON a.c_custkey = t.author LEFT JOIN nation ON n_nationkey = a.c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
       LEFT JOIN p q ON q.id = t.parent LEFT JOIN customer b ON b.c_custkey = q.author""",
@@ -86,7 +100,7 @@ SQL = {
       SELECT follower, following, bool_or(kind = 'follows') AS follows, bool_or(kind = 'ignores') AS ignores, bool_or(kind = 'blacklists') AS blacklists,
         bool_or(kind = 'follows_blacklists') AS follows_blacklists, bool_or(kind = 'follows_muted') AS follows_muted FROM e GROUP BY 1, 2""",
     "observer_mutes": f"WITH {_M}, {_FM} SELECT follower AS observer, following AS muted FROM m UNION SELECT fm.follower, m.following FROM fm JOIN m ON fm.following = m.follower",
-    "missing_accounts": "SELECT c_custkey AS account FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "missing_accounts": f"WITH {_P} SELECT c_custkey AS account FROM customer EXCEPT SELECT author FROM l WHERE parent IS NULL",
     "account_posts": f"WITH {_P} SELECT id, created, category, payout FROM l WHERE author = 7 ORDER BY id DESC LIMIT 20",
     "account_replies": f"WITH {_P} SELECT c.id, c.author, c.parent, c.created FROM l c JOIN l o ON c.parent = o.id WHERE o.author = 7 ORDER BY c.id DESC LIMIT 20",
     "account_payout": f"WITH {_P} SELECT id, payout, category FROM l WHERE author = 7 AND NOT paid ORDER BY payout DESC, id DESC LIMIT 20",
@@ -163,4 +177,6 @@ SQL = {
       SELECT doc_id FROM d WHERE (contains(t, ' the ') OR lower(lang) = 'the') AND NOT (contains(t, ' idiot ') OR lower(lang) = 'idiot') AND lower(lang) = 'en'""",
     "tag_normalise": r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda x: left(lower(regexp_replace(x, '[#\s]', '', 'g')), 32)), lambda x: x <> ''))) AS t FROM documents)
       SELECT doc_id, len(t)::INT AS n_tags, md5(array_to_string(t, ',')) AS tags_md5 FROM d""",
+    "ranked_without_reasons": _top(_SCORED, "s WHERE NOT paid AND parent IS NULL AND NOT grayed AND coalesce(community % 7, 1) <> 0", "sc_trend"),
+    "ranked_payout_roots": _top(_P, "l WHERE NOT paid AND parent IS NULL", "payout"),
 }

@@ -24,7 +24,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("created"),
         F.col("o_totalprice").cast("decimal(10,3)").alias("payout"), (F.col("o_orderstatus") == "F").alias("paid"),
         F.col("o_orderpriority").alias("category"), F.col("c_nationkey").alias("community"), "grayed",
-        (F.col("o_totalprice") < 5000).alias("deleted"),
+        (F.col("o_orderkey") % 50 == 7).alias("deleted"),
         F.when(F.col("o_orderkey") % 10 != 0, F.expr("o_orderkey div 3")).alias("parent"),
     )
 
@@ -33,6 +33,22 @@ def live_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).where(~F.col("deleted"))
 
 
+def roots(rows: DataFrame) -> DataFrame:
+    """Posts of depth 0."""
+    return rows.where(F.col("parent").isNull())
+
+
+def replies(rows: DataFrame) -> DataFrame:
+    """Posts of depth above 0."""
+    return rows.where(F.col("parent").isNotNull())
+
+
+def reblogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account, post, at: who replies to a post shares it; its first reply counts."""
+    shared = replies(live_posts(spark, sf_dir))
+    return shared.groupBy(F.col("author").alias("account"), F.col("parent").alias("post")).agg(F.min("created").alias("at"))
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """post, voter, rshares, effective, at."""
     rshares = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -65,9 +81,10 @@ def mutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def followed_mute_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers follow the mute lists of the others of their nation."""
+    """Suppliers follow the mute lists of the others of their nation: those who mute anyone."""
     left = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("follower"), "s_nationkey")
-    right = left.withColumnRenamed("follower", "following")
+    lists = mutes(spark, sf_dir).select(F.col("follower").alias("m")).distinct()
+    right = left.withColumnRenamed("follower", "following").join(lists, F.col("following") == F.col("m"), "left_semi")
     return left.join(right, "s_nationkey").where("follower <> following").select("follower", "following")
 
 

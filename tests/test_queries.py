@@ -29,7 +29,8 @@ def duck():
 def test_query_equals_sql(spark, duck, name):
     found = catalog.queries()[name](spark, SF_DIR)
     columns = sorted(found.columns)
-    expected = duck.sql(f"select {', '.join(columns)} from ({catalog.oracle_sql()[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    expected = duck.sql(f"select {quoted} from ({catalog.oracle_sql()[name]})").fetchall()
     rows = found.select(*columns).collect()
     assert sorted(tuple(map(_plain, r)) for r in rows) == sorted(tuple(map(_plain, r)) for r in expected)
 
