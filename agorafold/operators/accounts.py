@@ -12,26 +12,54 @@ from agorafold.sources import tables
 ACCOUNT, FOLLOWER = 7, 3
 
 
-def account_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.live_posts(spark, sf_dir).where(F.col("author") == ACCOUNT)
-    return paging.top(rows, "id").select("id", "created", "category", "payout")
+def account_posts(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
+    rows = tables.live_posts(spark, sf_dir).where(F.col("author") == account)
+    return paging.page(rows, "id", last, limit).select("id", "created", "category", "payout")
 
 
-def account_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def account_blog(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
+    """Root posts of an account and posts that it shared, the newest first."""
+    live = tables.live_posts(spark, sf_dir)
+    own = tables.roots(live).where(F.col("author") == account).select("id", "created")
+    shared = tables.reblogs(spark, sf_dir).where(F.col("account") == account).select(F.col("post").alias("id"), F.col("at").alias("created"))
+    entries = own.unionByName(shared).groupBy("id").agg(F.min("created").alias("entered")).join(live.select("id", "author"), "id")
+    return paging.page(entries, "entered", last, limit).select("id", "author", "entered")
+
+
+def account_comments(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
+    """Replies that an account wrote."""
+    rows = tables.replies(tables.live_posts(spark, sf_dir)).where(F.col("author") == account)
+    return paging.page(rows, "id", last, limit).select("id", "parent", "created")
+
+
+def account_posts_by_tag(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, tag: str = "Brand#21", last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
+    """Posts of an account with a tag."""
+    rows = tables.live_posts(spark, sf_dir).where(F.col("author") == account)
+    tagged = tables.tags(spark, sf_dir).where(F.col("tag") == tag)
+    return paging.page(rows.join(tagged, F.col("id") == F.col("post"), "left_semi"), "id", last, limit).select("id", "created", "category")
+
+
+def account_posts_before(spark: SparkSession, sf_dir: str, account: int = 6, before: str = "2000-01-01", limit: int = 10) -> DataFrame:
+    """Root posts of an account from before a date."""
+    rows = tables.roots(tables.live_posts(spark, sf_dir)).where((F.col("author") == account) & (F.col("created") < F.lit(before).cast("timestamp_ntz")))
+    return paging.top(rows, "created", limit).select("id", "created", "payout")
+
+
+def account_replies(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
     """Replies by anyone to posts of one account."""
     live = tables.live_posts(spark, sf_dir)
-    own = live.where(F.col("author") == ACCOUNT).select(F.col("id").alias("parent"))
-    return paging.top(live.join(own, "parent"), "id").select("id", "author", "parent", "created")
+    own = live.where(F.col("author") == account).select(F.col("id").alias("parent"))
+    return paging.page(live.join(own, "parent"), "id", last, limit).select("id", "author", "parent", "created")
 
 
-def account_payout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.live_posts(spark, sf_dir).where((F.col("author") == ACCOUNT) & ~F.col("paid"))
-    return paging.top(rows, "payout").select("id", "payout", "category")
+def account_payout(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
+    rows = tables.live_posts(spark, sf_dir).where((F.col("author") == account) & ~F.col("paid"))
+    return paging.page(rows, "payout", last, limit).select("id", "payout", "category")
 
 
-def account_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def account_feed(spark: SparkSession, sf_dir: str, account: int = FOLLOWER, limit: int = 50) -> DataFrame:
     """Posts that followed accounts wrote or voted for, each once, with those accounts' names."""
-    followed = tables.follows(spark, sf_dir).where(F.col("follower") == FOLLOWER).select("following")
+    followed = tables.follows(spark, sf_dir).where(F.col("follower") == account).select("following")
     live = tables.live_posts(spark, sf_dir)
     names = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     own = live.select("id", F.col("author").alias("by"), F.col("created").alias("at"))
@@ -39,15 +67,16 @@ def account_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = own.unionByName(shared).join(followed, F.col("by") == F.col("following"), "left_semi")
     named = entries.join(names, entries.by == names.c_custkey)
     feed = named.groupBy("id").agg(F.min("at").alias("first_at"), F.array_join(F.array_sort(F.collect_set("c_name")), ",").alias("names"))
-    return feed.orderBy(F.col("first_at").desc(), F.col("id").desc()).limit(50)
+    return feed.orderBy(F.col("first_at").desc(), F.col("id").desc()).limit(limit)
 
 
-def blog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An account's posts numbered from 0; a page from the end."""
-    rows = tables.live_posts(spark, sf_dir).where(F.col("author") == ACCOUNT)
+def blog_entries(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, start: int | None = None, limit: int = 10) -> DataFrame:
+    """An account's posts numbered from 0; a page that ends at entry ``start``, by default the last one."""
+    rows = tables.live_posts(spark, sf_dir).where(F.col("author") == account)
     numbered = rows.withColumn("entry", F.row_number().over(Window.partitionBy("author").orderBy("created", "id")) - 1)
     last = Window.partitionBy("author")
-    return numbered.withColumn("last", F.max("entry").over(last)).where(F.col("entry") > F.col("last") - 10).select("author", "entry", "id", "created")
+    end = F.max("entry").over(last) if start is None else F.lit(start)
+    return numbered.withColumn("last", end).where((F.col("entry") > F.col("last") - limit) & (F.col("entry") <= F.col("last"))).select("author", "entry", "id", "created")
 
 
 def account_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +90,19 @@ def account_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("account", "name", F.coalesce("post_count", F.lit(0)).alias("post_count"), F.greatest("last_post", "last_vote").alias("active_at"))
 
 
-def reputation_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reputation_display(spark: SparkSession, sf_dir: str, start: int | None = None, limit: int | None = None) -> DataFrame:
+    """Raw and shown reputations of all accounts, or of ``limit`` from one on."""
     raw = F.round(F.col("c_acctbal") * 100).cast("long") * 10_000_000_000
     rows = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), raw.alias("raw"))
+    rows = rows if start is None else rows.where(F.col("account") >= start)
+    rows = rows if limit is None else rows.orderBy("account").limit(limit)
     return rows.select("account", "raw", reputation.display(F.col("raw")).cast("double").alias("reputation"), reputation.notification_score(F.col("raw")).alias("score"))
 
 
-def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles from metadata documents made of the accounts' names and segments."""
-    accounts = tables.read(spark, sf_dir, "customer")
+def profile_fields(spark: SparkSession, sf_dir: str, accounts: list[int] | None = None) -> DataFrame:
+    """Profiles from metadata documents made of the accounts' names and segments; of all accounts or of a list."""
+    chosen, accounts = accounts, tables.read(spark, sf_dir, "customer")
+    accounts = accounts if chosen is None else accounts.where(F.col("c_custkey").isin(*chosen))
     document = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_name")).alias("about"), F.concat(F.col("c_mktsegment"), F.lit(".example.org")).alias("website")).alias("profile")))
     made = accounts.select(F.col("c_custkey").alias("account"), document.alias("posting"))
     found = made.select("account", profiles.profile(F.col("posting"), F.lit("")).alias("p"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from agorafold.operators import paging
 from agorafold.sources import tables
 
 # Topics listed when communities leave room.
@@ -36,12 +37,17 @@ def community_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # one row a community
 
 
-def communities_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def communities_keyset(spark: SparkSession, sf_dir: str, last_rank: int = 5, limit: int = 10, query: str | None = None) -> DataFrame:
     """Communities after a rank, each with its administrators: its three richest suppliers' names in order."""
     suppliers = tables.read(spark, sf_dir, "supplier")
     at = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey"))
     admins = suppliers.withColumn("at", at).where("at <= 3").groupBy(F.col("s_nationkey").alias("community")).agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("admins"))
-    ranks = community_rank(spark, sf_dir).where("rank > 5").orderBy("rank").limit(10)
+    ranks = community_rank(spark, sf_dir).where(F.col("rank") > last_rank)
+    if query is not None:  # all its words are in the title
+        words = F.split(F.lower("title"), r"[^\p{L}\p{N}]+")
+        for word in query.lower().split():
+            ranks = ranks.where(F.array_contains(words, word))
+    ranks = ranks.orderBy("rank").limit(limit)
     return ranks.join(admins, "community", "left").select("community", "title", "rank", "admins")
 
 
@@ -55,12 +61,13 @@ def pop_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(nations, "community").orderBy(F.col("newcomers").desc(), F.col("community").desc()).limit(25).select("community", "title", "newcomers")
 
 
-def trending_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trending_tags(spark: SparkSession, sf_dir: str, start: str | None = None, limit: int = 250) -> DataFrame:
     """Per tag all posts, root posts and open payouts, after a bound on payouts."""
     live = tables.live_posts(spark, sf_dir).where(~F.col("paid"))
     joined = tables.tags(spark, sf_dir).join(live, F.col("post") == F.col("id"))
     sums = joined.groupBy("tag").agg(F.count("*").alias("comments"), F.count_if(F.col("parent").isNull()).alias("top_posts"), F.sum("payout").alias("total_payouts"))
-    return sums.where(F.col("total_payouts") > 0).orderBy(F.col("total_payouts").desc(), F.col("tag").desc()).limit(250)
+    some = sums.where(F.col("total_payouts") > 0)
+    return paging.page(some, "total_payouts", start, limit, tie="tag")
 
 
 def trending_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +77,39 @@ def trending_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.unionByName(fixed).orderBy("place").limit(15)
 
 
-def subscribers_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscribers of a community with their role, in the order of names, after a name."""
-    people = tables.read(spark, sf_dir, "customer").where(F.col("c_nationkey") == 7)
+def _subscribers(spark: SparkSession, sf_dir: str, community: int | None) -> DataFrame:
+    """(community, account, name, role) of one community or all."""
+    people = tables.read(spark, sf_dir, "customer")
+    people = people if community is None else people.where(F.col("c_nationkey") == community)
     staff = tables.read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("lead"))
     joined = people.join(staff, people.c_nationkey == staff.s_nationkey, "left")
     role = F.when(F.col("c_acctbal") < 0, "muted").when(F.col("c_custkey") % 97 == F.col("lead") % 97, "mod").otherwise("guest")
-    return joined.where(F.col("c_name") > "Customer#000000100").orderBy("c_name").limit(100).select(F.col("c_name").alias("name"), role.alias("role"))
+    return joined.select(F.col("c_nationkey").alias("community"), F.col("c_custkey").alias("account"), F.col("c_name").alias("name"), role.alias("role"))
+
+
+def subscribers_roles(spark: SparkSession, sf_dir: str, community: int = 7, start: str = "Customer#000000100", limit: int = 100) -> DataFrame:
+    """Subscribers of a community with their role, in the order of names, after a name."""
+    return _subscribers(spark, sf_dir, community).where(F.col("name") > start).orderBy("name").limit(limit).select("name", "role")
+
+
+def community_roles(spark: SparkSession, sf_dir: str, community: int = 7, start: str = "", limit: int = 100) -> DataFrame:
+    """Those of a community who have a role other than guest."""
+    return _subscribers(spark, sf_dir, community).where((F.col("role") != "guest") & (F.col("name") > start)).orderBy("name").limit(limit).select("name", "role")
+
+
+def all_subscriptions(spark: SparkSession, sf_dir: str, account: int = 7) -> DataFrame:
+    """Communities of one account with its role there."""
+    nations = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("community"), F.col("n_name").alias("title"))
+    return _subscribers(spark, sf_dir, None).where(F.col("account") == account).join(nations, "community").select("community", "title", "role")
+
+
+def community(spark: SparkSession, sf_dir: str, community: int = 7) -> DataFrame:
+    """One community with its rank and sums."""
+    return community_rank(spark, sf_dir).where(F.col("community") == community)
+
+
+def community_context(spark: SparkSession, sf_dir: str, community: int = 7, account: int = 7) -> DataFrame:
+    """What one account is in a community: role and whether it subscribes; a guest where it doesn't."""
+    own = _subscribers(spark, sf_dir, community).where(F.col("account") == account).select("role")
+    found = own.agg(F.max("role").alias("role"))
+    return found.select(F.coalesce("role", F.lit("guest")).alias("role"), F.col("role").isNotNull().alias("subscribed"))

@@ -2,8 +2,10 @@
 
 Each fold is a join and an aggregation by key, so a batch of any size is
 spread by key.  Every state row carries the last block that changed it, and
-operations up to that block are skipped for it: a repeated batch changes
-nothing, and a log cut at block boundaries gives the same state as the whole.
+operations up to that block are skipped for it: a repeated batch, of any age,
+changes nothing, and a log cut at block boundaries gives the same state as the
+whole.  What is deleted stays as a row that says so, with its block, so that an
+older batch can't bring it back.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agorafold.functions import text
+from agorafold.functions import patch, rules, text
 from agorafold.sources import oplog
 
 ACCOUNTS = "name string, created timestamp_ntz, posting_metadata string, json_metadata string, block_num int"
 VOTES = "voter string, author string, permlink string, weight decimal(38,0), rshares bigint, percent int, last_update timestamp_ntz, num_changes int, is_effective boolean, block_num int"
 POSTS = "author string, permlink string, generation int, parent_author string, parent_permlink string, title string, body string, tags array<string>, created timestamp_ntz, updated timestamp_ntz, deleted boolean, block_num int"
-EDGES = "follower string, following string, kind string, block_num int, op_id long"
-REBLOGS = "account string, author string, permlink string, created timestamp_ntz, block_num int"
+#: grp: the group of actions that exclude each other; kind is null for an edge that is gone.
+EDGES = "follower string, following string, grp string, kind string, block_num int, op_id long"
+REBLOGS = "account string, author string, permlink string, created timestamp_ntz, deleted boolean, block_num int"
+OPTIONS = "author string, permlink string, max_payout string, percent int, allow_votes boolean, allow_curation boolean, beneficiaries string, block_num int"
+LAST_READS = "account string, read_at timestamp_ntz, block_num int"
 PAYOUTS = "author string, permlink string, payout decimal(20,3), pending decimal(20,3), is_paid boolean, last_payout timestamp_ntz, block_num int"
 CREATES = ("account_create", "account_create_delegated", "create_claimed_account", "pow", "pow2")
 
@@ -61,7 +66,7 @@ def fold_votes(state: DataFrame, log: DataFrame) -> DataFrame:
     rows = ops.select(
         *[oplog.field(k).alias(k) for k in keys], "op_id", "block_num",
         F.when(plain, oplog.field("weight").cast("int")).alias("p"), F.when(plain, F.col("block_ts")).alias("t"),
-        F.when(~plain, oplog.field("total_vote_weight").cast("decimal(38,0)")).alias("w"), F.when(~plain, oplog.field("rshares").cast("bigint")).alias("r"),
+        F.when(~plain, oplog.field("total_vote_weight").cast("decimal(38,0)")).alias("w"), F.when(~plain, rules.rshares(F.col("block_num"), oplog.field("rshares").cast("bigint"))).alias("r"),
     )
     changes = _newer(rows, state, keys).groupBy(*keys).agg(_last(F.col("p")).alias("p"), _last(F.col("t")).alias("t"), _last(F.col("w")).alias("w"), _last(F.col("r")).alias("r"), F.count("t").alias("n"), F.max("block_num").alias("b"))
     first = F.col("block_num").isNull()
@@ -76,7 +81,8 @@ def fold_posts(state: DataFrame, log: DataFrame) -> DataFrame:
     """Posts by (author, permlink, generation): a comment after a deletion starts the next generation.
 
     Deletions that had no effect are told by an operation of their own and
-    skipped.  An edit keeps the parent and replaces title, body and tags.
+    skipped.  An edit keeps the parent and replaces title and tags, and the
+    body, which it may give as a patch of the one before.
     """
     keys = ["author", "permlink"]
     ops = oplog.scan(log, types=("comment", "delete_comment", "ineffective_delete"))
@@ -95,10 +101,13 @@ def fold_posts(state: DataFrame, log: DataFrame) -> DataFrame:
     read = placed.select(*keys, "generation", "op_id", "block_num", "block_ts", "gone", value("parent_author").alias("pa"), value("parent_permlink").alias("pp"), value("title").alias("ti"), value("body").alias("bo"), F.when(is_comment, text.tags(F.coalesce(tags, F.array()))).alias("ta"))
     first = lambda c: F.min_by(c, F.when(F.col("gone") == 0, F.col("op_id")))
     changes = read.groupBy(*keys, "generation").agg(
-        first("pa").alias("pa"), first("pp").alias("pp"), _last(F.col("ti")).alias("ti"), _last(F.col("bo")).alias("bo"), _last(F.col("ta")).alias("ta"),
+        first("pa").alias("pa"), first("pp").alias("pp"), _last(F.col("ti")).alias("ti"), _last(F.col("bo")).alias("bo"), F.max(F.col("bo").startswith("@@ ")).alias("patched"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("bo").isNotNull(), F.struct("op_id", "bo")))), lambda e: e["bo"]).alias("edits"), _last(F.col("ta")).alias("ta"),
         F.min(F.when(F.col("gone") == 0, F.col("block_ts"))).alias("c"), F.max("block_ts").alias("u"), (F.max("gone") == 1).alias("d"), F.max("block_num").alias("b"),
     )
-    merged = state.join(changes, [*keys, "generation"], "full").select(
+    joined = state.join(changes, [*keys, "generation"], "full")
+    joined = joined.withColumn("bo", F.when(F.coalesce("patched", F.lit(False)), patch.merged(F.col("body"), F.when(F.coalesce("patched", F.lit(False)), F.col("edits")))).otherwise(F.col("bo")))
+    merged = joined.select(
         *keys, "generation", F.coalesce("parent_author", "pa").alias("parent_author"), F.coalesce("parent_permlink", "pp").alias("parent_permlink"), F.coalesce("ti", "title").alias("title"), F.coalesce("bo", "body").alias("body"),
         F.coalesce("ta", "tags").alias("tags"), F.coalesce("created", "c").alias("created"), F.greatest("updated", "u").alias("updated"), (F.coalesce("deleted", F.lit(False)) | F.coalesce("d", F.lit(False))).alias("deleted"), F.greatest("block_num", "b").alias("block_num"),
     )
@@ -125,11 +134,14 @@ def fold_follows(state: DataFrame, log: DataFrame) -> DataFrame:
     rows = rows.where("follower = account and listed")
     choice = lambda table: F.coalesce(*[F.when(F.col("what") == k, F.lit(v)) for k, v in table.items()])
     actions = rows.select("op_id", "block_num", "follower", F.explode("names").alias("following"), choice(group).alias("grp"), choice(made).alias("kind")).where("grp is not null and following is not null and following <> follower")
-    old = state.select("op_id", "block_num", "follower", "following", F.when(F.col("kind").isin("follow", "mute"), "pair").otherwise(F.col("kind")).alias("grp"), "kind")
-    last = actions.unionByName(old).groupBy("follower", "following", "grp").agg(F.max_by(F.struct("kind", "block_num", "op_id"), "op_id").alias("l")).select("follower", "following", "l.*").where("kind is not null")
-    cleared = rows.select("follower", "op_id", F.explode(F.coalesce(*[F.when(F.col("what") == k, F.array(*map(F.lit, v))) for k, v in resets.items()])).alias("kind"))
-    cleared = cleared.groupBy("follower", "kind").agg(F.max("op_id").alias("reset"))
-    return last.join(cleared, ["follower", "kind"], "left").where("reset is null or op_id > reset").select("follower", "following", "kind", "block_num", "op_id")
+    old = state.select("op_id", "block_num", "follower", "following", "grp", "kind")
+    last = actions.unionByName(old).groupBy("follower", "following", "grp").agg(F.max_by(F.struct("kind", "block_num", "op_id"), "op_id").alias("l")).select("follower", "following", "grp", "l.*")
+    cleared = rows.select("follower", "op_id", "block_num", F.explode(F.coalesce(*[F.when(F.col("what") == k, F.array(*map(F.lit, v))) for k, v in resets.items()])).alias("kind"))
+    cleared = cleared.groupBy("follower", F.col("kind").alias("cleared_kind")).agg(F.max(F.struct("op_id", "block_num")).alias("reset"))
+    joined = last.join(cleared.withColumnRenamed("follower", "f"), (F.col("follower") == F.col("f")) & (F.col("kind") == F.col("cleared_kind")), "left")
+    gone = F.coalesce(F.col("reset.op_id") > F.col("op_id"), F.lit(False))
+    chosen = lambda name: F.when(gone, F.col(f"reset.{name}")).otherwise(F.col(name)).alias(name)
+    return joined.select("follower", "following", "grp", F.when(~gone, F.col("kind")).alias("kind"), chosen("block_num"), chosen("op_id"))
 
 
 def fold_reblogs(state: DataFrame, log: DataFrame) -> DataFrame:
@@ -139,8 +151,40 @@ def fold_reblogs(state: DataFrame, log: DataFrame) -> DataFrame:
     get = lambda name: F.get_json_object("data", f"$.{name}")
     rows = ops.where(get("account") == F.col("account")).select("account", get("author").alias("author"), get("permlink").alias("permlink"), "op_id", "block_num", "block_ts", (F.coalesce(get("delete"), F.lit("")) == "delete").alias("gone"))
     last = _newer(rows, state, keys).groupBy(*keys).agg(F.max_by(F.struct("gone", "block_ts", "block_num"), "op_id").alias("l"))
-    joined = state.join(last, keys, "full").where("l is null or not l.gone")
-    return joined.select(*keys, F.coalesce("created", "l.block_ts").alias("created"), F.coalesce("block_num", "l.block_num").alias("block_num"))
+    # A reblog that stands keeps its first time; one made again after its deletion has a new one.
+    stands = F.coalesce(~F.col("deleted"), F.lit(False)) & (F.col("l").isNull() | ~F.col("l.gone"))
+    return state.join(last, keys, "full").select(
+        *keys, F.when(stands | F.col("l").isNull(), F.col("created")).otherwise(F.col("l.block_ts")).alias("created"),
+        F.when(F.col("l").isNull(), F.col("deleted")).otherwise(F.col("l.gone")).alias("deleted"), F.coalesce("l.block_num", "block_num").alias("block_num"),
+    )
+
+
+def counted_votes(votes: DataFrame, posts: DataFrame) -> DataFrame:
+    """Votes on live posts that aren't older than the post as it stands."""
+    live = posts.where("not deleted").select(F.col("author").alias("a"), F.col("permlink").alias("p"), "created")
+    return votes.join(live, (F.col("author") == F.col("a")) & (F.col("permlink") == F.col("p")) & (F.coalesce("last_update", "created") >= F.col("created")), "left_semi")
+
+
+def fold_options(state: DataFrame, log: DataFrame) -> DataFrame:
+    """The last options of each post; what is absent has its default, beneficiaries come from the extensions."""
+    keys = ["author", "permlink"]
+    rows = oplog.scan(log, types=("comment_options",)).select(
+        *[oplog.field(k).alias(k) for k in keys], "op_id", "block_num", F.coalesce(oplog.field("max_accepted_payout"), F.lit("1000000.000 HBD")).alias("max_payout"),
+        F.coalesce(oplog.field("percent_hbd").try_cast("int"), F.lit(10000)).alias("percent"), F.coalesce(oplog.field("allow_votes").try_cast("boolean"), F.lit(True)).alias("allow_votes"),
+        F.coalesce(oplog.field("allow_curation_rewards").try_cast("boolean"), F.lit(True)).alias("allow_curation"), F.coalesce(oplog.field("extensions[0].value.beneficiaries"), F.lit("[]")).alias("beneficiaries"),
+    )
+    kept = ["max_payout", "percent", "allow_votes", "allow_curation", "beneficiaries", "block_num"]
+    last = _newer(rows, state, keys).groupBy(*keys).agg(F.max_by(F.struct(*kept), "op_id").alias("l"))
+    return state.join(last, keys, "full").select(*keys, *[F.when(F.col("l").isNotNull(), F.col(f"l.{c}")).otherwise(F.col(c)).alias(c) for c in kept])
+
+
+def fold_last_reads(state: DataFrame, log: DataFrame) -> DataFrame:
+    """Until when each account has read its notifications: what the last operation says, but no later than its block."""
+    ops = oplog.custom(log).where((F.col("kind") == "notify") & (F.col("action") == "setLastRead"))
+    said = F.get_json_object("data", "$.date").try_cast("timestamp_ntz")
+    rows = ops.select("account", "op_id", "block_num", F.least(F.coalesce(said, F.col("block_ts")), F.col("block_ts")).alias("at"))
+    last = _newer(rows, state, ["account"]).groupBy("account").agg(F.max_by(F.struct("at", "block_num"), "op_id").alias("l"))
+    return state.join(last, "account", "full").select("account", F.coalesce("l.at", "read_at").alias("read_at"), F.coalesce("l.block_num", "block_num").alias("block_num"))
 
 
 def fold_payouts(state: DataFrame, log: DataFrame) -> DataFrame:
@@ -163,16 +207,36 @@ def feed_entries(posts: DataFrame, reblogs: DataFrame) -> DataFrame:
     """(account, author, permlink, created): own live root posts and reblogs, each once."""
     live = posts.where("not deleted and coalesce(parent_author, '') = ''")
     own = live.select(F.col("author").alias("account"), "author", "permlink", "created")
-    shared = reblogs.join(live.select("author", "permlink"), ["author", "permlink"], "left_semi").select("account", "author", "permlink", "created")
+    shared = reblogs.where("not deleted").join(live.select("author", "permlink"), ["author", "permlink"], "left_semi").select("account", "author", "permlink", "created")
     return own.unionByName(shared).groupBy("account", "author", "permlink").agg(F.min("created").alias("created"))
 
 
 # Roles by rank; least role of an actor for each action.
 ROLES = {"muted": -2, "guest": 0, "member": 2, "mod": 4, "admin": 6, "owner": 8}
 NEEDS = {"setRole": 4, "setUserTitle": 4, "mutePost": 4, "unmutePost": 4, "pinPost": 4, "unpinPost": 4, "updateProps": 6}
+MOST_MODS = 100
+#: Keys of the documents of each action, all texts; actions that aren't listed are no operations.
+FIELDS = {
+    "subscribe": (), "unsubscribe": (), "setRole": ("account", "role"), "setUserTitle": ("account", "title"), "updateProps": (),
+    **{a: ("account", "permlink") for a in ("mutePost", "unmutePost", "pinPost", "unpinPost", "flagPost")},
+}
+PROPS = {"title": 20, "about": 120, "lang": 2, "description": 1000, "flag_text": 1000}
 COMMUNITY_STATE = "community string, kind string, key string, value string"
 
 
+def _well_formed(action: str, doc: object) -> bool:
+    """An operation whose document has what its action needs, in the right types."""
+    if action not in FIELDS or not isinstance(doc, dict) or not all(isinstance(doc.get(k), str) for k in FIELDS[action]):
+        return False
+    if action != "updateProps":
+        return True
+    props = doc.get("props")
+    if not isinstance(props, dict) or not props:
+        return False
+    good = all(isinstance(props[k], str) and len(props[k]) <= most for k, most in PROPS.items() if k in props)
+    return good and ("lang" not in props or props["lang"] in text.LANGUAGES) and ("is_nsfw" not in props or isinstance(props["is_nsfw"], bool))
+
+
 def _community_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Operations come ordered by community and op_id; the state of one community is held at a time."""
     out: list[tuple] = []
@@ -198,6 +262,8 @@ def _community_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                         out.clear()
                 now, roles, titles, members, posts, props = community, {community: ROLES["owner"]}, {}, set(), {}, {}
             rank, doc = roles.get(actor, 0), json.loads(data)
+            if not _well_formed(action, doc):
+                continue
             if rank < NEEDS.get(action, 0) and action in NEEDS or action == "flagPost" and rank < 0:
                 continue
             other, post = doc.get("account"), f"{doc.get('account')}/{doc.get('permlink')}"
@@ -208,7 +274,8 @@ def _community_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 members.discard(actor)
             elif action == "setRole" and doc.get("role") in ROLES:
                 new, old = ROLES[doc["role"]], roles.get(other, 0)
-                if new != old and rank > new and rank > old and old < ROLES["owner"]:
+                full = new == ROLES["mod"] and sum(r == new for r in roles.values()) >= MOST_MODS
+                if new != old and rank > new and rank > old and old < ROLES["owner"] and not full:
                     roles[other] = new
             elif action == "setUserTitle":
                 titles[other] = doc.get("title") or ""
@@ -222,7 +289,7 @@ def _community_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 marks.discard("pinned")
             elif action == "flagPost":
                 marks.add("flagged")
-            elif action == "updateProps" and isinstance(doc.get("props"), dict):
+            elif action == "updateProps":
                 props.update({k: str(v) for k, v in doc["props"].items() if k in ("title", "about", "lang", "is_nsfw", "description", "flag_text", "settings")})
     if now is not None:
         close()

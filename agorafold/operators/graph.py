@@ -40,12 +40,41 @@ def follow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return followers.unionByName(following)
 
 
-def followers_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+def followers_page(spark: SparkSession, sf_dir: str, account: int = 7, start: str = "Supplier#000000001", limit: int = 100) -> DataFrame:
     """Followers of one account in the order of names, after a name."""
-    edges = tables.follows(spark, sf_dir).where(F.col("following") == 7)
+    edges = tables.follows(spark, sf_dir).where(F.col("following") == account)
     names = tables.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     rows = names.join(edges, names.s_suppkey == edges.follower, "left_semi")
-    return rows.where(F.col("s_name") > "Supplier#000000001").orderBy("s_name").limit(100).select(F.col("s_name").alias("name"))
+    return rows.where(F.col("s_name") > start).orderBy("s_name").limit(limit).select(F.col("s_name").alias("name"))
+
+
+def following_page(spark: SparkSession, sf_dir: str, account: int = 3, start: str = "", limit: int = 100) -> DataFrame:
+    """Whom one account follows, in the order of names, after a name."""
+    edges = tables.follows(spark, sf_dir).where(F.col("follower") == account)
+    names = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    rows = names.join(edges, names.c_custkey == edges.following, "left_semi")
+    return rows.where(F.col("c_name") > start).orderBy("c_name").limit(limit).select(F.col("c_name").alias("name"))
+
+
+def follow_list(spark: SparkSession, sf_dir: str, account: int = 1, kind: str = "muted") -> DataFrame:
+    """(name, kind) of the accounts that one mutes, or of the lists that it follows."""
+    if kind == "muted":
+        edges = tables.mutes(spark, sf_dir).where(F.col("follower") == account)
+        people = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    else:
+        edges = tables.followed_mute_lists(spark, sf_dir).where(F.col("follower") == account)
+        people = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    return people.join(edges, F.col("k") == F.col("following"), "left_semi").select("name", F.lit(kind).alias("kind"))
+
+
+def follows_any_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier whether it follows any list, and whether all that it follows mute someone of its own nation's customers."""
+    people = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    near = tables.mutes(spark, sf_dir).join(people, F.col("following") == F.col("c_custkey")).select(F.col("follower").alias("list"), F.col("c_nationkey").alias("nation")).distinct()
+    lists = tables.followed_mute_lists(spark, sf_dir)
+    own = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("account"), "s_nationkey")
+    joined = own.join(lists, own.account == lists.follower, "left").join(near, (F.col("following") == F.col("list")) & (F.col("s_nationkey") == F.col("nation")), "left")
+    return joined.groupBy("account").agg(F.bool_or(F.col("following").isNotNull()).alias("any_list"), F.bool_and(F.when(F.col("following").isNotNull(), F.col("list").isNotNull())).alias("all_near"))
 
 
 def blacklist_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +85,14 @@ def blacklist_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("lists"), F.count("*").alias("n_lists"))
 
 
-def relationship_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every pair that has any relation: follows, ignores, blacklists, follows_blacklists, follows_muted."""
+def relationship_flags(spark: SparkSession, sf_dir: str, follower: int | None = None, following: int | None = None) -> DataFrame:
+    """For every pair that has any relation (of given ends): follows, ignores, blacklists, follows_blacklists, follows_muted."""
     follows = tables.follows(spark, sf_dir).withColumn("kind", F.lit("follows"))
     mutes = tables.mutes(spark, sf_dir).withColumn("kind", F.lit("ignores"))
     lists = tables.followed_mute_lists(spark, sf_dir).withColumn("kind", F.lit("follows_muted"))
     every = follows.unionByName(mutes).unionByName(lists)
+    every = every if follower is None else every.where(F.col("follower") == follower)
+    every = every if following is None else every.where(F.col("following") == following)
     flag = lambda kind: F.bool_or(F.col("kind") == kind).alias(kind)
     kinds = ("follows", "ignores", "blacklists", "follows_blacklists", "follows_muted")
     return every.groupBy("follower", "following").agg(*[flag(k) for k in kinds])

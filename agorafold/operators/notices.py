@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agorafold.functions import bitmask, ids
+from agorafold.functions import bitmask, ids, ranking
 from agorafold.sources import tables
 
 # Notification types by number with their message.
@@ -69,16 +69,30 @@ def notification_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", "kind", message(F.col("kind"), name, F.lit(None), payload, F.lit(None), F.lit(None)).alias("msg"))
 
 
-def account_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest notifications of one user with a score of at least 25."""
-    events = tables.read(spark, sf_dir, "events").where(F.col("user_id") == 7).withColumn("kind", _kind())
+def account_notifications(spark: SparkSession, sf_dir: str, account: int = 7, min_score: int = 25, last: int | None = None, limit: int = 50) -> DataFrame:
+    """The newest notifications of one user with a least score, from before one of them."""
+    events = tables.read(spark, sf_dir, "events").where(F.col("user_id") == account)
+    events = (events if last is None else events.where(F.col("event_id") < last)).withColumn("kind", _kind())
     scored = events.withColumn("score", F.least(F.lit(100), F.floor(F.col("value")).cast("int")))
-    return scored.where("score >= 25").orderBy(F.col("event_id").desc()).limit(50).select("event_id", "kind", "score", "ts")
+    return scored.where(F.col("score") >= min_score).orderBy(F.col("event_id").desc()).limit(limit).select("event_id", "kind", "score", "ts")
 
 
-def unread_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+def post_notifications(spark: SparkSession, sf_dir: str, post: int = 1, limit: int = 50) -> DataFrame:
+    """What a post's author is told of it: replies (12 to a root post, else 13), then votes of a score (17)."""
+    posts = tables.live_posts(spark, sf_dir)
+    one = posts.where(F.col("id") == post).select("payout", F.col("parent").isNull().alias("is_root"))
+    replies = posts.where(F.col("parent") == post).crossJoin(F.broadcast(one.select("is_root")))  # one row
+    replies = replies.select(F.when(F.col("is_root"), 12).otherwise(13).alias("kind"), F.col("author").alias("src"), F.lit(100).alias("score"))
+    own = tables.votes(spark, sf_dir).where(F.col("post") == post)
+    sums = own.agg(F.sum(F.abs("rshares")).alias("abs_rshares")).crossJoin(one.select("payout"))  # one row
+    each = own.groupBy("voter").agg(F.sum("rshares").alias("rshares")).crossJoin(F.broadcast(sums))
+    votes = each.select(F.lit(17).alias("kind"), F.col("voter").alias("src"), ranking.vote_score(F.col("payout"), F.col("abs_rshares"), F.col("rshares")).alias("score")).where("score >= 0")
+    return replies.unionByName(votes).orderBy("kind", F.col("score").desc(), F.col("src").desc()).limit(limit)
+
+
+def unread_asof(spark: SparkSession, sf_dir: str, read_until: str = "2024-01-15 00:00:00") -> DataFrame:
     """Per user the last event read (the latest up to a time) and how many came after it."""
-    read_until = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    read_until = F.lit(read_until).cast("timestamp_ntz")
     seen = F.when(F.col("ts") <= read_until, F.col("event_id"))
     return tables.read(spark, sf_dir, "events").groupBy("user_id").agg(
         F.max_by(seen, F.when(F.col("ts") <= read_until, F.struct("ts", "event_id"))).alias("last_read"), F.count_if(F.col("ts") > read_until).alias("unread")
@@ -91,10 +105,10 @@ def block_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events").select("event_id", "ts", F.coalesce(before, F.col("ts")).alias("previous"))
 
 
-def op_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third page of ten of every user's events, newest first."""
+def op_history(spark: SparkSession, sf_dir: str, page: int = 3, size: int = 10, account: int | None = None) -> DataFrame:
+    """A page of every user's events (or one user's), newest first."""
     at = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_id").desc()))
-    return tables.read(spark, sf_dir, "events").withColumn("at", at).where(F.col("at").between(21, 30)).select("user_id", "at", "event_id", "event_type")
+    return tables.read(spark, sf_dir, "events").withColumn("at", at).where(F.col("at").between((page - 1) * size + 1, page * size) & (F.lit(account is None) | (F.col("user_id") == (account or 0)))).select("user_id", "at", "event_id", "event_type")
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agorafold.functions import text as text_functions
+from agorafold.operators import paging
 from agorafold.sources import tables
 
 K1, B = 1.2, 0.75
@@ -71,8 +72,8 @@ def _equal(term: str):
     return lambda word: word == F.lit(term)
 
 
-def bm25(docs: DataFrame, terms: tuple[str, ...], limit: int = 20) -> DataFrame:
-    """The best documents of (id, text) for some terms.
+def _scored(docs: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """(id, score) of the documents of (id, text) that have any of some terms.
 
     Each document becomes one row with its length and the terms' counts, so the
     words themselves are never shuffled; document frequencies and the average
@@ -87,8 +88,46 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], limit: int = 20) -> DataFrame:
         n, d = F.col(f"n{i}"), F.col(f"d{i}")
         rarity = F.log(1 + (F.col("total") - d + 0.5) / (d + 0.5))
         score = score + rarity * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    rows = scored.select("id", F.round(score, 6).alias("score")).where("score > 0")
-    return rows.orderBy(F.col("score").desc(), F.col("id").desc()).limit(limit)
+    return scored.select("id", F.round(score, 6).alias("score")).where("score > 0")
+
+
+def bm25(docs: DataFrame, terms: tuple[str, ...], limit: int = 20) -> DataFrame:
+    """The best documents of (id, text) for some terms."""
+    return paging.top(_scored(docs, terms), "score", limit)
+
+
+def _found(spark: SparkSession, sf_dir: str, query: str, author: str | None, sort: str, without: tuple[str, ...]) -> DataFrame:
+    """(id, score, rank_by) of the documents for the words of a query.
+
+    author: of one source only; without: not of these sources.  Frequencies are
+    those of all documents.
+    """
+    docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    terms = tuple(dict.fromkeys(w for c in parse(query) for w in c.words))
+    scored = _scored(docs.select("id", "text"), terms)
+    if author is not None or without:
+        chosen = docs.select(F.col("id").alias("i"), "source")
+        chosen = chosen if author is None else chosen.where(F.col("source") == author)
+        chosen = chosen.where(~F.col("source").isin(*without)) if without else chosen
+        scored = scored.join(chosen, F.col("id") == F.col("i"), "left_semi")
+    return scored.withColumn("rank_by", F.col("score") if sort == "relevance" else F.col("id").cast("double"))
+
+
+def find_text(spark: SparkSession, sf_dir: str, query: str = "pathetic scum", author: str | None = None, sort: str = "relevance", last: int | None = None, limit: int = 20, without: tuple[str, ...] = ()) -> DataFrame:
+    """Documents for the words of a query, by relevance or the newest first, after a document."""
+    return paging.page(_found(spark, sf_dir, query, author, sort, without), "rank_by", last, limit).select("id", "score")
+
+
+def search_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the newest documents for a query, without two sources."""
+    rows = _found(spark, sf_dir, "pathetic scum", None, "created", ("src0", "src1"))
+    bound = paging.top(rows, "rank_by").orderBy("rank_by", "id").limit(1)
+    return paging.top(paging.after(rows, "rank_by", bound), "rank_by").select("id", "score")
+
+
+def search_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of one source."""
+    return find_text(spark, sf_dir, query="idiot trash", author="src2")
 
 
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +147,3 @@ def tag_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text_functions.tags(F.split(F.coalesce("text", F.lit("")), " "))
     rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.array_sort(found).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tags"), F.md5(F.array_join("t", ",").cast("binary")).alias("tags_md5"))
-
-
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, mention): names that documents mention."""
-    docs = tables.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(text_functions.mentions(F.col("text"))).alias("mention"))

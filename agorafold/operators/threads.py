@@ -43,8 +43,8 @@ def _climbed(now: DataFrame, found: str) -> tuple[DataFrame, DataFrame]:
     return climbing.join(above, climbing.up == above.a, "left"), now.where("up IS NULL")
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(id, n): how many of (id, parent) are below each node."""
+def descendants(nodes: DataFrame, weight: str | None = None) -> DataFrame:
+    """(id, n): how many of (id, parent) are below each node, or the sum of their weights."""
 
     def widen(now: DataFrame, reach: int) -> DataFrame:
         # n counts the nodes at distances under reach; those up to 2 * reach are so far below the ones at reach.
@@ -53,8 +53,23 @@ def descendants(nodes: DataFrame) -> DataFrame:
         moved = climbing.select("id", F.col("next").alias("up"), "n").unionByName(rest)
         return moved.join(below, moved.id == below.of, "left").select("id", "up", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
 
-    counted = _doubled(nodes.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n")), widen)
-    return counted.select("id", (F.col("n") - 1).alias("n"))
+    own = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    nodes = nodes.select("id", "parent", own.alias("n"))
+    counted = _doubled(nodes.select("id", F.col("parent").alias("up"), "n"), widen)
+    if weight is None:
+        return counted.select("id", (F.col("n") - 1).alias("n"))
+    return counted.join(nodes.select(F.col("id").alias("i"), F.col("n").alias("w")), F.col("id") == F.col("i")).select("id", (F.col("n") - F.col("w")).alias("n"))
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """(id, depth) of each of (id, parent): 0 without a parent; a parent that isn't there counts."""
+
+    def widen(now: DataFrame, reach: int) -> DataFrame:
+        climbing, rest = _climbed(now, "depth")
+        moved = climbing.select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("of_up", F.lit(0))).alias("depth"))
+        return moved.unionByName(rest)
+
+    return _doubled(nodes.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth")), widen).select("id", "depth")
 
 
 def heirs(nodes: DataFrame) -> DataFrame:
@@ -84,12 +99,16 @@ def descend(nodes: DataFrame, root: int) -> DataFrame:
     return _doubled(start, widen).where("depth IS NOT NULL").select("id", "depth")
 
 
-def discussion_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thread with each post's replies; who the observer mutes vanishes with all below."""
+def discussion_tree(spark: SparkSession, sf_dir: str, post: int = ROOT, observer: int = OBSERVER, limit: int | None = None) -> DataFrame:
+    """A thread with each post's replies; who the observer mutes vanishes with all below.
+
+    ``limit``: posts nearest to the root, for callers with a page to fill.
+    """
     live = tables.live_posts(spark, sf_dir)
-    muted = graph.muted_by(spark, sf_dir, OBSERVER)
+    muted = graph.muted_by(spark, sf_dir, observer)
     shown = live.join(muted, F.col("author") == F.col("muted"), "left_anti").select("id", "parent", "author")
-    tree = descend(shown, ROOT)
+    tree = descend(shown, post)
+    tree = tree if limit is None else tree.orderBy("depth", "id").limit(limit)
     rows = shown.join(tree, "id")
     replies = rows.where("depth > 0").groupBy(F.col("parent").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("replies"))
     return rows.join(replies, rows.id == replies.of, "left").select("id", "author", "depth", F.coalesce("replies", F.lit("")).alias("replies"))

@@ -14,18 +14,27 @@ def vote_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.rollup(spark, sf_dir)
 
 
-def votes_by_comment_voter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def votes_by_comment_voter(spark: SparkSession, sf_dir: str, post: int = 100, voter: int = 5, limit: int = 1000) -> DataFrame:
     """Votes in the order of post and voter, from a given pair on."""
     each = tables.votes(spark, sf_dir).groupBy("post", "voter").agg(F.sum("rshares").alias("rshares"), F.max("at").alias("at"), (F.count("*") - 1).alias("num_changes"))
-    start = (F.col("post") > 100) | ((F.col("post") == 100) & (F.col("voter") >= 5))
-    return each.where(start).orderBy("post", "voter").limit(1000)
+    start = (F.col("post") > post) | ((F.col("post") == post) & (F.col("voter") >= voter))
+    return each.where(start).orderBy("post", "voter").limit(limit)
 
 
-def votes_by_voter_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One voter's votes in the order of posts."""
-    mine = tables.votes(spark, sf_dir).where(F.col("voter") == 3)
+def votes_by_voter_comment(spark: SparkSession, sf_dir: str, voter: int = 3, post: int = 0, limit: int = 1000) -> DataFrame:
+    """One voter's votes in the order of posts, from a post on."""
+    mine = tables.votes(spark, sf_dir).where((F.col("voter") == voter) & (F.col("post") >= post))
     each = mine.groupBy("voter", "post").agg(F.sum("rshares").alias("rshares"), F.max("at").alias("at"))
-    return each.orderBy("voter", "post").limit(1000)
+    return each.orderBy("voter", "post").limit(limit)
+
+
+def active_votes(spark: SparkSession, sf_dir: str, post: int = 1, limit: int = 1000) -> DataFrame:
+    """The votes of one post with their value, the heaviest first."""
+    own = tables.votes(spark, sf_dir).where(F.col("post") == post)
+    each = own.groupBy("voter").agg(F.sum("rshares").alias("rshares"), F.max("at").alias("at"))
+    whole = own.agg(F.sum("rshares").alias("whole")).crossJoin(tables.posts(spark, sf_dir).where(F.col("id") == post).select("payout"))  # one row
+    value = ranking.vote_value(F.col("payout"), F.col("whole"), F.col("rshares"))
+    return each.crossJoin(F.broadcast(whole)).select("voter", "rshares", "at", F.round(value, 3).alias("value")).orderBy(F.col("rshares").desc(), "voter").limit(limit)
 
 
 def vote_last_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

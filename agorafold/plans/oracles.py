@@ -47,11 +47,20 @@ _RANK = """k AS (
 _KIND = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EVENT_TYPES.items()) + " ELSE 0 END"
 _TEMPLATE = "CASE kind " + " ".join(f"WHEN {k} THEN '{v[1]}'" for k, v in MESSAGES.items()) + " END"
 _WALK = "walk(id, above) AS (SELECT id, parent FROM n WHERE parent IS NOT NULL UNION ALL SELECT w.id, n.parent FROM walk w JOIN n ON n.id = w.above WHERE n.parent IS NOT NULL)"
-_IDF = " + ".join(
-    f"ln(1 + (total - d{i} + 0.5) / (d{i} + 0.5)) * n{i} * ({K1} + 1) / (n{i} + {K1} * (1 - {B} + {B} * length / average))" for i in range(len(QUERY))
-)
-_BM25_N = ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS n{i}" for i, t in enumerate(QUERY))
-_BM25_D = ", ".join(f"count(*) FILTER (n{i} > 0) AS d{i}" for i in range(len(QUERY)))
+
+
+def _counts(terms: tuple[str, ...]) -> str:
+    return ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS n{i}" for i, t in enumerate(terms))
+
+
+def _frequencies(n: int) -> str:
+    return ", ".join(f"count(*) FILTER (n{i} > 0) AS d{i}" for i in range(n))
+
+
+def _bm25(n: int) -> str:
+    return " + ".join(f"ln(1 + (total - d{i} + 0.5) / (d{i} + 0.5)) * n{i} * ({K1} + 1) / (n{i} + {K1} * (1 - {B} + {B} * length / average))" for i in range(n))
+
+
 _RAW = "(round(c_acctbal * 100)::BIGINT * 10000000000)"
 
 #: Of each order its rows and what it ranks by.
@@ -171,12 +180,69 @@ SQL = {
     "muted_reason_mask": """SELECT doc_id, (CASE WHEN toxic = 1 THEN 1 ELSE 0 END + CASE WHEN quality = 0 THEN 4 ELSE 0 END) AS mask,
       concat_ws(',', CASE WHEN toxic = 1 THEN 'MUTED_COMMUNITY_MODERATION' END, CASE WHEN quality = 0 THEN 'MUTED_PARENT' END) AS reasons FROM labels WHERE toxic = 1 OR quality = 0""",
     "search_bm25": f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-      c AS (SELECT id, len(w) AS length, {_BM25_N} FROM d), t AS (SELECT count(*) AS total, avg(length) AS average, {_BM25_D} FROM c)
-      SELECT id, round({_IDF}, 6) AS score FROM c, t WHERE round({_IDF}, 6) > 0 ORDER BY 2 DESC, 1 DESC LIMIT 20""",
+      c AS (SELECT id, len(w) AS length, {_counts(QUERY)} FROM d), t AS (SELECT count(*) AS total, avg(length) AS average, {_frequencies(len(QUERY))} FROM c)
+      SELECT id, round({_bm25(len(QUERY))}, 6) AS score FROM c, t WHERE round({_bm25(len(QUERY))}, 6) > 0 ORDER BY 2 DESC, 1 DESC LIMIT 20""",
     "search_query": """WITH d AS (SELECT doc_id, lang, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents)
       SELECT doc_id FROM d WHERE (contains(t, ' the ') OR lower(lang) = 'the') AND NOT (contains(t, ' idiot ') OR lower(lang) = 'idiot') AND lower(lang) = 'en'""",
     "tag_normalise": r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda x: left(lower(regexp_replace(x, '[#\s]', '', 'g')), 32)), lambda x: x <> ''))) AS t FROM documents)
       SELECT doc_id, len(t)::INT AS n_tags, md5(array_to_string(t, ',')) AS tags_md5 FROM d""",
     "ranked_without_reasons": _top(_SCORED, "s WHERE NOT paid AND parent IS NULL AND NOT grayed AND coalesce(community % 7, 1) <> 0", "sc_trend"),
     "ranked_payout_roots": _top(_P, "l WHERE NOT paid AND parent IS NULL", "payout"),
+    "search_newest": f"""WITH d AS (SELECT doc_id AS id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+      c AS (SELECT id, source, len(w) AS length, {_counts(("pathetic", "scum"))} FROM d), t AS (SELECT count(*) AS total, avg(length) AS average, {_frequencies(2)} FROM c),
+      x AS (SELECT id, round({_bm25(2)}, 6) AS score, row_number() OVER (ORDER BY id DESC) AS rn FROM c, t WHERE source NOT IN ('src0', 'src1') AND round({_bm25(2)}, 6) > 0)
+      SELECT id, score FROM x WHERE rn BETWEEN 21 AND 40""",
+    "search_author": f"""WITH d AS (SELECT doc_id AS id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+      c AS (SELECT id, source, len(w) AS length, {_counts(("idiot", "trash"))} FROM d), t AS (SELECT count(*) AS total, avg(length) AS average, {_frequencies(2)} FROM c)
+      SELECT id, round({_bm25(2)}, 6) AS score FROM c, t WHERE source = 'src2' AND round({_bm25(2)}, 6) > 0 ORDER BY 2 DESC, 1 DESC LIMIT 20""",
+    "account_blog": f"""WITH {_P}, e AS (SELECT id, created AS at_ FROM l WHERE parent IS NULL AND author = 7 UNION ALL SELECT parent, min(created) FROM l WHERE parent IS NOT NULL AND author = 7 GROUP BY 1)
+      SELECT l.id, l.author, min(at_) AS entered FROM e JOIN l USING (id) GROUP BY 1, 2 ORDER BY 3 DESC, 1 DESC LIMIT 20""",
+    "account_comments": f"WITH {_P} SELECT id, parent, created FROM l WHERE author = 7 AND parent IS NOT NULL ORDER BY id DESC LIMIT 20",
+    "account_posts_by_tag": f"WITH {_P}, {_G} SELECT id, created, category FROM l WHERE author = 7 AND id IN (SELECT post FROM g WHERE tag = 'Brand#21') ORDER BY id DESC LIMIT 20",
+    "account_posts_before": f"WITH {_P} SELECT id, created, payout FROM l WHERE author = 6 AND parent IS NULL AND created < TIMESTAMP '2000-01-01' ORDER BY created DESC, id DESC LIMIT 10",
+    "active_votes": f"""WITH {_P}, {_V}, o AS (SELECT * FROM v WHERE post = 1), w AS (SELECT sum(rshares)::BIGINT AS whole, any_value(payout) AS payout FROM o JOIN p ON p.id = o.post)
+      SELECT voter, sum(rshares)::BIGINT AS rshares, max(at_) AS at, round(CASE WHEN any_value(whole) <> 0 THEN any_value(payout)::DOUBLE / any_value(whole) * sum(rshares)::BIGINT ELSE 0 END, 3) AS value FROM o, w GROUP BY voter""",
+    "community_roles": """SELECT * FROM (SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN 'muted' WHEN c_custkey % 97 = (SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = 7) % 97 THEN 'mod' ELSE 'guest' END AS role
+      FROM customer WHERE c_nationkey = 7) WHERE role <> 'guest' ORDER BY 1 LIMIT 100""",
+    "all_subscriptions": """SELECT n_nationkey AS community, n_name AS title, CASE WHEN c_acctbal < 0 THEN 'muted' WHEN c_custkey % 97 = (SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey) % 97 THEN 'mod' ELSE 'guest' END AS role
+      FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7""",
+    "community": f"WITH {_P}, {_RANK} SELECT * FROM k2 WHERE community = 7",
+    "community_context": """SELECT coalesce(max(CASE WHEN c_acctbal < 0 THEN 'muted' WHEN c_custkey % 97 = (SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = 7) % 97 THEN 'mod' ELSE 'guest' END), 'guest') AS role,
+      count(*) > 0 AS subscribed FROM customer WHERE c_nationkey = 7 AND c_custkey = 7""",
+    "following_page": f"WITH {_F} SELECT c_name AS name FROM customer WHERE c_custkey IN (SELECT following FROM f WHERE follower = 3) ORDER BY 1 LIMIT 100",
+    "follow_list": f"WITH {_M} SELECT c_name AS name, 'muted' AS kind FROM customer WHERE c_custkey IN (SELECT following FROM m WHERE follower = 1)",
+    "follows_any_lists": f"""WITH {_M}, {_FM}, z AS (SELECT DISTINCT m.follower AS list, c_nationkey AS nation FROM m JOIN customer ON following = c_custkey)
+      SELECT s_suppkey AS account, bool_or(fm.following IS NOT NULL) AS any_list, bool_and(list IS NOT NULL) FILTER (fm.following IS NOT NULL) AS all_near
+      FROM supplier LEFT JOIN fm ON follower = s_suppkey LEFT JOIN z ON list = fm.following AND nation = s_nationkey GROUP BY 1""",
+    "post_notifications": f"""WITH {_P}, {_V}, o AS (SELECT * FROM v WHERE post = 1), b AS (SELECT sum(abs(rshares))::BIGINT AS abs_rshares FROM o), q AS (SELECT payout, parent IS NULL AS is_root FROM l WHERE id = 1),
+      e AS (SELECT voter, sum(rshares)::BIGINT AS rs FROM o GROUP BY 1), x AS (SELECT voter, abs_rshares, payout::DOUBLE / abs_rshares * 1000 * rs AS w FROM e, b, q),
+      n AS (SELECT CASE WHEN is_root THEN 12 ELSE 13 END AS kind, author AS src, 100 AS score FROM l, q WHERE parent = 1
+        UNION ALL SELECT 17, voter, CASE WHEN abs_rshares = 0 THEN 0 WHEN w < 20 THEN -1 ELSE least(100, (length(round(w)::BIGINT::VARCHAR) - 1) * 25) END::INT FROM x)
+      SELECT * FROM n WHERE kind < 17 OR score >= 0 ORDER BY kind, score DESC, src DESC LIMIT 50""",
+    "post": f"""WITH {_SCORED} SELECT s.id, a.c_name AS author_name, n_name AS community_title, r_name AS region_name, s.category, s.payout, round(sc_trend::DOUBLE, 3) AS score, s.parent, b.c_name AS parent_author
+      FROM s LEFT JOIN customer a ON a.c_custkey = s.author LEFT JOIN nation ON n_nationkey = a.c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+      LEFT JOIN p q ON q.id = s.parent LEFT JOIN customer b ON b.c_custkey = q.author WHERE s.id = 1""",
+    "post_header": f"WITH {_P} SELECT id, author, category, parent IS NULL AS is_root FROM l WHERE id = 1",
+    "content_replies": f"WITH {_P} SELECT id, author, created, payout FROM l WHERE parent = 1 ORDER BY id LIMIT 5000",
+    "reblogged_by": f"WITH {_P} SELECT c.author AS account, min(c.created) AS at FROM l c JOIN l o ON o.id = c.parent WHERE c.parent = 1 AND c.author <> o.author GROUP BY 1",
+    "find_comments": f"WITH {_P} SELECT id, author, payout FROM l WHERE author BETWEEN 1 AND 100 AND id BETWEEN 1 AND 100",
+    "posts_of_categories": f"WITH {_P} SELECT category, count(*) AS n FROM l WHERE parent IS NULL AND category IN ('1-URGENT', '5-LOW') GROUP BY 1",
+    "info": f"WITH {_P} SELECT max(created) AS head, max(id) AS last_id, count(*) AS posts FROM p",
+    "changed_parents": f"""WITH {_P} SELECT c.category, count(*) AS n FROM p c JOIN p o ON o.id = c.parent
+      WHERE c.community IS DISTINCT FROM CASE WHEN o.community % 5 = 0 THEN NULL ELSE o.community END OR c.category IS DISTINCT FROM o.category GROUP BY 1""",
+    "quiet_followers": f"""WITH {_P}, {_F} SELECT DISTINCT follower FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.follower = a.follower
+      AND NOT EXISTS (SELECT 1 FROM l WHERE l.author = b.following AND NOT l.paid))""",
+    "payouts_by_place": f"""WITH {_P}, s AS (SELECT community, sum(payout) AS payout FROM l WHERE NOT paid GROUP BY 1)
+      SELECT n_nationkey AS nation, sum(payout)::DECIMAL(30,3) AS payout, count(community) AS communities FROM nation LEFT JOIN s ON CASE WHEN n_nationkey % 7 = 0 THEN TRUE ELSE community = n_nationkey END GROUP BY 1""",
+    "sequence_ids": f"WITH {_P} SELECT id, row_number() OVER (ORDER BY created, id) AS number FROM p",
+    "first_occurrences": f"WITH {_P} SELECT id, row_number() OVER (PARTITION BY author, category ORDER BY created, id) = 1 AS is_first FROM l",
+    "waves": f"""WITH RECURSIVE {_P}, t(id, depth) AS (SELECT id, 0 FROM p WHERE parent IS NULL UNION ALL SELECT p.id, t.depth + 1 FROM t JOIN p ON p.parent = t.id) SELECT depth AS wave, count(*) AS n FROM t GROUP BY 1""",
+    "child_deltas": f"""WITH RECURSIVE {_P}, n AS (SELECT id, parent FROM l), {_WALK}
+      SELECT above AS id, count(*) AS delta FROM walk JOIN n ON n.id = above WHERE walk.id > (SELECT max(id) * 9 / 10 FROM n) GROUP BY 1""",
+    "retained_events": "SELECT event_type, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY 1",
+    "next_orders": f"WITH {_P} SELECT a.id, b.created AS next_created FROM p a LEFT JOIN p b ON b.id = a.id + 1",
+    "post_mentions": rf"""WITH {_P}, m AS (
+        SELECT id, 'c' || author AS self, unnest(list_distinct(list_transform(regexp_extract_all('Thanks @C' || author || ', @c' || (author % 97 + 1) || ' and @nobody' || (author % 5) || '; mail me@c1.com. (@c' || (id % 13 + 1) || ')',
+          '(?:^|[^a-zA-Z0-9_!#$%&*@\\/])(?:@)([a-zA-Z0-9\.-]{{1,16}}[a-zA-Z0-9])', 1), lambda x: lower(x)))) AS mention FROM l)
+      SELECT id, mention FROM m WHERE mention <> self AND mention IN (SELECT 'c' || c_custkey FROM customer)""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "op_id long, block_num int, block_ts timestamp_ntz, op_type int, body string"
@@ -29,10 +29,10 @@ def field(name: str):
 
 
 def blocks(log: DataFrame) -> DataFrame:
-    """(block_num, block_ts, previous_ts): one row per block; the window runs over blocks, not operations."""
+    """(block_num, block_ts, previous_ts): one row per block with the time of the one numbered before, or its own without one."""
     each = log.groupBy("block_num").agg(F.min("block_ts").alias("block_ts"))
-    before = F.lag("block_ts").over(Window.orderBy("block_num"))
-    return each.withColumn("previous_ts", F.coalesce(before, F.col("block_ts")))
+    before = each.select((F.col("block_num") + 1).alias("next"), F.col("block_ts").alias("previous"))
+    return each.join(before, F.col("block_num") == F.col("next"), "left").select("block_num", "block_ts", F.coalesce("previous", "block_ts").alias("previous_ts"))
 
 
 def custom(log: DataFrame) -> DataFrame:

@@ -16,17 +16,23 @@ FOLDS = {
     "edges": (folds.fold_follows, folds.EDGES),
     "reblogs": (folds.fold_reblogs, folds.REBLOGS),
     "payouts": (folds.fold_payouts, folds.PAYOUTS),
+    "options": (folds.fold_options, folds.OPTIONS),
+    "last_reads": (folds.fold_last_reads, folds.LAST_READS),
 }
 
 
 def fold_batch(spark: SparkSession, log: DataFrame, root: str, version: int) -> None:
     """Fold one batch into the state of the version before and write the next.
 
-    A batch that is run again reads the same state and replaces the same version.
+    A batch that is run again reads the same state and replaces the same
+    version.  The batch's source is read once; the folds read what was kept.
     """
+    shared = sinks.Shared(spark, "batch")
+    log = shared.keep(log)
     for name, (fold, schema) in FOLDS.items():
         state = sinks.read_snapshot(spark, root, name, version - 1, schema)
         sinks.write_snapshot(fold(state, log), root, name, version)
+    shared.drop(log)
 
 
 def start(spark: SparkSession, source: str, root: str, checkpoint: str, files: int | None = None) -> StreamingQuery:

@@ -81,6 +81,8 @@ def test_cuts_and_repeats_change_nothing(spark, log, name):
         assert sorted(map(repr, _fold(spark, log, name, cuts).select(*whole.columns).collect())) == expected
     fold, _ = oplog_stream.FOLDS[name]
     assert sorted(map(repr, fold(whole, log).select(*whole.columns).collect())) == expected
+    for low, high in ((1, 4), (4, 7), (9, 9), (6, 11)):  # an older batch again
+        assert sorted(map(repr, fold(whole, oplog.scan(log, low, high)).select(*whole.columns).collect())) == expected
 
 
 def test_accounts(spark, log):
@@ -89,7 +91,7 @@ def test_accounts(spark, log):
 
 def test_votes(spark, log):
     (row,) = _fold(spark, log, "votes", []).collect()
-    assert (row["rshares"], int(row["weight"]), row["percent"], row["num_changes"], row["is_effective"], row["block_num"]) == (-7, 3, -500, 1, True, 5)
+    assert (row["rshares"], int(row["weight"]), row["percent"], row["num_changes"], row["is_effective"], row["block_num"]) == (-7_000_000, 3, -500, 1, True, 5)
 
 
 def test_posts(spark, log):
@@ -99,12 +101,12 @@ def test_posts(spark, log):
 
 
 def test_follows(spark, log):
-    assert _set(_fold(spark, log, "edges", []), "follower", "following", "kind") == {("ann", "cy", "follow"), ("bob", "ann", "blacklist"), ("cy", "bob", "follow")} | {("eve", "bob", "follow")}
+    assert _set(_fold(spark, log, "edges", []).where("kind is not null"), "follower", "following", "kind") == {("ann", "cy", "follow"), ("bob", "ann", "blacklist"), ("cy", "bob", "follow")} | {("eve", "bob", "follow")}
 
 
 def test_reblogs_payouts_and_feed(spark, log):
     reblogs = _fold(spark, log, "reblogs", [])
-    assert _set(reblogs, "account", "author", "permlink") == {("cy", "ann", "one")}
+    assert _set(reblogs.where("not deleted"), "account", "author", "permlink") == {("cy", "ann", "one")}
     (row,) = _fold(spark, log, "payouts", []).collect()
     assert (float(row["payout"]), float(row["pending"]), row["is_paid"]) == (2.5, 0.0, True)
     assert _set(folds.feed_entries(_fold(spark, log, "posts", []), reblogs), "account", "author", "permlink") == {("ann", "ann", "one"), ("cy", "ann", "one")}
@@ -116,6 +118,52 @@ def test_communities(spark, log):
     }
 
 
+def test_bad_community_operations_are_skipped(spark):
+    bad = [
+        _community(C, "setRole", account=["a"], role="mod"), _community(C, "setRole", account="bob", role=[]), _community(C, "setUserTitle", account="bob", title=5), _community(C, "updateProps", props=[1]),
+        _community(C, "updateProps", props={"lang": "xx"}), _community(C, "dance"), _community(C, "pinPost", account="bob"), _custom(C, "community", "mutePost", {"community": C}), _community(C, "setRole", account="ann", role="mod"),
+    ]
+    found = folds.community_states(_log_of(spark, bad))
+    assert _set(found, "kind", "key", "value") == {("role", C, "owner"), ("role", "ann", "mod")}
+
+
+def test_no_more_than_100_moderators(spark):
+    found = folds.community_states(_log_of(spark, [_community(C, "setRole", account=f"m{i}", role="mod") for i in range(103)]))
+    assert found.where("value = 'mod'").count() == 100
+
+
+def _log_of(spark, ops):
+    return spark.createDataFrame([(i, 1, START, oplog.TYPES[name], json.dumps(body)) for i, (name, body) in enumerate(ops)], oplog.SCHEMA)
+
+
+def test_bodies_are_patched(spark):
+    ops = [_comment("ann", "x", "The quick brown fox"), _comment("ann", "x", "@@ -5,11 +5,9 @@\n quic\n-k bro\n+%25 re\n wn \n"), _comment("ann", "y", "@@ no patch"), _comment("ann", "z", "a b"), _comment("ann", "z", "@@ -1,3 +1,5 @@\n a b\n+ c\n")]
+    state = folds.fold_posts(spark.createDataFrame([], folds.POSTS), _log_of(spark, ops))
+    bodies = {r["permlink"]: r["body"] for r in state.collect()}
+    assert bodies == {"x": "The quic% rewn fox", "y": "@@ no patch", "z": "a b c"}
+    later = spark.createDataFrame([(9, 2, START, oplog.TYPES["comment"], json.dumps(_comment("ann", "z", "@@ -1,5 +1,3 @@\n-a \n b c\n")[1]))], oplog.SCHEMA)
+    assert folds.fold_posts(state, later).where("permlink = 'z'").first()["body"] == "b c"
+
+
+def test_options_last_reads_and_early_votes(spark):
+    ops = [
+        ("comment_options", {"author": "ann", "permlink": "x", "percent_hbd": 0, "extensions": [["0", {"beneficiaries": []}]]}), ("comment_options", {"author": "ann", "permlink": "x", "allow_votes": False}),
+        _custom("ann", "notify", "setLastRead", {"date": "2019-05-01T00:00:00"}), _custom("bob", "notify", "setLastRead", {"date": "2030-01-01T00:00:00"}),
+        ("effective_vote", {"voter": "bob", "author": "ann", "permlink": "x", "rshares": 3, "total_vote_weight": 1}),
+    ]
+    log = _log_of(spark, ops)
+    (row,) = folds.fold_options(spark.createDataFrame([], folds.OPTIONS), log).collect()
+    assert (row["percent"], row["allow_votes"], row["max_payout"], row["beneficiaries"]) == (10000, False, "1000000.000 HBD", "[]")
+    assert {r["account"]: str(r["read_at"]) for r in folds.fold_last_reads(spark.createDataFrame([], folds.LAST_READS), log).collect()} == {"ann": "2019-05-01 00:00:00", "bob": str(START)}
+    assert folds.fold_votes(spark.createDataFrame([], folds.VOTES), log).first()["rshares"] == 3_000_000
+
+
+def test_votes_before_the_post_do_not_count(spark):
+    votes = spark.createDataFrame([("v", "ann", p, 1, 1, 1, START + datetime.timedelta(days=d), 0, True, 1) for p, d in (("x", 0), ("x", 2), ("gone", 2))], "voter string, author string, permlink string, weight int, rshares long, percent int, last_update timestamp_ntz, num_changes int, is_effective boolean, block_num int")
+    posts = spark.createDataFrame([("ann", p, 0, "", "", "", "", [], START + datetime.timedelta(days=1), START, p == "gone", 1) for p in ("x", "gone")], folds.POSTS)
+    assert folds.counted_votes(votes, posts).count() == 1
+
+
 def test_blocks_and_json(spark, log):
     blocks = oplog.blocks(log).orderBy("block_num").collect()
     assert len(blocks) == len(BLOCKS) and blocks[0]["previous_ts"] == blocks[0]["block_ts"] and blocks[3]["previous_ts"] == blocks[2]["block_ts"]

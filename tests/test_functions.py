@@ -103,3 +103,36 @@ def test_pages_with_ties(spark):
         pages += found
         last = found[-1]
     assert pages == whole and len(pages) == 20
+
+
+def test_images_dates_numbers_and_languages(spark):
+    from agorafold.functions import text
+
+    good, long = "http://x.org/a.png", "http://" + "x" * 1100
+    cases = {
+        '{"image": ["%s"]}' % good: good, '{"image": "%s"}' % good: good, '{"image": []}': "", '{"image": [3]}': "", '{"image": "ftp://x"}': "", '{"image": {"a": 1}}': "", "": "", "no json": "", '{"image": ["%s"]}' % long: "",
+        '{"image": [" HTTPS://x "]}': "HTTPS://x", '{"other": 1}': "",
+    }
+    rows = spark.createDataFrame([*cases.items(), (None, "")], "m string, e string").select("e", text.first_image(F.col("m")).alias("i")).collect()
+    assert all(r["e"] == r["i"] for r in rows), rows
+    times = spark.sql("select timestamp_ntz'2020-12-31 23:00:00' a, timestamp_ntz'2021-02-01 01:30:05' b")
+    found = times.select(*[text.date_diff(u, F.col("a"), F.col("b")).alias(u) for u in ("year", "month", "week", "day", "hour", "minute", "second")]).first()
+    assert tuple(found) == (1, 2, 4, 31, 746, 44790, 2687405)
+    n = spark.createDataFrame([(9007199254740991,), (9007199254740992,), (-5,)], "n long").select(text.safe_integer(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in n] == ["9007199254740991", '"9007199254740992"', "-5"]
+    one = spark.createDataFrame([("en", "a\0b"), ("xx", None)], "c string, b string").select(text.is_language(F.col("c")).alias("l"), text.without_nul(F.col("b")).alias("n")).collect()
+    assert [tuple(r) for r in one] == [(True, "a b"), (False, None)]
+
+
+def test_rules(spark):
+    from agorafold.functions import rules
+
+    rows = spark.createDataFrame([(True, 1, 0, False), (True, 2, 0, False), (True, 3, 2, False), (False, 2, 0, False), (False, 3, 0, True), (False, None, None, True)], "root boolean, kind int, role int, up boolean")
+    found = [r["m"] for r in rows.select(rules.muted_reasons(F.col("root"), F.col("kind"), F.col("role"), F.col("up")).alias("m")).collect()]
+    assert found == [0, 2, 0, 0, 6, 4]
+    votes = spark.createDataFrame([("a", "b", 0, 10**10, 0.02, None), ("a", "a", 0, 10**10, 0.02, None), ("a", "b", 0, 10**9, 0.02, None), ("a", "b", -1, 10**10, 0.02, None), ("a", "b", 0, 10**10, 0.01, None), ("a", "b", 0, 10**10, 1.0, True)], "v string, a string, s int, w long, x double, m boolean")
+    told = [r["t"] for r in votes.select(rules.vote_is_told(*[F.col(c) for c in "vaswxm"]).alias("t")).collect()]
+    assert told == [True, False, False, False, False, False]
+    docs = spark.createDataFrame([('{"account": "a", "role": "mod"}',), ('{"account": "a"}',), ('{"account": 1, "role": "mod"}',), ('{"account": "a", "role": "mod", "x": 1}',), ('{"account": "a", "role": "mod", "notes": "n"}',), ("[1]",), ("bad",)], "d string")
+    valid = [r["v"] for r in docs.select(rules.payload_is_valid(F.col("d"), {"account": "string", "role": "string"}, {"notes": "string"}).alias("v")).collect()]
+    assert valid == [True, False, False, False, True, False, False]
