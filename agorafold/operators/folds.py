@@ -150,12 +150,14 @@ def fold_reblogs(state: DataFrame, log: DataFrame) -> DataFrame:
     ops = oplog.custom(log).where(F.col("kind").isin("reblog", "follow") & (F.col("action") == "reblog"))
     get = lambda name: F.get_json_object("data", f"$.{name}")
     rows = ops.where(get("account") == F.col("account")).select("account", get("author").alias("author"), get("permlink").alias("permlink"), "op_id", "block_num", "block_ts", (F.coalesce(get("delete"), F.lit("")) == "delete").alias("gone"))
-    last = _newer(rows, state, keys).groupBy(*keys).agg(F.max_by(F.struct("gone", "block_ts", "block_num"), "op_id").alias("l"))
-    # A reblog that stands keeps its first time; one made again after its deletion has a new one.
-    stands = F.coalesce(~F.col("deleted"), F.lit(False)) & (F.col("l").isNull() | ~F.col("l.gone"))
+    cleared = F.max(F.when(F.col("gone"), F.col("op_id"))).over(Window.partitionBy(*keys))  # the last deletion of this reblog
+    since = _newer(rows, state, keys).withColumn("cleared", cleared).withColumn("since", F.when(~F.col("gone") & (F.col("cleared").isNull() | (F.col("op_id") > F.col("cleared"))), F.col("block_ts")))
+    last = since.groupBy(*keys).agg(F.max_by("gone", "op_id").alias("gone"), F.max("block_num").alias("b"), F.min("since").alias("since"), F.max("cleared").alias("cleared"))
+    # A reblog that stands keeps its first time; one made again after its deletion has a new one, a deleted one none.
+    stood = F.coalesce(~F.col("deleted"), F.lit(False)) & F.col("cleared").isNull()
     return state.join(last, keys, "full").select(
-        *keys, F.when(stands | F.col("l").isNull(), F.col("created")).otherwise(F.col("l.block_ts")).alias("created"),
-        F.when(F.col("l").isNull(), F.col("deleted")).otherwise(F.col("l.gone")).alias("deleted"), F.coalesce("l.block_num", "block_num").alias("block_num"),
+        *keys, F.when(F.coalesce("gone", "deleted"), F.lit(None)).when(stood, F.col("created")).otherwise(F.col("since")).cast("timestamp_ntz").alias("created"),
+        F.coalesce("gone", "deleted").alias("deleted"), F.coalesce("b", "block_num").alias("block_num"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agorafold.operators import accounts, communities, graph, lookups, notices, ranked, search, threads, upkeep, voting
+from agorafold.operators import accounts, communities, fold_queries, graph, lookups, notices, ranked, search, threads, upkeep, voting
 from agorafold.plans import oracles
 
 FLAGSHIP = "ranked_trending_all"
@@ -20,6 +20,7 @@ _BY_MODULE = {
     notices: "notification_ids notification_messages account_notifications post_notifications unread_asof block_lag op_history json_props muted_reason_mask",
     search: "search_bm25 search_query search_newest search_author tag_normalise",
     lookups: "post post_header content_replies reblogged_by find_comments posts_of_categories info changed_parents quiet_followers payouts_by_place",
+    fold_queries: "fold_accounts fold_votes fold_posts fold_follows fold_reblogs fold_payouts fold_communities vote_notifications",
     upkeep: "sequence_ids first_occurrences waves child_deltas retained_events next_orders post_mentions",
 }
 

@@ -49,6 +49,14 @@ _TEMPLATE = "CASE kind " + " ".join(f"WHEN {k} THEN '{v[1]}'" for k, v in MESSAG
 _WALK = "walk(id, above) AS (SELECT id, parent FROM n WHERE parent IS NOT NULL UNION ALL SELECT w.id, n.parent FROM walk w JOIN n ON n.id = w.above WHERE n.parent IS NOT NULL)"
 
 
+def _day(at: str) -> str:
+    return f"date_diff('day', DATE '1992-01-01', {at}::DATE)"
+
+
+def _at(days: str) -> str:
+    return f"(TIMESTAMP '1992-01-01' + to_days(({days})::INT))"
+
+
 def _counts(terms: tuple[str, ...]) -> str:
     return ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS n{i}" for i, t in enumerate(terms))
 
@@ -245,4 +253,37 @@ SQL = {
         SELECT id, 'c' || author AS self, unnest(list_distinct(list_transform(regexp_extract_all('Thanks @C' || author || ', @c' || (author % 97 + 1) || ' and @nobody' || (author % 5) || '; mail me@c1.com. (@c' || (id % 13 + 1) || ')',
           '(?:^|[^a-zA-Z0-9_!#$%&*@\\/])(?:@)([a-zA-Z0-9\.-]{{1,16}}[a-zA-Z0-9])', 1), lambda x: lower(x)))) AS mention FROM l)
       SELECT id, mention FROM m WHERE mention <> self AND mention IN (SELECT 'c' || c_custkey FROM customer)""",
+    "fold_accounts": f"""SELECT 'c' || c_custkey AS name, {_at("c_custkey % 100")} AS created, CASE WHEN c_custkey % 3 = 0 THEN '{{"profile":{{"name":"' || c_name || '"}}}}' END AS posting_metadata, NULL::VARCHAR AS json_metadata,
+      (1000000 + c_custkey % 100 + CASE WHEN c_custkey % 3 = 0 THEN 200 ELSE 0 END)::INT AS block_num FROM customer""",
+    "fold_votes": f"""WITH o AS (SELECT *, {_day("l_shipdate")} AS d, {_day("l_shipdate")}::HUGEINT * 10000000000 + l_orderkey * 10 + l_linenumber AS op FROM lineitem)
+      SELECT 's' || l_suppkey AS voter, 'x' || (l_orderkey % 100) AS author, 'p' || l_orderkey AS permlink, arg_max(l_partkey, op) FILTER (l_linestatus = 'F') AS weight,
+        coalesce(arg_max(round(l_extendedprice * 100)::BIGINT, op) FILTER (l_linestatus = 'F'), 0) AS rshares, arg_max((l_quantity * 100)::INT, op) AS percent, {_at("arg_max(d, op)")} AS last_update,
+        (count(*) - 1)::INT AS num_changes, bool_or(l_linestatus = 'F') AS is_effective, (1000000 + max(d))::INT AS block_num FROM o GROUP BY l_suppkey, l_orderkey""",
+    "fold_posts": f"""WITH o AS (SELECT *, {_day("o_orderdate")} AS d FROM orders), g AS (SELECT *, 0 AS generation FROM o UNION ALL SELECT *, 1 FROM o WHERE o_orderkey % 100 = 7)
+      SELECT 'c' || o_custkey AS author, 'p' || o_orderkey AS permlink, generation, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'x' END AS parent_author, o_orderpriority AS title,
+        CASE WHEN generation = 1 THEN 'r' WHEN o_orderkey % 4 = 0 THEN 'e' ELSE 'b' END || o_orderkey AS body, left(replace(lower(o_orderpriority), ' ', ''), 32) || ',t' || (o_orderkey % 5) AS tags,
+        {_at("d + generation")} AS created, o_orderkey % 50 = 7 AND generation = 0 AS deleted, (1000000 + d + generation)::INT AS block_num FROM g""",
+    "fold_follows": f"""WITH {_F}, {_M}, a AS (
+        SELECT *, (follower + following) % 100 AS d, 'follow' AS kind FROM f UNION ALL SELECT *, (follower + following) % 100 + 100, 'mute' FROM m
+        UNION ALL SELECT *, (follower + following) % 100 + 200, NULL FROM f WHERE (follower + following) % 10 = 0),
+      z AS (SELECT *, row_number() OVER (PARTITION BY follower, following ORDER BY d DESC) AS rn FROM a)
+      SELECT 's' || follower AS follower, 'c' || following AS following, kind, (1000000 + d)::INT AS block_num FROM z WHERE rn = 1 AND kind IS NOT NULL AND (follower % 13 <> 0 OR d >= 150)""",
+    "fold_reblogs": f"""WITH {_P}, o AS (SELECT author, parent, {_day("created")} AS d, {_day("created")}::HUGEINT * 10000000000 + id * 2 AS op, FALSE AS gone FROM p WHERE parent IS NOT NULL
+        UNION ALL SELECT author, parent, {_day("created")} + 1, ({_day("created")} + 1)::HUGEINT * 10000000000 + id * 2 + 1, TRUE FROM p WHERE parent IS NOT NULL AND id % 6 = 0),
+      c AS (SELECT *, max(CASE WHEN gone THEN op END) OVER (PARTITION BY author, parent) AS cleared FROM o)
+      SELECT 'c' || author AS account, 'x' || (parent % 100) AS author, 'p' || parent AS permlink, {_at("min(d) FILTER (NOT gone AND op > coalesce(cleared, 0))")} AS created, (1000000 + max(d))::INT AS block_num
+      FROM c GROUP BY author, parent HAVING NOT arg_max(gone, op)""",
+    "fold_payouts": f"""WITH o AS (SELECT *, {_day("o_orderdate")} AS d, o_orderstatus = 'F' AS f FROM orders)
+      SELECT 'c' || o_custkey AS author, 'p' || o_orderkey AS permlink, CASE WHEN f THEN round(o_totalprice * 1000)::BIGINT / 1000.0 ELSE 0 END::DECIMAL(20,3) AS payout,
+        CASE WHEN f THEN 0 ELSE round(o_totalprice * 500)::BIGINT / 1000.0 END::DECIMAL(20,3) AS pending, f AS is_paid, CASE WHEN f THEN {_at("d + 7")} END AS last_payout, (1000000 + d + CASE WHEN f THEN 7 ELSE 0 END)::INT AS block_num FROM o""",
+    "fold_communities": """WITH n AS (SELECT *, 'hive-1' || lpad(n_nationkey::VARCHAR, 5, '0') AS community FROM nation)
+      SELECT community, 'role' AS kind, community AS key, 'owner' AS value FROM n
+      UNION ALL SELECT community, 'role', 's' || s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'mod' ELSE 'member' END FROM supplier JOIN n ON n_nationkey = s_nationkey
+      UNION ALL SELECT community, 'subscriber', 'c' || c_custkey, '' FROM customer JOIN n ON n_nationkey = c_nationkey WHERE c_custkey % 5 <> 0
+      UNION ALL SELECT community, 'prop', 'title', n_name FROM n""",
+    "vote_notifications": f"""WITH {_P}, {_V}, {_R}, e AS (SELECT post, voter, sum(rshares)::BIGINT AS rs FROM v GROUP BY 1, 2),
+      x AS (SELECT post, voter, author, rs, CASE WHEN r.rshares <> 0 THEN payout::DOUBLE / r.rshares * rs ELSE 0 END AS value, abs_rshares, payout::DOUBLE / abs_rshares * 1000 * rs AS w FROM e JOIN r USING (post) JOIN l ON l.id = e.post),
+      y AS (SELECT *, CASE WHEN abs_rshares = 0 THEN 0 WHEN w < 20 THEN -1 ELSE least(100, (length(round(w)::BIGINT::VARCHAR) - 1) * 25) END::INT AS score FROM x)
+      SELECT post, voter, score, round(value, 3) AS value FROM y LEFT JOIN supplier ON s_suppkey = voter
+      WHERE score >= 0 AND rs * 1000 >= 10000000000 AND value >= 0.02 AND voter <> author AND NOT coalesce(s_acctbal < 0, FALSE)""",
 }
