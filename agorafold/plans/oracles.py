@@ -255,7 +255,7 @@ SQL = {
       SELECT id, mention FROM m WHERE mention <> self AND mention IN (SELECT 'c' || c_custkey FROM customer)""",
     "fold_accounts": f"""SELECT 'c' || c_custkey AS name, {_at("c_custkey % 100")} AS created, CASE WHEN c_custkey % 3 = 0 THEN '{{"profile":{{"name":"' || c_name || '"}}}}' END AS posting_metadata, NULL::VARCHAR AS json_metadata,
       (1000000 + c_custkey % 100 + CASE WHEN c_custkey % 3 = 0 THEN 200 ELSE 0 END)::INT AS block_num FROM customer""",
-    "fold_votes": f"""WITH o AS (SELECT *, {_day("l_shipdate")} AS d, {_day("l_shipdate")}::HUGEINT * 10000000000 + l_orderkey * 10 + l_linenumber AS op FROM lineitem)
+    "fold_votes": f"""WITH o AS (SELECT *, {_day("l_shipdate")} AS d, {_day("l_shipdate")}::HUGEINT * 1000000000000 + (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000 AS op FROM lineitem)
       SELECT 's' || l_suppkey AS voter, 'x' || (l_orderkey % 100) AS author, 'p' || l_orderkey AS permlink, arg_max(l_partkey, op) FILTER (l_linestatus = 'F') AS weight,
         coalesce(arg_max(round(l_extendedprice * 100)::BIGINT, op) FILTER (l_linestatus = 'F'), 0) AS rshares, arg_max((l_quantity * 100)::INT, op) AS percent, {_at("arg_max(d, op)")} AS last_update,
         (count(*) - 1)::INT AS num_changes, bool_or(l_linestatus = 'F') AS is_effective, (1000000 + max(d))::INT AS block_num FROM o GROUP BY l_suppkey, l_orderkey""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from agorafold.sources import oplog, tables
 
-FIRST, SPAN = 1_000_000, 10_000_000_000
+FIRST, SPAN = 1_000_000, 1_000_000_000_000
 EPOCH = "1992-01-01"
 
 
@@ -55,7 +55,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item votes; final ones have their effect at once."""
     items = tables.read(spark, sf_dir, "lineitem")
-    order = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 2
+    # Line numbers repeat within orders of the given tables; parts tell them apart.
+    order = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey") % 100_000) * 2
     names = {"voter": _text("s", F.col("l_suppkey")), "author": _text("x", F.col("l_orderkey") % 100), "permlink": _text("p", F.col("l_orderkey"))}
     rshares = F.round(F.col("l_extendedprice") * 100).cast("long")
     return _union(
