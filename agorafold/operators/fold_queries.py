@@ -48,7 +48,7 @@ def fold_payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.community_states(fixture_log.communities(spark, sf_dir))
+    return folds.community_entries(_folded(spark, fixture_log.communities(spark, sf_dir), folds.fold_communities, folds.COMMUNITIES, fixture_log.FIRST + 2))
 
 
 def vote_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:

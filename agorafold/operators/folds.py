@@ -1,7 +1,7 @@
 """Folds of the operation log into state tables: pure functions (state, operations) -> state.
 
 Each fold is a join and an aggregation by key, so a batch of any size is
-spread by key.  Every state row carries the last block that changed it, and
+spread by key; only the changes of a community's roles are read in order.  Every state row carries the last block that changed it, and
 operations up to that block are skipped for it: a repeated batch, of any age,
 changes nothing, and a log cut at block boundaries gives the same state as the
 whole.  What is deleted stays as a row that says so, with its block, so that an
@@ -222,14 +222,35 @@ FIELDS = {
     "subscribe": (), "unsubscribe": (), "setRole": ("account", "role"), "setUserTitle": ("account", "title"), "updateProps": (),
     **{a: ("account", "permlink") for a in ("mutePost", "unmutePost", "pinPost", "unpinPost", "flagPost")},
 }
+MARKS = {"mutePost": ("muted", ""), "unmutePost": ("muted", None), "pinPost": ("pinned", ""), "unpinPost": ("pinned", None), "flagPost": ("flagged", "")}
+KEPT = ("title", "about", "lang", "is_nsfw", "description", "flag_text", "settings")
 PROPS = {"title": 20, "about": 120, "lang": 2, "description": 1000, "flag_text": 1000}
-COMMUNITY_STATE = "community string, kind string, key string, value string"
+#: kind: role, title, subscriber, muted, pinned, flagged or prop; value is null where the key has it no longer.
+COMMUNITIES = "community string, kind string, key string, value string, block_num int"
+OPERATIONS = "community string, op_id long, block_num int, account string, action string, other string, role string, kind string, key string, value string"
+ROLE_CHANGES = "community string, account string, op_id long, block_num int, rank int"
+
+
+def _entries(account: str, action: str, doc: dict) -> list[tuple[str | None, str | None, str | None]]:
+    """What a well-formed operation sets if its actor may, as (kind, key, value); one without any for a change of roles."""
+    post = f"{doc.get('account')}/{doc.get('permlink')}"
+    if action in ("subscribe", "unsubscribe"):
+        return [("subscriber", account, "" if action == "subscribe" else None)]
+    if action == "setUserTitle":
+        return [("title", doc["account"], doc["title"] or None)]
+    if action == "updateProps":
+        return [("prop", k, v if isinstance(v, str) else json.dumps(v, separators=(",", ":"))) for k, v in doc["props"].items() if k in KEPT and v is not None]
+    if action in MARKS:
+        return [(MARKS[action][0], post, MARKS[action][1])]
+    return [(None, None, None)]
 
 
 def _well_formed(action: str, doc: object) -> bool:
     """An operation whose document has what its action needs, in the right types."""
     if action not in FIELDS or not isinstance(doc, dict) or not all(isinstance(doc.get(k), str) for k in FIELDS[action]):
         return False
+    if action == "setRole":
+        return doc["role"] in ROLES
     if action != "updateProps":
         return True
     props = doc.get("props")
@@ -239,72 +260,89 @@ def _well_formed(action: str, doc: object) -> bool:
     return good and ("lang" not in props or props["lang"] in text.LANGUAGES) and ("is_nsfw" not in props or isinstance(props["is_nsfw"], bool))
 
 
-def _community_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Operations come ordered by community and op_id; the state of one community is held at a time."""
-    out: list[tuple] = []
-    now, roles, titles, members, posts, props = None, {}, {}, set(), {}, {}
-
-    def close() -> None:
-        out.extend((now, "role", a, next(n for n, r in ROLES.items() if r == role)) for a, role in sorted(roles.items()) if role)
-        out.extend((now, "title", a, t) for a, t in sorted(titles.items()) if t)
-        out.extend((now, "subscriber", a, "") for a in sorted(members))
-        out.extend((now, "post", k, ",".join(sorted(v))) for k, v in sorted(posts.items()) if v)
-        out.extend((now, "prop", k, v) for k, v in sorted(props.items()))
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["community", "kind", "key", "value"])
-
+def _read_operations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each operation's entries; of a bad one its place alone, without an action."""
+    for source in batches:
+        out: list[tuple] = []
+        for community, op_id, block, account, action, data in zip(*(c.to_pylist() for c in source.columns), strict=True):
+            doc = json.loads(data)
+            if _well_formed(action, doc):
+                out.extend((community, op_id, block, account, action, doc.get("account") if action == "setRole" else None, doc.get("role") if action == "setRole" else None, *e) for e in _entries(account, action, doc))
+            else:
+                out.append((community, op_id, block, account, *[None] * 6))
+        yield _batch(out, OPERATIONS)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _role_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Accepted changes of roles; rows come by community and op_id, those of the state (no actor) first. Holds the roles of one community."""
+    now, roles, mods = None, {}, 0
     for source in batches:
-        for community, actor, action, data in zip(*(source.column(c).to_pylist() for c in ("community", "account", "action", "data")), strict=True):
+        out: list[tuple] = []
+        for community, op_id, block, actor, other, role in zip(*(source.column(c).to_pylist() for c in ("community", "op_id", "block_num", "account", "other", "role")), strict=True):
             if community != now:
-                if now is not None:
-                    close()
-                    if len(out) >= 10_000:
-                        yield batch()
-                        out.clear()
-                now, roles, titles, members, posts, props = community, {community: ROLES["owner"]}, {}, set(), {}, {}
-            rank, doc = roles.get(actor, 0), json.loads(data)
-            if not _well_formed(action, doc):
-                continue
-            if rank < NEEDS.get(action, 0) and action in NEEDS or action == "flagPost" and rank < 0:
-                continue
-            other, post = doc.get("account"), f"{doc.get('account')}/{doc.get('permlink')}"
-            marks = posts.setdefault(post, set())
-            if action == "subscribe":
-                members.add(actor)
-            elif action == "unsubscribe":
-                members.discard(actor)
-            elif action == "setRole" and doc.get("role") in ROLES:
-                new, old = ROLES[doc["role"]], roles.get(other, 0)
-                full = new == ROLES["mod"] and sum(r == new for r in roles.values()) >= MOST_MODS
-                if new != old and rank > new and rank > old and old < ROLES["owner"] and not full:
-                    roles[other] = new
-            elif action == "setUserTitle":
-                titles[other] = doc.get("title") or ""
-            elif action == "mutePost":
-                marks.add("muted")
-            elif action == "unmutePost":
-                marks.discard("muted")
-            elif action == "pinPost":
-                marks.add("pinned")
-            elif action == "unpinPost":
-                marks.discard("pinned")
-            elif action == "flagPost":
-                marks.add("flagged")
-            elif action == "updateProps":
-                props.update({k: str(v) for k, v in doc["props"].items() if k in ("title", "about", "lang", "is_nsfw", "description", "flag_text", "settings")})
-    if now is not None:
-        close()
-    if out:
-        yield batch()
+                now, roles, mods = community, {community: ROLES["owner"]}, 0
+            new, old = ROLES[role], roles.get(other, 0)
+            if actor is not None:
+                rank = roles.get(actor, 0)
+                full = new == ROLES["mod"] and mods >= MOST_MODS
+                if rank < NEEDS["setRole"] or new == old or rank <= new or rank <= old or old >= ROLES["owner"] or full:
+                    continue
+                out.append((community, other, op_id, block, new))
+            roles[other] = new
+            mods += (new == ROLES["mod"]) - (old == ROLES["mod"])
+        yield _batch(out, ROLE_CHANGES)
+
+
+def fold_communities(state: DataFrame, log: DataFrame) -> DataFrame:
+    """Roles, titles, subscribers, marks of posts and properties of communities.
+
+    Whether a role may be given depends on the roles before, so these few
+    operations are read in order, a community at a time.  All others are
+    judged by what their actor's role was then (a window by community and
+    actor) and the last accepted one of each key counts, so that a community
+    with most of the log is spread by actor and key.
+    """
+    ops = oplog.custom(log).where((F.col("kind") == "community") & F.col("data").startswith("{"))
+    ops = ops.select(F.get_json_object("data", "$.community").alias("community"), "op_id", "block_num", "account", "action", "data").where(text.is_community(F.col("community")))
+    rows = _newer(ops.mapInArrow(_read_operations, OPERATIONS), state, ["community"])
+    start = F.lit(-1).cast("long").alias("op_id")
+    owners = rows.groupBy("community").agg(F.max("block_num").alias("block_num")).select("community", F.col("community").alias("account"), start, "block_num", F.lit(ROLES["owner"]).alias("rank"))
+    known = state.where("kind = 'role' and value is not null").select("community", "block_num", F.col("key").alias("other"), F.col("value").alias("role"))
+    told = known.select("community", start, "block_num", F.lit(None).cast("string").alias("account"), "other", "role")
+    asked = rows.where("action = 'setRole'").select(*told.columns)
+    changes = asked.unionByName(told).repartition("community").sortWithinPartitions("community", "op_id").mapInArrow(_role_changes, ROLE_CHANGES).unionByName(owners)
+
+    number = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    held = changes.unionByName(known.select("community", F.col("other").alias("account"), start, "block_num", F.try_element_at(number, "role").alias("rank")))
+    free = F.col("action").isin("subscribe", "unsubscribe")
+    shown = rows.where(~free & F.col("kind").isNotNull()).unionByName(held, allowMissingColumns=True)
+    before = Window.partitionBy("community", "account").orderBy("op_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in NEEDS.items() for x in pair]), "action"), F.lit(0))
+    allowed = shown.withColumn("had", F.coalesce(F.last("rank", ignorenulls=True).over(before), F.lit(0))).where(F.col("action").isNotNull() & (F.col("had") >= least))
+
+    keys = ["community", "kind", "key"]
+    columns = [*keys, "value", "op_id", "block_num"]
+    name = F.try_element_at(F.create_map(*[F.lit(x) for n, r in ROLES.items() if r for x in (r, n)]), "rank")  # a guest has none
+    given = changes.select("community", F.lit("role").alias("kind"), F.col("account").alias("key"), name.alias("value"), "op_id", "block_num")
+    last = rows.where(free).select(*columns).unionByName(allowed.select(*columns)).unionByName(given).groupBy(*keys).agg(F.max_by(F.struct("value", "block_num"), "op_id").alias("l"))
+    chosen = lambda name: F.when(F.col("l").isNotNull(), F.col(f"l.{name}")).otherwise(F.col(name)).alias(name)
+    return state.join(last, keys, "full").select(*keys, chosen("value"), chosen("block_num"))
+
+
+def community_entries(state: DataFrame) -> DataFrame:
+    """(community, kind, key, value) of what communities have now; a post's marks in one row of kind ``post``."""
+    now, mark = state.where("value is not null"), F.col("kind").isin("muted", "pinned", "flagged")
+    marks = now.where(mark).groupBy("community", "key").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("value"))  # three at most
+    return now.where(~mark).select("community", "kind", "key", "value").unionByName(marks.select("community", F.lit("post").alias("kind"), "key", "value"))
 
 
 def community_states(log: DataFrame) -> DataFrame:
-    """(community, kind, key, value): roles, titles, subscribers, post marks and properties after a log.
-
-    Validity of an operation depends on those before it, so each community is
-    folded in order; Spark's sort may spill, and no log is held in memory.
-    """
-    ops = oplog.custom(log).where((F.col("kind") == "community") & F.get_json_object("data", "$.community").isNotNull() & F.col("data").startswith("{"))
-    rows = ops.select(F.get_json_object("data", "$.community").alias("community"), "op_id", "account", "action", "data").where(text.is_community(F.col("community")))
-    return rows.repartition("community").sortWithinPartitions("community", "op_id").select("community", "account", "action", "data").mapInArrow(_community_states, COMMUNITY_STATE)
+    """Entries of communities after a log."""
+    return community_entries(fold_communities(log.sparkSession.createDataFrame([], COMMUNITIES), log))

@@ -17,6 +17,7 @@ FOLDS = {
     "reblogs": (folds.fold_reblogs, folds.REBLOGS),
     "payouts": (folds.fold_payouts, folds.PAYOUTS),
     "options": (folds.fold_options, folds.OPTIONS),
+    "communities": (folds.fold_communities, folds.COMMUNITIES),
     "last_reads": (folds.fold_last_reads, folds.LAST_READS),
 }
 

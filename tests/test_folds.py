@@ -64,7 +64,8 @@ def _fold(spark, log, name, cuts):
     fold, schema = oplog_stream.FOLDS[name]
     state, low = spark.createDataFrame([], schema), 1
     for high in [*cuts, len(BLOCKS)]:
-        state = fold(state, oplog.scan(log, low, high))
+        found = fold(state, oplog.scan(log, low, high))
+        state = spark.createDataFrame(found.select(*state.columns).collect(), schema)  # a table, as between batches
         low = high + 1
     return state
 
@@ -127,6 +128,21 @@ def test_bad_community_operations_are_skipped(spark):
     assert _set(found, "kind", "key", "value") == {("role", C, "owner"), ("role", "ann", "mod")}
 
 
+def test_an_action_counts_by_the_role_of_its_time(spark):
+    ops = [
+        _community("bob", "pinPost", account="ann", permlink="a"), _community(C, "setRole", account="bob", role="mod"), _community("bob", "pinPost", account="ann", permlink="b"), _community("bob", "setUserTitle", account="ann", title="T"),
+        _community(C, "setRole", account="bob", role="muted"), _community("bob", "unpinPost", account="ann", permlink="b"), _community("bob", "flagPost", account="ann", permlink="b"), _community("cy", "flagPost", account="ann", permlink="b"),
+        _community(C, "setUserTitle", account="ann", title=""), _community(C, "updateProps", props={"is_nsfw": True, "settings": {"x": 1}}), _community(C, "updateProps", props={"title": 5}), _community(C, "updateProps", props={}),
+    ]
+    expected = {("role", C, "owner"), ("role", "bob", "muted"), ("post", "ann/b", "flagged,pinned"), ("prop", "is_nsfw", "true"), ("prop", "settings", '{"x":1}')}
+    assert _set(folds.community_states(_log_of(spark, ops)), "kind", "key", "value") == expected
+    state = spark.createDataFrame([], folds.COMMUNITIES)
+    log = spark.createDataFrame([(i, i, START, oplog.TYPES[name], json.dumps(body)) for i, (name, body) in enumerate(ops)], oplog.SCHEMA)
+    for low, high in ((0, 1), (2, 4), (0, 3), (5, 11), (0, 11)):  # cut anywhere, with older parts again
+        state = spark.createDataFrame(folds.fold_communities(state, oplog.scan(log, low, high)).collect(), folds.COMMUNITIES)
+    assert _set(folds.community_entries(state), "kind", "key", "value") == expected
+
+
 def test_no_more_than_100_moderators(spark):
     found = folds.community_states(_log_of(spark, [_community(C, "setRole", account=f"m{i}", role="mod") for i in range(103)]))
     assert found.where("value = 'mod'").count() == 100
