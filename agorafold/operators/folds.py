@@ -222,6 +222,7 @@ FIELDS = {
     "subscribe": (), "unsubscribe": (), "setRole": ("account", "role"), "setUserTitle": ("account", "title"), "updateProps": (),
     **{a: ("account", "permlink") for a in ("mutePost", "unmutePost", "pinPost", "unpinPost", "flagPost")},
 }
+ANYONE = ("subscribe", "unsubscribe")
 MARKS = {"mutePost": ("muted", ""), "unmutePost": ("muted", None), "pinPost": ("pinned", ""), "unpinPost": ("pinned", None), "flagPost": ("flagged", "")}
 KEPT = ("title", "about", "lang", "is_nsfw", "description", "flag_text", "settings")
 PROPS = {"title": 20, "about": 120, "lang": 2, "description": 1000, "flag_text": 1000}
@@ -234,7 +235,7 @@ ROLE_CHANGES = "community string, account string, op_id long, block_num int, ran
 def _entries(account: str, action: str, doc: dict) -> list[tuple[str | None, str | None, str | None]]:
     """What a well-formed operation sets if its actor may, as (kind, key, value); one without any for a change of roles."""
     post = f"{doc.get('account')}/{doc.get('permlink')}"
-    if action in ("subscribe", "unsubscribe"):
+    if action in ANYONE:
         return [("subscriber", account, "" if action == "subscribe" else None)]
     if action == "setUserTitle":
         return [("title", doc["account"], doc["title"] or None)]
@@ -281,7 +282,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _role_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Accepted changes of roles; rows come by community and op_id, those of the state (no actor) first. Holds the roles of one community."""
+    """Roles of the state and accepted changes; rows come by community and op_id, those of the state (no actor) first. Holds the roles of one community."""
     now, roles, mods = None, {}, 0
     for source in batches:
         out: list[tuple] = []
@@ -294,7 +295,7 @@ def _role_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 full = new == ROLES["mod"] and mods >= MOST_MODS
                 if rank < NEEDS["setRole"] or new == old or rank <= new or rank <= old or old >= ROLES["owner"] or full:
                     continue
-                out.append((community, other, op_id, block, new))
+            out.append((community, other, op_id, block, new))  # those of the state too: they hold for what follows
             roles[other] = new
             mods += (new == ROLES["mod"]) - (old == ROLES["mod"])
         yield _batch(out, ROLE_CHANGES)
@@ -312,26 +313,22 @@ def fold_communities(state: DataFrame, log: DataFrame) -> DataFrame:
     ops = oplog.custom(log).where((F.col("kind") == "community") & F.col("data").startswith("{"))
     ops = ops.select(F.get_json_object("data", "$.community").alias("community"), "op_id", "block_num", "account", "action", "data").where(text.is_community(F.col("community")))
     rows = _newer(ops.mapInArrow(_read_operations, OPERATIONS), state, ["community"])
-    start = F.lit(-1).cast("long").alias("op_id")
-    owners = rows.groupBy("community").agg(F.max("block_num").alias("block_num")).select("community", F.col("community").alias("account"), start, "block_num", F.lit(ROLES["owner"]).alias("rank"))
-    known = state.where("kind = 'role' and value is not null").select("community", "block_num", F.col("key").alias("other"), F.col("value").alias("role"))
-    told = known.select("community", start, "block_num", F.lit(None).cast("string").alias("account"), "other", "role")
-    asked = rows.where("action = 'setRole'").select(*told.columns)
-    changes = asked.unionByName(told).repartition("community").sortWithinPartitions("community", "op_id").mapInArrow(_role_changes, ROLE_CHANGES).unionByName(owners)
-
-    number = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    held = changes.unionByName(known.select("community", F.col("other").alias("account"), start, "block_num", F.try_element_at(number, "role").alias("rank")))
-    free = F.col("action").isin("subscribe", "unsubscribe")
-    shown = rows.where(~free & F.col("kind").isNotNull()).unionByName(held, allowMissingColumns=True)
+    known = state.where("kind = 'role' and value is not null").select("community", F.lit(-2).cast("long").alias("op_id"), "block_num", F.lit(None).cast("string").alias("account"), F.col("key").alias("other"), F.col("value").alias("role"))
+    asked = rows.where("action = 'setRole'").select(*known.columns).unionByName(known)
+    changes = asked.repartition("community").sortWithinPartitions("community", "op_id").mapInArrow(_role_changes, ROLE_CHANGES)
+    owners = rows.groupBy("community").agg(F.max("block_num").alias("block_num")).select("community", F.col("community").alias("account"), F.lit(-1).cast("long").alias("op_id"), "block_num", F.lit(ROLES["owner"]).alias("rank"))
+
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    name = F.try_element_at(table((r, n) for n, r in ROLES.items() if r), "rank")  # a guest has none
+    held = changes.unionByName(owners).select("*", F.lit("role").alias("kind"), F.col("account").alias("key"), name.alias("value"))
+    shown = rows.where("kind is not null").select("community", "account", "op_id", "block_num", "action", "kind", "key", "value").unionByName(held, allowMissingColumns=True)
     before = Window.partitionBy("community", "account").orderBy("op_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    least = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in NEEDS.items() for x in pair]), "action"), F.lit(0))
-    allowed = shown.withColumn("had", F.coalesce(F.last("rank", ignorenulls=True).over(before), F.lit(0))).where(F.col("action").isNotNull() & (F.col("had") >= least))
+    had = F.coalesce(F.last("rank", ignorenulls=True).over(before), F.lit(0))
+    least = F.try_element_at(table((a, NEEDS.get(a, min(ROLES.values()) if a in ANYONE else 0)) for a in FIELDS), "action")
+    allowed = shown.withColumn("had", had).where(F.col("action").isNull() | (F.col("had") >= least))
 
     keys = ["community", "kind", "key"]
-    columns = [*keys, "value", "op_id", "block_num"]
-    name = F.try_element_at(F.create_map(*[F.lit(x) for n, r in ROLES.items() if r for x in (r, n)]), "rank")  # a guest has none
-    given = changes.select("community", F.lit("role").alias("kind"), F.col("account").alias("key"), name.alias("value"), "op_id", "block_num")
-    last = rows.where(free).select(*columns).unionByName(allowed.select(*columns)).unionByName(given).groupBy(*keys).agg(F.max_by(F.struct("value", "block_num"), "op_id").alias("l"))
+    last = allowed.groupBy(*keys).agg(F.max_by(F.struct("value", "block_num"), "op_id").alias("l"))
     chosen = lambda name: F.when(F.col("l").isNotNull(), F.col(f"l.{name}")).otherwise(F.col(name)).alias(name)
     return state.join(last, keys, "full").select(*keys, chosen("value"), chosen("block_num"))
 
