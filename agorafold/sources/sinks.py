@@ -8,21 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Buckets of a state table, fixed for the life of its folder.
+BUCKETS = 256
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """(json): each row as one JSON object."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def write_snapshot(rows: DataFrame, root: str, name: str, version: int) -> None:
-    """Write one version of a state table; a repeated version replaces itself, so retries are harmless."""
-    rows.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
+def bucket(*keys: str):
+    """The bucket of a state row by its text keys."""
+    return F.pmod(F.hash(*keys), F.lit(BUCKETS))
+
+
+def _folders(spark: SparkSession, root: str, name: str) -> list[tuple[int, int, str]]:
+    """(version, bucket, path) of all that is written of a state table."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/version=*/bucket=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    paths = [f.getPath() for f in found]
+    return [(int(p.getParent().getName().split("=")[1]), int(p.getName().split("=")[1]), p.toString()) for p in paths]
+
+
+def _latest(folders: list[tuple[int, int, str]], version: int) -> dict[int, str]:
+    """The path of each bucket as of a version."""
+    return {b: path for v, b, path in sorted(folders) if v <= version}
+
+
+def write_snapshot(rows: DataFrame, keys: list[str], root: str, name: str, version: int) -> None:
+    """Write the buckets that a version changes, whole; a repeated version replaces itself, so retries are harmless.
+
+    Large buckets are divided between tasks, small ones share a task.
+    """
+    placed = rows.withColumn("bucket", bucket(*keys)).hint("rebalance", "bucket")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/{name}/version={version}")
+
+
+def read_snapshot(spark: SparkSession, root: str, name: str, version: int, schema: str, only: set[int] | None = None) -> DataFrame:
+    """A state table as of a version, or some of its buckets; empty before the first."""
+    paths = [path for b, path in _latest(_folders(spark, root, name), version).items() if only is None or b in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def read_snapshot(spark: SparkSession, root: str, name: str, version: int, schema: str) -> DataFrame:
-    """One version of a state table; empty before the first."""
-    if version < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{name}/version={version}")
+def drop_replaced(spark: SparkSession, root: str, name: str, version: int) -> None:
+    """Delete buckets that neither ``version`` nor the one before it, from which it can be repeated, reads."""
+    folders = _folders(spark, root, name)
+    needed = {*_latest(folders, version).values(), *_latest(folders, version - 1).values()}
+    for v, _, path in folders:
+        if v < version and path not in needed:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 class Shared:

@@ -22,17 +22,62 @@ FOLDS = {
 }
 
 
+def _posts(log: DataFrame) -> DataFrame:
+    return log.where(F.col("op_type") != oplog.TYPES["custom_json"]).select(oplog.field("author").alias("author"), oplog.field("permlink").alias("permlink"))
+
+
+def _names(log: DataFrame) -> DataFrame:
+    fields = [oplog.field(n) for n in ("new_account_name", "worker_account", "account")]
+    return log.where(F.col("op_type") != oplog.TYPES["custom_json"]).select(F.explode(F.array(*fields)).alias("name"))
+
+
+def _signers(log: DataFrame) -> DataFrame:
+    return oplog.custom(log).select("account")
+
+
+def _communities(log: DataFrame) -> DataFrame:
+    return oplog.custom(log).where("kind = 'community'").select(F.get_json_object("data", "$.community").alias("community"))
+
+
+#: What a state table is divided by, and all values of it that a log's operations can change.
+KEYS = {
+    "accounts": (["name"], _names),
+    "votes": (["author", "permlink"], _posts),
+    "posts": (["author", "permlink"], _posts),
+    "edges": (["follower"], _signers),
+    "reblogs": (["account"], _signers),
+    "payouts": (["author", "permlink"], _posts),
+    "options": (["author", "permlink"], _posts),
+    "communities": (["community"], _communities),
+    "last_reads": (["account"], _signers),
+}
+
+
+def _touched(log: DataFrame) -> dict:
+    """The buckets that a log can change, by how its keys are read; at most ``sinks.BUCKETS`` numbers each."""
+    touched = {}
+    for read in {read for _, read in KEYS.values()}:
+        keys = read(log)
+        touched[read] = {r["b"] for r in keys.select(sinks.bucket(*keys.columns).alias("b")).distinct().collect()}
+    return touched
+
+
 def fold_batch(spark: SparkSession, log: DataFrame, root: str, version: int) -> None:
     """Fold one batch into the state of the version before and write the next.
 
-    A batch that is run again reads the same state and replaces the same
-    version.  The batch's source is read once; the folds read what was kept.
+    Only buckets with a key that the batch names are read and written; the
+    others stay where their last version is.  A batch that is run again reads
+    the same state and replaces the same version.  The batch's source is read
+    once; the folds read what was kept.
     """
     shared = sinks.Shared(spark, "batch")
     log = shared.keep(log)
+    touched = _touched(log)
     for name, (fold, schema) in FOLDS.items():
-        state = sinks.read_snapshot(spark, root, name, version - 1, schema)
-        sinks.write_snapshot(fold(state, log), root, name, version)
+        keys, read = KEYS[name]
+        state = sinks.read_snapshot(spark, root, name, version - 1, schema, touched[read])
+        sinks.write_snapshot(fold(state, log), keys, root, name, version)
+        sinks.drop_replaced(spark, root, name, version)
     shared.drop(log)
 
 
