@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from agorafold.llm import chat_format, decontaminate, html_extract, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from agorafold.llm import chat_format, decontaminate, html_extract, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity, vector_codes, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_minhash": minhash.op9_minhash,
         "op10_mixing": mixing.op10_mixing,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op9_minhash": minhash.OP9_SQL,
         "op10_mixing": mixing.OP10_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
     }
