@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from agorafold.llm import chat_format, decontaminate, html_extract, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity, vector_codes, whitening
+from agorafold.llm import chat_format, decontaminate, html_extract, minhash, mixing, quality_cnn, quality_rules, sharding, substring_dedup, token_counts, toxicity, vector_codes, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_minhash": minhash.op9_minhash,
         "op10_mixing": mixing.op10_mixing,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_quality": quality_cnn.op12_quality,
         "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
