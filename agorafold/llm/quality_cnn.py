@@ -84,7 +84,7 @@ def _numbers(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
     """(chunks, CHUNK) byte values, PAD where a chunk has ended."""
     at = np.arange(CHUNK)
     inside = at < size[:, None]
-    return np.where(inside, data[np.where(inside, first[:, None] + at, 0)] if len(data) else 0, PAD)
+    return np.where(inside, data[np.where(inside, first[:, None] + at, 0)].astype(np.int16) if len(data) else np.int16(0), np.int16(PAD))
 
 
 def answers(net: Network, numbers: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:

@@ -104,7 +104,8 @@ def _start(rows: DataFrame, vector: str, key: str, length: int, entries: int) ->
         if len(least) < entries or least[-1]["k"] is None:
             break
         left = left.where(F.col("k").isNull() | (F.col("k") > F.lit(least[-1]["k"])))
-    return integers(np.array(list(found.values())[:entries], dtype=np.float64).reshape(-1, length))
+    first = list(found.values())[:entries]
+    return integers(np.array(first, dtype=np.float64).reshape(len(first), length))
 
 
 def learn(rows: DataFrame, length: int, vector: str = "embedding", key: str = "vec_id", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> Codebooks:

@@ -136,7 +136,7 @@ def _next(basis: np.ndarray, block: np.ndarray, width: int, scale: float, draw:
     """An orthonormal block orthogonal to the basis: the directions of ``block`` outside it, then random ones."""
     width = min(width, basis.shape[0] - basis.shape[1])
     u, s, _ = np.linalg.svd(_against(basis, block), full_matrices=False)
-    new = u[:, s > 1e-10 * scale][:, :width]
+    new = u[:, s > 4 * _EPS * scale][:, :width]
     while True:
         new = np.linalg.qr(_against(basis, new))[0]
         if new.shape[1] == width:
@@ -171,7 +171,7 @@ def leading(product: Callable[[np.ndarray], np.ndarray], length: int, components
         scale = float(np.abs(value).max())
         if basis.shape[1] + block > most:
             basis, products = ritz[:, : wanted + block], of_ritz[:, : wanted + block]
-            last = of_ritz[:, :block] - ritz[:, :block] * value[:block]
+            last = products - basis * value[: wanted + block]
         new = _next(basis, last, block, scale, draw)
     if not length:
         return np.zeros(0), np.zeros((0, 0)), 0.0
