@@ -2,7 +2,8 @@
 
 A query is a list of clauses: words, "phrases", ``+`` must, ``-`` must not and
 ``field:term``.  An open quote runs to the end; clauses without a sign must
-all match unless the caller asks for any.
+all match unless the caller asks for any.  ``scan`` answers a query from the
+texts, ``text_index`` from an inverted index, with the same scores.
 """
 
 from __future__ import annotations
@@ -68,6 +69,96 @@ def predicate(query: str, fields: dict[str, Column], every: bool = True) -> Colu
     return out if some is None else out & some
 
 
+#: Fields that a clause without a field looks in, all scored; and fields that only a clause naming them looks in, unscored.
+FIELDS, KEYWORDS = ("title", "body"), ("lang",)
+
+
+def searched(clause: Clause) -> tuple[str, ...]:
+    """The fields that a clause looks in; an unknown field name means any."""
+    return (clause.field,) if clause.field in FIELDS + KEYWORDS else FIELDS
+
+
+def count_name(i: int, field: str) -> str:
+    """Column of how often a field has clause i."""
+    return f"n{i}_{field}"
+
+
+def wanted(clauses: list[Clause]) -> Column:
+    """Documents that a whole query finds, from its clauses' counts: all but the excluded clauses, and at least one of those."""
+    hits = [F.greatest(*[F.col(count_name(i, f)) for f in searched(c)], F.lit(0)) > 0 for i, c in enumerate(clauses)]
+    out = F.lit(any(c.sign != "-" for c in clauses))
+    for clause, hit in zip(clauses, hits, strict=True):
+        out = out & (~hit if clause.sign == "-" else hit)
+    return out
+
+
+def rarity(total, found):
+    """Of a word that ``found`` of ``total`` documents have."""
+    return F.log(1 + (total - found + 0.5) / (found + 0.5))
+
+
+def saturated(n, length, average):
+    """What n occurrences in a field of a length count."""
+    return n * (K1 + 1) / (n + K1 * (1 - B + B * length / average))
+
+
+def score(clauses: list[Clause], frequency, total, average) -> Column:
+    """BM25 summed over the clauses that aren't excluded and their scored fields.
+
+    A phrase counts as one word as rare as its words together.  frequency:
+    (word, field) -> documents; average: field -> mean length; the rest are
+    columns or numbers, and lengths are the columns ``length_<field>``.
+    """
+    out = F.lit(0.0)
+    for i, clause in enumerate(clauses):
+        for field in searched(clause):
+            if clause.sign == "-" or field not in FIELDS:
+                continue
+            weight = sum((rarity(total, frequency(w, field)) for w in clause.words[1:]), rarity(total, frequency(clause.words[0], field)))
+            n = F.col(count_name(i, field))
+            out = out + F.when(n > 0, weight * saturated(n, F.col(f"length_{field}"), average(field))).otherwise(0.0)
+    return F.round(out, 6)
+
+
+def in_a_row(words: Column, wanted_words: tuple[str, ...]) -> Column:
+    """How often an array has some words in a row."""
+
+    def at(word: Column, i: Column) -> Column:
+        here = word == wanted_words[0]
+        for k, w in enumerate(wanted_words[1:], 1):
+            here = here & (F.coalesce(F.get(words, i + k), F.lit("")) == w)
+        return here
+
+    return F.size(F.filter(words, at))
+
+
+def document_fields(docs: DataFrame) -> DataFrame:
+    """(id, title, body, lang, source): the first line is a document's title, the whole text its body."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").alias("id"), F.substring_index(text, "\n", 1).alias("title"), text.alias("body"), F.coalesce("lang", F.lit("")).alias("lang"), "source")
+
+
+def scan(docs: DataFrame, query: str) -> DataFrame:
+    """(id, source, score) of the documents that a whole query finds, by reading all of them.
+
+    Each document becomes one row with its lengths and counts, so that words are
+    never shuffled; document frequencies and average lengths are one row.
+    """
+    clauses = parse(query)
+    fields = FIELDS + KEYWORDS
+    pairs = sorted({(w, f) for c in clauses for w in c.words for f in searched(c) if f in FIELDS and c.sign != "-"})
+    known = {p: f"has{i}" for i, p in enumerate(pairs)}
+    words = docs.select("id", "source", *[words_of(F.col(f)).alias(f) for f in fields])
+    counted = words.select(
+        "id", "source", *[F.size(f).alias(f"length_{f}") for f in FIELDS], *[in_a_row(F.col(f), c.words).alias(count_name(i, f)) for i, c in enumerate(clauses) for f in searched(c)],
+        *[F.array_contains(f, w).alias(name) for (w, f), name in known.items()],
+    )
+    sums = [F.count_if(name).alias(f"d_{name}") for name in known.values()]
+    whole = counted.agg(F.count("*").alias("total"), *[F.avg(f"length_{f}").alias(f"average_{f}") for f in FIELDS], *sums)
+    found = counted.where(wanted(clauses)).crossJoin(F.broadcast(whole))  # one row
+    return found.select("id", "source", score(clauses, lambda w, f: F.col(f"d_{known[w, f]}"), F.col("total"), lambda f: F.col(f"average_{f}")).alias("score"))
+
+
 def _equal(term: str):
     return lambda word: word == F.lit(term)
 
@@ -83,12 +174,10 @@ def _scored(docs: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     counted = docs.select("id", words.alias("w")).select("id", F.size("w").alias("length"), *[F.size(F.filter("w", _equal(t))).alias(f"n{i}") for i, t in enumerate(terms)])
     whole = counted.agg(F.count("*").alias("total"), F.avg("length").alias("average"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     scored = counted.crossJoin(F.broadcast(whole))  # one row
-    score = F.lit(0.0)
+    total = F.lit(0.0)
     for i in range(len(terms)):
-        n, d = F.col(f"n{i}"), F.col(f"d{i}")
-        rarity = F.log(1 + (F.col("total") - d + 0.5) / (d + 0.5))
-        score = score + rarity * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return scored.select("id", F.round(score, 6).alias("score")).where("score > 0")
+        total = total + rarity(F.col("total"), F.col(f"d{i}")) * saturated(F.col(f"n{i}"), F.col("length"), F.col("average"))
+    return scored.select("id", F.round(total, 6).alias("score")).where("score > 0")
 
 
 def bm25(docs: DataFrame, terms: tuple[str, ...], limit: int = 20) -> DataFrame:
@@ -96,38 +185,41 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], limit: int = 20) -> DataFrame:
     return paging.top(_scored(docs, terms), "score", limit)
 
 
-def _found(spark: SparkSession, sf_dir: str, query: str, author: str | None, sort: str, without: tuple[str, ...]) -> DataFrame:
-    """(id, score, rank_by) of the documents for the words of a query.
+def find_text(spark: SparkSession, sf_dir: str, query: str = "pathetic scum", author: str | None = None, sort: str = "relevance", last: int | None = None, limit: int = 20, without: tuple[str, ...] = ()) -> DataFrame:
+    """Documents that a query finds, by relevance or the newest first, after a document.
 
     author: of one source only; without: not of these sources.  Frequencies are
     those of all documents.
     """
-    docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    terms = tuple(dict.fromkeys(w for c in parse(query) for w in c.words))
-    scored = _scored(docs.select("id", "text"), terms)
-    if author is not None or without:
-        chosen = docs.select(F.col("id").alias("i"), "source")
-        chosen = chosen if author is None else chosen.where(F.col("source") == author)
-        chosen = chosen.where(~F.col("source").isin(*without)) if without else chosen
-        scored = scored.join(chosen, F.col("id") == F.col("i"), "left_semi")
-    return scored.withColumn("rank_by", F.col("score") if sort == "relevance" else F.col("id").cast("double"))
-
-
-def find_text(spark: SparkSession, sf_dir: str, query: str = "pathetic scum", author: str | None = None, sort: str = "relevance", last: int | None = None, limit: int = 20, without: tuple[str, ...] = ()) -> DataFrame:
-    """Documents for the words of a query, by relevance or the newest first, after a document."""
-    return paging.page(_found(spark, sf_dir, query, author, sort, without), "rank_by", last, limit).select("id", "score")
-
-
-def search_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of the newest documents for a query, without two sources."""
-    rows = _found(spark, sf_dir, "pathetic scum", None, "created", ("src0", "src1"))
-    bound = paging.top(rows, "rank_by").orderBy("rank_by", "id").limit(1)
-    return paging.top(paging.after(rows, "rank_by", bound), "rank_by").select("id", "score")
-
-
-def search_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best documents of one source."""
-    return find_text(spark, sf_dir, query="idiot trash", author="src2")
+    rows = scan(document_fields(tables.read(spark, sf_dir, "documents")), query)
+    rows = rows if author is None else rows.where(F.col("source") == author)
+    rows = rows.where(~F.col("source").isin(*without)) if without else rows
+    rows = rows.withColumn("rank_by", F.col("score") if sort == "relevance" else F.col("id").cast("double"))
+    return paging.page(rows, "rank_by", last, limit).select("id", "score")
+
+
+#: Registered searches: a query, and what else is asked; their SQL is made from the same clauses in another way (plans.oracles).
+SEARCHES = {
+    "search_minus": {"query": "scum -idiot"},
+    "search_plus": {"query": "+the en +of"},
+    "search_phrase": {"query": '"of the" is'},
+    "search_field": {"query": 'title:the body:"in the" lang:en'},
+    "search_open_quote": {"query": '-idiot lang:en "and the'},
+    "search_newest": {"query": "the of", "sort": "created", "without": ("src0", "src1")},
+    "search_author": {"query": "the in", "author": "src2"},
+}
+
+
+def searches() -> dict:
+    """Each of ``SEARCHES`` as a query: its first page."""
+    return {name: (lambda spark, sf_dir, asked=asked: find_text(spark, sf_dir, **asked)) for name, asked in SEARCHES.items()}
+
+
+def search_page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a search by relevance, after the last row of the first."""
+    rows = scan(document_fields(tables.read(spark, sf_dir, "documents")), "the of")
+    bound = paging.top(rows, "score").orderBy("score", "id").limit(1)
+    return paging.top(paging.after(rows, "score", bound), "score").select("id", "score")
 
 
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

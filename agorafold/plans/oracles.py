@@ -5,6 +5,7 @@ from __future__ import annotations
 from agorafold.functions.ids import GENESIS
 from agorafold.operators.communities import FALLBACK_TOPICS
 from agorafold.operators.notices import EVENT_TYPES, MESSAGES
+from agorafold.operators import search, text_index
 from agorafold.operators.search import K1, B, QUERY
 
 _P = """p AS (
@@ -49,6 +50,29 @@ _TEMPLATE = "CASE kind " + " ".join(f"WHEN {k} THEN '{v[1]}'" for k, v in MESSAG
 _WALK = "walk(id, above) AS (SELECT id, parent FROM n WHERE parent IS NOT NULL UNION ALL SELECT w.id, n.parent FROM walk w JOIN n ON n.id = w.above WHERE n.parent IS NOT NULL)"
 
 
+def _search(query: str, sort: str = "relevance", author: str | None = None, without: tuple[str, ...] = (), page: int = 1) -> str:
+    """A page of a search, from the whole texts."""
+    clauses, counts, conditions, parts, frequencies = search.parse(query), [], [], [], {}
+    for i, c in enumerate(clauses):
+        fields = search.searched(c)
+        for f in fields:
+            row = " AND ".join(f"{f}[i + {k}] = '{w}'" for k, w in enumerate(c.words))
+            counts.append(f"len(list_filter(range(1, len({f}) - {len(c.words) - 2}), lambda i: {row})) AS n{i}_{f}")
+            if c.sign != "-" and f in search.FIELDS:
+                frequencies |= {f"d_{w}_{f}": f"count(*) FILTER (list_contains({f}, '{w}'))" for w in c.words}
+                rare = " + ".join(f"ln(1 + (total - d_{w}_{f} + 0.5) / (d_{w}_{f} + 0.5))" for w in c.words)
+                parts.append(f"CASE WHEN n{i}_{f} > 0 THEN ({rare}) * n{i}_{f} * {K1 + 1} / (n{i}_{f} + {K1} * (1 - {B} + {B} * length_{f} / average_{f})) ELSE 0 END")
+        conditions.append(f"{'' if c.sign != '-' else 'NOT '}({' OR '.join(f'n{i}_{f} > 0' for f in fields)})")
+    if author is not None:
+        conditions.append(f"source = '{author}'")
+    conditions += [f"source <> '{x}'" for x in without]
+    words = lambda text, name: f"regexp_extract_all(lower({text}), '[a-z0-9]+') AS {name}"
+    known = "".join(f", {v} AS {k}" for k, v in frequencies.items())
+    return f"""WITH d AS (SELECT doc_id AS id, source, {words("split_part(coalesce(text, ''), chr(10), 1)", "title")}, {words("coalesce(text, '')", "body")}, {words("coalesce(lang, '')", "lang")} FROM documents),
+      c AS (SELECT id, source, len(title) AS length_title, len(body) AS length_body, {", ".join(counts)} FROM d), t AS (SELECT count(*) AS total, avg(len(title)) AS average_title, avg(len(body)) AS average_body{known} FROM d)
+      SELECT id, round({" + ".join(parts) or "0"}, 6) AS score FROM c, t WHERE {" AND ".join(conditions)} ORDER BY {"2 DESC, 1" if sort == "relevance" else "1"} DESC LIMIT 20 OFFSET {20 * page - 20}"""
+
+
 def _day(at: str) -> str:
     return f"date_diff('day', DATE '1992-01-01', {at}::DATE)"
 
@@ -196,13 +220,6 @@ SQL = {
       SELECT doc_id, len(t)::INT AS n_tags, md5(array_to_string(t, ',')) AS tags_md5 FROM d""",
     "ranked_without_reasons": _top(_SCORED, "s WHERE NOT paid AND parent IS NULL AND NOT grayed AND coalesce(community % 7, 1) <> 0", "sc_trend"),
     "ranked_payout_roots": _top(_P, "l WHERE NOT paid AND parent IS NULL", "payout"),
-    "search_newest": f"""WITH d AS (SELECT doc_id AS id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-      c AS (SELECT id, source, len(w) AS length, {_counts(("pathetic", "scum"))} FROM d), t AS (SELECT count(*) AS total, avg(length) AS average, {_frequencies(2)} FROM c),
-      x AS (SELECT id, round({_bm25(2)}, 6) AS score, row_number() OVER (ORDER BY id DESC) AS rn FROM c, t WHERE source NOT IN ('src0', 'src1') AND round({_bm25(2)}, 6) > 0)
-      SELECT id, score FROM x WHERE rn BETWEEN 21 AND 40""",
-    "search_author": f"""WITH d AS (SELECT doc_id AS id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-      c AS (SELECT id, source, len(w) AS length, {_counts(("idiot", "trash"))} FROM d), t AS (SELECT count(*) AS total, avg(length) AS average, {_frequencies(2)} FROM c)
-      SELECT id, round({_bm25(2)}, 6) AS score FROM c, t WHERE source = 'src2' AND round({_bm25(2)}, 6) > 0 ORDER BY 2 DESC, 1 DESC LIMIT 20""",
     "account_blog": f"""WITH {_P}, e AS (SELECT id, created AS at_ FROM l WHERE parent IS NULL AND author = 7 UNION ALL SELECT parent, min(created) FROM l WHERE parent IS NOT NULL AND author = 7 GROUP BY 1)
       SELECT l.id, l.author, min(at_) AS entered FROM e JOIN l USING (id) GROUP BY 1, 2 ORDER BY 3 DESC, 1 DESC LIMIT 20""",
     "account_comments": f"WITH {_P} SELECT id, parent, created FROM l WHERE author = 7 AND parent IS NOT NULL ORDER BY id DESC LIMIT 20",
@@ -287,3 +304,12 @@ SQL = {
       SELECT post, voter, score, round(value, 3) AS value FROM y LEFT JOIN supplier ON s_suppkey = voter
       WHERE score >= 0 AND rs * 1000 >= 10000000000 AND value >= 0.02 AND voter <> author AND NOT coalesce(s_acctbal < 0, FALSE)""",
 }
+
+SQL |= {name: _search(**asked) for name, asked in search.SEARCHES.items()}
+SQL |= {
+    "search_page_two": _search("the of", page=2),
+    "text_index_search": _search(text_index.QUERY),
+    "text_index_terms": """WITH d AS (SELECT unnest(['title', 'body', 'lang']) AS field, unnest([list_distinct(regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[a-z0-9]+')),
+        list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(coalesce(lang, '')), '[a-z0-9]+'))]) AS w FROM documents)
+      SELECT field, term, count(*) AS docs FROM (SELECT field, unnest(w) AS term FROM d) GROUP BY 1, 2""",
+}

@@ -17,9 +17,9 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def bucket(*keys: str):
-    """The bucket of a state row by its text keys."""
-    return F.pmod(F.hash(*keys), F.lit(BUCKETS))
+def bucket(*keys: str, buckets: int = BUCKETS):
+    """The bucket of a state row by its keys."""
+    return F.pmod(F.hash(*keys), F.lit(buckets))
 
 
 def _folders(spark: SparkSession, root: str, name: str) -> list[tuple[int, int, str]]:
@@ -35,12 +35,12 @@ def _latest(folders: list[tuple[int, int, str]], version: int) -> dict[int, str]
     return {b: path for v, b, path in sorted(folders) if v <= version}
 
 
-def write_snapshot(rows: DataFrame, keys: list[str], root: str, name: str, version: int) -> None:
+def write_snapshot(rows: DataFrame, keys: list[str], root: str, name: str, version: int, buckets: int = BUCKETS) -> None:
     """Write the buckets that a version changes, whole; a repeated version replaces itself, so retries are harmless.
 
     Large buckets are divided between tasks, small ones share a task.
     """
-    placed = rows.withColumn("bucket", bucket(*keys)).hint("rebalance", "bucket")
+    placed = rows.withColumn("bucket", bucket(*keys, buckets=buckets)).hint("rebalance", "bucket")
     placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/{name}/version={version}")
 
 
@@ -61,22 +61,27 @@ def drop_replaced(spark: SparkSession, root: str, name: str, version: int) -> No
 
 
 class Shared:
-    """Tables between the rounds of a loop, in the shared folder ``spark.checkpoint.dir`` (without one, under the warehouse)."""
+    """Tables between the rounds of a loop, in the shared folder ``spark.checkpoint.dir``, else the context's checkpoint folder (without either, under the warehouse)."""
 
     def __init__(self, spark: SparkSession, name: str):
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.spark, self.root, self.n = spark, f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
+    def open(self) -> str:
+        """The folder, which goes when the application ends."""
+        fs, hadoop = self._fs(self.root)
+        fs.deleteOnExit(hadoop)
+        return self.root
+
     def keep(self, rows: DataFrame) -> DataFrame:
-        """Write ``rows`` and return what reads them back; the folder goes when the application ends."""
+        """Write ``rows`` and return what reads them back."""
         path = f"{self.root}/{self.n}"
         if not self.n:
-            fs, hadoop = self._fs(self.root)
-            fs.deleteOnExit(hadoop)
+            self.open()
         self.n += 1
         rows.write.parquet(path)
         back = self.spark.read.schema(rows.schema).parquet(path)
