@@ -7,7 +7,9 @@ learned from labelled pages (``html_pages``):
   elements around it (their tags and the parts of their classes, ids and
   roles), on its block's length and share of links, and on whether the block
   ends like a sentence.  No name is main text or not by a rule; a name that no
-  labelled page has counts nothing.
+  labelled page has counts nothing.  Names that speak against main text don't
+  count on an element with most of the page's words and a heading: they tell
+  what stands in that frame.
 * A tag's score is negative: the log odds of standing outside main text, from
   ``LEAST_TAG`` to ``MOST_TAG``, as many tags stand between few words.
 
@@ -64,35 +66,58 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 #: Elements that end an unclosed head.
 AFTER_HEAD = BLOCKS - {"head", "title"}
 
+#: Attributes as browsers read them: a quote delimits a value only right after the equals sign (and only if it is closed).
+_VALUE = r"""\"[^\"]*+\"|'[^']*+'|[^\s>]*+"""
+_ATTRIBUTE = rf"(=?[^\s/>=]++)(?:\s*+=\s*+({_VALUE}))?+"
+_ATTRIBUTES = rf"(?>[\s/]++|=?[^\s/>=]++(?>\s*+=\s*+(?>{_VALUE}))?+|=)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|title)\b{_ATTRIBUTES}(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_READ = re.compile(_ATTRIBUTE)
 _PARTS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: A slash that belongs to a value without quotes, not to the tag.
-_VALUE_SLASH = re.compile(r"=[^\s\"']*/\Z")
 _SPACE = re.compile(r"\s+")
 
 
+@functools.lru_cache(maxsize=4096)
+def _attributes(text: str) -> tuple[tuple[str, str], ...]:
+    """(name, value) of the attributes of a tag, in lower case and as they are."""
+    found = ((m[1].lower(), m[2] or "") for m in _READ.finditer(text))
+    return tuple((n, v[1:-1] if len(v) > 1 and v[0] in "\"'" and v[-1] == v[0] else v) for n, v in found)
+
+
+@functools.lru_cache(maxsize=4096)
+def _closes_itself(text: str) -> bool:
+    """A slash ends the tag that is no part of a value without quotes."""
+    ends = [m.end() for m in _READ.finditer(text)]
+    return text.endswith("/") and (not ends or ends[-1] < len(text))
+
+
+@functools.lru_cache(maxsize=4096)
+def _names(attributes: str) -> frozenset[str]:
+    """What the classes, ids and roles of a tag may tell of its content."""
+    out = set()
+    for name, value in _attributes(attributes):
+        for word in value.split() if name in ("class", "id", "role") else ():
+            parts = _PARTS.findall(_CAMEL.sub(" ", word).lower())
+            if parts and parts[0] in ("has", "with", "no", "without"):  # says what stands beside
+                parts = ["-".join(parts)]
+            out.update(parts)
+            if len(parts) > 1:
+                out.add("-".join(parts))
+    return frozenset(out)
+
+
 @functools.lru_cache(maxsize=4096)
 def _features(tag: str, attributes: str) -> frozenset[str]:
     """What an opening tag may tell of its content."""
     out = set() if tag in SILENT else {f"<{tag}>"}
-    if attributes:
-        if _HIDDEN.search(attributes):
-            out.add("hidden")
-        for m in _NAMES.finditer(attributes):
-            for name in (m[1] or m[2] or m[3] or "").split():
-                parts = _PARTS.findall(_CAMEL.sub(" ", name).lower())
-                if parts and parts[0] in ("has", "with", "no", "without"):  # says what stands beside
-                    parts = ["-".join(parts)]
-                out.update(parts)
-                if len(parts) > 1:
-                    out.add("-".join(parts))
-    return frozenset(out)
+    given = dict(_attributes(attributes)) if attributes else {}
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(given.get("style", "")):
+        out.add("hidden")
+    return frozenset(out) | _names(attributes)
 
 
 @dataclass
@@ -115,12 +140,17 @@ class Model:
     def __reduce__(self):
         return Model, (self.weights, self.tags)
 
-    def enter(self, place: Place, tag: str, attributes: str) -> Place:
-        """The place inside an element; equal places are one object."""
-        key = (tag, attributes)
+    def blames(self, attributes: str) -> frozenset[str]:
+        """The names of a tag that say that its content is no main text."""
+        return frozenset(f for f in _names(attributes) if self.weights.get(f, 0.0) < 0) if attributes else frozenset()
+
+    def enter(self, place: Place, tag: str, attributes: str, frame: bool = False) -> Place:
+        """The place inside an element; equal places are one object. frame: its names blame nothing."""
+        key = (tag, attributes, frame)
         found = place.inside.get(key)
         if found is None:
             more = _features(tag, attributes)
+            more = more - self.blames(attributes) if frame else more
             if more <= place.features:
                 return place
             every = place.features | more
@@ -152,15 +182,35 @@ class Token:
 
 
 def _tokens(page: str, model: Model) -> list[Token]:
+    """The tags and texts of a page, each with its place.
+
+    An element with most of the page's words and a heading is a frame: its
+    names tell what else stands in it ("content-with-sidebar"), not what it is,
+    so those that speak against main text are left out.
+    """
+    blamed: dict[int, list[int]] = {}
+    out = _read(page, model, frozenset(), blamed)
+    heads = [i for i, t in enumerate(out) if not t.is_text and t.value == "h1"] or [i for i, t in enumerate(out) if not t.is_text and t.value in ("h2", "h3")][:1]
+    if not blamed or not heads:
+        return out
+    so_far = np.cumsum([0, *(t.n for t in out)])
+    frames = frozenset(at for at, (low, high) in blamed.items() if 2 * (so_far[high] - so_far[low]) > so_far[-1] and any(low < i < high for i in heads))
+    return _read(page, model, frames, {}) if frames else out
+
+
+def _read(page: str, model: Model, frames: frozenset[int], blamed: dict[int, list[int]]) -> list[Token]:
+    """The tokens; frames: offsets of their opening tags. blamed: gets the token range of each element whose names speak against it."""
     out: list[Token] = []
-    stack: list[tuple[str, Place]] = []
+    stack: list[tuple[str, Place, int]] = []
     opened: Counter = Counter()
     now, block, at = model.root, 0, 0
 
     def pop(k: int) -> None:
         nonlocal now
-        for name, _ in stack[k:]:
+        for name, _, start in stack[k:]:
             opened[name] -= 1
+            if start in blamed:
+                blamed[start][1] = len(out)
         del stack[k:]
         now = stack[-1][1] if stack else model.root
 
@@ -180,18 +230,21 @@ def _tokens(page: str, model: Model) -> list[Token]:
                 pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
         else:
             if opened["head"] and name in AFTER_HEAD:
-                pop(next(k for k, (x, _) in enumerate(stack) if x == "head"))
+                pop(next(k for k, (x, _, _) in enumerate(stack) if x == "head"))
             closes = CLOSES.get(name, ("p",) if name in ENDS_P else ())
             while stack and stack[-1][0] in closes:
                 pop(len(stack) - 1)
-            if name not in VOID and (not m[4].endswith("/") or _VALUE_SLASH.search(m[4])):
-                now = model.enter(now, name, m[4])
-                stack.append((name, now))
+            if name not in VOID and not (m[4].endswith("/") and _closes_itself(m[4])):
+                now = model.enter(now, name, m[4], m.start() in frames)
+                stack.append((name, now, m.start()))
                 opened[name] += 1
+                if model.blames(m[4]):
+                    blamed[m.start()] = [len(out), 0]
         block += name in BLOCKS
         out.append(Token(m.start(), name, block, now))
     if at < len(page):
         text(at, len(page))
+    pop(0)
     return out
 
 
@@ -212,14 +265,17 @@ def _of_blocks(tokens: list[Token]) -> dict[int, list[str]]:
 
 
 def learn(pages: list[html_pages.Page]) -> Model:
-    """Weights from labelled pages."""
-    blank = Model()
+    """Weights from labelled pages: a first model tells which names to leave out on frames, the second learns without them."""
+    return _learn(pages, _learn(pages, Model()))
+
+
+def _learn(pages: list[html_pages.Page], before: Model) -> Model:
     seen: dict[frozenset, list[float]] = {}
     tags, words = (Counter(), Counter()), [0, 0]
     for page in pages:
         whole = "".join(piece for piece, _ in page)
         ends = np.cumsum([len(piece) for piece, _ in page])
-        tokens = _tokens(whole, blank)
+        tokens = _tokens(whole, before)
         blocks = _of_blocks(tokens)
         for t in tokens:
             main = int(page[int(np.searchsorted(ends, t.at, "right"))][1])

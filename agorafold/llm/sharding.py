@@ -43,6 +43,8 @@ OLD_SHARDS = 32
 OVERHEAD = 16
 CELLS = 256
 REPAIRS = 4
+#: Rows of a plan (one a cell, some 60 bytes) that are broadcast at most.
+BROADCAST_ROWS = 400_000
 
 
 def document_size(text: Column) -> Column:
@@ -104,8 +106,13 @@ def _totals(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r[0]: (r[1], r[2]) for r in rows.groupBy("__sh_shard").agg(F.sum("__sh_size"), F.max("__sh_size")).collect()}
 
 
-def _carried_out(rows: DataFrame, flow: dict[tuple[int, int], int], large_first: bool) -> DataFrame:
-    """``rows`` with __sh_shard as the flow between shards wants it."""
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """For a broadcast where there can be no more than ``BROADCAST_ROWS`` rows, else for a join by shuffling."""
+    return F.broadcast(rows) if most <= BROADCAST_ROWS else rows.hint("merge")
+
+
+def _carried_out(rows: DataFrame, flow: dict[tuple[int, int], int], largest: dict[int, int], large_first: bool) -> DataFrame:
+    """``rows`` with __sh_shard as the flow between shards wants it. largest: of each shard now its largest document."""
     spark = rows.sparkSession
     stretches, at = [], {}
     for (i, j), n in sorted(flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):
@@ -124,8 +131,9 @@ def _carried_out(rows: DataFrame, flow: dict[tuple[int, int], int], large_first:
     cells = cells.withColumn("before", so_far - F.col("bytes")).join(F.broadcast(parts), F.col("__sh_shard") == F.col("o2"))
     cells = cells.withColumns({"first": there("before"), "last": there("before + bytes - 1")})
     cells = cells.select(F.col("__sh_shard").alias("o"), F.col("kind").alias("k"), F.col("cell").alias("c"), "before", F.when(F.col("first") == F.col("last"), F.col("first")).alias("to"))
-    # CELLS * shards cells, times some 20 size classes at the most.
-    placed = keyed.join(F.broadcast(cells), (F.col("__sh_shard") == F.col("o")) & (F.col("kind") == F.col("k")) & (F.col("cell") == F.col("c")))
+    # CELLS cells of each shard and size class.
+    kinds = 1 + max(int(n).bit_length() for n in largest.values()) if large_first else 1
+    placed = keyed.join(_bounded(cells, CELLS * len(largest) * kinds), (F.col("__sh_shard") == F.col("o")) & (F.col("kind") == F.col("k")) & (F.col("cell") == F.col("c")))
     columns = [c for c in rows.columns if c != "__sh_shard"]
     whole = placed.where("to is not null").select(*columns, F.col("to").alias("__sh_shard"))
     in_order = Window.partitionBy("__sh_shard", "kind", "cell").orderBy("__sh_hash", "__sh_size", "__sh_crc32", "doc_id")
@@ -146,7 +154,7 @@ def _assigned(rows: DataFrame, shards: int, scratch: common.Scratch) -> DataFram
         capacity = capacities(sum(supply.values()), [found.get(j, (0, 0))[1] if step else 0 for j in range(shards)])
         if step and max(abs(supply.get(j, 0) - c) for j, c in enumerate(capacity)) <= OVERHEAD:
             break
-        before, now = now, scratch.keep(_carried_out(now, min_cost_flow(supply, capacity), step > 0))
+        before, now = now, scratch.keep(_carried_out(now, min_cost_flow(supply, capacity), {i: n for i, (_, n) in found.items()}, step > 0))
         scratch.drop(before)
     return now
 
@@ -171,7 +179,7 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     first = F.sum("n").over(Window.partitionBy("__sh_shard").orderBy("cell")) - F.col("n")
     counts = counts.select(F.col("__sh_shard").alias("s"), F.col("cell").alias("c"), first.alias("first"))
     slot = F.row_number().over(Window.partitionBy("__sh_shard", "cell").orderBy("__sh_hash", "__sh_size", "__sh_crc32", "doc_id"))
-    placed = celled.withColumn("at", slot).join(F.broadcast(counts), (F.col("__sh_shard") == F.col("s")) & (F.col("cell") == F.col("c")))  # CELLS * shards rows
+    placed = celled.withColumn("at", slot).join(_bounded(counts, CELLS * shards), (F.col("__sh_shard") == F.col("s")) & (F.col("cell") == F.col("c")))
     placed = placed.select("doc_id", *facts, "__sh_hash", "__sh_shard", (F.col("first") + F.col("at") - 1).cast("long").alias("__sh_slot"))
     others = [c for c in docs.columns if c != "doc_id"]
     if not others or set(others) <= {"text"}:

@@ -78,6 +78,45 @@ def test_html_layouts(page, text):
     assert html_extract.extract(page) == text
 
 
+PARAGRAPHS = "".join(f"<p>This is paragraph {i} with quite a few words in it, so that it reads like a sentence.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("tag", ["<p title=don't>", '<p data-x=5">', "<p title='a\"b' id=q>", '<p title="x>y">', '<p title="open>', "<p title = it's class=lead>", "<p =x>"])
+def test_html_attributes_are_read_as_browsers_do(tag):
+    page = f"<article><h1>Head line</h1><p>One two three four five six seven eight.</p>{tag}Second paragraph with many words in it, isn't it so.</p><p>Third paragraph that isn't lost at all and has many words.</p></article>"
+    assert html_extract.extract(page) == "Head line\n\nOne two three four five six seven eight.\n\nSecond paragraph with many words in it, isn't it so.\n\nThird paragraph that isn't lost at all and has many words."
+
+
+def test_html_markup_of_unquoted_values_is_no_text():
+    page = "<article><h1>T</h1><p>See <a href=/x title=Ann's>this link of mine</a> in a sentence of many words, it's long.</p></article>"
+    assert html_extract.extract(page) == "T\n\nSee this link of mine in a sentence of many words, it's long."
+    assert html_extract._attributes("a href=/x/ title='b c' hidden data-id=\"7\" X = y") == (("a", ""), ("href", "/x/"), ("title", "b c"), ("hidden", ""), ("data-id", "7"), ("x", "y"))
+    assert html_extract._closes_itself("a=b /") and html_extract._closes_itself('x="a=b"/') and not html_extract._closes_itself("href=/x/")
+
+
+@pytest.mark.parametrize("name", ["main-and-sidebar", "post form-layout", "main-comment-page", "ad-free article", "content-with-sidebar", "article login-required", "sidebar-layout"])
+def test_html_frames_are_not_judged_by_names(name):
+    text = html_extract.extract(f"<html><body><div class='{name}'><h1>Headline</h1>{PARAGRAPHS}</div></body></html>")
+    assert text == "Headline\n\n" + "\n\n".join(re.findall("<p>(.*?)</p>", PARAGRAPHS))
+    inner = html_extract.extract(f"<article><h1>Headline</h1>{PARAGRAPHS}</article><div class='{name.replace('main-', '').replace('post', '')} sidebar comments'><p>Nice one, thanks a lot for this.</p></div>")
+    assert "Nice" not in inner and inner.count("\n\n") == 4
+
+
+def test_scan_finds_the_best_of_all_stretches():
+    random.seed(8)
+    model = html_extract.Model({}, {"p": -0.5, "b": -2.0})
+    for _ in range(300):
+        tokens = [html_extract.Token(i, random.choice("pb") if random.random() < 0.5 else "x", i, html_extract.Place(frozenset(), in_main=random.random() < 0.3), False, 0) for i in range(random.randint(0, 14))]
+        for t in tokens:
+            t.is_text, t.n = t.value == "x", random.randint(0, 3) if t.value == "x" else 0
+        scores = [random.choice([-1.5, -0.5, 0.5, 1.0, 2.0]) for _ in tokens]
+        each = [s * t.n if t.is_text else model.tag(t.value) for t, s in zip(tokens, scores)]
+        each = [-html_extract.PARTED * (t.n or 1) if e < 0 and t.place.in_main else e for e, t in zip(each, tokens)]
+        best = max([0.0, *(sum(each[i:j]) for i in range(len(each)) for j in range(i + 1, len(each) + 1))])
+        low, high = html_extract.stretch(tokens, scores, model)
+        assert abs(sum(each[low:high]) - best) < 1e-9
+
+
 def _main_words(page):
     return html.unescape(" ".join(re.sub("<[^>]*>", " ", piece) for piece, main in page if main)).split()
 

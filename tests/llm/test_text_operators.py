@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from agorafold.llm import decontaminate, mixing, quality_rules, sharding, substring_dedup, token_counts, wordhash
+from agorafold.llm import decontaminate, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, wordhash
 from tests.llm.conftest import EDGES, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -167,6 +168,72 @@ def test_substring_dedup_of_edges(docs):
     assert substring_dedup.remove_repeats(docs([])).count() == 0
 
 
+def test_substring_dedup_of_shared_ids(spark, docs):
+    """Rows that share an id, nulls among them: brute force, and work in proportion to the rows."""
+    random.seed(21)
+    passages = [" ".join(random.choice("abcdefghij") for _ in range(20)) for _ in range(6)]
+    texts = [" ".join(random.sample(passages, 2)) + f" own{i}" for i in range(40)]
+    rows = [(random.choice([None, 1, 2, 2, 3, 4, 5, 9, 9, i + 10]), t, "s") for i, t in enumerate(texts)]
+    order = lambda i: float("inf") if i is None else i
+    least = {}
+    for i, t, _ in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            least[g] = min(least.get(g, float("inf")), order(i))
+    want = []
+    for i, t, _ in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 12):
+            if least[tuple(w[k : k + 13])] < order(i):
+                gone |= set(range(k, k + 13))
+        want.append((str(i), " ".join(x for k, x in enumerate(w) if k not in gone), len(gone)))
+    for bound in (substring_dedup.BROADCAST_ROWS, 0):
+        substring_dedup.BROADCAST_ROWS, kept = bound, substring_dedup.BROADCAST_ROWS
+        try:
+            found = [(str(r["doc_id"]), r["__sd_kept"], r["__sd_removed"]) for r in substring_dedup.remove_repeats(docs(rows)).collect()]
+        finally:
+            substring_dedup.BROADCAST_ROWS = kept
+        assert sorted(found) == sorted(want)
+    text = words(100)
+    began = time.perf_counter()
+    many = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"concat('{text} t', id div 2) as text")
+    assert substring_dedup.remove_repeats(many).agg({"__sd_removed": "sum"}).first()[0] == 0
+    assert time.perf_counter() - began < 120
+
+
+def _clashing(spark, rows):
+    """Documents with further columns named like what operators use inside."""
+    names = ["id", "size", "h", "g", "cls", "n", "at", "cell", "kind", "shard", "slot", "count", "words", "text2", "band", "component_id", "source_size", "target", "item_id", "w"]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, *["mine"] * len(names)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    return frame, names
+
+
+def test_clashing_names_pass_through(spark):
+    frame, names = _clashing(spark, [(1, words(30)), (2, words(30)), (3, words(5)), (None, None), (None, words(30)), (4, "")])
+    benchmark = spark.createDataFrame([(7, words(12))], "item_id long, text string")
+    outs = {
+        "counts": token_counts.token_counts(frame, tuple(frame.columns)), "clean": decontaminate.decontaminate(frame, benchmark), "rules": quality_rules.ledger(frame, tuple(frame.columns)),
+        "passages": substring_dedup.remove_repeats(frame), "one": minhash.keep_one(frame), "mix": mixing.mix(frame), "shards": sharding.reshard(frame),
+    }
+    for name, out in outs.items():
+        rows = out.collect()
+        assert len(rows) == (5 if name == "one" else 6) and all(r[n] == "mine" for r in rows for n in names), name
+
+
+def test_sharding_without_broadcasts(spark, docs, monkeypatch):
+    rows = [(i, words(1 + i % 40), "s") for i in range(400)]
+    key = lambda out: sorted((r["doc_id"], r["__sh_shard"], r["__sh_slot"]) for r in out.collect())
+    usual = key(sharding.reshard(docs(rows), shards=7))
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    assert key(sharding.reshard(docs(rows), shards=7)) == usual
+    many = sharding.reshard(docs(rows), shards=2000).collect()
+    by = {}
+    for r in many:
+        by.setdefault(r["__sh_shard"], []).append(r["__sh_slot"])
+    assert len(many) == 400 and all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(2000))
+
+
 def test_mixing_targets():
     pytest.importorskip("duckdb")
     sizes = {"a": 10, "b": 1000, "c": 1000, "d": 0, None: 500}
