@@ -141,8 +141,10 @@ class Model:
         return Model, (self.weights, self.tags)
 
     def blames(self, attributes: str) -> frozenset[str]:
-        """The names of a tag that say that its content is no main text."""
-        return frozenset(f for f in _names(attributes) if self.weights.get(f, 0.0) < 0) if attributes else frozenset()
+        """The names of a tag that speak against main text, if all its names together do by ``SURELY_MAIN``."""
+        names = _names(attributes) if attributes else ()
+        surely = sum(self.weights.get(f, 0.0) for f in names) < -SURELY_MAIN
+        return frozenset(f for f in names if surely and self.weights.get(f, 0.0) < 0)
 
     def enter(self, place: Place, tag: str, attributes: str, frame: bool = False) -> Place:
         """The place inside an element; equal places are one object. frame: its names blame nothing."""
@@ -265,17 +267,14 @@ def _of_blocks(tokens: list[Token]) -> dict[int, list[str]]:
 
 
 def learn(pages: list[html_pages.Page]) -> Model:
-    """Weights from labelled pages: a first model tells which names to leave out on frames, the second learns without them."""
-    return _learn(pages, _learn(pages, Model()))
-
-
-def _learn(pages: list[html_pages.Page], before: Model) -> Model:
+    """Weights from labelled pages."""
+    blank = Model()
     seen: dict[frozenset, list[float]] = {}
     tags, words = (Counter(), Counter()), [0, 0]
     for page in pages:
         whole = "".join(piece for piece, _ in page)
         ends = np.cumsum([len(piece) for piece, _ in page])
-        tokens = _tokens(whole, before)
+        tokens = _tokens(whole, blank)
         blocks = _of_blocks(tokens)
         for t in tokens:
             main = int(page[int(np.searchsorted(ends, t.at, "right"))][1])
