@@ -114,6 +114,16 @@ def fold_posts(state: DataFrame, log: DataFrame) -> DataFrame:
     return merged.where("created is not null")  # a deletion of a post that never was
 
 
+def follow_documents(log: DataFrame) -> DataFrame:
+    """(op_id, block_num, block_ts, follower, names, what) of well-formed follow operations; what: the first of its list, "" for none."""
+    ops = oplog.custom(log).where((F.col("kind") == "follow") & (F.col("action") == "follow"))
+    rows = oplog.parsed(ops, ["op_id", "block_num", "block_ts", "account"], F.from_json("data", "follower string, following string, what string").alias("d"))
+    rows = rows.where((F.col("d.follower") == F.col("account")) & F.col("d.what").startswith("["))
+    what, names = F.from_json("d.what", "array<string>"), F.from_json("d.following", "array<string>")
+    rows = oplog.parsed(rows, ["op_id", "block_num", "block_ts", "account"], F.coalesce(F.get(what, 0), F.lit("")).alias("what"), F.when(F.col("d.following").startswith("["), names).otherwise(F.array("d.following")).alias("names"))
+    return rows.select("op_id", "block_num", "block_ts", F.col("account").alias("follower"), "names", F.when(F.col("what").isin("true", "false"), "").otherwise(F.col("what")).alias("what"))
+
+
 def fold_follows(state: DataFrame, log: DataFrame) -> DataFrame:
     """Edges of five kinds: follow, mute, blacklist, follow_blacklist, follow_mute.
 
@@ -125,18 +135,13 @@ def fold_follows(state: DataFrame, log: DataFrame) -> DataFrame:
     group = {"": "pair", "blog": "pair", "follow": "pair", "ignore": "pair", "blacklist": "blacklist", "unblacklist": "blacklist", "follow_blacklist": "follow_blacklist", "unfollow_blacklist": "follow_blacklist", "follow_muted": "follow_mute", "unfollow_muted": "follow_mute"}
     made = {"blog": "follow", "follow": "follow", "ignore": "mute", "blacklist": "blacklist", "follow_blacklist": "follow_blacklist", "follow_muted": "follow_mute"}
     resets = {"reset_blacklist": ["blacklist"], "reset_following_list": ["follow"], "reset_muted_list": ["mute"], "reset_follow_blacklist": ["follow_blacklist"], "reset_follow_muted_list": ["follow_mute"], "reset_all_lists": ["follow", "mute", "blacklist", "follow_blacklist", "follow_mute"]}
-    ops = oplog.custom(log).where((F.col("kind") == "follow") & (F.col("action") == "follow"))
-    what = F.coalesce(F.get_json_object("data", "$.what[0]"), F.lit(""))
-    what = F.when(what.isin("true", "false"), "").otherwise(what)
-    following = F.get_json_object("data", "$.following")
-    names = F.when(following.startswith("["), F.from_json(following, "array<string>")).otherwise(F.array(following))
-    rows = ops.select("op_id", "block_num", F.get_json_object("data", "$.follower").alias("follower"), "account", what.alias("what"), names.alias("names"), F.get_json_object("data", "$.what").startswith("[").alias("listed"))
-    rows = rows.where("follower = account and listed")
-    choice = lambda table: F.coalesce(*[F.when(F.col("what") == k, F.lit(v)) for k, v in table.items()])
-    actions = rows.select("op_id", "block_num", "follower", F.explode("names").alias("following"), choice(group).alias("grp"), choice(made).alias("kind")).where("grp is not null and following is not null and following <> follower")
+    rows = follow_documents(log)
+    lookup = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), "what")
+    actions = oplog.parsed(rows.select("op_id", "block_num", "follower", F.explode("names").alias("following"), "what"), ["op_id", "block_num", "follower", "following"], lookup(group).alias("grp"), lookup(made).alias("kind"))
+    actions = actions.where("grp is not null and following is not null and following <> follower")
     old = state.select("op_id", "block_num", "follower", "following", "grp", "kind")
     last = actions.unionByName(old).groupBy("follower", "following", "grp").agg(F.max_by(F.struct("kind", "block_num", "op_id"), "op_id").alias("l")).select("follower", "following", "grp", "l.*")
-    cleared = rows.select("follower", "op_id", "block_num", F.explode(F.coalesce(*[F.when(F.col("what") == k, F.array(*map(F.lit, v))) for k, v in resets.items()])).alias("kind"))
+    cleared = rows.where(F.col("what").isin(*resets)).select("follower", "op_id", "block_num", F.explode(F.try_element_at(F.create_map(*[x for k, v in resets.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), "what")).alias("kind"))
     cleared = cleared.groupBy("follower", F.col("kind").alias("cleared_kind")).agg(F.max(F.struct("op_id", "block_num")).alias("reset"))
     joined = last.join(cleared.withColumnRenamed("follower", "f"), (F.col("follower") == F.col("f")) & (F.col("kind") == F.col("cleared_kind")), "left")
     gone = F.coalesce(F.col("reset.op_id") > F.col("op_id"), F.lit(False))

@@ -35,15 +35,26 @@ def blocks(log: DataFrame) -> DataFrame:
     return each.join(before, F.col("block_num") == F.col("next"), "left").select("block_num", "block_ts", F.coalesce("previous", "block_ts").alias("previous_ts"))
 
 
+def parsed(rows: DataFrame, keep: list[str], *values) -> DataFrame:
+    """``keep`` and some values, each worked out once a row.
+
+    Later filters and projections read the values; the optimizer can't move
+    their expressions, such as parses of JSON, into each place of use.
+    """
+    return rows.select(*keep, F.inline(F.array(F.struct(*values))))
+
+
 def custom(log: DataFrame) -> DataFrame:
     """Custom documents as (op_id, block_num, block_ts, kind, account, action, data); bad ones are left out.
 
     A document is ``[action, {...}]`` or an object alone, signed by one account.
     """
-    rows = scan(log, types=("custom_json",)).select("op_id", "block_num", "block_ts", field("id").alias("kind"), F.coalesce(field("required_posting_auths[0]"), field("required_auths[0]")).alias("account"), field("json").alias("doc"))
-    rows = rows.where(F.col("kind").isin(*CUSTOM) & F.col("account").isNotNull() & F.try_parse_json("doc").isNotNull())
-    pair = F.get_json_object("doc", "$[0]")
-    return rows.select("op_id", "block_num", "block_ts", "kind", "account", F.coalesce(pair, F.col("kind")).alias("action"), F.when(pair.isNotNull(), F.get_json_object("doc", "$[1]")).otherwise(F.col("doc")).alias("data"))
+    place = ["op_id", "block_num", "block_ts"]
+    rows = parsed(scan(log, types=("custom_json",)), place, F.from_json("body", "id string, required_posting_auths array<string>, required_auths array<string>, json string").alias("b"))
+    account = F.coalesce(F.get("b.required_posting_auths", 0), F.get("b.required_auths", 0))
+    rows = rows.where(F.col("b.id").isin(*CUSTOM) & account.isNotNull()).select(*place, F.col("b.id").alias("kind"), account.alias("account"), F.col("b.json").alias("doc"))
+    pair = parsed(rows, [*place, "kind", "account", "doc"], F.try_parse_json("doc").isNotNull().alias("good"), F.get_json_object("doc", "$[0]").alias("first"), F.get_json_object("doc", "$[1]").alias("second")).where("good")
+    return pair.select(*place, "kind", "account", F.coalesce("first", "kind").alias("action"), F.when(F.col("first").isNotNull(), F.col("second")).otherwise(F.col("doc")).alias("data"))
 
 
 def from_block_files(spark: SparkSession, path: str, started: str = "2016-03-24 16:05:00") -> DataFrame:
