@@ -22,7 +22,7 @@ from agorafold.sources import oplog
 
 ACCOUNTS = "name string, created timestamp_ntz, posting_metadata string, json_metadata string, block_num int"
 VOTES = "voter string, author string, permlink string, weight decimal(38,0), rshares bigint, percent int, last_update timestamp_ntz, num_changes int, is_effective boolean, block_num int"
-POSTS = "author string, permlink string, generation int, parent_author string, parent_permlink string, title string, body string, tags array<string>, created timestamp_ntz, updated timestamp_ntz, deleted boolean, block_num int"
+POSTS = "author string, permlink string, generation int, parent_author string, parent_permlink string, title string, body string, tags array<string>, created timestamp_ntz, updated timestamp_ntz, deleted boolean, block_num int, created_block int"
 #: grp: the group of actions that exclude each other; kind is null for an edge that is gone.
 EDGES = "follower string, following string, grp string, kind string, block_num int, op_id long"
 REBLOGS = "account string, author string, permlink string, created timestamp_ntz, deleted boolean, block_num int"
@@ -103,13 +103,13 @@ def fold_posts(state: DataFrame, log: DataFrame) -> DataFrame:
     changes = read.groupBy(*keys, "generation").agg(
         first("pa").alias("pa"), first("pp").alias("pp"), _last(F.col("ti")).alias("ti"), _last(F.col("bo")).alias("bo"), F.max(F.col("bo").startswith("@@ ")).alias("patched"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("bo").isNotNull(), F.struct("op_id", "bo")))), lambda e: e["bo"]).alias("edits"), _last(F.col("ta")).alias("ta"),
-        F.min(F.when(F.col("gone") == 0, F.col("block_ts"))).alias("c"), F.max("block_ts").alias("u"), (F.max("gone") == 1).alias("d"), F.max("block_num").alias("b"),
+        F.min(F.when(F.col("gone") == 0, F.col("block_ts"))).alias("c"), F.max("block_ts").alias("u"), (F.max("gone") == 1).alias("d"), F.max("block_num").alias("b"), F.min(F.when(F.col("gone") == 0, F.col("block_num"))).alias("cb"),
     )
     joined = state.join(changes, [*keys, "generation"], "full")
     joined = joined.withColumn("bo", F.when(F.coalesce("patched", F.lit(False)), patch.merged(F.col("body"), F.when(F.coalesce("patched", F.lit(False)), F.col("edits")))).otherwise(F.col("bo")))
     merged = joined.select(
         *keys, "generation", F.coalesce("parent_author", "pa").alias("parent_author"), F.coalesce("parent_permlink", "pp").alias("parent_permlink"), F.coalesce("ti", "title").alias("title"), F.coalesce("bo", "body").alias("body"),
-        F.coalesce("ta", "tags").alias("tags"), F.coalesce("created", "c").alias("created"), F.greatest("updated", "u").alias("updated"), (F.coalesce("deleted", F.lit(False)) | F.coalesce("d", F.lit(False))).alias("deleted"), F.greatest("block_num", "b").alias("block_num"),
+        F.coalesce("ta", "tags").alias("tags"), F.coalesce("created", "c").alias("created"), F.greatest("updated", "u").alias("updated"), (F.coalesce("deleted", F.lit(False)) | F.coalesce("d", F.lit(False))).alias("deleted"), F.greatest("block_num", "b").alias("block_num"), F.coalesce("created_block", "cb").alias("created_block"),
     )
     return merged.where("created is not null")  # a deletion of a post that never was
 

@@ -313,3 +313,45 @@ SQL |= {
         list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(coalesce(lang, '')), '[a-z0-9]+'))]) AS w FROM documents)
       SELECT field, term, count(*) AS docs FROM (SELECT field, unnest(w) AS term FROM d) GROUP BY 1, 2""",
 }
+
+# Notifications of logs made from the tables: blocks are days, and an id is time, type and counter in one number.
+_REP = """rep AS (SELECT name, round(CASE WHEN raw <> 0 THEN greatest(log10(abs(raw)::DOUBLE) - 9, 0) ELSE 0 END * CASE WHEN raw < 0 THEN -1 ELSE 1 END * 7.5 + 25)::INT AS score FROM (
+    SELECT 'c' || c_custkey AS name, round(c_acctbal * 100)::BIGINT * 1000000000 AS raw FROM customer UNION ALL SELECT 's' || s_suppkey, round(s_acctbal * 100)::BIGINT * 1000000000 FROM supplier))"""
+_MM = f"""{_M}, mu AS (SELECT 'c' || following AS a, 's' || follower AS b FROM m UNION SELECT 'c' || c_custkey, 'c' || (c_custkey % 97 + 1) FROM customer WHERE c_custkey % 4 = 0 AND c_custkey <> c_custkey % 97 + 1),
+  mm AS (SELECT a, b FROM mu UNION SELECT 'c' || c_custkey, mu.b FROM customer JOIN mu ON mu.a = 'c' || (c_custkey % 50 + 1) WHERE c_custkey % 3 = 0 AND c_custkey <> c_custkey % 50 + 1)"""
+#: Posts of ``threads`` up to day 2300, by generation.
+_T = f"""o AS (SELECT o_orderkey AS k, o_custkey AS c, {_day("o_orderdate")} AS d, o_orderstatus = 'F' AS f, o_totalprice AS price FROM orders),
+  g AS (SELECT *, 0 AS generation FROM o WHERE d <= 2300 UNION ALL SELECT *, 1 FROM o WHERE k % 100 = 7 AND d < 2300),
+  t AS (SELECT g.k, g.c, 'c' || g.c AS author, 'p' || g.k AS permlink, g.generation, g.d + g.generation AS d, up.c AS up_c, up.k AS up_k, up.d AS up_d, g.k % 50 = 7 AND g.generation = 0 AS deleted, g.f, g.price
+    FROM g LEFT JOIN o up ON g.k % 10 <> 0 AND up.k = g.k // 3)"""
+
+
+def _notices(ctes: str, rows: str, kind: str, created: str = "d - 1", scored: bool = True) -> str:
+    """The notifications of rows (d, counter, src, dst, author, permlink, payload) that are told."""
+    score = "rep.score" if scored else "x.score"
+    told = "rep.score > 0 AND NOT EXISTS (SELECT 1 FROM mm WHERE mm.a = x.dst AND mm.b = x.src)" if scored else "TRUE"
+    return f"""WITH {_MM}, {_REP}, {ctes}, x AS ({rows})
+      SELECT (epoch({_at(created)})::BIGINT - epoch(TIMESTAMP '{GENESIS}')::BIGINT) * 268435456 + ({kind})::BIGINT * 4194304 + counter AS id, ({kind})::INT AS type_id, (1000000 + d)::INT AS block_num, {_at(created)} AS created,
+        src, dst, author, permlink, ({score})::INT AS score, payload FROM x JOIN rep ON rep.name = src WHERE src <> dst AND {told}"""
+
+
+SQL |= {
+    "notices_subscribe": _notices("n AS (SELECT 1)", "SELECT 1 AS d, row_number() OVER (ORDER BY c_custkey) AS counter, 'c' || c_custkey AS src, 'hive-1' || lpad(c_nationkey::VARCHAR, 5, '0') AS dst, '' AS author, '' AS permlink, '' AS payload FROM customer", "11"),
+    "notices_follow": _notices(_F, """SELECT * FROM (SELECT (follower + following) % 100 AS d, row_number() OVER (PARTITION BY (follower + following) % 100 ORDER BY follower, following) AS counter, 's' || follower AS src, 'c' || following AS dst,
+        '' AS author, '' AS permlink, '' AS payload FROM f) WHERE d > 30""", "15"),
+    "notices_reply": _notices(_T, """SELECT * FROM (SELECT d, row_number() OVER (PARTITION BY d ORDER BY author, permlink, generation) AS counter, author AS src, 'c' || up_c AS dst, author, permlink, '' AS payload, up_d,
+        CASE WHEN up_k % 10 = 0 OR NOT EXISTS (SELECT 1 FROM o WHERE o.k = up_k // 3) THEN 12 ELSE 13 END AS kind FROM t WHERE up_k IS NOT NULL) WHERE d > 2210 AND up_d <= 2300""", "kind"),
+    "notices_reblog": _notices(_T, """SELECT * FROM (SELECT d, row_number() OVER (PARTITION BY d ORDER BY src, dst, permlink) AS counter, src, dst, dst AS author, permlink, '' AS payload, at_ FROM (
+        SELECT max(g.d) + 2 AS d, min(g.d) + 2 AS at_, 'c' || g.c AS src, 'c' || up.c AS dst, 'p' || up.k AS permlink FROM o g JOIN o up ON g.k % 10 <> 0 AND up.k = g.k // 3 WHERE g.d + 2 <= 2300 AND up.d <= 2300 GROUP BY g.c, up.c, up.k)) WHERE d > 2210""", "14", "at_"),
+    "notices_mention": _notices(_T, r"""SELECT * FROM (SELECT d, row_number() OVER (PARTITION BY d ORDER BY author, permlink, dst) AS counter, author AS src, dst, author, permlink, '' AS payload FROM (
+        SELECT d, author, permlink, unnest(list_distinct(['c' || (c % 97 + 1), 'c' || (k % 13 + 1)])) AS dst FROM t WHERE NOT deleted) WHERE dst <> author AND dst IN (SELECT name FROM rep)) WHERE d > 2210""", "16"),
+    "notices_vote": _notices(f"""{_T}, i AS (SELECT *, {_day("l_shipdate")} AS d, {_day("l_shipdate")}::HUGEINT * 1000000000000 + (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000 AS op FROM lineitem),
+      v AS (SELECT l_suppkey AS s, l_orderkey AS k, coalesce(arg_max(round(l_extendedprice * 100)::BIGINT * 10000, op) FILTER (l_linestatus = 'F'), 0) AS rs, max(d) AS d FROM i WHERE d <= 2300 GROUP BY 1, 2),
+      live AS (SELECT DISTINCT k, author, permlink FROM t WHERE NOT deleted AND d > 2203),
+      worth AS (SELECT k, CASE WHEN f AND d + 7 <= 2300 THEN round(price * 1000)::BIGINT / 1000.0 ELSE round(price * 500)::BIGINT / 1000.0 END AS w FROM o WHERE d <= 2300),
+      j AS (SELECT v.*, author, permlink, sum(rs) OVER (PARTITION BY k) AS whole, sum(abs(rs)) OVER (PARTITION BY k) AS size FROM v JOIN live USING (k)),
+      h AS (SELECT d, 2 * row_number() OVER (PARTITION BY d ORDER BY 's' || s, author, permlink) AS counter, 's' || s AS src, author AS dst, author, permlink, rs, k, whole, size FROM j WHERE d > 2210 AND NOT EXISTS (SELECT 1 FROM mm WHERE mm.a = author AND mm.b = 's' || s)),
+      q AS (SELECT h.*, CASE WHEN whole <> 0 THEN w::DOUBLE / whole * rs ELSE 0 END AS value, CASE WHEN size = 0 THEN 0 ELSE w::DOUBLE / size * 1000 * rs END AS units FROM h JOIN worth USING (k))""",
+      """SELECT *, CASE WHEN size = 0 THEN 0 WHEN units < 20 THEN -1 ELSE least(100, (length(round(units)::BIGINT::VARCHAR) - 1) * 25) END AS score, CASE WHEN value < 0.01 THEN '' ELSE '($' || round(value::VARCHAR::DECIMAL(30,12), 2)::DECIMAL(30,2) || ')' END AS payload
+        FROM q WHERE rs >= 10000000000 AND value >= 0.02 AND NOT (size <> 0 AND units < 20)""", "17", "d", False),
+}

@@ -128,3 +128,63 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
         _custom(staff.where(s % 4 == 0), "community", "setRole", F.lit(4), s, _text("s", s), community=name("s_nationkey"), account=name("s_nationkey"), role=F.lit("guest")),
         _custom(nations, "community", "updateProps", F.lit(5), F.col("n_nationkey"), name("n_nationkey"), community=name("n_nationkey"), props=F.struct(F.col("n_name").alias("title"))),
     )
+
+
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a post that mentions others, under the order a third of its number if there is one; edits, deletions and second lives as in ``posts``."""
+    orders = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    above = orders.select(F.col("o_orderkey").alias("above"), F.col("o_custkey").alias("above_author"))
+    rows = orders.withColumn("up", F.when(F.col("o_orderkey") % 10 != 0, F.expr("o_orderkey div 3"))).join(above, F.col("up") == F.col("above"), "left")
+    k, day, author = F.col("o_orderkey"), _day(F.col("o_orderdate")), F.col("o_custkey")
+    names = {"author": _text("c", author), "permlink": _text("p", k)}
+    written = {**names, "parent_author": F.coalesce(_text("c", F.col("above_author")), F.lit("")), "parent_permlink": F.coalesce(_text("p", F.col("above")), F.lit("")), "title": F.lit("t"), "json_metadata": F.lit("{}")}
+    body = _text("Thanks @C", author, ", @c", author % 97 + 1, " and @nobody", author % 5, "; mail me@c1.com. (@c", k % 13 + 1, ")")
+    return _union(
+        _operations(rows, "comment", day, k * 10, **written, body=body),
+        _operations(rows.where(k % 50 == 7), "delete_comment", day, k * 10 + 2, **names),
+        _operations(rows.where(k % 100 == 7), "comment", day + 1, k * 10 + 3, **written, body=body),
+    )
+
+
+def thread_reblogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reply in ``threads`` shares the post above it, two days later."""
+    orders = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    above = orders.select(F.col("o_orderkey").alias("above"), F.col("o_custkey").alias("above_author"))
+    rows = orders.where("o_orderkey % 10 <> 0").join(above, F.expr("o_orderkey div 3") == F.col("above"))
+    names = {"account": _text("c", F.col("o_custkey")), "author": _text("c", F.col("above_author")), "permlink": _text("p", F.col("above"))}
+    return _custom(rows, "reblog", "reblog", _day(F.col("o_orderdate")) + 2, F.col("o_orderkey"), names["account"], **names)
+
+
+def thread_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes as in ``votes``, on the posts of ``threads`` and ten thousand times as heavy."""
+    orders = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    items = tables.read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    order = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey") % 100_000) * 2
+    names = {"voter": _text("s", F.col("l_suppkey")), "author": _text("c", F.col("o_custkey")), "permlink": _text("p", F.col("l_orderkey"))}
+    rshares = F.round(F.col("l_extendedprice") * 100).cast("long") * 10_000
+    return _union(
+        _operations(items, "vote", _day(F.col("l_shipdate")), order, **names, weight=(F.col("l_quantity") * 100).cast("int")),
+        _operations(items.where("l_linestatus = 'F'"), "effective_vote", _day(F.col("l_shipdate")), order + 1, **names, rshares=rshares, total_vote_weight=F.col("l_partkey")),
+    )
+
+
+def mute_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers mute suppliers who mute them, every fourth one mutes a customer, and every third follows another's mute list."""
+    mutes, people = tables.mutes(spark, sf_dir), tables.read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+
+    def act(rows: DataFrame, who: Column, whom: Column, what: str, order: Column) -> DataFrame:
+        return _custom(rows, "follow", "follow", F.lit(5), order, who, follower=who, following=whom, what=F.array(F.lit(what)))
+
+    return _union(
+        act(mutes, _text("c", F.col("following")), _text("s", F.col("follower")), "ignore", F.col("follower") * 1_000_000 + F.col("following")),
+        act(people.where(k % 4 == 0), _text("c", k), _text("c", k % 97 + 1), "ignore", k + 500_000_000_000),
+        act(people.where(k % 3 == 0), _text("c", k), _text("c", k % 50 + 1), "follow_muted", k + 600_000_000_000),
+    )
+
+
+def reputations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, reputation) of customers and suppliers, by their balance."""
+    raw = lambda c: F.round(F.col(c) * 100).cast("long") * 1_000_000_000
+    people = tables.read(spark, sf_dir, "customer").select(_text("c", F.col("c_custkey")).alias("name"), raw("c_acctbal").alias("reputation"))
+    return people.unionByName(tables.read(spark, sf_dir, "supplier").select(_text("s", F.col("s_suppkey")).alias("name"), raw("s_acctbal").alias("reputation")))

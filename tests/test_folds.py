@@ -176,7 +176,7 @@ def test_options_last_reads_and_early_votes(spark):
 
 def test_votes_before_the_post_do_not_count(spark):
     votes = spark.createDataFrame([("v", "ann", p, 1, 1, 1, START + datetime.timedelta(days=d), 0, True, 1) for p, d in (("x", 0), ("x", 2), ("gone", 2))], "voter string, author string, permlink string, weight int, rshares long, percent int, last_update timestamp_ntz, num_changes int, is_effective boolean, block_num int")
-    posts = spark.createDataFrame([("ann", p, 0, "", "", "", "", [], START + datetime.timedelta(days=1), START, p == "gone", 1) for p in ("x", "gone")], folds.POSTS)
+    posts = spark.createDataFrame([("ann", p, 0, "", "", "", "", [], START + datetime.timedelta(days=1), START, p == "gone", 1, 1) for p in ("x", "gone")], folds.POSTS)
     assert folds.counted_votes(votes, posts).count() == 1
 
 
