@@ -9,23 +9,35 @@ from agorafold.functions import profiles, reputation
 from agorafold.operators import paging
 from agorafold.sources import tables
 
-ACCOUNT, FOLLOWER = 7, 3
+ACCOUNT, FOLLOWER, WRITER = 7, 3, 48
+FEED_DAYS = 30
 
 
-def account_posts(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
-    rows = tables.live_posts(spark, sf_dir).where(F.col("author") == account)
+def account_posts(spark: SparkSession, sf_dir: str, account: int = WRITER, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
+    """Root posts of an account."""
+    rows = tables.roots(tables.live_posts(spark, sf_dir)).where(F.col("author") == account)
     return paging.page(rows, "id", last, limit).select("id", "created", "category", "payout")
 
 
-def account_blog(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
-    """Root posts of an account and posts that it shared, the newest first."""
+def account_blog(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT, bridge: bool = False) -> DataFrame:
+    """Root posts of an account and posts that it shared, the newest first.
+
+    For the bridge without posts of communities that the account has not shared
+    itself; every fifth place is none.
+    """
     live = tables.live_posts(spark, sf_dir)
     own = tables.roots(live).where(F.col("author") == account).select("id", "created")
     shared = tables.reblogs(spark, sf_dir).where(F.col("account") == account).select(F.col("post").alias("id"), F.col("at").alias("created"))
-    entries = own.unionByName(shared).groupBy("id").agg(F.min("created").alias("entered")).join(live.select("id", "author"), "id")
+    entries = own.withColumn("by_sharing", F.lit(False)).unionByName(shared.withColumn("by_sharing", F.lit(True)))
+    entries = entries.groupBy("id").agg(F.min("created").alias("entered"), F.bool_or("by_sharing").alias("is_shared")).join(live.select("id", "author", "community"), "id")
+    entries = entries.where(F.col("is_shared") | (F.col("community") % 5 == 0) | F.col("community").isNull()) if bridge else entries
     return paging.page(entries, "entered", last, limit).select("id", "author", "entered")
 
 
+def account_blog_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return account_blog(spark, sf_dir, bridge=True)
+
+
 def account_comments(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, last: int | None = None, limit: int = paging.LIMIT) -> DataFrame:
     """Replies that an account wrote."""
     rows = tables.replies(tables.live_posts(spark, sf_dir)).where(F.col("author") == account)
@@ -57,17 +69,25 @@ def account_payout(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, las
     return paging.page(rows, "payout", last, limit).select("id", "payout", "category")
 
 
-def account_feed(spark: SparkSession, sf_dir: str, account: int = FOLLOWER, limit: int = 50) -> DataFrame:
-    """Posts that followed accounts wrote or voted for, each once, with those accounts' names."""
+def account_feed(spark: SparkSession, sf_dir: str, account: int = FOLLOWER, limit: int = 50, last: int | None = None) -> DataFrame:
+    """Posts of the last month that followed accounts wrote or shared, each once, with those accounts' names; after one of them."""
     followed = tables.follows(spark, sf_dir).where(F.col("follower") == account).select("following")
     live = tables.live_posts(spark, sf_dir)
     names = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     own = live.select("id", F.col("author").alias("by"), F.col("created").alias("at"))
     shared = live.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id"), F.col("author").alias("by"), F.col("created").alias("at"))
-    entries = own.unionByName(shared).join(followed, F.col("by") == F.col("following"), "left_semi")
+    head = live.agg((F.max("created") - F.expr(f"interval {FEED_DAYS} days")).alias("cut"))  # one row
+    entries = own.unionByName(shared).join(followed, F.col("by") == F.col("following"), "left_semi").crossJoin(F.broadcast(head)).where(F.col("at") > F.col("cut"))
     named = entries.join(names, entries.by == names.c_custkey)
     feed = named.groupBy("id").agg(F.min("at").alias("first_at"), F.array_join(F.array_sort(F.collect_set("c_name")), ",").alias("names"))
-    return feed.orderBy(F.col("first_at").desc(), F.col("id").desc()).limit(limit)
+    return paging.page(feed, "first_at", last, limit).select("id", "first_at", "names")
+
+
+def account_feed_page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of a feed after its first five."""
+    first = account_feed(spark, sf_dir, limit=5).orderBy("first_at", "id").limit(1).select("first_at", "id")
+    feed = account_feed(spark, sf_dir, limit=1_000_000)
+    return paging.top(paging.after(feed, "first_at", first), "first_at", 5).select("id", "first_at", "names")
 
 
 def blog_entries(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, start: int | None = None, limit: int = 10) -> DataFrame:

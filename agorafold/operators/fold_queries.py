@@ -52,13 +52,13 @@ def fold_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vote_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes that a post's author hears of, by the thresholds of score, weight and value; not those of muted voters."""
+    """Votes that a post's author hears of, by the thresholds of score, weight and value; authors mute the voters who mute them."""
     sums = tables.rollup(spark, sf_dir).select("post", F.col("rshares").alias("post_rshares"), "abs_rshares")
     posts = tables.live_posts(spark, sf_dir).select("id", "payout", "author")
-    muted = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), (F.col("s_acctbal") < 0).alias("muted"))
+    muted = tables.mutes(spark, sf_dir).select(F.col("following").alias("author"), F.col("follower").alias("voter"))
     each = tables.votes(spark, sf_dir).groupBy("post", "voter").agg(F.sum("rshares").alias("rshares"))
-    joined = each.join(sums, "post").join(posts, F.col("post") == F.col("id")).join(muted, F.col("voter") == F.col("s"), "left")
+    joined = each.join(sums, "post").join(posts, F.col("post") == F.col("id")).join(muted, ["author", "voter"], "left_anti")
     value = ranking.vote_value(F.col("payout"), F.col("post_rshares"), F.col("rshares"))
-    scored = joined.select("post", "voter", "author", F.col("rshares") * 1000, value.alias("value"), ranking.vote_score(F.col("payout"), F.col("abs_rshares"), F.col("rshares")).alias("score"), "muted", (F.col("rshares") * 1000).alias("weight"))
-    told = rules.vote_is_told(F.col("voter"), F.col("author"), F.col("score"), F.col("weight"), F.col("value"), F.col("muted"))
+    scored = joined.select("post", "voter", "author", value.alias("value"), ranking.vote_score(F.col("payout"), F.col("abs_rshares"), F.col("rshares")).alias("score"), (F.col("rshares") * 1000).alias("weight"))
+    told = rules.vote_is_told(F.col("voter"), F.col("author"), F.col("score"), F.col("weight"), F.col("value"), F.lit(False))
     return scored.where(told).select("post", "voter", "score", F.round("value", 3).alias("value"))

@@ -306,14 +306,11 @@ def _role_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(out, ROLE_CHANGES)
 
 
-def fold_communities(state: DataFrame, log: DataFrame) -> DataFrame:
-    """Roles, titles, subscribers, marks of posts and properties of communities.
+def community_roles(state: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Operations of a batch that are new to communities, and (community, account, op_id, block_num, rank) of the roles there.
 
-    Whether a role may be given depends on the roles before, so these few
-    operations are read in order, a community at a time.  All others are
-    judged by what their actor's role was then (a window by community and
-    actor) and the last accepted one of each key counts, so that a community
-    with most of the log is spread by actor and key.
+    Roles of the state come first, then owners, then accepted changes, so that
+    the role at an operation is the last one before it.
     """
     ops = oplog.custom(log).where((F.col("kind") == "community") & F.col("data").startswith("{"))
     ops = ops.select(F.get_json_object("data", "$.community").alias("community"), "op_id", "block_num", "account", "action", "data").where(text.is_community(F.col("community")))
@@ -322,10 +319,22 @@ def fold_communities(state: DataFrame, log: DataFrame) -> DataFrame:
     asked = rows.where("action = 'setRole'").select(*known.columns).unionByName(known)
     changes = asked.repartition("community").sortWithinPartitions("community", "op_id").mapInArrow(_role_changes, ROLE_CHANGES)
     owners = rows.groupBy("community").agg(F.max("block_num").alias("block_num")).select("community", F.col("community").alias("account"), F.lit(-1).cast("long").alias("op_id"), "block_num", F.lit(ROLES["owner"]).alias("rank"))
+    return rows, changes.unionByName(owners)
 
+
+def fold_communities(state: DataFrame, log: DataFrame) -> DataFrame:
+    """Roles, titles, subscribers, marks of posts and properties of communities.
+
+    Whether a role may be given depends on the roles before, so these few
+    operations are read in order, a community at a time.  All others are
+    judged by what their actor's role was then (a window by community and
+    actor) and the last accepted one of each key counts, so that a community
+    with most of the log is spread by actor and key.
+    """
+    rows, roles = community_roles(state, log)
     table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     name = F.try_element_at(table((r, n) for n, r in ROLES.items() if r), "rank")  # a guest has none
-    held = changes.unionByName(owners).select("*", F.lit("role").alias("kind"), F.col("account").alias("key"), name.alias("value"))
+    held = roles.select("*", F.lit("role").alias("kind"), F.col("account").alias("key"), name.alias("value"))
     shown = rows.where("kind is not null").select("community", "account", "op_id", "block_num", "action", "kind", "key", "value").unionByName(held, allowMissingColumns=True)
     before = Window.partitionBy("community", "account").orderBy("op_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     had = F.coalesce(F.last("rank", ignorenulls=True).over(before), F.lit(0))

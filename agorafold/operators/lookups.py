@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from agorafold.operators import ranked
 from agorafold.sources import tables
 
+#: Pairs of a caller's list that are broadcast.
+MOST_PAIRS = 100_000
 MOST_REPLIES = 5000
 
 
@@ -40,7 +42,8 @@ def find_comments(spark: SparkSession, sf_dir: str, pairs: list[tuple[int, int]]
     """Live posts of a list of (author, id) pairs, each once; pairs that name none are left out."""
     named = [(a, i) for i in range(1, 101) for a in range(1, 101)] * 2 if pairs is None else pairs
     wanted = spark.createDataFrame([tuple(map(int, p)) for p in named], "author long, id long").distinct()
-    return tables.live_posts(spark, sf_dir).join(F.broadcast(wanted), ["author", "id"], "left_semi").select("id", "author", "payout")  # the caller's list
+    wanted = F.broadcast(wanted) if len(named) <= MOST_PAIRS else wanted
+    return tables.live_posts(spark, sf_dir).join(wanted, ["author", "id"], "left_semi").select("id", "author", "payout")
 
 
 def posts_of_categories(spark: SparkSession, sf_dir: str, categories: tuple[str, ...] = ("1-URGENT", "5-LOW")) -> DataFrame:
@@ -73,10 +76,13 @@ def quiet_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payouts_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per community open payouts beside those of accounts that it names: of its own people, or of anyone for every seventh.
 
-    The condition of the join depends on the community.
+    The sevenths take the sum of all and the others join by key, so neither is
+    a join of every pair.
     """
     nations = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
     open_posts = tables.live_posts(spark, sf_dir).where(~F.col("paid"))
-    sums = open_posts.groupBy("community").agg(F.sum("payout").alias("payout"))  # a row a community
-    joined = nations.join(F.broadcast(sums), F.when(F.col("nation") % 7 == 0, F.lit(True)).otherwise(F.col("community") == F.col("nation")), "left")
-    return joined.groupBy("nation").agg(F.sum("payout").cast("decimal(30,3)").alias("payout"), F.count("community").alias("communities"))
+    sums = open_posts.groupBy("community").agg(F.sum("payout").alias("payout"))
+    one = nations.where("nation % 7 <> 0").join(sums, F.col("community") == F.col("nation"), "left").select("nation", "payout", F.when(F.col("community").isNotNull(), 1).otherwise(0).alias("communities"))
+    whole = sums.agg(F.sum("payout").alias("payout"), F.count("community").alias("communities"))  # one row
+    everyone = nations.where("nation % 7 = 0").crossJoin(F.broadcast(whole)).select("nation", "payout", "communities")
+    return one.unionByName(everyone).select("nation", F.col("payout").cast("decimal(30,3)").alias("payout"), F.col("communities").cast("long").alias("communities"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agorafold.operators import graph, paging
 from agorafold.sources import tables
 
-TAG, COMMUNITY, OBSERVER = "Brand#13", 7, 1
+TAG, CATEGORY, COMMUNITY, OBSERVER = "Brand#13", "1-URGENT", 7, 1
 PAYOUT_DAYS = 7
 
 
@@ -16,21 +16,24 @@ def _scores(rows: DataFrame, score: str, places: int = 3) -> DataFrame:
     return rows.select("id", "author", "category", F.round(F.col(score).cast("double"), places).alias("score"))
 
 
-def candidates(spark: SparkSession, sf_dir: str, sort: str, bridge: bool = True) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, sort: str, bridge: bool = True, in_communities: bool = False) -> DataFrame:
     """Rows and order column of one sort: live posts under its own conditions.
 
     trending, hot and created list root posts; payout lists what is due within
     a day, of any depth, or, for callers other than the bridge, root posts at
-    any time; payout_comments lists replies, muted grayed authors' posts.
+    any time; payout_comments lists replies, muted grayed authors' posts.  In
+    communities (one, or the observer's) payout, payout_comments and muted list
+    root posts, as the reference has it.
     """
     if sort in ("trending", "hot"):
         rows = tables.roots(tables.scored_posts(spark, sf_dir)).where(~F.col("paid"))
         return rows.withColumn("rank_by", F.col("sc_trend" if sort == "trending" else "sc_hot"))
     live = tables.live_posts(spark, sf_dir)
     if sort == "created":
-        return tables.roots(live).where(~F.col("grayed")).withColumn("rank_by", F.col("id"))
+        return tables.roots(live).withColumn("rank_by", F.col("id"))
     open_posts = live.where(~F.col("paid")).withColumn("rank_by", F.col("payout"))
-    if sort == "payout" and not bridge:
+    open_posts = tables.roots(open_posts) if in_communities else open_posts
+    if sort == "payout" and not bridge and not in_communities:
         return tables.roots(open_posts)
     if sort == "payout":
         head = live.agg(F.max("created").alias("head"))
@@ -38,25 +41,34 @@ def candidates(spark: SparkSession, sf_dir: str, sort: str, bridge: bool = True)
         due = at.between(F.col("head") + F.expr("interval 12 hours"), F.col("head") + F.expr("interval 36 hours"))
         return open_posts.crossJoin(F.broadcast(head)).where(due).drop("head")  # one row
     if sort == "payout_comments":
-        return open_posts.where(F.col("parent").isNotNull())
+        return open_posts if in_communities else tables.replies(open_posts)
     if sort == "muted":
         return open_posts.where(F.col("grayed") & (F.col("payout") > 0))
     raise ValueError(f"no such order: {sort}")
 
 
 def ranked(spark: SparkSession, sf_dir: str, sort: str, tag: str | None = None, community: int | None = None, observer: int | None = None, last: int | None = None, limit: int = paging.LIMIT, mutes_of: int | None = None, without: int = 0, bridge: bool = True) -> DataFrame:
-    """One page of a sort within a scope; posts by authors whom ``mutes_of`` mutes, or with a reason in the mask ``without``, are left out."""
-    rows = candidates(spark, sf_dir, sort, bridge)
+    """One page of a sort within a scope; posts by authors whom ``mutes_of`` mutes, or with a reason in the mask ``without``, are left out.
+
+    A tag is a category for payout and payout_comments.  Grayed authors are
+    left out of created but in one community; muted lists them, and knows no
+    observer's mutes.
+    """
+    rows = candidates(spark, sf_dir, sort, bridge, community is not None or observer is not None)
+    if sort == "created" and community is None:
+        rows = rows.where(~F.col("grayed"))
     if without:
         rows = rows.where(reasons().bitwiseAND(F.lit(without)) == 0)
-    if tag is not None:
+    if tag is not None and sort in ("payout", "payout_comments"):
+        rows = rows.where(F.col("category") == tag)
+    elif tag is not None:
         tagged = tables.tags(spark, sf_dir).where(F.col("tag") == tag).select("post")
         rows = rows.join(tagged, F.col("id") == F.col("post"), "left_semi")
     if community is not None:
         rows = rows.where(F.col("community") == community)
     if observer is not None:
         rows = rows.join(graph.subscriptions(spark, sf_dir, observer), "community", "left_semi")
-    if mutes_of is not None:
+    if mutes_of is not None and sort != "muted":
         rows = rows.join(graph.muted_by(spark, sf_dir, mutes_of), F.col("author") == F.col("muted"), "left_anti")
     return paging.page(rows, "rank_by", last, limit)
 
@@ -76,7 +88,8 @@ def pairs() -> dict:
     """A query for every other pair of order and scope."""
 
     def query(sort: str, scope: str):
-        return lambda spark, sf_dir: _scores(ranked(spark, sf_dir, sort, **SCOPES[scope]), "rank_by")
+        given = {"tag": CATEGORY} if scope == "tag" and sort in ("payout", "payout_comments") else SCOPES[scope]
+        return lambda spark, sf_dir: _scores(ranked(spark, sf_dir, sort, **given), "rank_by")
 
     return {f"ranked_{sort}_{scope}": query(sort, scope) for sort in SORTS for scope in SCOPES if (sort, scope) not in NAMED}
 
@@ -129,7 +142,7 @@ def ranked_my_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_my_lateral_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 5 of each community that the observer subscribes to, then the newest of these."""
-    rows = candidates(spark, sf_dir, "created").join(graph.subscriptions(spark, sf_dir, OBSERVER), "community", "left_semi")
+    rows = candidates(spark, sf_dir, "created").where(~F.col("grayed")).join(graph.subscriptions(spark, sf_dir, OBSERVER), "community", "left_semi")
     each = paging.top_per_group(rows, "community", F.col("id").desc(), 5)
     return paging.top(each, "rank_by").select("id", "author", "category", "community")
 

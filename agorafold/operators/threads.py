@@ -72,6 +72,19 @@ def depths(nodes: DataFrame) -> DataFrame:
     return _doubled(nodes.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth")), widen).select("id", "depth")
 
 
+def tops(nodes: DataFrame) -> DataFrame:
+    """(id, top, depth): of each of (id, parent) the farthest ancestor among the nodes, itself without one, and how far it is."""
+    held = nodes.select(F.col("id").alias("p"))
+    inside = nodes.join(held, nodes.parent == held.p, "left").select("id", F.col("p").alias("up"), F.coalesce("p", "id").alias("top"), F.when(F.col("p").isNotNull(), 1).otherwise(0).alias("depth"))
+
+    def widen(now: DataFrame, reach: int) -> DataFrame:
+        above = now.select(F.col("id").alias("a"), F.col("up").alias("next"), F.col("top").alias("far"), F.col("depth").alias("more"))
+        moved = now.where("up IS NOT NULL").join(above, F.col("up") == F.col("a")).select("id", F.col("next").alias("up"), F.col("far").alias("top"), (F.col("depth") + F.col("more")).alias("depth"))
+        return moved.unionByName(now.where("up IS NULL"))
+
+    return _doubled(inside, widen).select("id", "top", "depth")
+
+
 def heirs(nodes: DataFrame) -> DataFrame:
     """(heir): the nodes of (id, parent, marked) that have a marked ancestor."""
 

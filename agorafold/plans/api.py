@@ -43,7 +43,9 @@ def get_ranked_posts(spark: SparkSession, sf_dir: str, sort: str, tag: str | Non
 def get_account_posts(spark: SparkSession, sf_dir: str, sort: str, account: int, last: int | None = None, limit: int = 20) -> DataFrame:
     kinds = {"blog": accounts.account_blog, "posts": accounts.account_posts, "comments": accounts.account_comments, "replies": accounts.account_replies, "payout": accounts.account_payout}
     if sort == "feed":
-        return accounts.account_feed(spark, sf_dir, account, limit)
+        return accounts.account_feed(spark, sf_dir, account, limit, last)
+    if sort == "blog":
+        return accounts.account_blog(spark, sf_dir, account, last, limit, bridge=True)
     _one_of("sort", sort, [*kinds, "feed"])
     return kinds[sort](spark, sf_dir, account, last, limit)
 

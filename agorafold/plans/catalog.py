@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agorafold.operators import accounts, communities, fold_queries, graph, lookups, notices, notifications, ranked, search, text_index, threads, upkeep, voting
+from agorafold.operators import accounts, communities, fold_queries, graph, lookups, notices, notifications, places, ranked, search, text_index, threads, upkeep, voting
 from agorafold.plans import oracles
 
 FLAGSHIP = "ranked_trending_all"
@@ -12,12 +12,13 @@ _BY_MODULE = {
         "ranked_trending_all ranked_hot_all ranked_created_all ranked_payout_window ranked_payout_comments ranked_muted ranked_by_tag ranked_by_community "
         "ranked_my_hot ranked_my_lateral_topk ranked_pinned_two_tier keyset_page_two observer_mute_filter star_join_view ranked_without_reasons ranked_payout_roots"
     ),
-    accounts: "account_posts account_replies account_payout account_feed account_blog account_comments account_posts_by_tag account_posts_before blog_entries account_info reputation_display profile_fields",
+    accounts: "account_posts account_replies account_payout account_feed account_feed_page_two account_blog account_blog_bridge account_comments account_posts_by_tag account_posts_before blog_entries account_info reputation_display profile_fields",
     voting: "vote_rollup active_votes votes_by_comment_voter votes_by_voter_comment vote_last_merge last_value_filter vote_value_score first_last_dedup latest_votes",
     communities: "payout_stats payout_totals community_rank communities_keyset pop_communities trending_tags trending_topics subscribers_roles community_roles all_subscriptions community community_context",
     graph: "follow_counts followers_page following_page follow_list follows_any_lists blacklist_listagg relationship_flags observer_mutes missing_accounts",
     threads: "discussion_tree children_counts muted_propagation",
     notices: "notification_ids notification_messages account_notifications post_notifications unread_asof block_lag op_history json_props muted_reason_mask",
+    places: "post_places",
     notifications: "notices_subscribe notices_reply notices_reblog notices_follow notices_mention notices_vote",
     search: "search_bm25 search_query search_page_two tag_normalise",
     text_index: "text_index_search text_index_terms",

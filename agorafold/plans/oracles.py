@@ -26,7 +26,8 @@ _S = f"""s AS (
 _G = "g AS (SELECT DISTINCT l_orderkey AS post, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _F = "f AS (SELECT DISTINCT l_suppkey AS follower, o_custkey AS following FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A')"
 _M = "m AS (SELECT DISTINCT l_suppkey AS follower, o_custkey AS following FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 45)"
-_FM = "fm AS (SELECT a.s_suppkey AS follower, b.s_suppkey AS following FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE b.s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 45))"
+_FM = """fm AS (SELECT * FROM (SELECT DISTINCT s_suppkey AS follower, unnest([s_suppkey % 97 + 1, s_suppkey % 89 + 1]) AS following FROM supplier)
+  WHERE follower <> following AND following IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 45))"""
 _MB = """mb AS (
   SELECT following AS muted FROM m WHERE follower = 1
   UNION SELECT m.following FROM m JOIN fm ON fm.following = m.follower WHERE fm.follower = 1)"""
@@ -93,6 +94,12 @@ def _bm25(n: int) -> str:
     return " + ".join(f"ln(1 + (total - d{i} + 0.5) / (d{i} + 0.5)) * n{i} * ({K1} + 1) / (n{i} + {K1} * (1 - {B} + {B} * length / average))" for i in range(n))
 
 
+def _feed(page: str) -> str:
+    return f"""WITH {_P}, {_F}, e AS (SELECT id, author AS by_, created AS at_ FROM l UNION ALL SELECT parent, author, created FROM l WHERE parent IS NOT NULL)
+      SELECT id, min(at_) AS first_at, string_agg(DISTINCT c_name, ',' ORDER BY c_name) AS names FROM e JOIN customer ON by_ = c_custkey
+      WHERE by_ IN (SELECT following FROM f WHERE follower = 3) AND at_ > (SELECT max(created) FROM l) - INTERVAL 30 DAY GROUP BY id ORDER BY 2 DESC, id DESC {page}"""
+
+
 _RAW = "(round(c_acctbal * 100)::BIGINT * 10000000000)"
 
 #: Of each order its rows and what it ranks by.
@@ -106,6 +113,11 @@ _SCOPES = {"all": "TRUE", "tag": "id IN (SELECT post FROM g WHERE tag = 'Brand#1
 
 def ranked_pair(sort: str, scope: str) -> str:
     rows, when, score = _SORTS[sort]
+    if scope in ("community", "my"):  # root posts; created has no filter in one community
+        when = {"payout": f"{when} AND parent IS NULL", "payout_comments": "NOT paid AND parent IS NULL", "muted": f"{when} AND parent IS NULL"}.get(sort, when)
+        when = "parent IS NULL" if (sort, scope) == ("created", "community") else when
+    if scope == "tag" and sort in ("payout", "payout_comments"):
+        return _top(_P, f"{rows} WHERE {when} AND category = '1-URGENT'", score)
     return _top(f"{_SCORED}, {_G}, {_F}, {_SUB}", f"{rows} WHERE {when} AND {_SCOPES[scope]}", score)
 
 
@@ -142,12 +154,11 @@ SQL = {
         bool_or(kind = 'follows_blacklists') AS follows_blacklists, bool_or(kind = 'follows_muted') AS follows_muted FROM e GROUP BY 1, 2""",
     "observer_mutes": f"WITH {_M}, {_FM} SELECT follower AS observer, following AS muted FROM m UNION SELECT fm.follower, m.following FROM fm JOIN m ON fm.following = m.follower",
     "missing_accounts": f"WITH {_P} SELECT c_custkey AS account FROM customer EXCEPT SELECT author FROM l WHERE parent IS NULL",
-    "account_posts": f"WITH {_P} SELECT id, created, category, payout FROM l WHERE author = 7 ORDER BY id DESC LIMIT 20",
+    "account_posts": f"WITH {_P} SELECT id, created, category, payout FROM l WHERE author = 48 AND parent IS NULL ORDER BY id DESC LIMIT 20",
     "account_replies": f"WITH {_P} SELECT c.id, c.author, c.parent, c.created FROM l c JOIN l o ON c.parent = o.id WHERE o.author = 7 ORDER BY c.id DESC LIMIT 20",
     "account_payout": f"WITH {_P} SELECT id, payout, category FROM l WHERE author = 7 AND NOT paid ORDER BY payout DESC, id DESC LIMIT 20",
-    "account_feed": f"""WITH {_P}, {_F}, e AS (SELECT id, author AS by_, created AS at_ FROM l UNION ALL SELECT parent, author, created FROM l WHERE parent IS NOT NULL)
-      SELECT id, min(at_) AS first_at, string_agg(DISTINCT c_name, ',' ORDER BY c_name) AS names FROM e JOIN customer ON by_ = c_custkey
-      WHERE by_ IN (SELECT following FROM f WHERE follower = 3) GROUP BY id ORDER BY 2 DESC, id DESC LIMIT 50""",
+    "account_feed": _feed("LIMIT 50"),
+    "account_feed_page_two": _feed("LIMIT 5 OFFSET 5"),
     "blog_entries": f"""WITH {_P}, e AS (SELECT *, row_number() OVER (ORDER BY created, id)::INT - 1 AS entry FROM l WHERE author = 7)
       SELECT author, entry, id, created FROM e WHERE entry > (SELECT max(entry) FROM e) - 10""",
     "account_info": f"""WITH {_P}, {_V}, a AS (SELECT author, count(*) AS n, max(created) AS lp FROM l GROUP BY 1), b AS (SELECT author, max(at_) AS lv FROM v JOIN l ON v.post = l.id GROUP BY 1)
@@ -222,6 +233,8 @@ SQL = {
     "ranked_payout_roots": _top(_P, "l WHERE NOT paid AND parent IS NULL", "payout"),
     "account_blog": f"""WITH {_P}, e AS (SELECT id, created AS at_ FROM l WHERE parent IS NULL AND author = 7 UNION ALL SELECT parent, min(created) FROM l WHERE parent IS NOT NULL AND author = 7 GROUP BY 1)
       SELECT l.id, l.author, min(at_) AS entered FROM e JOIN l USING (id) GROUP BY 1, 2 ORDER BY 3 DESC, 1 DESC LIMIT 20""",
+    "account_blog_bridge": f"""WITH {_P}, e AS (SELECT id, created AS at_, FALSE AS shared FROM l WHERE parent IS NULL AND author = 7 UNION ALL SELECT parent, min(created), TRUE FROM l WHERE parent IS NOT NULL AND author = 7 GROUP BY 1)
+      SELECT l.id, l.author, min(at_) AS entered FROM e JOIN l USING (id) GROUP BY 1, 2 HAVING bool_or(shared) OR any_value(community) % 5 = 0 OR any_value(community) IS NULL ORDER BY 3 DESC, 1 DESC LIMIT 20""",
     "account_comments": f"WITH {_P} SELECT id, parent, created FROM l WHERE author = 7 AND parent IS NOT NULL ORDER BY id DESC LIMIT 20",
     "account_posts_by_tag": f"WITH {_P}, {_G} SELECT id, created, category FROM l WHERE author = 7 AND id IN (SELECT post FROM g WHERE tag = 'Brand#21') ORDER BY id DESC LIMIT 20",
     "account_posts_before": f"WITH {_P} SELECT id, created, payout FROM l WHERE author = 6 AND parent IS NULL AND created < TIMESTAMP '2000-01-01' ORDER BY created DESC, id DESC LIMIT 10",
@@ -298,11 +311,11 @@ SQL = {
       UNION ALL SELECT community, 'role', 's' || s_suppkey, CASE WHEN s_suppkey % 2 = 1 THEN 'mod' ELSE 'member' END FROM supplier JOIN n ON n_nationkey = s_nationkey
       UNION ALL SELECT community, 'subscriber', 'c' || c_custkey, '' FROM customer JOIN n ON n_nationkey = c_nationkey WHERE c_custkey % 5 <> 0
       UNION ALL SELECT community, 'prop', 'title', n_name FROM n""",
-    "vote_notifications": f"""WITH {_P}, {_V}, {_R}, e AS (SELECT post, voter, sum(rshares)::BIGINT AS rs FROM v GROUP BY 1, 2),
+    "vote_notifications": f"""WITH {_P}, {_V}, {_R}, {_M}, e AS (SELECT post, voter, sum(rshares)::BIGINT AS rs FROM v GROUP BY 1, 2),
       x AS (SELECT post, voter, author, rs, CASE WHEN r.rshares <> 0 THEN payout::DOUBLE / r.rshares * rs ELSE 0 END AS value, abs_rshares, payout::DOUBLE / abs_rshares * 1000 * rs AS w FROM e JOIN r USING (post) JOIN l ON l.id = e.post),
       y AS (SELECT *, CASE WHEN abs_rshares = 0 THEN 0 WHEN w < 20 THEN -1 ELSE least(100, (length(round(w)::BIGINT::VARCHAR) - 1) * 25) END::INT AS score FROM x)
-      SELECT post, voter, score, round(value, 3) AS value FROM y LEFT JOIN supplier ON s_suppkey = voter
-      WHERE score >= 0 AND rs * 1000 >= 10000000000 AND value >= 0.02 AND voter <> author AND NOT coalesce(s_acctbal < 0, FALSE)""",
+      SELECT post, voter, score, round(value, 3) AS value FROM y
+      WHERE score >= 0 AND rs * 1000 >= 10000000000 AND value >= 0.02 AND voter <> author AND NOT EXISTS (SELECT 1 FROM m WHERE m.following = y.author AND m.follower = y.voter)""",
 }
 
 SQL |= {name: _search(**asked) for name, asked in search.SEARCHES.items()}
@@ -355,3 +368,14 @@ SQL |= {
       """SELECT *, CASE WHEN size = 0 THEN 0 WHEN units < 20 THEN -1 ELSE least(100, (length(round(units)::BIGINT::VARCHAR) - 1) * 25) END AS score, CASE WHEN value < 0.01 THEN '' ELSE '($' || round(value::VARCHAR::DECIMAL(30,12), 2)::DECIMAL(30,2) || ')' END AS payload
         FROM q WHERE rs >= 10000000000 AND value >= 0.02 AND NOT (size <> 0 AND units < 20)""", "17", "d", False),
 }
+
+SQL["post_places"] = f"""WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey AS c, {_day("o_orderdate")} AS d, coalesce(c_nationkey, 0) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+  t AS (SELECT g.*, 0 AS generation, k * 10 AS at_ FROM o g UNION ALL SELECT k, c, d + 1, n, 1, k * 10 + 3 FROM o WHERE k % 100 = 7),
+  u AS (SELECT t.*, p.k AS up, generation = max(generation) OVER (PARTITION BY t.k) AS is_last FROM t LEFT JOIN o p ON t.k % 10 <> 0 AND p.k = t.k // 3),
+  w(k, generation, c, d, at_, is_last, root, n, depth) AS (SELECT k, generation, c, d, at_, is_last, k, n, 0 FROM u WHERE up IS NULL
+    UNION ALL SELECT u.k, u.generation, u.c, u.d, u.at_, u.is_last, w.root, w.n, w.depth + 1 FROM u JOIN w ON w.k = u.up AND w.is_last),
+  r AS (SELECT w.*, 1 + n % 3 AS kind, c % 6 = 0 AND c IN (SELECT c_custkey FROM customer WHERE c_nationkey = n) AND (c % 1000, c) < (d, at_) AND NOT (c % 12 = 0 AND (c % 1000 + 700, c) < (d, at_)) AS member FROM w),
+  m AS (SELECT *, CASE WHEN NOT member AND (kind = 3 OR kind = 2 AND depth = 0) THEN 2 ELSE 0 END AS own FROM r),
+  x(k, generation, is_last, reasons) AS (SELECT k, generation, is_last, own FROM m WHERE depth = 0
+    UNION ALL SELECT m.k, m.generation, m.is_last, m.own + CASE WHEN x.reasons <> 0 THEN 4 ELSE 0 END FROM x JOIN m ON m.depth > 0 AND m.k % 10 <> 0 AND m.k // 3 = x.k AND x.is_last)
+  SELECT 'c' || c AS author, 'p' || k AS permlink, generation, 'p' || root AS root_permlink, depth::INT AS depth, 'hive-' || kind || lpad(n::VARCHAR, 5, '0') AS community, reasons::INT AS reasons FROM m JOIN x USING (k, generation)"""

@@ -130,14 +130,28 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def place(nation: Column) -> Column:
+    """The community of a nation: a topic, a journal or a council."""
+    return _text("hive-", nation % 3 + 1, F.lpad(nation.cast("string"), 5, "0"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sixth customer becomes a member of its nation's community on some day; half of these are guests again after 700 days."""
+    people = tables.read(spark, sf_dir, "customer").where("c_custkey % 6 = 0")
+    k, home = F.col("c_custkey"), place(F.col("c_nationkey"))
+    give = lambda rows, day, role: _custom(rows, "community", "setRole", day, k, home, community=home, account=_text("c", k), role=F.lit(role))
+    return _union(give(people, k % 1000, "member"), give(people.where(k % 12 == 0), k % 1000 + 700, "guest"))
+
+
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order is a post that mentions others, under the order a third of its number if there is one; edits, deletions and second lives as in ``posts``."""
+    """Every order is a post that mentions others, under the order a third of its number if there is one, else in its author's community; deletions and second lives as in ``posts``."""
     orders = tables.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     above = orders.select(F.col("o_orderkey").alias("above"), F.col("o_custkey").alias("above_author"))
-    rows = orders.withColumn("up", F.when(F.col("o_orderkey") % 10 != 0, F.expr("o_orderkey div 3"))).join(above, F.col("up") == F.col("above"), "left")
+    homes = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("home_of"), "c_nationkey")
+    rows = orders.withColumn("up", F.when(F.col("o_orderkey") % 10 != 0, F.expr("o_orderkey div 3"))).join(above, F.col("up") == F.col("above"), "left").join(homes, F.col("o_custkey") == F.col("home_of"), "left")
     k, day, author = F.col("o_orderkey"), _day(F.col("o_orderdate")), F.col("o_custkey")
     names = {"author": _text("c", author), "permlink": _text("p", k)}
-    written = {**names, "parent_author": F.coalesce(_text("c", F.col("above_author")), F.lit("")), "parent_permlink": F.coalesce(_text("p", F.col("above")), F.lit("")), "title": F.lit("t"), "json_metadata": F.lit("{}")}
+    written = {**names, "parent_author": F.coalesce(_text("c", F.col("above_author")), F.lit("")), "parent_permlink": F.coalesce(_text("p", F.col("above")), place(F.coalesce("c_nationkey", F.lit(0)))), "title": F.lit("t"), "json_metadata": F.lit("{}")}
     body = _text("Thanks @C", author, ", @c", author % 97 + 1, " and @nobody", author % 5, "; mail me@c1.com. (@c", k % 13 + 1, ")")
     return _union(
         _operations(rows, "comment", day, k * 10, **written, body=body),

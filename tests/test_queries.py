@@ -66,7 +66,7 @@ def test_api_checks_parameters(spark):
 #: Two sets of parameters for each method that takes any, and SQL for their rows' ids.
 POST_SQL = "select o_orderkey, o_custkey, o_orderdate from orders where o_orderkey % 50 <> 7"
 CALLS = [
-    ("bridge.get_account_posts", {"sort": "posts", "account": 7}, f"select o_orderkey from ({POST_SQL}) where o_custkey = 7 order by 1 desc limit 20", "id"),
+    ("bridge.get_account_posts", {"sort": "posts", "account": 7}, f"select o_orderkey from ({POST_SQL}) where o_custkey = 7 and o_orderkey % 10 = 0 order by 1 desc limit 20", "id"),
     ("bridge.get_account_posts", {"sort": "comments", "account": 11, "limit": 3}, f"select o_orderkey from ({POST_SQL}) where o_custkey = 11 and o_orderkey % 10 <> 0 order by 1 desc limit 3", "id"),
     ("bridge.get_post_header", {"post": 12}, "select 12", "id"),
     ("bridge.get_post", {"post": 7}, "select 1 where false", "id"),
@@ -92,6 +92,30 @@ def test_methods_answer_for_their_parameters(spark, duck, method, params, sql, c
     assert sorted(found) == sorted(r[0] for r in duck.sql(sql).fetchall())
 
 
+PAGED = [
+    ("bridge.get_ranked_posts", {"sort": "created"}), ("bridge.get_ranked_posts", {"sort": "payout_comments"}), ("bridge.get_account_posts", {"sort": "feed", "account": 3}), ("bridge.get_account_posts", {"sort": "replies", "account": 7}),
+    ("bridge.get_account_posts", {"sort": "comments", "account": 7}), ("condenser_api.get_discussions_by_feed", {"account": 3}),
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given tables")
+@pytest.mark.parametrize(("method", "params"), PAGED, ids=[f"{i}-{m}" for i, (m, _) in enumerate(PAGED)])
+def test_second_pages_follow_first_ones(spark, method, params):
+    whole = [r["id"] for r in api.call(method, spark, SF_DIR, params | {"limit": 6}).collect()]
+    if len(whole) < 2:
+        pytest.skip("one row only")
+    half = len(whole) // 2
+    first = [r["id"] for r in api.call(method, spark, SF_DIR, params | {"limit": half}).collect()]
+    second = [r["id"] for r in api.call(method, spark, SF_DIR, params | {"limit": len(whole) - half, "last": first[-1]}).collect()]
+    assert first + second == whole
+
+
+def test_plans_join_by_keys(spark):
+    for name in ("payouts_by_place", "observer_mutes", "find_comments"):
+        plan = catalog.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and ("BroadcastNestedLoopJoin" not in plan or name == "payouts_by_place" and "Cross" in plan), name
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given tables")
 def test_every_method_can_be_called(spark):
     known = {
