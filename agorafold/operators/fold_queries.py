@@ -62,3 +62,11 @@ def vote_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = joined.select("post", "voter", "author", value.alias("value"), ranking.vote_score(F.col("payout"), F.col("abs_rshares"), F.col("rshares")).alias("score"), (F.col("rshares") * 1000).alias("weight"))
     told = rules.vote_is_told(F.col("voter"), F.col("author"), F.col("score"), F.col("weight"), F.col("value"), F.lit(False))
     return scored.where(told).select("post", "voter", "score", F.round("value", 3).alias("value"))
+
+
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in accounts' feeds after a log with deletions, which take the reblogs of their posts along."""
+    log = fixture_log.threads(spark, sf_dir).unionByName(fixture_log.thread_reblogs(spark, sf_dir))
+    shared, cut = sinks.Shared(spark, "feed"), fixture_log.FIRST + 1200
+    posts = shared.keep(_folded(spark, log, folds.fold_posts, folds.POSTS, cut))
+    return folds.feed_entries(posts, shared.keep(_folded(spark, log, folds.fold_reblogs, folds.REBLOGS, cut)))

@@ -27,6 +27,8 @@ POSTS = "author string, permlink string, generation int, parent_author string, p
 EDGES = "follower string, following string, grp string, kind string, block_num int, op_id long"
 REBLOGS = "account string, author string, permlink string, created timestamp_ntz, deleted boolean, block_num int"
 OPTIONS = "author string, permlink string, max_payout string, percent int, allow_votes boolean, allow_curation boolean, beneficiaries string, block_num int"
+TAGS = "author string, permlink string, tag string"
+FEED = "account string, author string, permlink string, created timestamp_ntz"
 LAST_READS = "account string, read_at timestamp_ntz, block_num int"
 PAYOUTS = "author string, permlink string, payout decimal(20,3), pending decimal(20,3), is_paid boolean, last_payout timestamp_ntz, block_num int"
 CREATES = ("account_create", "account_create_delegated", "create_claimed_account", "pow", "pow2")
@@ -149,20 +151,32 @@ def fold_follows(state: DataFrame, log: DataFrame) -> DataFrame:
     return joined.select("follower", "following", "grp", F.when(~gone, F.col("kind")).alias("kind"), chosen("block_num"), chosen("op_id"))
 
 
+def deletions(log: DataFrame) -> DataFrame:
+    """(author, permlink, op_id, block_num) of the deletions of posts that had their effect."""
+    keys = ["author", "permlink"]
+    ops = oplog.scan(log, types=("delete_comment", "ineffective_delete")).select(*[oplog.field(k).alias(k) for k in keys], "op_id", "block_num", "op_type")
+    spared = ops.where(F.col("op_type") == oplog.TYPES["ineffective_delete"]).select(*keys, "block_num").distinct()
+    return ops.where(F.col("op_type") == oplog.TYPES["delete_comment"]).join(spared, [*keys, "block_num"], "left_anti").select(*keys, "op_id", "block_num")
+
+
 def fold_reblogs(state: DataFrame, log: DataFrame) -> DataFrame:
-    """The last of reblogging and deleting it counts for each account and post."""
-    keys = ["account", "author", "permlink"]
+    """The last of reblogging and deleting it counts for each account and post; a post that is deleted takes its reblogs along."""
+    keys, post = ["account", "author", "permlink"], ["author", "permlink"]
     ops = oplog.custom(log).where(F.col("kind").isin("reblog", "follow") & (F.col("action") == "reblog"))
-    get = lambda name: F.get_json_object("data", f"$.{name}")
-    rows = ops.where(get("account") == F.col("account")).select("account", get("author").alias("author"), get("permlink").alias("permlink"), "op_id", "block_num", "block_ts", (F.coalesce(get("delete"), F.lit("")) == "delete").alias("gone"))
-    cleared = F.max(F.when(F.col("gone"), F.col("op_id"))).over(Window.partitionBy(*keys))  # the last deletion of this reblog
-    since = _newer(rows, state, keys).withColumn("cleared", cleared).withColumn("since", F.when(~F.col("gone") & (F.col("cleared").isNull() | (F.col("op_id") > F.col("cleared"))), F.col("block_ts")))
-    last = since.groupBy(*keys).agg(F.max_by("gone", "op_id").alias("gone"), F.max("block_num").alias("b"), F.min("since").alias("since"), F.max("cleared").alias("cleared"))
+    rows = oplog.parsed(ops, ["op_id", "block_num", "block_ts", "account"], F.from_json("data", "account string, author string, permlink string, delete string").alias("d"))
+    rows = rows.where(F.col("d.account") == F.col("account")).select("account", F.col("d.author").alias("author"), F.col("d.permlink").alias("permlink"), "op_id", "block_num", "block_ts", (F.coalesce("d.delete", F.lit("")) == "delete").alias("gone"))
+    wiped = deletions(log).groupBy(*post).agg(F.max(F.struct("op_id", "block_num")).alias("wipe"))
+    own = F.max(F.when(F.col("gone"), F.col("op_id"))).over(Window.partitionBy(*keys))  # the last deletion of this reblog
+    newer = _newer(rows, state, keys).join(wiped, post, "left").withColumn("cleared", F.greatest(own, F.col("wipe.op_id")))
+    since = newer.withColumn("since", F.when(~F.col("gone") & (F.col("cleared").isNull() | (F.col("op_id") > F.col("cleared"))), F.col("block_ts")))
+    last = since.groupBy(*keys).agg((F.max_by("gone", "op_id") | F.coalesce(F.max("wipe.op_id") > F.max("op_id"), F.lit(False))).alias("gone"), F.max("block_num").alias("b"), F.min("since").alias("since"), F.max("cleared").alias("cleared"))
+    held = state.join(wiped, post, "left").withColumn("wipe", F.when(F.col("wipe.block_num") > F.col("block_num"), F.col("wipe")))
+    joined = held.join(last, keys, "full").withColumn("now_gone", F.coalesce("gone", F.when(F.col("wipe").isNotNull(), True), "deleted"))
     # A reblog that stands keeps its first time; one made again after its deletion has a new one, a deleted one none.
     stood = F.coalesce(~F.col("deleted"), F.lit(False)) & F.col("cleared").isNull()
-    return state.join(last, keys, "full").select(
-        *keys, F.when(F.coalesce("gone", "deleted"), F.lit(None)).when(stood, F.col("created")).otherwise(F.col("since")).cast("timestamp_ntz").alias("created"),
-        F.coalesce("gone", "deleted").alias("deleted"), F.coalesce("b", "block_num").alias("block_num"),
+    return joined.select(
+        *keys, F.when(F.col("now_gone"), F.lit(None)).when(stood, F.col("created")).otherwise(F.col("since")).cast("timestamp_ntz").alias("created"),
+        F.col("now_gone").alias("deleted"), F.greatest("b", "wipe.block_num", "block_num").alias("block_num"),
     )
 
 
@@ -210,11 +224,17 @@ def fold_payouts(state: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def post_tags(posts: DataFrame, reblogs: DataFrame | None = None) -> DataFrame:
+    """(author, permlink, tag) of live posts."""
+    return posts.where("not deleted").select("author", "permlink", F.explode("tags").alias("tag")).distinct()
+
+
 def feed_entries(posts: DataFrame, reblogs: DataFrame) -> DataFrame:
     """(account, author, permlink, created): own live root posts and reblogs, each once."""
     live = posts.where("not deleted and coalesce(parent_author, '') = ''")
     own = live.select(F.col("author").alias("account"), "author", "permlink", "created")
-    shared = reblogs.where("not deleted").join(live.select("author", "permlink"), ["author", "permlink"], "left_semi").select("account", "author", "permlink", "created")
+    shown = posts.where("not deleted").select("author", "permlink")
+    shared = reblogs.where("not deleted").join(shown, ["author", "permlink"], "left_semi").select("account", "author", "permlink", "created")
     return own.unionByName(shared).groupBy("account", "author", "permlink").agg(F.min("created").alias("created"))
 
 

@@ -160,7 +160,7 @@ def index_batch(changes: DataFrame, root: str, version: int) -> None:
     _write_buckets(added.unionByName(lost).groupBy("field", "term").agg(F.sum("docs").alias("docs")).where("docs <> 0"), ["term", "field"], root, "terms", version)
     _write(_totals(new, 1).unionByName(_totals(old, -1)).groupBy("field").agg(F.sum("documents").alias("documents"), F.sum("words").alias("words")), root, "totals", version)
     _write(old.select("id"), root, "gone", version)
-    sinks.write_snapshot(state.join(batch.select("id"), "id", "left_anti").unionByName(new), ["id"], root, "docs", version, BUCKETS)
+    sinks.write_snapshot(state.join(batch.select("id"), "id", "left_anti").unionByName(new), ["id"], root, "docs", version, BUCKETS, touched)
     shared.drop(batch)
     shared.drop(old)
 

@@ -1,12 +1,15 @@
 """Discussion trees: expansion, descendant counts, inherited mutes.
 
-Pointer doubling in place of recursion: one row a post and round, whatever the
+One thread, and the ancestors of some new posts, are followed level by level,
+so that only they move.  What concerns all posts uses pointer doubling in place
+of recursion: one row a post and round, whatever the
 depth, so neither levels nor rows are capped; rows shuffle on ids and no tree
 is held in one task.  Parents that aren't among the posts end a thread.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,8 @@ from agorafold.operators import graph
 from agorafold.sources import sinks, tables
 
 OBSERVER, ROOT = 1, 0
+#: Ids of a level that are broadcast.
+FRONT_ROWS = 500_000
 TYPE_BIT, PARENT_BIT, REPUTATION_BIT = 1 << 1, 1 << 2, 1 << 3
 
 
@@ -99,17 +104,54 @@ def heirs(nodes: DataFrame) -> DataFrame:
     return nodes.join(under, nodes.parent == under.above, "left_semi").select(F.col("id").alias("heir"))
 
 
-def descend(nodes: DataFrame, root: int) -> DataFrame:
-    """(id, depth) of a root and all below it within (id, parent)."""
+def _front(rows: DataFrame) -> DataFrame:
+    """For a broadcast where few rows have been counted, else as it is."""
+    return F.broadcast(rows) if rows.count() <= FRONT_ROWS else rows
 
-    def widen(now: DataFrame, reach: int) -> DataFrame:
-        climbing, rest = _climbed(now, "depth")
-        moved = climbing.select("id", F.col("next").alias("up"), (F.col("of_up") + reach).alias("depth"))
-        return moved.select("id", F.when(F.col("depth").isNull(), F.col("up")).alias("up"), "depth").unionByName(rest)
 
-    is_root = F.col("id") == int(root)
-    start = nodes.select("id", F.when(~is_root, F.col("parent")).alias("up"), F.when(is_root, 0).alias("depth"))
-    return _doubled(start, widen).where("depth IS NOT NULL").select("id", "depth")
+def descend(nodes: DataFrame, root: int, limit: int | None = None, shown: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, depth, ...) of a root and all below it within (id, parent, ...), level by level from the root.
+
+    A level is found from the one before, whose ids are all that moves; what
+    ``shown`` leaves out of a level vanishes with all below.  Whole levels are
+    taken until there are ``limit`` rows, so the nearest are all there.
+    """
+    shared = sinks.Shared(nodes.sparkSession, "threads")
+    shown = shown or (lambda level: level)
+    level = shared.keep(shown(nodes.where(F.col("id") == int(root)).withColumn("depth", F.lit(0))))
+    found, total = level, level.count()
+    for depth in itertools.count(1):
+        if level.limit(1).count() == 0 or (limit is not None and total >= limit):
+            return found
+        above = _front(level.select(F.col("id").alias("up")))
+        below = nodes.where(F.col("id") != int(root)).join(above, F.col("parent") == F.col("up"), "left_semi")  # the root may be below itself
+        level = shared.keep(shown(below.withColumn("depth", F.lit(depth))))
+        found, total = found.unionByName(level), total + level.count()
+
+
+def gained(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, n): by how many descendants some new nodes (id) raise the counts of those above them in (id, parent).
+
+    Only the new nodes and then their ancestors move, a level a round; the
+    other nodes are read, not moved.
+    """
+    shared = sinks.Shared(nodes.sparkSession, "gained")
+    most, total = nodes.count(), None
+
+    def above(rows: DataFrame) -> DataFrame:
+        held = _front(rows.select(F.col("id").alias("at"), "n"))
+        climbed = nodes.where("parent IS NOT NULL").join(held, F.col("id") == F.col("at")).groupBy(F.col("parent").alias("id")).agg(F.sum("n").alias("n"))
+        return shared.keep(climbed)
+
+    now = above(new.select("id", F.lit(1).cast("long").alias("n")))
+    total = now
+    for _ in range(most):  # more rounds than nodes only in a circle
+        if now.limit(1).count() == 0:
+            break
+        now = above(now)
+        total = total.unionByName(now)
+    sums = total.groupBy("id").agg(F.sum("n").alias("n"))
+    return sums.join(nodes.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi")
 
 
 def discussion_tree(spark: SparkSession, sf_dir: str, post: int = ROOT, observer: int = OBSERVER, limit: int | None = None) -> DataFrame:
@@ -117,12 +159,9 @@ def discussion_tree(spark: SparkSession, sf_dir: str, post: int = ROOT, observer
 
     ``limit``: posts nearest to the root, for callers with a page to fill.
     """
-    live = tables.live_posts(spark, sf_dir)
-    muted = graph.muted_by(spark, sf_dir, observer)
-    shown = live.join(muted, F.col("author") == F.col("muted"), "left_anti").select("id", "parent", "author")
-    tree = descend(shown, post)
-    tree = tree if limit is None else tree.orderBy("depth", "id").limit(limit)
-    rows = shown.join(tree, "id")
+    muted = sinks.Shared(spark, "muted").keep(graph.muted_by(spark, sf_dir, observer))
+    rows = descend(tables.links(spark, sf_dir), post, limit, lambda level: level.join(muted, F.col("author") == F.col("muted"), "left_anti"))
+    rows = rows if limit is None else rows.orderBy("depth", "id").limit(limit)
     replies = rows.where("depth > 0").groupBy(F.col("parent").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("replies"))
     return rows.join(replies, rows.id == replies.of, "left").select("id", "author", "depth", F.coalesce("replies", F.lit("")).alias("replies"))
 

@@ -45,10 +45,10 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def child_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a batch of new posts (the last tenth by id) adds to the counts of all that are above them."""
-    posts = tables.live_posts(spark, sf_dir).select("id", "parent")
+    posts = tables.links(spark, sf_dir).select("id", "parent")
     head = posts.agg((F.max("id") * 9 / 10).alias("from"))
-    weighed = posts.crossJoin(F.broadcast(head)).select("id", "parent", (F.col("id") > F.col("from")).cast("long").alias("weight"))  # one row
-    return threads.descendants(weighed, "weight").where("n > 0").select("id", F.col("n").alias("delta"))
+    new = posts.crossJoin(F.broadcast(head)).where(F.col("id") > F.col("from")).select("id")  # one row
+    return threads.gained(posts, new).select("id", F.col("n").alias("delta"))
 
 
 def retained(rows: DataFrame, at: str, days: int = RETENTION_DAYS) -> DataFrame:

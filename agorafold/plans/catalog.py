@@ -23,7 +23,7 @@ _BY_MODULE = {
     search: "search_bm25 search_query search_page_two tag_normalise",
     text_index: "text_index_search text_index_terms",
     lookups: "post post_header content_replies reblogged_by find_comments posts_of_categories info changed_parents quiet_followers payouts_by_place",
-    fold_queries: "fold_accounts fold_votes fold_posts fold_follows fold_reblogs fold_payouts fold_communities vote_notifications",
+    fold_queries: "fold_accounts fold_votes fold_posts fold_follows fold_reblogs fold_payouts fold_communities vote_notifications feed_entries",
     upkeep: "sequence_ids first_occurrences waves child_deltas retained_events next_orders post_mentions",
 }
 

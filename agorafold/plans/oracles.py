@@ -379,3 +379,10 @@ SQL["post_places"] = f"""WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey
   x(k, generation, is_last, reasons) AS (SELECT k, generation, is_last, own FROM m WHERE depth = 0
     UNION ALL SELECT m.k, m.generation, m.is_last, m.own + CASE WHEN x.reasons <> 0 THEN 4 ELSE 0 END FROM x JOIN m ON m.depth > 0 AND m.k % 10 <> 0 AND m.k // 3 = x.k AND x.is_last)
   SELECT 'c' || c AS author, 'p' || k AS permlink, generation, 'p' || root AS root_permlink, depth::INT AS depth, 'hive-' || kind || lpad(n::VARCHAR, 5, '0') AS community, reasons::INT AS reasons FROM m JOIN x USING (k, generation)"""
+
+SQL["feed_entries"] = f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, {_day("o_orderdate")} AS d FROM orders),
+  live AS (SELECT *, d + CASE WHEN k % 100 = 7 THEN 1 ELSE 0 END AS made FROM o WHERE k % 50 <> 7 OR k % 100 = 7),
+  root AS (SELECT k FROM o WHERE k % 10 = 0 OR k // 3 NOT IN (SELECT k FROM o)),
+  rb AS (SELECT a.c AS account, p.k, p.c, a.d + 2 AS d FROM o a JOIN o p ON a.k % 10 <> 0 AND p.k = a.k // 3 WHERE p.k % 50 <> 7 OR (a.d + 2, a.k) > (p.d, p.k * 10 + 2)),
+  e AS (SELECT c AS account, c, k, made AS at_ FROM live WHERE k IN (SELECT k FROM root) UNION ALL SELECT rb.account, rb.c, rb.k, min(rb.d) FROM rb JOIN live USING (k) GROUP BY 1, 2, 3)
+  SELECT 'c' || account AS account, 'c' || c AS author, 'p' || k AS permlink, {_at("min(at_)")} AS created FROM e GROUP BY account, c, k"""

@@ -35,13 +35,18 @@ def _latest(folders: list[tuple[int, int, str]], version: int) -> dict[int, str]
     return {b: path for v, b, path in sorted(folders) if v <= version}
 
 
-def write_snapshot(rows: DataFrame, keys: list[str], root: str, name: str, version: int, buckets: int = BUCKETS) -> None:
+def write_snapshot(rows: DataFrame, keys: list[str], root: str, name: str, version: int, buckets: int = BUCKETS, emptied: set[int] | None = None) -> None:
     """Write the buckets that a version changes, whole; a repeated version replaces itself, so retries are harmless.
 
-    Large buckets are divided between tasks, small ones share a task.
+    Large buckets are divided between tasks, small ones share a task. emptied:
+    buckets that the version has even where it leaves them without rows.
     """
     placed = rows.withColumn("bucket", bucket(*keys, buckets=buckets)).hint("rebalance", "bucket")
     placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/{name}/version={version}")
+    spark = rows.sparkSession
+    for b in emptied or ():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/version={version}/bucket={b}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str, version: int, schema: str, only: set[int] | None = None) -> DataFrame:

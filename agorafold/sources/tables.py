@@ -29,6 +29,13 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, parent, author of live posts, without what else is known of them."""
+    key = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").where(key % 50 != 7)
+    return rows.select(key.alias("id"), F.when(key % 10 != 0, F.expr("o_orderkey div 3")).alias("parent"), F.col("o_custkey").alias("author"))
+
+
 def live_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).where(~F.col("deleted"))
 

@@ -26,6 +26,13 @@ def _posts(log: DataFrame) -> DataFrame:
     return log.where(F.col("op_type") != oplog.TYPES["custom_json"]).select(oplog.field("author").alias("author"), oplog.field("permlink").alias("permlink"))
 
 
+def _reblogged(log: DataFrame) -> DataFrame:
+    """Posts that are shared, or that go and take their reblogs along."""
+    shared = oplog.custom(log).where(F.col("kind").isin("reblog", "follow") & (F.col("action") == "reblog"))
+    shared = shared.select(F.get_json_object("data", "$.author").alias("author"), F.get_json_object("data", "$.permlink").alias("permlink"))
+    return shared.unionByName(folds.deletions(log).select("author", "permlink"))
+
+
 def _names(log: DataFrame) -> DataFrame:
     fields = [oplog.field(n) for n in ("new_account_name", "worker_account", "account")]
     return log.where(F.col("op_type") != oplog.TYPES["custom_json"]).select(F.explode(F.array(*fields)).alias("name"))
@@ -45,7 +52,7 @@ KEYS = {
     "votes": (["author", "permlink"], _posts),
     "posts": (["author", "permlink"], _posts),
     "edges": (["follower"], _signers),
-    "reblogs": (["account"], _signers),
+    "reblogs": (["author", "permlink"], _reblogged),
     "payouts": (["author", "permlink"], _posts),
     "options": (["author", "permlink"], _posts),
     "communities": (["community"], _communities),
@@ -53,6 +60,10 @@ KEYS = {
 }
 
 
+#: Tables made from the states of posts and reblogs, divided like them: a batch makes the buckets anew in which either changes, so what a deleted post leaves behind goes with it.
+DERIVED = {"tags": (folds.post_tags, folds.TAGS), "feed": (folds.feed_entries, folds.FEED)}
+
+
 def _touched(log: DataFrame) -> dict:
     """The buckets that a log can change, by how its keys are read; at most ``sinks.BUCKETS`` numbers each."""
     touched = {}
@@ -78,6 +89,11 @@ def fold_batch(spark: SparkSession, log: DataFrame, root: str, version: int) ->
         state = sinks.read_snapshot(spark, root, name, version - 1, schema, touched[read])
         sinks.write_snapshot(fold(state, log), keys, root, name, version)
         sinks.drop_replaced(spark, root, name, version)
+    changed = touched[_posts] | touched[_reblogged]
+    posts, reblogs = (sinks.read_snapshot(spark, root, name, version, FOLDS[name][1], changed) for name in ("posts", "reblogs"))
+    for name, (make, _) in DERIVED.items():
+        sinks.write_snapshot(make(posts, reblogs), ["author", "permlink"], root, name, version, emptied=changed)
+        sinks.drop_replaced(spark, root, name, version)
     shared.drop(log)
 
 

@@ -227,6 +227,38 @@ def test_a_batch_writes_only_the_buckets_it_names(spark, tmp_path):
     assert {v for v, b in folders if b != changed} == {"version=0"}
 
 
+def test_a_deleted_post_takes_what_hangs_on_it_along(spark, tmp_path):
+    """Reblogs, feed rows and tags go in the version of the deletion; a post that is written again starts without them."""
+    state, after = f"file://{tmp_path}/state", {}
+    write = lambda author, link, tag: ("comment", {"author": author, "permlink": link, "parent_author": "", "parent_permlink": "", "title": "", "body": "b", "json_metadata": json.dumps({"tags": [tag]})})
+    share = lambda who, author, link, **more: ("custom_json", {"id": "reblog", "required_posting_auths": [who], "json": json.dumps(["reblog", {"account": who, "author": author, "permlink": link, **more}])})
+    batches = [
+        [write("ann", "x", "one"), write("ann", "y", "two"), share("bob", "ann", "x"), share("cat", "ann", "x"), share("bob", "ann", "y")],
+        [("delete_comment", {"author": "ann", "permlink": "x"}), ("delete_comment", {"author": "ann", "permlink": "y"}), ("ineffective_delete", {"author": "ann", "permlink": "y"})],
+        [write("ann", "x", "three"), share("cat", "ann", "x")],
+        [share("dan", "ann", "x"), ("delete_comment", {"author": "ann", "permlink": "x"}), write("ann", "x", "four"), share("eve", "ann", "x")],
+    ]
+    log, logs = [], []
+    for version, ops in enumerate(batches):
+        rows = [(100 * version + i, version + 1, START + datetime.timedelta(days=version), oplog.TYPES[name], json.dumps(body)) for i, (name, body) in enumerate(ops)]
+        # One operation a block, but for the deletions, whose answers are in their block.
+        rows = [(i, b * 100 + (0 if version == 1 else k), t, n, x) for k, (i, b, t, n, x) in enumerate(rows)]
+        log += rows
+        logs.append(spark.createDataFrame(rows, oplog.SCHEMA))
+        for _ in range(2 if version == 1 else 1):
+            oplog_stream.fold_batch(spark, logs[-1], state, version)
+        read = lambda name, schema, version=version: sinks.read_snapshot(spark, state, name, version, schema)
+        feed = {(r["account"], r["permlink"]) for r in read("feed", folds.FEED).collect()}
+        after[version] = feed, {(r["permlink"], r["tag"]) for r in read("tags", folds.TAGS).collect()}, {(r["account"], r["permlink"]) for r in read("reblogs", folds.REBLOGS).where("not deleted").collect()}
+    whole = spark.createDataFrame(log, oplog.SCHEMA)
+    at_once = folds.feed_entries(*[fold(spark.createDataFrame([], schema), whole) for fold, schema in (oplog_stream.FOLDS[n] for n in ("posts", "reblogs"))])
+    assert {(r["account"], r["permlink"]) for r in at_once.collect()} == feed
+    assert after[0] == ({("ann", "x"), ("ann", "y"), ("bob", "x"), ("cat", "x"), ("bob", "y")}, {("x", "one"), ("y", "two")}, {("bob", "x"), ("cat", "x"), ("bob", "y")})
+    assert after[1] == ({("ann", "y"), ("bob", "y")}, {("y", "two")}, {("bob", "y")})
+    assert after[2] == ({("ann", "x"), ("ann", "y"), ("bob", "y"), ("cat", "x")}, {("x", "three"), ("y", "two")}, {("bob", "y"), ("cat", "x")})
+    assert after[3] == ({("ann", "x"), ("ann", "y"), ("bob", "y"), ("eve", "x")}, {("x", "four"), ("y", "two")}, {("bob", "y"), ("eve", "x")})
+
+
 def test_event_rates(spark, tmp_path):
     events = spark.createDataFrame([(i, START + datetime.timedelta(minutes=20 * i), "view", 1.0) for i in range(6)], "event_id long, ts timestamp_ntz, event_type string, value double")
     found = oplog_stream.event_rates(events).orderBy("start").collect()
