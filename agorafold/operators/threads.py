@@ -21,6 +21,8 @@ from agorafold.sources import sinks, tables
 OBSERVER, ROOT = 1, 0
 #: Ids of a level that are broadcast.
 FRONT_ROWS = 500_000
+#: Levels that are followed one by one.
+LEVELS = 32
 TYPE_BIT, PARENT_BIT, REPUTATION_BIT = 1 << 1, 1 << 2, 1 << 3
 
 
@@ -109,12 +111,26 @@ def _front(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FRONT_ROWS else rows
 
 
+def _below(nodes: DataFrame, fronts: DataFrame) -> DataFrame:
+    """(id, depth) of some nodes (id, depth) and all below them, by pointer doubling over all (id, parent)."""
+
+    def widen(now: DataFrame, reach: int) -> DataFrame:
+        climbing, rest = _climbed(now, "depth")
+        moved = climbing.select("id", F.col("next").alias("up"), (F.col("of_up") + reach).alias("depth"))
+        return moved.select("id", F.when(F.col("depth").isNull(), F.col("up")).alias("up"), "depth").unionByName(rest)
+
+    placed = nodes.join(fronts.select(F.col("id").alias("f"), F.col("depth").alias("of")), F.col("id") == F.col("f"), "left")
+    start = placed.select("id", F.when(F.col("f").isNull(), F.col("parent")).alias("up"), F.col("of").alias("depth"))
+    return _doubled(start, widen).where("depth IS NOT NULL").select("id", "depth")
+
+
 def descend(nodes: DataFrame, root: int, limit: int | None = None, shown: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, depth, ...) of a root and all below it within (id, parent, ...), level by level from the root.
 
     A level is found from the one before, whose ids are all that moves; what
     ``shown`` leaves out of a level vanishes with all below.  Whole levels are
-    taken until there are ``limit`` rows, so the nearest are all there.
+    taken until there are ``limit`` rows, so the nearest are all there.  What
+    lies deeper than ``LEVELS`` comes from pointer doubling.
     """
     shared = sinks.Shared(nodes.sparkSession, "threads")
     shown = shown or (lambda level: level)
@@ -123,6 +139,9 @@ def descend(nodes: DataFrame, root: int, limit: int | None = None, shown: Callab
     for depth in itertools.count(1):
         if level.limit(1).count() == 0 or (limit is not None and total >= limit):
             return found
+        if depth > LEVELS:
+            rest = _below(shown(nodes.where(F.col("id") != int(root))), level.select("id", "depth")).where(F.col("depth") >= depth)
+            return found.unionByName(nodes.join(rest.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i").select(*found.columns))
         above = _front(level.select(F.col("id").alias("up")))
         below = nodes.where(F.col("id") != int(root)).join(above, F.col("parent") == F.col("up"), "left_semi")  # the root may be below itself
         level = shared.keep(shown(below.withColumn("depth", F.lit(depth))))
@@ -133,10 +152,10 @@ def gained(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """(id, n): by how many descendants some new nodes (id) raise the counts of those above them in (id, parent).
 
     Only the new nodes and then their ancestors move, a level a round; the
-    other nodes are read, not moved.
+    other nodes are read, not moved.  Trees deeper than ``LEVELS`` above them
+    are counted by pointer doubling over all.
     """
     shared = sinks.Shared(nodes.sparkSession, "gained")
-    most, total = nodes.count(), None
 
     def above(rows: DataFrame) -> DataFrame:
         held = _front(rows.select(F.col("id").alias("at"), "n"))
@@ -145,11 +164,15 @@ def gained(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
     now = above(new.select("id", F.lit(1).cast("long").alias("n")))
     total = now
-    for _ in range(most):  # more rounds than nodes only in a circle
+    for _ in range(LEVELS):
         if now.limit(1).count() == 0:
             break
         now = above(now)
         total = total.unionByName(now)
+    else:
+        fresh = new.select(F.col("id").alias("f"), F.lit(1).cast("long").alias("w"))
+        weighed = nodes.join(fresh, F.col("id") == F.col("f"), "left").select("id", "parent", F.coalesce("w", F.lit(0)).alias("weight"))
+        return descendants(weighed, "weight").where("n > 0")
     sums = total.groupBy("id").agg(F.sum("n").alias("n"))
     return sums.join(nodes.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi")
 
