@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from agorafold.functions import text as text_functions
 from agorafold.operators import paging
-from agorafold.sources import tables
+from agorafold.sources import oplog, sinks, tables
 
 K1, B = 1.2, 0.75
 QUERY = ("pathetic", "idiot", "scum")
@@ -142,17 +142,19 @@ def scan(docs: DataFrame, query: str) -> DataFrame:
     """(id, source, score) of the documents that a whole query finds, by reading all of them.
 
     Each document becomes one row with its lengths and counts, so that words are
-    never shuffled; document frequencies and average lengths are one row.
+    never shuffled; document frequencies and average lengths are one row.  Texts
+    are read and divided into words once: the rows are kept for both uses.
     """
     clauses = parse(query)
     fields = FIELDS + KEYWORDS
     pairs = sorted({(w, f) for c in clauses for w in c.words for f in searched(c) if f in FIELDS and c.sign != "-"})
     known = {p: f"has{i}" for i, p in enumerate(pairs)}
-    words = docs.select("id", "source", *[words_of(F.col(f)).alias(f) for f in fields])
-    counted = words.select(
-        "id", "source", *[F.size(f).alias(f"length_{f}") for f in FIELDS], *[in_a_row(F.col(f), c.words).alias(count_name(i, f)) for i, c in enumerate(clauses) for f in searched(c)],
+    words = oplog.parsed(docs, ["id", "source"], *[words_of(F.col(f)).alias(f) for f in fields])
+    counted = oplog.parsed(
+        words, ["id", "source"], *[F.size(f).alias(f"length_{f}") for f in FIELDS], *[in_a_row(F.col(f), c.words).alias(count_name(i, f)) for i, c in enumerate(clauses) for f in searched(c)],
         *[F.array_contains(f, w).alias(name) for (w, f), name in known.items()],
     )
+    counted = sinks.Shared(docs.sparkSession, "search").keep(counted)  # some numbers a document
     sums = [F.count_if(name).alias(f"d_{name}") for name in known.values()]
     whole = counted.agg(F.count("*").alias("total"), *[F.avg(f"length_{f}").alias(f"average_{f}") for f in FIELDS], *sums)
     found = counted.where(wanted(clauses)).crossJoin(F.broadcast(whole))  # one row
