@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agorafold.operators import accounts, communities, fold_queries, graph, lookups, notices, notifications, places, ranked, search, text_index, threads, upkeep, voting
+from agorafold.operators import accounts, communities, fold_queries, graph, lookups, notices, notifications, places, ranked, search, sums, text_index, threads, upkeep, voting
 from agorafold.plans import oracles
 
 FLAGSHIP = "ranked_trending_all"
@@ -19,6 +19,7 @@ _BY_MODULE = {
     threads: "discussion_tree children_counts muted_propagation",
     notices: "notification_ids notification_messages account_notifications post_notifications unread_asof block_lag op_history json_props muted_reason_mask",
     places: "post_places",
+    sums: "vote_sums follow_sums",
     notifications: "notices_subscribe notices_reply notices_reblog notices_follow notices_mention notices_vote",
     search: "search_bm25 search_query search_page_two tag_normalise",
     text_index: "text_index_search text_index_terms",

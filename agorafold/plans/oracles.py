@@ -386,3 +386,9 @@ SQL["feed_entries"] = f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, {_d
   rb AS (SELECT a.c AS account, p.k, p.c, a.d + 2 AS d FROM o a JOIN o p ON a.k % 10 <> 0 AND p.k = a.k // 3 WHERE p.k % 50 <> 7 OR (a.d + 2, a.k) > (p.d, p.k * 10 + 2)),
   e AS (SELECT c AS account, c, k, made AS at_ FROM live WHERE k IN (SELECT k FROM root) UNION ALL SELECT rb.account, rb.c, rb.k, min(rb.d) FROM rb JOIN live USING (k) GROUP BY 1, 2, 3)
   SELECT 'c' || account AS account, 'c' || c AS author, 'p' || k AS permlink, {_at("min(at_)")} AS created FROM e GROUP BY account, c, k"""
+
+SQL |= {
+    "vote_sums": f"""SELECT author, permlink, sum(rshares)::BIGINT AS rshares, sum(abs(rshares))::BIGINT AS abs_rshares, count(*) FILTER (is_effective) AS total_votes, sum(sign(rshares))::BIGINT AS net_votes, count(*) AS votes
+      FROM ({SQL["fold_votes"]}) GROUP BY 1, 2""",
+    "follow_sums": f"""WITH e AS ({SQL["fold_follows"]}) SELECT follower AS account, 'following' AS side, count(*) AS n FROM e WHERE kind = 'follow' GROUP BY 1 UNION ALL SELECT following, 'followers', count(*) FROM e WHERE kind = 'follow' GROUP BY 1""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from agorafold.operators import folds
+from agorafold.operators import folds, sums
 from agorafold.sources import oplog, sinks
 
 FOLDS = {
@@ -64,6 +64,13 @@ KEYS = {
 DERIVED = {"tags": (folds.post_tags, folds.TAGS), "feed": (folds.feed_entries, folds.FEED)}
 
 
+#: Sums kept from the changes of a state: its name, the changes, the group, the count and the table's columns.
+SUMS = {
+    "vote_sums": ("votes", sums.vote_deltas, ["author", "permlink"], "votes", sums.VOTE_SUMS),
+    "follow_sums": ("edges", sums.follow_deltas, ["account", "side"], "n", sums.FOLLOW_SUMS),
+}
+
+
 def _touched(log: DataFrame) -> dict:
     """The buckets that a log can change, by how its keys are read; at most ``sinks.BUCKETS`` numbers each."""
     touched = {}
@@ -89,6 +96,15 @@ def fold_batch(spark: SparkSession, log: DataFrame, root: str, version: int) ->
         state = sinks.read_snapshot(spark, root, name, version - 1, schema, touched[read])
         sinks.write_snapshot(fold(state, log), keys, root, name, version)
         sinks.drop_replaced(spark, root, name, version)
+    for name, (of, changes, group, count, schema) in SUMS.items():
+        only = touched[KEYS[of][1]]
+        before, after = (sinks.read_snapshot(spark, root, of, v, FOLDS[of][1], only) for v in (version - 1, version))
+        found = shared.keep(changes(before, after))
+        buckets = {r["b"] for r in found.select(sinks.bucket(*group).alias("b")).distinct().collect()}
+        kept = sinks.read_snapshot(spark, root, name, version - 1, schema, buckets)
+        sinks.write_snapshot(sums.merged(kept, found, group, count), group, root, name, version, emptied=buckets)
+        sinks.drop_replaced(spark, root, name, version)
+        shared.drop(found)
     changed = touched[_posts] | touched[_reblogged]
     posts, reblogs = (sinks.read_snapshot(spark, root, name, version, FOLDS[name][1], changed) for name in ("posts", "reblogs"))
     for name, (make, _) in DERIVED.items():

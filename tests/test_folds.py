@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from agorafold.operators import folds
+from agorafold.operators import folds, sums
 from agorafold.sources import oplog, sinks
 from agorafold.streaming import oplog_stream
 
@@ -206,6 +206,10 @@ def test_stream_equals_batch(spark, rows, log, tmp_path):
         expected = _fold(spark, log, name, [])
         kept[name] = sorted(map(repr, expected.collect()))
         assert sorted(map(repr, sinks.read_snapshot(spark, state, name, 2, schema).collect())) == kept[name], name
+    empty = lambda schema: spark.createDataFrame([], schema)
+    for name, (of, changes, group, count, schema) in oplog_stream.SUMS.items():  # kept over three batches, and from scratch
+        whole = sums.merged(empty(schema), changes(empty(oplog_stream.FOLDS[of][1]), _fold(spark, log, of, [])), group, count)
+        assert whole.count() and sorted(map(repr, sinks.read_snapshot(spark, state, name, 2, schema).collect())) == sorted(map(repr, whole.collect())), name
     later = oplog.scan(log, 10, 12)
     for version in (2, 3):  # the last batch again, as a retry and as another batch
         oplog_stream.fold_batch(spark, later, state, version)
