@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agorafold.operators import paging
+from agorafold.functions import stem
 from agorafold.sources import tables
 
 # Topics listed when communities leave room.
@@ -43,10 +44,11 @@ def communities_keyset(spark: SparkSession, sf_dir: str, last_rank: int = 5, lim
     at = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey"))
     admins = suppliers.withColumn("at", at).where("at <= 3").groupBy(F.col("s_nationkey").alias("community")).agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("admins"))
     ranks = community_rank(spark, sf_dir).where(F.col("rank") > last_rank)
-    if query is not None:  # all its words are in the title
-        words = F.split(F.lower("title"), r"[^\p{L}\p{N}]+")
-        for word in query.lower().split():
-            ranks = ranks.where(F.array_contains(words, word))
+    if query is not None:  # all its words, in any English form, are in the title or its region's name
+        regions = tables.read(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("about"))
+        about = tables.read(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("__n"), "about")
+        named = stem.with_lexemes(ranks.join(about, F.col("community") == F.col("__n"), "left").drop("__n"), F.concat_ws(" ", "title", "about"), "__lexemes")
+        ranks = named.where(stem.has_all("__lexemes", query)).drop("__lexemes", "about")
     ranks = ranks.orderBy("rank").limit(limit)
     return ranks.join(admins, "community", "left").select("community", "title", "rank", "admins")
 

@@ -79,7 +79,7 @@ CALLS = [
     ("bridge.get_profile", {"accounts": [3, 9]}, "select c_custkey from customer where c_custkey in (3, 9)", "account"),
     ("bridge.get_community", {"community": 3}, "select 3", "community"),
     ("bridge.list_all_subscriptions", {"account": 9}, "select c_nationkey from customer where c_custkey = 9", "community"),
-    ("bridge.list_communities", {"query": "saudi arabia", "last_rank": 0}, "select n_nationkey from nation where n_name = 'SAUDI ARABIA'", "community"),
+    ("bridge.list_communities", {"query": "nations 3", "last_rank": 0}, "select n_nationkey from nation where n_name = 'NATION_3'", "community"),
     ("hive.get_info", {}, "select max(o_orderkey) from orders", "last_id"),
     ("rest.operations", {"account": 4, "page": 1, "size": 3}, "select event_id from events where user_id = 4 order by 1 desc limit 3", "event_id"),
 ]
