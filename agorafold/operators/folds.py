@@ -11,7 +11,7 @@ older batch can't bring it back.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -306,27 +306,31 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _role_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _role_changes(most_mods: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Roles of the state and accepted changes; rows come by community and op_id, those of the state (no actor) first. Holds the roles of one community."""
-    now, roles, mods = None, {}, 0
-    for source in batches:
-        out: list[tuple] = []
-        for community, op_id, block, actor, other, role in zip(*(source.column(c).to_pylist() for c in ("community", "op_id", "block_num", "account", "other", "role")), strict=True):
-            if community != now:
-                now, roles, mods = community, {community: ROLES["owner"]}, 0
-            new, old = ROLES[role], roles.get(other, 0)
-            if actor is not None:
-                rank = roles.get(actor, 0)
-                full = new == ROLES["mod"] and mods >= MOST_MODS
-                if rank < NEEDS["setRole"] or new == old or rank <= new or rank <= old or old >= ROLES["owner"] or full:
-                    continue
-            out.append((community, other, op_id, block, new))  # those of the state too: they hold for what follows
-            roles[other] = new
-            mods += (new == ROLES["mod"]) - (old == ROLES["mod"])
-        yield _batch(out, ROLE_CHANGES)
-
-
-def community_roles(state: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, roles, mods = None, {}, 0
+        for source in batches:
+            out: list[tuple] = []
+            for community, op_id, block, actor, other, role in zip(*(source.column(c).to_pylist() for c in ("community", "op_id", "block_num", "account", "other", "role")), strict=True):
+                if community != now:
+                    now, roles, mods = community, {community: ROLES["owner"]}, 0
+                new, old = ROLES[role], roles.get(other, 0)
+                if actor is not None:
+                    rank = roles.get(actor, 0)
+                    full = most_mods is not None and new == ROLES["mod"] and mods >= most_mods
+                    if rank < NEEDS["setRole"] or new == old or rank <= new or rank <= old or old >= ROLES["owner"] or full:
+                        continue
+                out.append((community, other, op_id, block, new))  # those of the state too: they hold for what follows
+                roles[other] = new
+                mods += (new == ROLES["mod"]) - (old == ROLES["mod"])
+            yield _batch(out, ROLE_CHANGES)
+
+    return changes
+
+
+def community_roles(state: DataFrame, log: DataFrame, most_mods: int | None = MOST_MODS) -> tuple[DataFrame, DataFrame]:
     """Operations of a batch that are new to communities, and (community, account, op_id, block_num, rank) of the roles there.
 
     Roles of the state come first, then owners, then accepted changes, so that
@@ -337,21 +341,22 @@ def community_roles(state: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFr
     rows = _newer(ops.mapInArrow(_read_operations, OPERATIONS), state, ["community"])
     known = state.where("kind = 'role' and value is not null").select("community", F.lit(-2).cast("long").alias("op_id"), "block_num", F.lit(None).cast("string").alias("account"), F.col("key").alias("other"), F.col("value").alias("role"))
     asked = rows.where("action = 'setRole'").select(*known.columns).unionByName(known)
-    changes = asked.repartition("community").sortWithinPartitions("community", "op_id").mapInArrow(_role_changes, ROLE_CHANGES)
+    changes = asked.repartition("community").sortWithinPartitions("community", "op_id").mapInArrow(_role_changes(most_mods), ROLE_CHANGES)
     owners = rows.groupBy("community").agg(F.max("block_num").alias("block_num")).select("community", F.col("community").alias("account"), F.lit(-1).cast("long").alias("op_id"), "block_num", F.lit(ROLES["owner"]).alias("rank"))
     return rows, changes.unionByName(owners)
 
 
-def fold_communities(state: DataFrame, log: DataFrame) -> DataFrame:
+def fold_communities(state: DataFrame, log: DataFrame, most_mods: int | None = MOST_MODS) -> DataFrame:
     """Roles, titles, subscribers, marks of posts and properties of communities.
 
     Whether a role may be given depends on the roles before, so these few
     operations are read in order, a community at a time.  All others are
     judged by what their actor's role was then (a window by community and
     actor) and the last accepted one of each key counts, so that a community
-    with most of the log is spread by actor and key.
+    with most of the log is spread by actor and key.  A community takes no more
+    moderators than ``most_mods`` (any number for None).
     """
-    rows, roles = community_roles(state, log)
+    rows, roles = community_roles(state, log, most_mods)
     table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     name = F.try_element_at(table((r, n) for n, r in ROLES.items() if r), "rank")  # a guest has none
     held = roles.select("*", F.lit("role").alias("kind"), F.col("account").alias("key"), name.alias("value"))
