@@ -44,8 +44,9 @@ def vote_score(payout: Column, abs_rshares: Column, rshares: Column) -> Column:
 
 
 def vote_payload(value: Column) -> Column:
-    """``($1.23)`` for a value of a cent or more, else nothing."""
-    return F.when(value < 0.01, "").otherwise(F.format_string("($%.2f)", value))
+    """``($1.23)`` for a value of a cent or more, else nothing; what is less than 1e-12 below half a cent is rounded up."""
+    amount = F.round(value.cast("string").cast("decimal(30,12)"), 2).cast("decimal(30,2)")
+    return F.when(value < 0.01, "").otherwise(F.concat(F.lit("($"), amount.cast("string"), F.lit(")")))
 
 
 def flag_weight(rshares: Column) -> Column:
