@@ -69,24 +69,35 @@ def account_payout(spark: SparkSession, sf_dir: str, account: int = ACCOUNT, las
     return paging.page(rows, "payout", last, limit).select("id", "payout", "category")
 
 
-def account_feed(spark: SparkSession, sf_dir: str, account: int = FOLLOWER, limit: int = 50, last: int | None = None) -> DataFrame:
-    """Posts of the last month that followed accounts wrote or shared, each once, with those accounts' names; after one of them."""
+def _feed(spark: SparkSession, sf_dir: str, account: int, days: int | None = None) -> DataFrame:
+    """Posts that followed accounts wrote or shared (in the last days, if given), each once, with those accounts' names."""
     followed = tables.follows(spark, sf_dir).where(F.col("follower") == account).select("following")
     live = tables.live_posts(spark, sf_dir)
     names = tables.read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     own = live.select("id", F.col("author").alias("by"), F.col("created").alias("at"))
     shared = live.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id"), F.col("author").alias("by"), F.col("created").alias("at"))
-    head = live.agg((F.max("created") - F.expr(f"interval {FEED_DAYS} days")).alias("cut"))  # one row
-    entries = own.unionByName(shared).join(followed, F.col("by") == F.col("following"), "left_semi").crossJoin(F.broadcast(head)).where(F.col("at") > F.col("cut"))
+    entries = own.unionByName(shared).join(followed, F.col("by") == F.col("following"), "left_semi")
+    if days is not None:
+        head = live.agg((F.max("created") - F.expr(f"interval {days} days")).alias("cut"))  # one row
+        entries = entries.crossJoin(F.broadcast(head)).where(F.col("at") > F.col("cut"))
     named = entries.join(names, entries.by == names.c_custkey)
-    feed = named.groupBy("id").agg(F.min("at").alias("first_at"), F.array_join(F.array_sort(F.collect_set("c_name")), ",").alias("names"))
-    return paging.page(feed, "first_at", last, limit).select("id", "first_at", "names")
+    return named.groupBy("id").agg(F.min("at").alias("first_at"), F.array_join(F.array_sort(F.collect_set("c_name")), ",").alias("names"))
+
+
+def account_feed(spark: SparkSession, sf_dir: str, account: int = FOLLOWER, limit: int = 50, last: int | None = None) -> DataFrame:
+    """The newest of all posts that followed accounts wrote or shared; after one of them."""
+    return paging.page(_feed(spark, sf_dir, account), "first_at", last, limit).select("id", "first_at", "names")
+
+
+def account_feed_month(spark: SparkSession, sf_dir: str, account: int = FOLLOWER, limit: int = 50, last: int | None = None) -> DataFrame:
+    """The feed that callers of methods see, which ends after a month."""
+    return paging.page(_feed(spark, sf_dir, account, FEED_DAYS), "first_at", last, limit).select("id", "first_at", "names")
 
 
 def account_feed_page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five rows of a feed after its first five."""
-    first = account_feed(spark, sf_dir, limit=5).orderBy("first_at", "id").limit(1).select("first_at", "id")
-    feed = account_feed(spark, sf_dir, limit=1_000_000)
+    """The five rows of a month's feed after its first five."""
+    first = account_feed_month(spark, sf_dir, limit=5).orderBy("first_at", "id").limit(1).select("first_at", "id")
+    feed = account_feed_month(spark, sf_dir, limit=1_000_000)
     return paging.top(paging.after(feed, "first_at", first), "first_at", 5).select("id", "first_at", "names")
 
 
