@@ -182,7 +182,7 @@ def discussion_tree(spark: SparkSession, sf_dir: str, post: int = ROOT, observer
 
     ``limit``: posts nearest to the root, for callers with a page to fill.
     """
-    muted = sinks.Shared(spark, "muted").keep(graph.muted_by(spark, sf_dir, observer))
+    muted = sinks.Shared(spark, "muted").keep(graph.muted_by(spark, sf_dir, observer, tables.followed_mute_lists))
     rows = descend(tables.links(spark, sf_dir), post, limit, lambda level: level.join(muted, F.col("author") == F.col("muted"), "left_anti"))
     rows = rows if limit is None else rows.orderBy("depth", "id").limit(limit)
     replies = rows.where("depth > 0").groupBy(F.col("parent").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("replies"))
