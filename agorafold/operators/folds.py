@@ -65,10 +65,9 @@ def fold_votes(state: DataFrame, log: DataFrame) -> DataFrame:
     keys = ["voter", "author", "permlink"]
     ops = oplog.scan(log, types=("vote", "effective_vote"))
     plain = F.col("op_type") == oplog.TYPES["vote"]
-    rows = ops.select(
-        *[oplog.field(k).alias(k) for k in keys], "op_id", "block_num",
-        F.when(plain, oplog.field("weight").cast("int")).alias("p"), F.when(plain, F.col("block_ts")).alias("t"),
-        F.when(~plain, oplog.field("total_vote_weight").cast("decimal(38,0)")).alias("w"), F.when(~plain, rules.rshares(F.col("block_num"), oplog.field("rshares").cast("bigint"))).alias("r"),
+    rows = oplog.fields(ops, ["op_id", "block_num", "block_ts", "op_type"], *keys, "weight", "total_vote_weight", "rshares").select(
+        *keys, "op_id", "block_num", F.when(plain, F.col("weight").cast("int")).alias("p"), F.when(plain, F.col("block_ts")).alias("t"),
+        F.when(~plain, F.col("total_vote_weight").cast("decimal(38,0)")).alias("w"), F.when(~plain, rules.rshares(F.col("block_num"), F.col("rshares").cast("bigint"))).alias("r"),
     )
     changes = _newer(rows, state, keys).groupBy(*keys).agg(_last(F.col("p")).alias("p"), _last(F.col("t")).alias("t"), _last(F.col("w")).alias("w"), _last(F.col("r")).alias("r"), F.count("t").alias("n"), F.max("block_num").alias("b"))
     first = F.col("block_num").isNull()
@@ -88,7 +87,8 @@ def fold_posts(state: DataFrame, log: DataFrame) -> DataFrame:
     """
     keys = ["author", "permlink"]
     ops = oplog.scan(log, types=("comment", "delete_comment", "ineffective_delete"))
-    rows = _newer(ops.select(*[oplog.field(k).alias(k) for k in keys], "op_id", "block_num", "block_ts", "op_type", "body"), state, keys)
+    written = ["parent_author", "parent_permlink", "title", "body", "json_metadata"]
+    rows = _newer(oplog.fields(ops, ["op_id", "block_num", "block_ts", "op_type"], *keys, *written), state, keys)
     spared = rows.where(F.col("op_type") == oplog.TYPES["ineffective_delete"]).select(*keys, "block_num").distinct()
     deletes = rows.where(F.col("op_type") == oplog.TYPES["delete_comment"]).join(spared, [*keys, "block_num"], "left_anti")
     comments = rows.where(F.col("op_type") == oplog.TYPES["comment"])
@@ -98,8 +98,8 @@ def fold_posts(state: DataFrame, log: DataFrame) -> DataFrame:
     step = F.coalesce(F.sum("gone").over(so_far), F.lit(0))
     placed = events.join(last, keys, "left").withColumn("generation", (F.coalesce("g0", F.lit(0)) + step + F.when((F.coalesce("d0", F.lit(False))) & (F.col("gone") == 0), 1).otherwise(0)).cast("int"))
     is_comment = F.col("gone") == 0
-    tags = F.from_json(F.coalesce(F.get_json_object(oplog.field("json_metadata"), "$.tags"), F.lit("[]")), "array<string>")
-    value = lambda name: F.when(is_comment, oplog.field(name))
+    tags = F.from_json(F.coalesce(F.get_json_object("json_metadata", "$.tags"), F.lit("[]")), "array<string>")
+    value = lambda name: F.when(is_comment, F.col(name))
     read = placed.select(*keys, "generation", "op_id", "block_num", "block_ts", "gone", value("parent_author").alias("pa"), value("parent_permlink").alias("pp"), value("title").alias("ti"), value("body").alias("bo"), F.when(is_comment, text.tags(F.coalesce(tags, F.array()))).alias("ta"))
     first = lambda c: F.min_by(c, F.when(F.col("gone") == 0, F.col("op_id")))
     changes = read.groupBy(*keys, "generation").agg(

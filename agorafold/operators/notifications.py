@@ -186,7 +186,7 @@ def _setting(spark: SparkSession, sf_dir: str, kind: int):
     """(head block, bounds, blocks, edges, reputations) of a query."""
     head = fixture_log.FIRST + HEADS.get(kind, HEAD)
     blocks = spark.range(fixture_log.FIRST, head + 1).select(F.col("id").cast("int").alias("block_num"), (F.lit(fixture_log.EPOCH).cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("id") - fixture_log.FIRST - 1).cast("int"))).alias("previous_ts"))
-    edges = folds.fold_follows(spark.createDataFrame([], folds.EDGES), fixture_log.mute_lists(spark, sf_dir))
+    edges = folds.fold_follows(sinks.nothing(spark, folds.EDGES), fixture_log.mute_lists(spark, sf_dir))
     return head, bounds(head, head, DAY), blocks, edges, fixture_log.reputations(spark, sf_dir)
 
 
@@ -194,8 +194,8 @@ def _query(kind: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         head, told_from, blocks, edges, known = _setting(spark, sf_dir, kind)
         shared = sinks.Shared(spark, "notices")
-        state = lambda name, fold, schema, log: shared.keep(fold(spark.createDataFrame([], schema), oplog.scan(log(spark, sf_dir), None, head)))
-        empty = lambda schema: spark.createDataFrame([], schema)
+        state = lambda name, fold, schema, log: shared.keep(fold(sinks.nothing(spark, schema), oplog.scan(log(spark, sf_dir), None, head)))
+        empty = lambda schema: sinks.nothing(spark, schema)
         first = fixture_log.FIRST
         if kind == SUBSCRIBE:
             found = subscribes(oplog.scan(fixture_log.communities(spark, sf_dir), None, head), empty(folds.COMMUNITIES), blocks)

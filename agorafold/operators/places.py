@@ -79,7 +79,7 @@ def fold_places(state: DataFrame, posts: DataFrame, log: DataFrame, communities:
 def post_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every post of a log made from the tables; the batch comes twice."""
     shared = sinks.Shared(spark, "post-places")
-    empty = lambda schema: spark.createDataFrame([], schema)
+    empty = lambda schema: sinks.nothing(spark, schema)
     log = shared.keep(fixture_log.threads(spark, sf_dir).unionByName(fixture_log.places(spark, sf_dir)))
     posts = shared.keep(folds.fold_posts(empty(folds.POSTS), log))
     once = shared.keep(fold_places(empty(PLACES), posts, log, empty(folds.COMMUNITIES)))

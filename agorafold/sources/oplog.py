@@ -28,6 +28,12 @@ def field(name: str):
     return F.get_json_object("body", f"$.{name}")
 
 
+def fields(rows: DataFrame, keep: list[str], *names: str) -> DataFrame:
+    """``keep`` and fields of the bodies as texts; each body is parsed once."""
+    row = parsed(rows, keep, F.from_json("body", ", ".join(f"{n} string" for n in names)).alias("__b"))
+    return row.select(*keep, *[F.col(f"__b.{n}").alias(n) for n in names])
+
+
 def blocks(log: DataFrame) -> DataFrame:
     """(block_num, block_ts, previous_ts): one row per block with the time of the one numbered before, or its own without one."""
     each = log.groupBy("block_num").agg(F.min("block_ts").alias("block_ts"))

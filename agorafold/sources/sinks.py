@@ -65,6 +65,11 @@ def drop_replaced(spark: SparkSession, root: str, name: str, version: int) -> No
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """A state before its first batch; known to be empty when a query is planned, so joins with it fall away."""
+    return spark.createDataFrame([], schema).where(F.lit(False))
+
+
 class Shared:
     """Tables between the rounds of a loop, in the shared folder ``spark.checkpoint.dir``, else the context's checkpoint folder (without either, under the warehouse)."""
 
