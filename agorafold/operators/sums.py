@@ -39,6 +39,14 @@ def merged(kept: DataFrame, changes: DataFrame, group: list[str], count: str) ->
     return both.groupBy(*group).agg(*[F.sum(n).cast(kept.schema[n].dataType).alias(n) for n in names]).where(F.col(count) != 0)
 
 
+def touched(state: DataFrame, last: int | None) -> DataFrame:
+    """Rows that a batch up to block ``last`` may have changed, or has: a changed row has a block of the batch, and had an older one.
+
+    What it leaves out of the states before and after the batch is the same.
+    """
+    return state if last is None else state.where(F.col("block_num") <= last)
+
+
 def vote_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     rshares = F.col("rshares").cast("decimal(38,0)")
     measures = {"rshares": rshares, "abs_rshares": F.abs(rshares), "total_votes": F.col("is_effective").cast("long"), "net_votes": F.signum("rshares").cast("long"), "votes": F.lit(1).cast("long")}
@@ -55,10 +63,10 @@ def follow_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
 def _kept(spark: SparkSession, log: DataFrame, fold, schema: str, of, group: list[str], count: str, sums: str, cut: int) -> DataFrame:
     """The sums after two parts of a log and the first part once more, each from the change of the state."""
     shared = sinks.Shared(spark, "sums")
-    log, state, found = shared.keep(log), spark.createDataFrame([], schema), spark.createDataFrame([], sums)
-    for part in (oplog.scan(log, None, cut), oplog.scan(log, cut + 1, None), oplog.scan(log, None, cut)):
-        before, state = state, shared.keep(fold(state, part))
-        found = shared.keep(merged(found, of(before, state), group, count))
+    log, state, found = shared.keep(log), sinks.nothing(spark, schema), sinks.nothing(spark, sums)
+    for first, last in ((None, cut), (cut + 1, None), (None, cut)):
+        before, state = state, shared.keep(fold(state, oplog.scan(log, first, last)))
+        found = shared.keep(merged(found, of(touched(before, last), touched(state, last)), group, count))
     return found
 
 
