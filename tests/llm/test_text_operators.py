@@ -162,6 +162,13 @@ def test_long_texts_are_hashed_in_chunks(monkeypatch):
     assert all((wordhash.words(texts).hashes(k) == expected[k]).all() for k in (0, 1))
 
 
+def test_substring_dedup_sketch_tells_apart_what_its_first_row_cannot(docs):
+    texts = docs([words(300, 300 * i) for i in range(10)]).selectExpr("doc_id as __sd_id", "text as __sd_text")
+    known = substring_dedup.sketch(texts, most_bits=12)  # 2,880 different windows over 4,096 cells
+    left = texts.mapInArrow(substring_dedup._candidates(known, substring_dedup.WINDOW), "h bigint, g bigint, id bigint").count()
+    assert left < 200
+
+
 def test_substring_dedup_of_edges(docs):
     found = sorted(((r["doc_id"] or 0, r["__sd_removed"]) for r in substring_dedup.remove_repeats(docs(EDGES)).collect()))
     assert len(found) == len(EDGES) and (6, 30) in found and found.count((5, 0)) == 2
