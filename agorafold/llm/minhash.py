@@ -187,6 +187,11 @@ def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """For a join by a shuffle, however few rows there are: rounds of small joins would else send some hundred broadcasts through the driver."""
+    return rows.hint("merge")
+
+
 def classes(links: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(node, label): of every node of ``links`` (a, b) the smallest node it reaches.
 
@@ -196,13 +201,13 @@ def classes(links: DataFrame, scratch: common.Scratch) -> DataFrame:
     both = scratch.keep(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     labels = scratch.keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "near").alias("new"))
+        near = both.join(_by_key(labels.select(F.col("node").alias("v"), "label")), "v").groupBy("u").agg(F.min("label").alias("near"))
+        lower = labels.join(_by_key(near), F.col("node") == F.col("u")).select("node", "label", F.least("label", "near").alias("new"))
         # A label is a node: hook it to the least label seen by those who carry it, then jump.
         hooks = lower.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("least"))
-        jumped = lower.join(hooks, F.col("new") == F.col("root"), "left").select("node", "label", F.least("new", "least").alias("new"))
+        jumped = lower.join(_by_key(hooks), F.col("new") == F.col("root"), "left").select("node", "label", F.least("new", "least").alias("new"))
         own = hooks.select(F.col("root").alias("r2"), F.col("least").alias("own"))
-        step = scratch.keep(jumped.join(own, F.col("node") == F.col("r2"), "left").select("node", "label", F.least("new", "own").alias("new")))
+        step = scratch.keep(jumped.join(_by_key(own), F.col("node") == F.col("r2"), "left").select("node", "label", F.least("new", "own").alias("new")))
         changed = step.where("new <> label").limit(1).count()
         scratch.drop(labels)
         labels = step.select("node", F.col("new").alias("label"))
@@ -229,18 +234,27 @@ def _verified(pairs: DataFrame, slim: DataFrame, least: int, scratch: common.Scr
     """The pairs (a < b) that are links: estimate by registers, then by the sets themselves."""
     left = slim.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = slim.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least)
+    sized = pairs.join(_by_key(left), "a").join(_by_key(right), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least)
     likely = scratch.keep(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _likely(batches, least), "a bigint, b bigint"))
     of = lambda x: slim.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
-    both = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb")
+    both = likely.join(_by_key(of("b")), "b").join(_by_key(of("a")), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(lambda batches: _linked(batches, least), "a bigint, b bigint")
 
 
+def _with_more(links: DataFrame, labels: DataFrame, pairs: DataFrame, slim: DataFrame, least: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with the links among some pairs; both as they are if there are none."""
+    more = scratch.keep(_verified(pairs, slim, least, scratch))
+    if more.isEmpty():
+        return links, labels
+    links = scratch.keep(links.unionByName(more))
+    return links, classes(links, scratch)
+
+
 def _of_several_classes(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, label) of the keys whose members have more than one label."""
-    labelled = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    labelled = members.join(_by_key(labels), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = labelled.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return labelled.join(mixed, F.col("key") == F.col("k"), "left_semi").select("key", "id", "label")
+    return labelled.join(_by_key(mixed), F.col("key") == F.col("k"), "left_semi").select("key", "id", "label")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +279,7 @@ def _prefix_pairs(left: DataFrame, slim: DataFrame, least: int, scratch: common.
     each = scratch.keep(listed.select("id", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("h")))
     often = each.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("often")).where("often > 1")
     order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1).cast("long")), "h")
-    ranked = each.join(often, F.col("h") == F.col("g"), "left").withColumn("at", F.row_number().over(order))  # a document's own shingles
+    ranked = each.join(_by_key(often), F.col("h") == F.col("g"), "left").withColumn("at", F.row_number().over(order))  # a document's own shingles
     # The shortest partner has least% of a set's size, which makes the longest prefix.
     some = scratch.keep(ranked.where(f"often > 1 and at <= n - ceil({least} * n / 100.0D) + 1").select("id", "label", "n", "h", "at"))
     x, y = some.alias("x"), some.alias("y")
@@ -294,7 +308,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # Unlike sets that are linked have at least least / (100 - least) shingles in common.
     keys = sets.where(F.col("n_shingles") * (100 - least) >= least).select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-    members = scratch.keep(keys.join(shared, F.col("key") == F.col("k"), "left_semi").distinct())
+    members = scratch.keep(keys.join(_by_key(shared), F.col("key") == F.col("k"), "left_semi").distinct())
     slim = sets.join(members.select(F.col("id").alias("m")).distinct(), F.col("id") == F.col("m"), "left_semi")
     slim = scratch.keep(slim.select("id", "text_key", "n_shingles", "registers"))
     wanted = slim.select(F.col("id").alias("i"), F.col("text_key").alias("k"), "n_shingles", "registers")
@@ -304,20 +318,18 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     # First each document with the smallest of its keys' first members, one pair a document.
     first = members.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = members.join(first, "key").where("id > a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    pairs = members.join(_by_key(first), "key").where("id > a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = scratch.keep(_verified(pairs, slim, least, scratch))
     labels = classes(links, scratch)
     # Then with the first member of each key that still has several classes.
     open_keys = scratch.keep(_of_several_classes(members, labels))
     pivots = open_keys.groupBy("key").agg(F.min(F.struct("id", "label")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.label").alias("la"))
-    pairs = open_keys.join(pivots, "key").where("label <> la").select("a", F.col("id").alias("b")).distinct()
-    links = scratch.keep(links.unionByName(_verified(pairs, slim, least, scratch)))
-    labels = classes(links, scratch)
+    pairs = open_keys.join(_by_key(pivots), "key").where("label <> la").select("a", F.col("id").alias("b")).distinct()
+    links, labels = _with_more(links, labels, pairs, slim, least, scratch)
     # Then all that can be alike among what is left.
     left = scratch.keep(_of_several_classes(members, labels).select("id", "label").distinct())
     pairs = _prefix_pairs(left, slim, least, scratch)
-    links = scratch.keep(links.unionByName(_verified(pairs, slim, least, scratch)))
-    labels = classes(links, scratch)
+    links, labels = _with_more(links, labels, pairs, slim, least, scratch)
 
     of_group = groups.join(labels, F.col("rep") == F.col("node"), "left").select(
         F.col("n_shingles").alias("n"), F.col("set_a").alias("x"), F.col("set_b").alias("y"), F.coalesce("label", "rep").alias("class")

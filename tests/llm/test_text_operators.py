@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from agorafold.llm import decontaminate, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, wordhash
+from agorafold.llm import common, decontaminate, minhash, mixing, quality_rules, sharding, substring_dedup, token_counts, wordhash
 from tests.llm.conftest import EDGES, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -416,3 +416,13 @@ def test_sql_counterparts_agree_on_fixture(spark, docs, tmp_path):
     mixed = mixing.op10_mixing(spark, f"file://{tmp_path}/t").select("doc_id", "size", "source_size", "target", "taken")
     expected = con.sql(f"select doc_id, size, source_size, target, taken from ({mixing.OP10_SQL})").fetchall()
     assert sorted(map(tuple, mixed.collect())) == sorted(expected)
+
+
+def test_rounds_of_small_joins_send_no_broadcasts(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "a long, b long")
+    scratch = common.Scratch(spark, "few")
+    plans, keep = [], scratch.keep
+    scratch.keep = lambda df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, *more))[1]
+    found = {r["node"]: r["label"] for r in minhash.classes(links, scratch).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 5: 5, 9: 5}
+    assert len(plans) > 2 and not any("BroadcastExchange" in p for p in plans)
