@@ -93,22 +93,29 @@ def fold_posts(state: DataFrame, log: DataFrame) -> DataFrame:
     deletes = rows.where(F.col("op_type") == oplog.TYPES["delete_comment"]).join(spared, [*keys, "block_num"], "left_anti")
     comments = rows.where(F.col("op_type") == oplog.TYPES["comment"])
     last = state.groupBy(*keys).agg(F.max("generation").alias("g0"), F.max_by("deleted", "generation").alias("d0"))
-    events = comments.withColumn("gone", F.lit(0)).unionByName(deletes.select(*comments.columns).withColumn("gone", F.lit(1)))
-    so_far = Window.partitionBy(*keys).orderBy("op_id").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.coalesce(F.sum("gone").over(so_far), F.lit(0))
-    placed = events.join(last, keys, "left").withColumn("generation", (F.coalesce("g0", F.lit(0)) + step + F.when((F.coalesce("d0", F.lit(False))) & (F.col("gone") == 0), 1).otherwise(0)).cast("int"))
+    # Of metadata only the tags move, and they are read once a post.
+    tagged = comments.withColumns({"json_metadata": F.coalesce(F.get_json_object("json_metadata", "$.tags"), F.lit("[]")), "gone": F.lit(0)})
+    events = tagged.unionByName(deletes.select(*comments.columns).withColumn("gone", F.lit(1))).withColumnRenamed("json_metadata", "raw_tags")
+    in_order = Window.partitionBy(*keys).orderBy("op_id")
+    step = F.coalesce(F.sum("gone").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    patches = F.coalesce(F.max(F.col("body").startswith("@@ ") & (F.col("gone") == 0)).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(False))
+    placed = events.join(last, keys, "left").withColumn("any_patch", patches).withColumn("generation", (F.coalesce("g0", F.lit(0)) + step + F.when((F.coalesce("d0", F.lit(False))) & (F.col("gone") == 0), 1).otherwise(0)).cast("int"))
     is_comment = F.col("gone") == 0
-    tags = F.from_json(F.coalesce(F.get_json_object("json_metadata", "$.tags"), F.lit("[]")), "array<string>")
     value = lambda name: F.when(is_comment, F.col(name))
-    read = placed.select(*keys, "generation", "op_id", "block_num", "block_ts", "gone", value("parent_author").alias("pa"), value("parent_permlink").alias("pp"), value("title").alias("ti"), value("body").alias("bo"), F.when(is_comment, text.tags(F.coalesce(tags, F.array()))).alias("ta"))
+    read = placed.select(*keys, "generation", "op_id", "block_num", "block_ts", "gone", value("parent_author").alias("pa"), value("parent_permlink").alias("pp"), value("title").alias("ti"), value("body").alias("bo"), value("raw_tags").alias("ta"), F.col("any_patch"))
+    # Bodies are gathered only of posts that have a patch; the window has the order of the aggregation below.
+    edit = F.when(F.col("any_patch") & F.col("bo").isNotNull(), F.struct("op_id", "bo"))
+    read = read.withColumn("edits", F.collect_list(edit).over(Window.partitionBy(*keys, "generation")))
     first = lambda c: F.min_by(c, F.when(F.col("gone") == 0, F.col("op_id")))
     changes = read.groupBy(*keys, "generation").agg(
         first("pa").alias("pa"), first("pp").alias("pp"), _last(F.col("ti")).alias("ti"), _last(F.col("bo")).alias("bo"), F.max(F.col("bo").startswith("@@ ")).alias("patched"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("bo").isNotNull(), F.struct("op_id", "bo")))), lambda e: e["bo"]).alias("edits"), _last(F.col("ta")).alias("ta"),
+        F.transform(F.array_sort(F.first("edits")), lambda e: e["bo"]).alias("edits"), _last(F.col("ta")).alias("ta"),
         F.min(F.when(F.col("gone") == 0, F.col("block_ts"))).alias("c"), F.max("block_ts").alias("u"), (F.max("gone") == 1).alias("d"), F.max("block_num").alias("b"), F.min(F.when(F.col("gone") == 0, F.col("block_num"))).alias("cb"),
     )
     joined = state.join(changes, [*keys, "generation"], "full")
-    joined = joined.withColumn("bo", F.when(F.coalesce("patched", F.lit(False)), patch.merged(F.col("body"), F.when(F.coalesce("patched", F.lit(False)), F.col("edits")))).otherwise(F.col("bo")))
+    patched = F.coalesce("patched", F.lit(False))
+    tags = F.when(F.col("ta") == "[]", F.array().cast("array<string>")).when(F.col("ta").isNotNull(), text.tags(F.coalesce(F.from_json("ta", "array<string>"), F.array())))
+    joined = joined.withColumns({"bo": F.when(patched, patch.merged(F.when(patched, F.col("body")), F.when(patched, F.col("edits")))).otherwise(F.col("bo")), "ta": tags})
     merged = joined.select(
         *keys, "generation", F.coalesce("parent_author", "pa").alias("parent_author"), F.coalesce("parent_permlink", "pp").alias("parent_permlink"), F.coalesce("ti", "title").alias("title"), F.coalesce("bo", "body").alias("body"),
         F.coalesce("ta", "tags").alias("tags"), F.coalesce("created", "c").alias("created"), F.greatest("updated", "u").alias("updated"), (F.coalesce("deleted", F.lit(False)) | F.coalesce("d", F.lit(False))).alias("deleted"), F.greatest("block_num", "b").alias("block_num"), F.coalesce("created_block", "cb").alias("created_block"),
