@@ -34,18 +34,21 @@ def roles_at(posts: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def _new_posts(state: DataFrame, posts: DataFrame, log: DataFrame) -> DataFrame:
-    """Posts that have no place yet, with the operation that made them, ``id`` and ``up`` (the parent's id).
-
-    Replies hang on the latest generation of a post; an older one has an id of its own.
-    """
+    """Posts that have no place yet, with the operation that made them and whether they are the latest of their name."""
     new = posts.join(state.select(*_KEY), _KEY, "left_anti")
     comments = oplog.scan(log, types=("comment",)).select(oplog.field("author").alias("author"), oplog.field("permlink").alias("permlink"), F.col("block_num").alias("created_block"), "op_id")
     made = comments.groupBy("author", "permlink", "created_block").agg(F.min("op_id").alias("op_id"))
     rows = new.join(made, ["author", "permlink", "created_block"])
     latest = F.max("generation").over(Window.partitionBy("author", "permlink")) == F.col("generation")
-    name = F.concat_ws("/", "author", "permlink")
     is_root = F.coalesce("parent_author", F.lit("")) == ""
-    return rows.withColumns({"id": F.when(latest, name).otherwise(F.concat(name, F.lit("#"), F.col("generation").cast("string"))), "up": F.when(~is_root, F.concat_ws("/", "parent_author", "parent_permlink")), "is_root": is_root}).select(*_KEY, "id", "up", "is_root", "parent_permlink", "op_id")
+    return rows.select(*_KEY, "parent_author", "parent_permlink", "op_id", latest.alias("is_latest"), is_root.alias("is_root"))
+
+
+def _linked(new: DataFrame) -> DataFrame:
+    """(id, parent) of new posts by their numbers; parent is null for roots and under what isn't new. Replies hang on the latest generation of a post."""
+    heads = new.where("is_latest").select(F.col("author").alias("parent_author"), F.col("permlink").alias("parent_permlink"), F.col("id").alias("parent"))
+    replies = new.where("not is_root").select("id", "parent_author", "parent_permlink").join(heads, ["parent_author", "parent_permlink"], "left").select("id", "parent")
+    return replies.unionByName(new.where("is_root").select("id", F.lit(None).cast("long").alias("parent")))
 
 
 def fold_places(state: DataFrame, posts: DataFrame, log: DataFrame, communities: DataFrame) -> DataFrame:
@@ -53,27 +56,33 @@ def fold_places(state: DataFrame, posts: DataFrame, log: DataFrame, communities:
 
     posts: their state after the batch; communities: theirs before it.  A batch
     that comes again brings no new posts.  Under a parent that isn't known a
-    post starts a thread without a community.
+    post starts a thread without a community.  New posts are numbered as they
+    are written, so that the rounds along their threads move numbers only.
     """
     shared = sinks.Shared(state.sparkSession, "places")
-    new = shared.keep(_new_posts(state, posts, log))
-    tops = threads.tops(new.select("id", F.col("up").alias("parent")))
-    of_top = new.select(F.col("id").alias("top"), F.col("author").alias("ta"), F.col("permlink").alias("tp"), "is_root", F.col("up").alias("top_up"), F.col("parent_permlink").alias("named"))
+    new = shared.keep(_new_posts(state, posts, log).withColumn("id", F.monotonically_increasing_id()))
+    if new.isEmpty():
+        return state
+    links = shared.keep(_linked(new))
+    tops = threads.tops(links)
+    of_top = new.join(tops.where("id = top").select("id"), "id", "left_semi").select(F.col("id").alias("top"), F.col("author").alias("ta"), F.col("permlink").alias("tp"), "is_root", "parent_author", F.col("parent_permlink").alias("named"))
     latest = state.groupBy("author", "permlink").agg(F.max_by(F.struct("root_author", "root_permlink", "depth", "community", "reasons"), "generation").alias("of"))
-    latest = latest.select(F.concat_ws("/", "author", "permlink").alias("known"), "of")
-    ends = of_top.join(latest, F.col("top_up") == F.col("known"), "left").select(
+    latest = latest.select(F.col("author").alias("known_author"), F.col("permlink").alias("known"), "of")
+    under = ~F.col("is_root") & (F.col("parent_author") == F.col("known_author")) & (F.col("named") == F.col("known"))
+    ends = of_top.join(latest, under, "left").select(
         "top", F.coalesce("of.root_author", "ta").alias("root_author"), F.coalesce("of.root_permlink", "tp").alias("root_permlink"), F.coalesce(F.col("of.depth") + 1, F.lit(0)).alias("above"),
         F.when(F.col("is_root") & text.is_community(F.col("named")), F.col("named")).otherwise(F.col("of.community")).alias("community"), (F.coalesce("of.reasons", F.lit(0)) != 0).alias("under_muted"),
     )
-    placed = new.join(tops, "id").join(ends, "top").withColumn("under_muted", F.col("under_muted") & (F.col("id") == F.col("top")))
+    placed = new.select(*_KEY, "id", "op_id", "is_root").join(links, "id").join(tops, "id").join(ends, "top").withColumn("under_muted", F.col("under_muted") & (F.col("id") == F.col("top"))).drop("top")
     _, roles = folds.community_roles(communities, log)
     judged = roles_at(placed, roles)
     by_type = rules.muted_reasons(F.col("is_root"), text.community_type(F.col("community")), F.col("rank"), F.col("under_muted"))
-    judged = shared.keep(judged.withColumn("reasons", by_type))
-    heirs = threads.heirs(judged.select("id", F.col("up").alias("parent"), (F.col("reasons") != 0).alias("marked")))
+    depth = (F.col("above") + F.col("depth")).cast("int").alias("depth")
+    judged = shared.keep(judged.select(*_KEY, "id", "parent", "root_author", "root_permlink", depth, "community", by_type.alias("reasons")))
+    heirs = threads.heirs(judged.select("id", "parent", (F.col("reasons") != 0).alias("marked")))
     joined = judged.join(heirs, judged.id == heirs.heir, "left")
     reasons = F.col("reasons").bitwiseOR(F.when(F.col("heir").isNotNull(), F.lit(rules.PARENT_BIT)).otherwise(F.lit(0)))
-    return state.unionByName(joined.select(*_KEY, "root_author", "root_permlink", (F.col("above") + F.col("depth")).cast("int").alias("depth"), "community", reasons.cast("int").alias("reasons")))
+    return state.unionByName(joined.select(*_KEY, "root_author", "root_permlink", "depth", "community", reasons.cast("int").alias("reasons")))
 
 
 def post_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +90,7 @@ def post_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = sinks.Shared(spark, "post-places")
     empty = lambda schema: sinks.nothing(spark, schema)
     log = shared.keep(fixture_log.threads(spark, sf_dir).unionByName(fixture_log.places(spark, sf_dir)))
-    posts = shared.keep(folds.fold_posts(empty(folds.POSTS), log))
+    posts = folds.fold_posts(empty(folds.POSTS), log)
+    posts = shared.keep(posts.select(*_KEY, "parent_author", "parent_permlink", "created_block"))
     once = shared.keep(fold_places(empty(PLACES), posts, log, empty(folds.COMMUNITIES)))
     return fold_places(once, posts, log, empty(folds.COMMUNITIES)).drop("root_author")

@@ -93,7 +93,7 @@ class Shared:
         if not self.n:
             self.open()
         self.n += 1
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(rows.schema).parquet(path)
         back._shared_path = path
         return back
