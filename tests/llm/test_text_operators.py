@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -169,6 +170,25 @@ def test_substring_dedup_sketch_tells_apart_what_its_first_row_cannot(docs):
     assert left < 200
 
 
+def test_substring_dedup_hands_its_jobs_small_batches_and_works_on_small_slices(spark, docs, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(name), []
+    texts = [words(700, 1000 * i) for i in range(3000)]  # 14 MB
+    keep = common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df: rows.append(int(spark.conf.get(name))) or keep(self, df))
+    assert substring_dedup.remove_repeats(docs(texts)).agg({"__sd_removed": "sum"}).first()[0] == 0
+    assert spark.conf.get(name) == before and 100 < min(rows) < 2000
+    with common.batch_rows(spark, 50):
+        assert max(r[0] for r in spark.range(1000).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()) == 50
+    batch = pa.RecordBatch.from_pydict({"__sd_text": texts})
+    tracemalloc.start()
+    try:
+        list(substring_dedup._sketched(substring_dedup.Sketch([], 20), substring_dedup.WINDOW)(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_substring_dedup_of_edges(docs):
     found = sorted(((r["doc_id"] or 0, r["__sd_removed"]) for r in substring_dedup.remove_repeats(docs(EDGES)).collect()))
     assert len(found) == len(EDGES) and (6, 30) in found and found.count((5, 0)) == 2
