@@ -1,20 +1,22 @@
 """An inverted index with positions, kept by batch, and top-k search by bounds of blocks.
 
-Tables below a folder, all divided into ``BUCKETS`` buckets (of the term,
-documents of the id) and into versions, one a batch:
+Tables below a folder, divided into versions, one a batch; those with terms also
+into ``BUCKETS`` buckets of the term:
 
 ========  =====================================================================
-postings  field, term, id, length of the field, positions: of the batch's documents
-terms     field, term, docs: by how many the documents with the term have grown
-blocks    field, term, block, most, least: most occurrences and least length in a block of 2^BLOCK_BITS ids
+postings  field, term, docs, words, list of (id, length of the field, positions): of the batch's documents; a row a term for each slice of some 4 MB of text
+terms     field, term, docs, words: by how much the documents with the term and its occurrences have grown
+blocks    field, term, block, most, least: most occurrences and least length in a block of 2^BLOCK_BITS ids; a block may have several rows
 totals    field, documents, words: by how much they have grown
 gone      id: documents of earlier batches that the batch replaces or deletes
-docs      the documents as they stand; a version has the buckets that its batch changes
+docs      the rows of the batch, deletions too
 ========  =====================================================================
 
 A batch adds segments and reads no postings: what it takes back of term counts
-and totals comes from the replaced documents themselves.  A posting counts
-unless a later version names its document as gone.  ``compact`` writes the live
+and totals comes from the replaced documents themselves.  Texts are written once
+and don't move between tasks, unless a batch has an id twice or replaces more
+than ``BROADCAST_ROWS`` documents.  A posting or document counts unless a later
+version names it as gone.  ``compact`` writes the live
 rows as an index of one segment.  A batch that is run again replaces its own
 version, so a retry changes nothing.
 
@@ -33,7 +35,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +45,8 @@ from agorafold.operators import paging, search
 from agorafold.sources import sinks, tables
 
 DOCS = "id long, title string, body string, lang string"
-POSTINGS = "field string, term string, id long, length int, positions array<int>"
+CHANGES = f"{DOCS}, deleted boolean"
+POSTINGS = "field string, term string, docs int, words int, list array<struct<id: long, length: int, positions: array<int>>>"
 TERMS = "field string, term string, docs long"
 BLOCKS = "field string, term string, block long, most int, least int"
 TOTALS = "field string, documents long, words long"
@@ -51,9 +56,12 @@ BLOCK_BITS = 12
 BUCKETS = 32
 #: Blocks that give the first bound, and rows out of gone documents or blocks that are broadcast.
 PROBE, BROADCAST_ROWS = 8, 500_000
-#: Postings that a task holds before it passes them on.
-HELD = 100_000
-_WORD = re.compile("[a-z0-9]+")
+#: Ids of a batch that are looked up by the statistics of the files of documents.
+FEW = 100
+#: Bytes of text whose postings a task makes at once, or one text.
+SLICE_BYTES = 1 << 22
+_LETTER = np.zeros(256, bool)
+_LETTER[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
 _FIELDS = search.FIELDS + search.KEYWORDS
 
 
@@ -65,53 +73,69 @@ def _term_bucket(term: Column) -> Column:
     return F.pmod(F.hash(term), F.lit(BUCKETS))
 
 
-def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of (id, lower-cased field texts)."""
-    names = ["field", "term", "id", "length", "positions"]
-    out: tuple[list, ...] = ([], [], [], [])
-    flat, ends = [], [0]
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words ``[a-z0-9]+`` of lower-cased texts in order, and the text of each."""
+    texts = texts.cast(pa.large_string())
+    _, at, data = texts.buffers()
+    offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = _LETTER[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    cut = offsets[:-1][offsets[:-1] < len(data)]
+    start[cut] = inside[cut]
+    letters = data[inside]
+    ends = np.append(np.flatnonzero(start[inside]), len(letters)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(letters)), np.searchsorted(offsets, np.flatnonzero(start), "right") - 1
+
+
+def _lists(field: str, ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+    """A row for each term of some texts."""
+    words, doc = _words(texts)
+    n, known = len(words), words.dictionary_encode()
+    codes, lengths = known.indices.to_numpy(), np.bincount(doc, minlength=len(ids))
+    place = np.arange(n) - (np.cumsum(lengths) - lengths)[doc]
+    order = np.argsort(codes, kind="stable")
+    codes, doc = codes[order], doc[order]
+    term = np.append(True, codes[1:] != codes[:-1])[:n]
+    posting = np.flatnonzero(term | np.append(True, doc[1:] != doc[:-1])[:n])
+    first = np.flatnonzero(term[posting])
+    positions = pa.ListArray.from_arrays(pa.array(np.append(posting, n), pa.int32()), pa.array(place[order], pa.int32()))
+    each = pa.StructArray.from_arrays([pa.array(ids[doc[posting]], pa.int64()), pa.array(lengths[doc[posting]], pa.int32()), positions], names=["id", "length", "positions"])
+    docs, occurrences = (np.diff(np.append(x, end)) for x, end in ((first, len(posting)), (posting[first], n)))
+    terms = known.dictionary.take(pa.array(codes[posting[first]])).cast(pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(posting)), pa.int32()), each)
+    columns = [pa.array([field] * len(first), pa.string()), terms, pa.array(docs, pa.int32()), pa.array(occurrences, pa.int32()), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["field", "term", "docs", "words", "list"])
 
-    def passed() -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), lists], names=names)
 
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of (id, lower-cased field texts)."""
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for field, text in zip(_FIELDS, row[1:], strict=True):
-                words, at = _WORD.findall(text), {}
-                for i, w in enumerate(words):
-                    at.setdefault(w, []).append(i)
-                for column, value in zip(out, ([field] * len(at), at, [row[0]] * len(at), [len(words)] * len(at)), strict=True):
-                    column.extend(value)
-                for places in at.values():
-                    flat.extend(places)
-                    ends.append(len(flat))
-                if len(ends) > HELD:
-                    yield passed()
-                    out, flat, ends = ([], [], [], []), [], [0]
-    yield passed()
+        size, low = np.zeros(batch.num_rows + 1, np.int64), 0
+        for texts in batch.columns[1:]:
+            size[1:] += np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(size, size[low] + SLICE_BYTES, "right")) - 1)
+            some = batch.slice(low, high - low)
+            for field, texts in zip(_FIELDS, some.columns[1:], strict=True):
+                yield _lists(field, some.column(0).to_numpy(), texts)
+            low = high
 
 
 def postings(docs: DataFrame) -> DataFrame:
     return docs.select("id", *[F.lower(f).alias(f) for f in _FIELDS]).mapInArrow(_read_texts, POSTINGS)
 
 
-def _totals(docs: DataFrame, sign: int) -> DataFrame:
-    """(field, documents, words) of documents, times a sign: one row a field."""
-    sums = docs.agg(F.count("*").alias("documents"), *[F.coalesce(F.sum(F.size(search.words_of(F.col(f))).cast("long")), F.lit(0)).alias(f) for f in _FIELDS])
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), (sign * F.col("documents")).alias("documents"), (sign * F.col(f)).alias("words")) for f in _FIELDS])
-    return sums.select(F.inline(rows))
-
-
-def _write(rows: DataFrame, root: str, name: str, version: int) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/{name}/version={version}")
+def _write(rows: DataFrame, root: str, name: str, version: int, *by: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy(*by).parquet(f"{root}/{name}/version={version}")
 
 
 def _write_buckets(rows: DataFrame, order: list[str], root: str, name: str, version: int) -> None:
     """By bucket of the term, sorted, so that a term is found by the files' statistics."""
     placed = rows.withColumn("bucket", _term_bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", *order)
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/{name}/version={version}")
+    _write(placed, root, name, version, "bucket")
 
 
 def _read(spark: SparkSession, root: str, name: str, schema: str, version: int, buckets: set[int] | None = None) -> DataFrame:
@@ -133,35 +157,68 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
-def _segment(new: DataFrame, root: str, version: int) -> DataFrame:
-    """Postings and block bounds of documents; (field, term, docs) of them, from what was written."""
-    spark = new.sparkSession
-    _write_buckets(postings(new), ["term", "field", "id"], root, "postings", version)
-    written = spark.read.schema(POSTINGS + ", bucket int").parquet(f"{root}/postings/version={version}")
-    bounds = written.groupBy("field", "term", _block(F.col("id")).alias("block")).agg(F.max(F.size("positions")).alias("most"), F.min("length").alias("least"))
-    _write_buckets(bounds, ["term", "field", "block"], root, "blocks", version)
-    return written.groupBy("field", "term").agg(F.count("*").alias("docs"))
+def _written(spark: SparkSession, root: str, name: str, schema: str, version: int) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{root}/{name}/version={version}")
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["field", "term", "block", "bucket"]
+    for batch in batches:
+        found = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([("n", "max"), ("length", "min")])
+        yield from found.select(["field", "term", "block", "n_max", "length_min", "bucket"]).rename_columns(["field", "term", "block", "most", "least", "bucket"]).to_batches()
+
+
+def _write_postings(rows: DataFrame, root: str, version: int) -> None:
+    """Postings and the bounds of their blocks; the second are worked out where the first lie, term by term."""
+    _write_buckets(rows, ["term", "field"], root, "postings", version)
+    lists = _written(rows.sparkSession, root, "postings", POSTINGS + ", bucket int", version)
+    each = F.transform("list", lambda p: F.struct(_block(p["id"]).alias("block"), F.size(p["positions"]).alias("n"), p["length"].alias("length")))
+    bounds = lists.select("bucket", "field", "term", F.inline(each)).mapInArrow(_bounds, BLOCKS + ", bucket int")
+    _write(bounds.sortWithinPartitions("bucket", "term", "field", "block"), root, "blocks", version, "bucket")
+
+
+def _batch(changes: DataFrame, root: str, version: int) -> DataFrame:
+    """The rows of a batch, one an id, as its version keeps them."""
+    spark = changes.sparkSession
+    columns = [F.col("id").cast("long").alias("id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in _FIELDS], F.coalesce("deleted", F.lit(False)).alias("deleted")]
+    _write(changes.where("id is not null").select(*columns), root, "docs", version)
+    batch = _written(spark, root, "docs", CHANGES, version)
+    if batch.groupBy("id").count().where("count > 1").isEmpty():
+        return batch
+    shared = sinks.Shared(spark, "text-index")
+    single = shared.keep(batch.groupBy("id").agg(F.max(F.struct(*_FIELDS, "deleted")).alias("r")).select("id", "r.*"))
+    _write(single, root, "docs", version)
+    shared.drop(single)
+    return _written(spark, root, "docs", CHANGES, version)
+
+
+def _standing(spark: SparkSession, root: str, version: int, ids: DataFrame | None = None) -> DataFrame:
+    """The documents as they stand at a version, all or of some ids."""
+    rows = _read(spark, root, "docs", CHANGES, version)
+    if ids is not None:
+        few = [r["id"] for r in ids.limit(FEW + 1).collect()]
+        rows = (rows.where(F.col("id").isin(few)) if len(few) <= FEW else rows).join(_small(ids), "id", "left_semi")
+    return _live(rows, root, version).where("not deleted").select("id", *_FIELDS)
 
 
 def index_batch(changes: DataFrame, root: str, version: int) -> None:
     """The next version of an index: new, changed and deleted documents. Versions count from 1."""
     spark = changes.sparkSession
-    columns = [F.col("id").cast("long").alias("id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in _FIELDS], F.coalesce("deleted", F.lit(False)).alias("deleted")]
+    batch = _batch(changes, root, version)
     shared = sinks.Shared(spark, "text-index")
-    rows = changes.where("id is not null").select(*columns)
-    batch = shared.keep(rows.groupBy("id").agg(F.max(F.struct(*_FIELDS, "deleted")).alias("r")).select("id", "r.*"))
-    touched = {r["b"] for r in batch.select(sinks.bucket("id", buckets=BUCKETS).alias("b")).distinct().collect()}
-    state = sinks.read_snapshot(spark, root, "docs", version - 1, DOCS, touched)
-    old = shared.keep(state.join(batch.select("id"), "id", "left_semi"))
-    new = batch.where("not deleted").drop("deleted")
-
-    added = _segment(new, root, version)
-    lost = postings(old).groupBy("field", "term").agg((-F.count("*")).alias("docs"))
-    _write_buckets(added.unionByName(lost).groupBy("field", "term").agg(F.sum("docs").alias("docs")).where("docs <> 0"), ["term", "field"], root, "terms", version)
-    _write(_totals(new, 1).unionByName(_totals(old, -1)).groupBy("field").agg(F.sum("documents").alias("documents"), F.sum("words").alias("words")), root, "totals", version)
+    old = shared.keep(_standing(spark, root, version - 1, batch.select("id")))
+    new = batch.where("not deleted")
+
+    _write_postings(postings(new), root, version)
+    added = _written(spark, root, "postings", POSTINGS, version).select("field", "term", "docs", "words")
+    lost = postings(old).select("field", "term", (-F.col("docs")).alias("docs"), (-F.col("words")).alias("words"))
+    grown = added.unionByName(lost).groupBy("field", "term").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
+    _write_buckets(grown.where("docs <> 0 or words <> 0"), ["term", "field"], root, "terms", version)
+    documents = new.count() - old.count()
+    fields = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in _FIELDS])).alias("field"))
+    words = _written(spark, root, "terms", TERMS + ", words long", version).groupBy("field").agg(F.sum("words").alias("words"))  # a row a field
+    _write(fields.join(F.broadcast(words), "field", "left").select("field", F.lit(documents).cast("long").alias("documents"), F.coalesce("words", F.lit(0)).cast("long").alias("words")), root, "totals", version)
     _write(old.select("id"), root, "gone", version)
-    sinks.write_snapshot(state.join(batch.select("id"), "id", "left_anti").unionByName(new), ["id"], root, "docs", version, BUCKETS, touched)
-    shared.drop(batch)
     shared.drop(old)
 
 
@@ -171,18 +228,22 @@ def _live(rows: DataFrame, root: str, version: int) -> DataFrame:
     return rows.join(_small(gone), F.col("id") == F.col("__g"), "left").where(F.col("__v").isNull() | (F.col("version") >= F.col("__v"))).drop("__g", "__v")
 
 
+def _each(lists: DataFrame) -> DataFrame:
+    """A row for each posting."""
+    return lists.select("field", "term", "version", F.inline("list"))
+
+
 def compact(spark: SparkSession, root: str, version: int, target: str) -> None:
     """The index of a version as one segment in another folder."""
     buckets = set(range(BUCKETS))
-    live = _live(_read(spark, root, "postings", POSTINGS, version, buckets), root, version)
-    _write_buckets(live.select("field", "term", "id", "length", "positions"), ["term", "field", "id"], target, "postings", version)
-    written = _read(spark, target, "postings", POSTINGS, version, buckets)
-    bounds = written.groupBy("field", "term", _block(F.col("id")).alias("block")).agg(F.max(F.size("positions")).alias("most"), F.min("length").alias("least"))
-    _write_buckets(bounds, ["term", "field", "block"], target, "blocks", version)
+    live = _live(_each(_read(spark, root, "postings", POSTINGS, version, buckets)), root, version)
+    lists = live.groupBy("field", "term", _block(F.col("id"))).agg(F.array_sort(F.collect_list(F.struct("id", "length", "positions"))).alias("list"))
+    counts = F.size("list").alias("docs"), F.aggregate("list", F.lit(0), lambda n, p: n + F.size(p["positions"])).alias("words")
+    _write_postings(lists.select("field", "term", *counts, "list"), target, version)
     _write_buckets(term_counts(spark, root, version), ["term", "field"], target, "terms", version)
     _write(totals(spark, root, version), target, "totals", version)
     _write(spark.createDataFrame([], GONE), target, "gone", version)
-    sinks.write_snapshot(sinks.read_snapshot(spark, root, "docs", version, DOCS), ["id"], target, "docs", version, BUCKETS)
+    _write(_standing(spark, root, version).withColumn("deleted", F.lit(False)), target, "docs", version)
 
 
 def term_counts(spark: SparkSession, root: str, version: int, buckets: set[int] | None = None) -> DataFrame:
@@ -221,7 +282,7 @@ class Search:
         return rows.where(some)
 
     def _postings(self) -> DataFrame:
-        return self._of_terms(_read(self.spark, self.root, "postings", POSTINGS, self.version, self.buckets))
+        return _each(self._of_terms(_read(self.spark, self.root, "postings", POSTINGS, self.version, self.buckets)))
 
     def _matches(self, rows: DataFrame) -> DataFrame:
         """(id, score) of the documents of some postings that the whole query finds; phrases by positions."""
