@@ -4,7 +4,7 @@ Tables below a folder, divided into versions, one a batch; those with terms also
 into ``BUCKETS`` buckets of the term:
 
 ========  =====================================================================
-postings  field, term, docs, words, list of (id, length of the field, positions): of the batch's documents; a row a term for each slice of some 4 MB of text
+postings  field, term, docs, words, heads, places: of the batch's documents; a row a term for each slice of some 4 MB of text
 terms     field, term, docs, words: by how much the documents with the term and its occurrences have grown
 blocks    field, term, block, most, least: most occurrences and least length in a block of 2^BLOCK_BITS ids; a block may have several rows
 totals    field, documents, words: by how much they have grown
@@ -12,6 +12,10 @@ gone      id: documents of earlier batches that the batch replaces or deletes
 docs      the rows of the batch, deletions too
 ========  =====================================================================
 
+heads are packed numbers, three a document: id less the one before, length of the
+field, occurrences; places are positions, each less the one before in the
+document.  They are unpacked for the terms of a query only.
+
 A batch adds segments and reads no postings: what it takes back of term counts
 and totals comes from the replaced documents themselves.  Texts are written once
 and don't move between tasks, unless a batch has an id twice or replaces more
@@ -46,7 +50,8 @@ from agorafold.sources import sinks, tables
 
 DOCS = "id long, title string, body string, lang string"
 CHANGES = f"{DOCS}, deleted boolean"
-POSTINGS = "field string, term string, docs int, words int, list array<struct<id: long, length: int, positions: array<int>>>"
+POSTINGS = "field string, term string, docs int, words int, heads binary, places binary"
+EACH = "field string, term string, version int, id long, length int, positions array<int>"
 TERMS = "field string, term string, docs long"
 BLOCKS = "field string, term string, block long, most int, least int"
 TOTALS = "field string, documents long, words long"
@@ -60,6 +65,8 @@ PROBE, BROADCAST_ROWS = 8, 500_000
 FEW = 100
 #: Bytes of text whose postings a task makes at once, or one text.
 SLICE_BYTES = 1 << 22
+#: Rows of postings that are unpacked at once; each is of one slice.
+OPENED = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
 _FIELDS = search.FIELDS + search.KEYWORDS
@@ -90,6 +97,93 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(letters)), np.searchsorted(offsets, np.flatnonzero(start), "right") - 1
 
 
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each value less the one before; the first of each run as it is."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    out[first] = values[first]
+    return out
+
+
+def _summed(steps: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of ``_steps``."""
+    upto = np.cumsum(steps)
+    return upto - np.repeat(upto[first] - steps[first], sizes)
+
+
+def _signless(x: np.ndarray) -> np.ndarray:
+    """Small numbers of either sign as small ones without."""
+    return ((x << 1) ^ (x >> 63)).view(np.uint64)
+
+
+def _interleaved(*columns: np.ndarray) -> np.ndarray:
+    return np.stack([c.astype(np.uint64) for c in columns], 1).ravel()
+
+
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of numbers, each in as few groups of seven bits as it needs; the last byte of a number is below 128."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        more = values >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        sizes += more
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        some = sizes > k
+        out[at[some] + k] = ((values[some] >> np.uint64(7 * k)) & np.uint64(127)) | np.where(sizes[some] > k + 1, np.uint64(128), np.uint64(0))
+    ends = np.append(at[first], len(out)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _unpacked(packed: pa.Array) -> np.ndarray:
+    """All numbers of an array of runs."""
+    data = np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
+    last = data < 128
+    end = np.flatnonzero(last)
+    first = np.append(0, end[:-1] + 1)[: len(end)]
+    digit = np.arange(len(data)) - np.repeat(first, end - first + 1)
+    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * digit).astype(np.uint64), first) if len(end) else np.zeros(0, np.uint64)
+
+
+def _heads(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, length, occurrences) of each posting of some rows."""
+    docs = batch.column("docs").to_numpy().astype(np.int64)
+    steps, lengths, sizes = _unpacked(batch.column("heads")).reshape(-1, 3).T
+    ids = (steps >> np.uint64(1)).view(np.int64) ^ -(steps & np.uint64(1)).view(np.int64)
+    return np.repeat(np.arange(len(docs)), docs), _summed(ids, np.cumsum(docs) - docs, docs), lengths.astype(np.int64), sizes.astype(np.int64)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a few of the terms as one row a posting."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, OPENED):
+            batch = whole.slice(low, OPENED)
+            row, ids, lengths, sizes = _heads(batch)
+            ends = np.append(0, np.cumsum(sizes))
+            places = _summed(_unpacked(batch.column("places")).astype(np.int64), ends[:-1], sizes)
+            same = [batch.column(c).take(pa.array(row)) for c in ("field", "term", "version")]
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*same, pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), positions], names=["field", "term", "version", "id", "length", "positions"])
+
+
+def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other way round, for rows (field, term, list of (id, length, positions))."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, OPENED):
+            batch = whole.slice(low, OPENED)
+            lists = batch.column("list")
+            docs, each = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+            ids, lengths, positions = (each.field(i) for i in range(3))
+            first, sizes = np.cumsum(docs) - docs, positions.value_lengths().to_numpy().astype(np.int64)
+            posting = np.cumsum(sizes) - sizes
+            heads = _interleaved(_signless(_steps(ids.to_numpy(), first)), lengths.to_numpy(), sizes)
+            places = _steps(positions.flatten().to_numpy().astype(np.int64), posting).astype(np.uint64)
+            columns = [batch.column("field"), batch.column("term"), pa.array(docs, pa.int32()), pa.array(np.add.reduceat(sizes, first) if len(first) else sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, _packed(heads, 3 * first), _packed(places, posting[first])], names=["field", "term", "docs", "words", "heads", "places"])
+
+
 def _lists(field: str, ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
     """A row for each term of some texts."""
     words, doc = _words(texts)
@@ -101,13 +195,12 @@ def _lists(field: str, ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
     term = np.append(True, codes[1:] != codes[:-1])[:n]
     posting = np.flatnonzero(term | np.append(True, doc[1:] != doc[:-1])[:n])
     first = np.flatnonzero(term[posting])
-    positions = pa.ListArray.from_arrays(pa.array(np.append(posting, n), pa.int32()), pa.array(place[order], pa.int32()))
-    each = pa.StructArray.from_arrays([pa.array(ids[doc[posting]], pa.int64()), pa.array(lengths[doc[posting]], pa.int32()), positions], names=["id", "length", "positions"])
+    sizes = np.diff(np.append(posting, n))
+    heads = _interleaved(_signless(_steps(ids[doc[posting]], first)), lengths[doc[posting]], sizes)
     docs, occurrences = (np.diff(np.append(x, end)) for x, end in ((first, len(posting)), (posting[first], n)))
     terms = known.dictionary.take(pa.array(codes[posting[first]])).cast(pa.string())
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(posting)), pa.int32()), each)
-    columns = [pa.array([field] * len(first), pa.string()), terms, pa.array(docs, pa.int32()), pa.array(occurrences, pa.int32()), lists]
-    return pa.RecordBatch.from_arrays(columns, names=["field", "term", "docs", "words", "list"])
+    columns = [pa.array([field] * len(first), pa.string()), terms, pa.array(docs, pa.int32()), pa.array(occurrences, pa.int32()), _packed(heads, 3 * first), _packed(_steps(place[order], posting).astype(np.uint64), posting[first])]
+    return pa.RecordBatch.from_arrays(columns, names=["field", "term", "docs", "words", "heads", "places"])
 
 
 def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,17 +257,22 @@ def _written(spark: SparkSession, root: str, name: str, schema: str, version: in
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["field", "term", "block", "bucket"]
     for batch in batches:
-        found = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([("n", "max"), ("length", "min")])
-        yield from found.select(["field", "term", "block", "n_max", "length_min", "bucket"]).rename_columns(["field", "term", "block", "most", "least", "bucket"]).to_batches()
+        row, ids, lengths, sizes = _heads(batch)
+        change = np.append(True, (row[1:] != row[:-1]) | (ids[1:] >> BLOCK_BITS != ids[:-1] >> BLOCK_BITS))[: len(row)]
+        at = np.flatnonzero(change)
+        if len(at):
+            same = [batch.column(c).take(pa.array(row[at])) for c in ("field", "term", "bucket")]
+            runs = pa.Table.from_arrays([*same, pa.array(ids[at] >> BLOCK_BITS), pa.array(np.maximum.reduceat(sizes, at)), pa.array(np.minimum.reduceat(lengths, at))], names=["field", "term", "bucket", "block", "most", "least"])
+            found = runs.group_by(names, use_threads=False).aggregate([("most", "max"), ("least", "min")])
+            kinds = pa.schema([("field", pa.string()), ("term", pa.string()), ("block", pa.int64()), ("most", pa.int32()), ("least", pa.int32()), ("bucket", pa.int32())])
+            yield from found.select(["field", "term", "block", "most_max", "least_min", "bucket"]).rename_columns(kinds.names).cast(kinds).to_batches()
 
 
 def _write_postings(rows: DataFrame, root: str, version: int) -> None:
     """Postings and the bounds of their blocks; the second are worked out where the first lie, term by term."""
     _write_buckets(rows, ["term", "field"], root, "postings", version)
-    lists = _written(rows.sparkSession, root, "postings", POSTINGS + ", bucket int", version)
-    each = F.transform("list", lambda p: F.struct(_block(p["id"]).alias("block"), F.size(p["positions"]).alias("n"), p["length"].alias("length")))
-    bounds = lists.select("bucket", "field", "term", F.inline(each)).mapInArrow(_bounds, BLOCKS + ", bucket int")
-    _write(bounds.sortWithinPartitions("bucket", "term", "field", "block"), root, "blocks", version, "bucket")
+    heads = _written(rows.sparkSession, root, "postings", POSTINGS + ", bucket int", version).select("bucket", "field", "term", "docs", "heads")
+    _write(heads.mapInArrow(_bounds, BLOCKS + ", bucket int").sortWithinPartitions("bucket", "term", "field", "block"), root, "blocks", version, "bucket")
 
 
 def _batch(changes: DataFrame, root: str, version: int) -> DataFrame:
@@ -230,7 +328,7 @@ def _live(rows: DataFrame, root: str, version: int) -> DataFrame:
 
 def _each(lists: DataFrame) -> DataFrame:
     """A row for each posting."""
-    return lists.select("field", "term", "version", F.inline("list"))
+    return lists.select("field", "term", "version", "docs", "heads", "places").mapInArrow(_opened, EACH)
 
 
 def compact(spark: SparkSession, root: str, version: int, target: str) -> None:
@@ -238,8 +336,7 @@ def compact(spark: SparkSession, root: str, version: int, target: str) -> None:
     buckets = set(range(BUCKETS))
     live = _live(_each(_read(spark, root, "postings", POSTINGS, version, buckets)), root, version)
     lists = live.groupBy("field", "term", _block(F.col("id"))).agg(F.array_sort(F.collect_list(F.struct("id", "length", "positions"))).alias("list"))
-    counts = F.size("list").alias("docs"), F.aggregate("list", F.lit(0), lambda n, p: n + F.size(p["positions"])).alias("words")
-    _write_postings(lists.select("field", "term", *counts, "list"), target, version)
+    _write_postings(lists.select("field", "term", "list").mapInArrow(_repacked, POSTINGS), target, version)
     _write_buckets(term_counts(spark, root, version), ["term", "field"], target, "terms", version)
     _write(totals(spark, root, version), target, "totals", version)
     _write(spark.createDataFrame([], GONE), target, "gone", version)

@@ -3,6 +3,8 @@
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from agorafold.operators import search, text_index
@@ -115,6 +117,33 @@ def test_index_reads_only_the_buckets_of_its_terms(spark, index):
     assert files and {int(f.split("bucket=")[1].split("/")[0]) for f in files} == found.buckets and len(found.buckets) == 1
 
 
+def test_index_writes_only_the_rows_of_its_batch_and_a_row_a_term(spark, index):
+    batch = spark.read.parquet(f"{index}/docs/version=2")
+    assert batch.count() == len([i for i, *_ in _docs() if i % 8 == 0] + [7, 1500])
+    lists = spark.read.parquet(f"{index}/postings/version=1")
+    assert lists.count() < lists.agg({"docs": "sum"}).first()[0]
+
+
+def test_packed_postings_equal_plain_ones():
+    ids, texts = np.array([5, -3, 2**62, -(2**62), 0, 10**12, 7]), ["", "a bb é a c1", "bb " * 400, "x" * 300, "a a c1 " * 70, "", "z é-z a"]
+    want = {}
+    for i, text in zip(ids.tolist(), texts, strict=True):
+        for k, w in enumerate(found := _plain_words(text)):
+            want.setdefault((w, i), (len(found), []))[1].append(k)
+    lists = text_index._lists("body", ids, pa.array(texts)).append_column("version", pa.array([1] * 5, pa.int32()))
+    for _ in range(2):
+        each = [r for b in text_index._opened(iter([lists])) for r in b.to_pylist()]
+        assert len(each) == len(want) and {(r["term"], r["id"]): (r["length"], r["positions"]) for r in each} == want
+        whole = {}
+        for r in each:
+            whole.setdefault(r["term"], []).append({k: r[k] for k in ("id", "length", "positions")})
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("length", pa.int32()), ("positions", pa.list_(pa.int32()))]))
+        rows = pa.RecordBatch.from_pydict({"field": ["body"] * 5, "term": list(whole), "list": pa.array(list(whole.values()), kind)})
+        (again,) = text_index._repacked(iter([rows]))
+        lists = again.append_column("version", pa.array([1] * 5, pa.int32()))
+    assert text_index._lists("body", ids[:2], pa.array(["", "é"])).num_rows == 0
+
+
 def test_empty_index(spark, tmp_path):
     root = str(tmp_path / "none")
     text_index.index_batch(spark.createDataFrame([], "id long, title string, body string, lang string, deleted boolean"), root, 1)
