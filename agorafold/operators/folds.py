@@ -141,20 +141,28 @@ def fold_follows(state: DataFrame, log: DataFrame) -> DataFrame:
     pair within each of four groups counts; a reset removes all edges of its
     kinds that are older than it.
     """
+    return fold_follow_documents(state, follow_documents(log))
+
+
+def fold_follow_documents(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """``fold_follows`` of documents that are parsed already; it reads them twice."""
     group = {"": "pair", "blog": "pair", "follow": "pair", "ignore": "pair", "blacklist": "blacklist", "unblacklist": "blacklist", "follow_blacklist": "follow_blacklist", "unfollow_blacklist": "follow_blacklist", "follow_muted": "follow_mute", "unfollow_muted": "follow_mute"}
     made = {"blog": "follow", "follow": "follow", "ignore": "mute", "blacklist": "blacklist", "follow_blacklist": "follow_blacklist", "follow_muted": "follow_mute"}
     resets = {"reset_blacklist": ["blacklist"], "reset_following_list": ["follow"], "reset_muted_list": ["mute"], "reset_follow_blacklist": ["follow_blacklist"], "reset_follow_muted_list": ["follow_mute"], "reset_all_lists": ["follow", "mute", "blacklist", "follow_blacklist", "follow_mute"]}
-    rows = follow_documents(log)
     lookup = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), "what")
     actions = oplog.parsed(rows.select("op_id", "block_num", "follower", F.explode("names").alias("following"), "what"), ["op_id", "block_num", "follower", "following"], lookup(group).alias("grp"), lookup(made).alias("kind"))
     actions = actions.where("grp is not null and following is not null and following <> follower")
     old = state.select("op_id", "block_num", "follower", "following", "grp", "kind")
-    last = actions.unionByName(old).groupBy("follower", "following", "grp").agg(F.max_by(F.struct("kind", "block_num", "op_id"), "op_id").alias("l")).select("follower", "following", "grp", "l.*")
+    # Kinds are numbers in the aggregation, which is by hash then and sorts nothing.
+    kinds = F.array(*[F.lit(k) for k in resets["reset_all_lists"]])
+    numbered = actions.unionByName(old).withColumn("n", F.array_position(kinds, F.col("kind")))
+    last = numbered.groupBy("follower", "following", "grp").agg(F.max_by("n", "op_id").alias("n"), F.max_by("block_num", "op_id").alias("block_num"), F.max("op_id").alias("op_id"))
+    last = last.select("follower", "following", "grp", F.get(kinds, (F.col("n") - 1).cast("int")).alias("kind"), "block_num", "op_id")
     cleared = rows.where(F.col("what").isin(*resets)).select("follower", "op_id", "block_num", F.explode(F.try_element_at(F.create_map(*[x for k, v in resets.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), "what")).alias("kind"))
-    cleared = cleared.groupBy("follower", F.col("kind").alias("cleared_kind")).agg(F.max(F.struct("op_id", "block_num")).alias("reset"))
+    cleared = cleared.groupBy("follower", F.col("kind").alias("cleared_kind")).agg(F.max("op_id").alias("reset_op_id"), F.max_by("block_num", "op_id").alias("reset_block_num"))
     joined = last.join(cleared.withColumnRenamed("follower", "f"), (F.col("follower") == F.col("f")) & (F.col("kind") == F.col("cleared_kind")), "left")
-    gone = F.coalesce(F.col("reset.op_id") > F.col("op_id"), F.lit(False))
-    chosen = lambda name: F.when(gone, F.col(f"reset.{name}")).otherwise(F.col(name)).alias(name)
+    gone = F.coalesce(F.col("reset_op_id") > F.col("op_id"), F.lit(False))
+    chosen = lambda name: F.when(gone, F.col(f"reset_{name}")).otherwise(F.col(name)).alias(name)
     return joined.select("follower", "following", "grp", F.when(~gone, F.col("kind")).alias("kind"), chosen("block_num"), chosen("op_id"))
 
 

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from agorafold.operators import folds, sums
+from agorafold.operators import fold_queries, folds, sums
 from agorafold.sources import oplog, sinks
 from agorafold.streaming import oplog_stream
 
@@ -279,3 +279,8 @@ def test_unpatched_posts_reach_python_without_null_arrays(spark):
     assert "coalesce" in argument + below
     assert "json_metadata" not in plan[: plan.rindex("Window")]
     assert [(r["body"], r["tags"]) for r in found.collect()] == [("b", ["x"])]
+
+
+def test_follows_are_parsed_once_and_aggregated_by_hash(spark):
+    plan = fold_queries.fold_follows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "from_json" not in plan
