@@ -4,7 +4,9 @@ One thread, and the ancestors of some new posts, are followed level by level,
 so that only they move.  What concerns all posts uses pointer doubling in place
 of recursion: one row a post and round, whatever the
 depth, so neither levels nor rows are capped; rows shuffle on ids and no tree
-is held in one task.  Parents that aren't among the posts end a thread.
+is held in one task.  The files of a round are compressed to a few bytes a row,
+so Spark would broadcast millions of rows by their size; joins of all posts ask
+for a merge.  Parents that aren't among the posts end a thread.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def _climbed(now: DataFrame, found: str) -> tuple[DataFrame, DataFrame]:
     """The nodes that have ``up``, with its (next, of_up); the other nodes."""
     above = now.select(F.col("id").alias("a"), F.col("up").alias("next"), F.col(found).alias("of_up"))
     climbing = now.where("up IS NOT NULL")
-    return climbing.join(above, climbing.up == above.a, "left"), now.where("up IS NULL")
+    return climbing.join(above.hint("merge"), climbing.up == above.a, "left"), now.where("up IS NULL")
 
 
 def descendants(nodes: DataFrame, weight: str | None = None) -> DataFrame:
@@ -58,14 +60,14 @@ def descendants(nodes: DataFrame, weight: str | None = None) -> DataFrame:
         below = now.where("up IS NOT NULL").groupBy(F.col("up").alias("of")).agg(F.sum("n").alias("more"))
         climbing, rest = _climbed(now, "n")
         moved = climbing.select("id", F.col("next").alias("up"), "n").unionByName(rest)
-        return moved.join(below, moved.id == below.of, "left").select("id", "up", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        return moved.join(below.hint("merge"), moved.id == below.of, "left").select("id", "up", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
 
     own = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
     nodes = nodes.select("id", "parent", own.alias("n"))
     counted = _doubled(nodes.select("id", F.col("parent").alias("up"), "n"), widen)
     if weight is None:
         return counted.select("id", (F.col("n") - 1).alias("n"))
-    return counted.join(nodes.select(F.col("id").alias("i"), F.col("n").alias("w")), F.col("id") == F.col("i")).select("id", (F.col("n") - F.col("w")).alias("n"))
+    return counted.join(nodes.select(F.col("id").alias("i"), F.col("n").alias("w")).hint("merge"), F.col("id") == F.col("i")).select("id", (F.col("n") - F.col("w")).alias("n"))
 
 
 def depths(nodes: DataFrame) -> DataFrame:
@@ -82,11 +84,11 @@ def depths(nodes: DataFrame) -> DataFrame:
 def tops(nodes: DataFrame) -> DataFrame:
     """(id, top, depth): of each of (id, parent) the farthest ancestor among the nodes, itself without one, and how far it is."""
     held = nodes.select(F.col("id").alias("p"))
-    inside = nodes.join(held, nodes.parent == held.p, "left").select("id", F.col("p").alias("up"), F.coalesce("p", "id").alias("top"), F.when(F.col("p").isNotNull(), 1).otherwise(0).alias("depth"))
+    inside = nodes.join(held.hint("merge"), nodes.parent == held.p, "left").select("id", F.col("p").alias("up"), F.coalesce("p", "id").alias("top"), F.when(F.col("p").isNotNull(), 1).otherwise(0).alias("depth"))
 
     def widen(now: DataFrame, reach: int) -> DataFrame:
         above = now.select(F.col("id").alias("a"), F.col("up").alias("next"), F.col("top").alias("far"), F.col("depth").alias("more"))
-        moved = now.where("up IS NOT NULL").join(above, F.col("up") == F.col("a")).select("id", F.col("next").alias("up"), F.col("far").alias("top"), (F.col("depth") + F.col("more")).alias("depth"))
+        moved = now.where("up IS NOT NULL").join(above.hint("merge"), F.col("up") == F.col("a")).select("id", F.col("next").alias("up"), F.col("far").alias("top"), (F.col("depth") + F.col("more")).alias("depth"))
         return moved.unionByName(now.where("up IS NULL"))
 
     return _doubled(inside, widen).select("id", "top", "depth")
@@ -103,12 +105,12 @@ def heirs(nodes: DataFrame) -> DataFrame:
     marked = F.coalesce("marked", F.lit(False))
     start = nodes.select("id", F.when(~marked, F.col("parent")).alias("up"), marked.alias("marked"))
     under = _doubled(start, widen).where("marked").select(F.col("id").alias("above"))
-    return nodes.join(under, nodes.parent == under.above, "left_semi").select(F.col("id").alias("heir"))
+    return nodes.join(under.hint("merge"), nodes.parent == under.above, "left_semi").select(F.col("id").alias("heir"))
 
 
 def _front(rows: DataFrame) -> DataFrame:
-    """For a broadcast where few rows have been counted, else as it is."""
-    return F.broadcast(rows) if rows.count() <= FRONT_ROWS else rows
+    """For a broadcast where few rows have been counted, else for a merge."""
+    return F.broadcast(rows) if rows.count() <= FRONT_ROWS else rows.hint("merge")
 
 
 def _below(nodes: DataFrame, fronts: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def _below(nodes: DataFrame, fronts: DataFrame) -> DataFrame:
         moved = climbing.select("id", F.col("next").alias("up"), (F.col("of_up") + reach).alias("depth"))
         return moved.select("id", F.when(F.col("depth").isNull(), F.col("up")).alias("up"), "depth").unionByName(rest)
 
-    placed = nodes.join(fronts.select(F.col("id").alias("f"), F.col("depth").alias("of")), F.col("id") == F.col("f"), "left")
+    placed = nodes.join(_front(fronts.select(F.col("id").alias("f"), F.col("depth").alias("of"))), F.col("id") == F.col("f"), "left")
     start = placed.select("id", F.when(F.col("f").isNull(), F.col("parent")).alias("up"), F.col("of").alias("depth"))
     return _doubled(start, widen).where("depth IS NOT NULL").select("id", "depth")
 
@@ -141,7 +143,7 @@ def descend(nodes: DataFrame, root: int, limit: int | None = None, shown: Callab
             return found
         if depth > LEVELS:
             rest = _below(shown(nodes.where(F.col("id") != int(root))), level.select("id", "depth")).where(F.col("depth") >= depth)
-            return found.unionByName(nodes.join(rest.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i").select(*found.columns))
+            return found.unionByName(nodes.join(rest.withColumnRenamed("id", "i").hint("merge"), F.col("id") == F.col("i")).drop("i").select(*found.columns))
         above = _front(level.select(F.col("id").alias("up")))
         below = nodes.where(F.col("id") != int(root)).join(above, F.col("parent") == F.col("up"), "left_semi")  # the root may be below itself
         level = shared.keep(shown(below.withColumn("depth", F.lit(depth))))
@@ -191,7 +193,8 @@ def discussion_tree(spark: SparkSession, sf_dir: str, post: int = ROOT, observer
 
 def children_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descendants of every live post, counting live ones."""
-    live = tables.live_posts(spark, sf_dir).select("id", "parent")
+    links, authors = tables.links(spark, sf_dir), tables.read(spark, sf_dir, "customer").select("c_custkey").hint("merge")
+    live = links.join(authors, links.author == authors.c_custkey, "left").select("id", "parent")
     return descendants(live).select("id", F.col("n").alias("children"))
 
 
